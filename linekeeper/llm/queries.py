@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import quality_rules, sharding
+from linekeeper.llm import packing, quality_rules, sharding, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op3_token_files": token_files.op3_token_files,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_rules": quality_rules.op5_quality_rules,
     }
