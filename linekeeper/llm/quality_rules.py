@@ -51,9 +51,9 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def trusted(df_text: str = "__text") -> Column:
-    """The trusted part of a corpus: base rules and stricter ones passed (no marks, no repeated lines, no shouting)."""
-    return ~F.col("base_failed") & (F.col("n_symbols") == 0) & (F.col("n_dup_lines") == 0) & ~F.col(df_text).rlike(LOUD)
+def trusted(text: str = "__text", cells: str = "__cells") -> Column:
+    """The trusted part of a corpus: 50 tokens at least, no symbols of markup, no shouting or doubled marks."""
+    return (F.size(cells) >= 99) & ~F.col(text).rlike(f"{SYMBOL}|{LOUD}")
 
 
 def ngram_cells(text: str = "__text", cells: int = CELLS) -> Column:
@@ -93,12 +93,12 @@ def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     """Every row with the base features, llr (mean per n-gram, 0 without any) and ``kept``.
 
     ``kept`` is false if the base rules fail, else llr >= threshold.  ``is_trusted``: which
-    rows form the target multinomial (over the columns of base_features).  Null text counts
+    rows form the target multinomial (over __text and its __cells).  Null text counts
     as empty (base_failed).  Repeated rows are judged alike; with an empty corpus there are
     no rows; an all-untrusted corpus gives every cell the smoothed uniform target.
     """
-    featured = base_features(docs, text_col)
-    rows = featured.select((trusted() if is_trusted is None else is_trusted).alias("__trusted"), ngram_cells("__text", cells).alias("__cells"))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
+    rows = rows.select("__cells", (trusted() if is_trusted is None else is_trusted).alias("__trusted"))
     table = llr_table(rows, cells).scalar()
     scored = base_features(docs, text_col).withColumn("__cells", ngram_cells("__text", cells)).withColumn("__llr", table)
     scored = scored.withColumn("llr", F.expr("if(size(__cells) = 0, 0D, aggregate(__cells, 0D, (a, c) -> a + __llr[c]) / size(__cells))"))
