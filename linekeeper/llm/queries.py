@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import packing, quality_rules, secrets, sharding, token_files
+from linekeeper.llm import packing, quality_rules, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_warc": warc.op7_warc,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
