@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import packing, quality_rules, secrets, sharding, token_files, warc
+from linekeeper.llm import near_copies, packing, quality_model, quality_rules, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_ngram_jaccard_join": near_copies.op2_ngram_jaccard_join,
         "op3_token_files": token_files.op3_token_files,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_warc": warc.op7_warc,
+        "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
