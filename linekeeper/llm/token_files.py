@@ -36,24 +36,34 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 PLACES = np.arange(4, dtype=np.uint8)
 
 
+def _width(top: int) -> int:
+    """Bytes of the narrowest array type for values up to ``top``."""
+    return 1 if top <= 0xFF else 2 if top <= 0xFFFF else 4
+
+
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = np.ascontiguousarray(values, "<u4")
-    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    width = _width(int(values.max()) if len(values) else 0)
+    values = np.ascontiguousarray(values, f"<u{width}")
+    size = np.ones(len(values), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF)[: width - 1]:
+        size += values > limit
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[: len(values)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[size[:, None] > PLACES]
+    data = values.view(np.uint8).reshape(-1, width)[size[:, None] > PLACES[:width]]
     return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of encode_values."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[size[:, None] > PLACES] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    top = int(size.max()) if n else 1
+    width = top if top < 3 else 4
+    out = np.zeros((n, width), np.uint8)
+    out[size[:, None] > PLACES[:width]] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").reshape(-1)
 
 
 def pack_block(ids: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
