@@ -24,6 +24,9 @@ TOKEN = r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+"
 LOUD = r"\p{Lu}{2}|[!?]{2}"
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
@@ -41,7 +44,7 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__repeated", repeated)
     df = df.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), x -> x rlike '{WORD}')".replace("\\", "\\\\")))
     return df.select(
-        *[c for c in df.columns if not c.startswith("__")],
+        *[c for c in df.columns if not c.startswith("__") and c not in RESULTS],
         F.col("__text"),
         F.col("__n").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -95,7 +98,7 @@ def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     ``kept`` is false if the base rules fail, else llr >= threshold.  ``is_trusted``: which
     rows form the target multinomial (over __text and its __cells).  Null text counts
     as empty (base_failed).  Repeated rows are judged alike; with an empty corpus there are
-    no rows; an all-untrusted corpus gives every cell the smoothed uniform target.
+    no rows; columns of the input that have names of results give way; an all-untrusted corpus gives every cell the smoothed uniform target.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
     rows = rows.select("__cells", (trusted() if is_trusted is None else is_trusted).alias("__trusted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import near_copies, packing, quality_model, quality_rules, secrets, sharding, token_files, warc
+from linekeeper.llm import decontaminate, near_copies, packing, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_repeated_passages": repeats.op6_repeated_passages,
         "op7_warc": warc.op7_warc,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_scans": secrets.op10_secret_scans,
     }

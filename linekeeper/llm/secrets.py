@@ -123,7 +123,7 @@ def postings(docs: DataFrame, trigrams: list[str], uid: str = "__uid", text: str
 
 
 def candidates(index: DataFrame, queries: list[Query], uid: str = "__uid") -> DataFrame:
-    """(uid, rules): bit k of ``rules`` is set for documents in the intersected postings of query k."""
+    """(uid, __rules): bit k of ``__rules`` is set for documents in the intersected postings of query k."""
     names = sorted({t for q in queries for part in q for t in part})
     bit = {t: i for i, t in enumerate(names)}
     words = -(-len(names) // 60)
@@ -151,7 +151,7 @@ def candidates(index: DataFrame, queries: list[Query], uid: str = "__uid") -> Da
         for part in sorted(q, key=sorted):
             either = either | meets(part)
         rules = rules + F.when(either, F.lit(1 << k)).otherwise(F.lit(0))
-    return held.select(uid, rules.alias("rules")).filter("rules <> 0")
+    return held.select(uid, rules.alias("__rules")).filter("__rules <> 0")
 
 
 # -- Verification ------------------------------------------------------------
@@ -186,8 +186,8 @@ def spans_of(rule: Rule, order: int, text: str = "__text") -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with ``found``: all matches as an array of (start, ord, kind, end), sorted.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "found") -> DataFrame:
+    """Every row with ``out``: all matches as an array of (start, ord, kind, end), sorted.
 
     Null text counts as empty: no match.  Rows that repeat id and text share candidates and
     give equal results; null ids are kept; an empty table gives no rows.
@@ -203,11 +203,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     for k, rule in enumerate(rules):
         spans = spans_of(rule, k)
         if k in indexed:
-            asked = F.col("rules").bitwiseAND(F.lit(1 << indexed.index(k))) != 0
-            spans = F.when(F.col("rules").isNotNull() & asked, spans).otherwise(F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)"))
+            asked = F.col("__rules").bitwiseAND(F.lit(1 << indexed.index(k))) != 0
+            spans = F.when(F.col("__rules").isNotNull() & asked, spans).otherwise(F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)"))
         parts.append(spans)
     found = F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
-    return rows.withColumn("found", found).drop("__uid", "__text", "rules")
+    return rows.withColumn(out, found).drop("__uid", "__text", "__rules")
 
 
 def listed(found: str, kinds: tuple[str, ...] | None = None) -> Column:
@@ -219,17 +219,17 @@ def listed(found: str, kinds: tuple[str, ...] | None = None) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with each secret replaced by ``mark``; overlapping matches become one mark.  Null texts stay null."""
     columns = docs.columns
-    found = scan_secrets(docs, rules, text_col=text_col)
+    found = scan_secrets(docs.withColumn("__one", F.lit(1)), rules, "__one", text_col, "__found")
     merged = F.expr(
-        """aggregate(found, cast(array() as array<struct<s:int,e:int>>), (a, x) ->
+        """aggregate(__found, cast(array() as array<struct<s:int,e:int>>), (a, x) ->
            if(size(a) > 0 and x.start < a[size(a) - 1].e,
               concat(slice(a, 1, size(a) - 1), array(named_struct('s', a[size(a) - 1].s, 'e', greatest(a[size(a) - 1].e, x.end)))),
               array_append(a, named_struct('s', x.start, 'e', x.end))))"""
     )
-    cut = f"""concat(array_join(transform(spans, (x, i) -> concat(
-                substring({text_col}, if(i = 0, 0, spans[i - 1].e) + 1, x.s - if(i = 0, 0, spans[i - 1].e)), '{mark}')), ''),
-              substring({text_col}, spans[size(spans) - 1].e + 1))"""
-    done = found.withColumn("spans", merged).withColumn(text_col, F.expr(f"if({text_col} is null or size(spans) = 0, {text_col}, {cut})"))
+    cut = f"""concat(array_join(transform(__spans, (x, i) -> concat(
+                substring({text_col}, if(i = 0, 0, __spans[i - 1].e) + 1, x.s - if(i = 0, 0, __spans[i - 1].e)), '{mark}')), ''),
+              substring({text_col}, __spans[size(__spans) - 1].e + 1))"""
+    done = found.withColumn("__spans", merged).withColumn(text_col, F.expr(f"if({text_col} is null or size(__spans) = 0, {text_col}, {cut})"))
     return done.select(*columns)
 
 
