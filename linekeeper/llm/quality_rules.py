@@ -105,7 +105,11 @@ def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     table = llr_table(rows, cells).scalar()
     scored = base_features(docs, text_col).withColumn("__cells", ngram_cells("__text", cells)).withColumn("__llr", table)
     scored = scored.withColumn("llr", F.expr("if(size(__cells) = 0, 0D, aggregate(__cells, 0D, (a, c) -> a + __llr[c]) / size(__cells))"))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__cells", "__llr", "__text")
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # a generator's output is a barrier: filters on the results are not pushed into the expressions behind them, which would then run once for each use
+    results = F.explode_outer(F.array(F.struct(*RESULTS))).alias("__r")
+    own = [c for c in docs.columns if c not in RESULTS]
+    return scored.select(*own, results).select(*own, "__r.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
