@@ -1,6 +1,527 @@
-"""Registered queries over the driver's tables and the SQL that checks them."""
+"""Registered queries over the driver's tables and the SQL that checks them.
+
+Songs are users, their lines the users' events in time order: t = seconds since the first
+event, score = value / 500, segment = k of the properties, backend = the event's type.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from linekeeper.functions import text as tx
+from linekeeper.functions import timing as tm
+from linekeeper.operators import folds, joins, metrics, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# -- The driver's tables in the shape of the domain ---------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """song, entry, backend, t, value, score, segment, event_id."""
+    order = Window.partitionBy("song").orderBy("ts", "event_id")
+    ev = table(spark, sf_dir, "events").withColumnRenamed("user_id", "song").withColumnRenamed("event_type", "backend")
+    first = F.min("ts").over(Window.partitionBy("song"))
+    ev = ev.withColumn("first_ts", first).withColumn("entry", F.row_number().over(order))
+    micros = F.expr("timestampdiff(MICROSECOND, first_ts, ts)")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select("song", "entry", "backend", (micros / 1000000.0).alias("t"), "value", (F.col("value") / 500.0).alias("score"), k.alias("segment"), "event_id")
+
+
+BASE = """base AS (SELECT user_id AS song, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS entry, event_type AS backend,
+  date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) / 1000000.0::DOUBLE AS t, value, value / 500.0::DOUBLE AS score,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS segment, event_id FROM events)"""
+
+
+def of_type(df: DataFrame, kind: str) -> DataFrame:
+    """The lines of one backend, numbered anew."""
+    return metrics.number_entries(df.filter(F.col("backend") == kind).drop("entry"), "t", "event_id")
+
+
+TYPED = """typed AS (SELECT *, CAST(row_number() OVER (PARTITION BY song, backend ORDER BY t, event_id) AS INTEGER) AS pos FROM base)"""
+
+
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """song, entry, text, norm."""
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select(F.col("conv_id").alias("song"), (F.col("turn") + 1).cast("int").alias("entry"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("norm", tx.match_text(F.col("text"), normal=False))
+
+
+NORM = r"regexp_replace(coalesce(text, ''), '[^0-9A-Za-z\x{3040}-\x{30ff}\x{3400}-\x{9fff}]+', '', 'g')"
+CONV = f"conv AS (SELECT conv_id AS song, CAST(turn + 1 AS INTEGER) AS entry, coalesce(text, '') AS text, {NORM} AS norm FROM conversations)"
+
+
+# -- Evaluation, metrics, candidates ------------------------------------------
+
+
+@query(f"""WITH {BASE}, {TYPED},
+a AS (SELECT song, pos, CAST(round(t * 100) AS BIGINT) AS cs, backend || ':' || segment AS line FROM typed WHERE backend = 'click'),
+b AS (SELECT song, pos, CAST(round(t * 100) AS BIGINT) AS cs, 'click:' || segment AS line FROM typed WHERE backend = 'view'),
+j AS (SELECT coalesce(a.song, b.song) AS song, a.pos AS ap, b.pos AS bp, abs(b.cs - a.cs) AS off, a.cs AS acs, b.cs AS bcs, a.line <> b.line AS differs FROM a FULL JOIN b ON a.song = b.song AND a.pos = b.pos)
+SELECT song, count(acs) AS reference_entries, count(bcs) AS generated_entries, count(acs) = count(bcs) AS entry_count_match,
+ count_if(coalesce(differs, true)) AS text_mismatches, max(off) AS max_abs_delta_cs, round(avg(off), 2) AS mean_abs_delta_cs,
+ count_if(off <= 100) AS within_100cs, round(count_if(off <= 100) * 100.0::DOUBLE / greatest(1, count(acs)), 2) AS within_100cs_percent,
+ count_if(off IS NULL OR off <> 0) AS nonzero_time_diffs FROM j GROUP BY song""")
+def positional_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    both = [
+        of_type(rows, kind).select("song", "entry", F.round(F.col("t") * 100).cast("long").alias("time_cs"), F.array(F.concat(F.lit("click:"), "segment")).alias("lines"))
+        for kind in ("click", "view")
+    ]
+    out = metrics.positional_eval(both[0], both[1], "song")
+    return out.select("song", "reference_entries", "generated_entries", "entry_count_match", "text_mismatches", "max_abs_delta_cs", "mean_abs_delta_cs", "within_100cs", "within_100cs_percent", "nonzero_time_diffs")
+
+
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    return rows.withColumn("segment", F.when(F.col("segment") % 3 != 0, F.col("segment"))).withColumn("timing_repair", F.when(F.col("segment") % 5 == 0, "fill")).withColumn("timing_trusted", F.col("segment") % 4 == 0)
+
+
+REPORT = f"""WITH {BASE}, r AS (SELECT * REPLACE (CASE WHEN segment % 3 <> 0 THEN segment END AS segment) FROM base),
+r2 AS (SELECT *, segment % 5 = 0 AS repaired, coalesce(segment % 4 = 0, false) AS tt FROM r),
+r3 AS (SELECT *, (segment IS NOT NULL OR coalesce(repaired, false)) AS timed FROM r2),
+r4 AS (SELECT *, timed AND (score >= 0.62 OR tt) AS trusted FROM r3),
+m AS (SELECT song, backend, count(*) AS timing_entries, count_if(timed) AS assigned_entries, count_if(trusted) AS trusted_entries, count_if(NOT trusted) AS low_confidence_count,
+ count_if(tt) AS timing_trusted_entries, round(count_if(timed) * 100.0::DOUBLE / count(*), 2) AS assigned_percent, round(count_if(trusted) * 100.0::DOUBLE / count(*), 2) AS trusted_percent,
+ round(count_if(NOT trusted) * 100.0::DOUBLE / count(*), 2) AS low_confidence_percent FROM r4 GROUP BY song, backend)"""
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confidence_metrics(_report_lines(spark, sf_dir), "song", "backend")
+
+
+@query(REPORT + " SELECT * FROM m")
+def confidence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).drop("review_required_count", "review_required_percent")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"click": "ctc", "view": "whisperx", "purchase": "hybrid"}
+    names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    rows = _reports(spark, sf_dir).withColumn("kind", F.col("backend")).withColumn("backend", F.coalesce(F.try_element_at(names, F.col("backend")), F.lit("whispercpp")))
+    rows = rows.withColumns({"ctc_missing_count": F.floor(F.col("low_confidence_count") / 8), "ctc_low_score_count": F.floor(F.col("low_confidence_count") / 4), "ctc_very_low_score_count": F.floor(F.col("low_confidence_count") / 8), "high_risk_count": F.floor(F.col("low_confidence_count") / 3), "collapse_detected": F.col("timing_entries") % 7 == 0, "error": F.when(F.col("timing_entries") % 11 == 0, "no evidence")})
+    return rows.withColumn("quality", metrics.selection_quality())
+
+
+CANDIDATES = REPORT + """, c AS (SELECT * REPLACE (CASE backend WHEN 'click' THEN 'ctc' WHEN 'view' THEN 'whisperx' WHEN 'purchase' THEN 'hybrid' ELSE 'whispercpp' END AS backend), backend AS kind,
+ low_confidence_count // 8 AS miss, low_confidence_count // 4 AS low4, low_confidence_count // 3 AS high, timing_entries % 7 = 0 AS coll, CASE WHEN timing_entries % 11 = 0 THEN 'no evidence' END AS error FROM m),
+q AS (SELECT *, CASE WHEN error IS NOT NULL THEN -100.0::DOUBLE
+ WHEN backend = 'ctc' THEN greatest(-100.0, least(100.0, 100.0 - 30.0 * miss - 6.0 * low4 - 8.0 * miss - CASE WHEN miss >= ceil(timing_entries * 0.20) THEN 50.0 ELSE 0.0 END - CASE WHEN coll THEN 100.0 ELSE 0.0 END))
+ WHEN backend IN ('whisperx', 'hybrid') THEN greatest(-100.0, least(100.0, trusted_percent - 0.40::DOUBLE * low_confidence_percent - high * CASE WHEN backend = 'hybrid' THEN 2.5 ELSE 1.0 END - CASE WHEN timing_entries >= 8 AND trusted_percent < 85 THEN 10.0 ELSE 0.0 END - CASE WHEN coll THEN 100.0 ELSE 0.0 END))
+ ELSE trusted_percent - 2.5 * low_confidence_count - CASE WHEN coll THEN 80.0 ELSE 0.0 END END AS quality FROM c)"""
+
+
+@query(CANDIDATES + " SELECT song, kind, backend, round(CAST(quality AS DOUBLE), 6) AS quality FROM q")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("song", "kind", "backend", F.round("quality", 6).alias("quality"))
+
+
+@query(CANDIDATES + """, u AS (SELECT *, CASE WHEN quality = 0 THEN -100 ELSE quality END AS v FROM q WHERE error IS NULL),
+best AS (SELECT song, arg_max(backend, (v, kind)) AS b, max(v) AS bv, arg_max(quality, (v, kind)) AS bq, max(CASE WHEN backend = 'ctc' THEN v END) AS cv, max(CASE WHEN backend = 'ctc' THEN quality END) AS cq
+ FROM u GROUP BY song)
+SELECT song, CASE WHEN cv >= 80 AND cv >= bv - 5 THEN 'ctc' ELSE b END AS selected, round(CAST(CASE WHEN cv >= 80 AND cv >= bv - 5 THEN cq ELSE bq END AS DOUBLE), 6) AS quality FROM best""")
+def choose_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _candidates(spark, sf_dir).withColumn("ordinal", -F.row_number().over(Window.partitionBy("song").orderBy("kind")))
+    return metrics.choose_candidate(ranked).withColumn("quality", F.round("quality", 6))
+
+
+@query(REPORT + """ SELECT song, backend, trusted_percent < 90 OR low_confidence_count > greatest(6, ceil(timing_entries * 0.20)) AS retry,
+ trusted_entries = 0 OR trusted_percent < 35 OR (timing_entries >= 6 AND low_confidence_count >= ceil(timing_entries * 0.80)) AS unusable,
+ CASE WHEN trusted_percent < 60 THEN 'trusted_percent' END AS failure FROM m""")
+def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reports(spark, sf_dir).withColumn("collapse_detected", F.lit(False))
+    return rows.select("song", "backend", metrics.needs_retry().alias("retry"), metrics.is_unusable().alias("unusable"), metrics.strict_failure(60.0).alias("failure"))
+
+
+@query("""WITH e AS (SELECT user_id AS song, CAST(event_id % 7 AS INTEGER) AS entry, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+r AS (SELECT song, entry, event_id, list_value(event_type, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END) AS flags, CASE k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'resolved' END AS severity, value > 300 AS review, CASE WHEN k % 3 = 0 THEN value END AS delta,
+ CASE k % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS rnk FROM e)
+SELECT song, entry, array_to_string(list_sort(list_distinct(flatten(list(flags)))), ',') AS flags, arg_max(severity, (rnk, -event_id)) AS severity, bool_or(review) AS review_required, round(arg_max(delta, event_id), 6) AS delta FROM r GROUP BY song, entry""")
+def risk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    risks = ev.select(
+        F.col("user_id").alias("song"),
+        (F.col("event_id") % 7).cast("int").alias("entry"),
+        F.col("event_id").alias("ordinal"),
+        F.array("event_type", F.when(k % 2 == 0, "even").otherwise("odd")).alias("flags"),
+        F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "resolved"))), k % 4 + 1).alias("severity"),
+        (F.col("value") > 300).alias("review_required"),
+        F.when(k % 3 == 0, F.col("value")).alias("delta"),
+        F.create_map(F.col("event_type"), F.col("value")).alias("cand_ts"),
+    )
+    out = metrics.dedupe_risks(risks, "song", "entry")
+    return out.select("song", "entry", F.array_join(F.array_sort("flags"), ",").alias("flags"), "severity", "review_required", F.round("delta", 6).alias("delta"))
+
+
+@query("""SELECT c_mktsegment AS category, round(sum(o_totalprice * (1 + o_orderkey % 9)) / sum(1 + o_orderkey % 9), 2) AS weighted, CAST(sum(1 + o_orderkey % 9) AS BIGINT) AS weight
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def weighted_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = orders.filter("o_orderstatus <> 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.col("c_mktsegment").alias("category"), F.col("o_totalprice").alias("v"), (1 + F.col("o_orderkey") % 9).alias("w"))
+    return metrics.weighted_percent(rows, "v", "w", "category")
+
+
+@query("SELECT o_custkey AS key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_key, round(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 6) AS price FROM orders GROUP BY 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderdate", F.col("o_orderkey").alias("order_key"), F.round("o_totalprice", 6).alias("price"))
+    return metrics.latest(rows, "key", F.struct("o_orderdate", "order_key"), "order_key", "price")
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def anti_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_anti")
+
+
+@query(f"""WITH {BASE} SELECT song, entry, CASE
+ WHEN score * 0.02 <= 0.01 AND value / 490 >= 0.8 AND abs(t - (t + segment / 20.0)) BETWEEN 0.35 AND 0.80 AND abs(t + segment / 20.0 - (t + score)) BETWEEN 0.6 AND 1.0 THEN 'high-confidence-whisperx-over-weak-ctc-initial'
+ WHEN score * 0.02 <= 0.01 AND value / 490 >= 0.5 AND abs(t - (t + segment / 20.0)) >= 0.2 AND abs(t + segment / 20.0 - (t + score)) <= 0.15 THEN 'whisperx-japanese-ctc-onset-consensus' END AS reason FROM base""")
+def onset_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t = lines(spark, sf_dir), F.col("t")
+    got = metrics.onset_consensus(t, F.col("score") * 0.02, t + F.col("segment") / 20.0, F.col("value") / 490, t + F.col("score"))
+    return rows.select("song", "entry", got["reason"].alias("reason"))
+
+
+@query(REPORT + """, g AS (SELECT song, max(CASE WHEN backend = 'click' THEN low_confidence_count END) AS c, max(CASE WHEN backend = 'view' THEN low_confidence_count END) AS h FROM m GROUP BY song)
+SELECT song, coalesce(h >= greatest(8, (c // 3) * 3 + 5), false) AS prefer FROM g""")
+def review_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reports(spark, sf_dir).groupBy("song").agg(*[F.max(F.when(F.col("backend") == k, F.col("low_confidence_count"))).alias(k) for k in ("click", "view")])
+    prefer = metrics.prefer_ctc(F.lit(False), F.lit(0), F.floor(F.col("click") / 3), F.col("view"))
+    return rows.select("song", F.coalesce(prefer, F.lit(False)).alias("prefer"))
+
+
+@query(REPORT + """ SELECT song, backend, array_to_string(list_filter([CASE WHEN trusted_percent < 40 THEN 'trusted' END, CASE WHEN low_confidence_count > 8 THEN 'low' END, CASE WHEN timing_entries < 12 THEN 'entries' END], lambda x: x IS NOT NULL), ',') AS failures FROM m""")
+def gate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = {"trusted": F.col("trusted_percent") < 40, "low": F.col("low_confidence_count") > 8, "entries": F.col("timing_entries") < 12}
+    return metrics.gate_failures(_reports(spark, sf_dir), gates).select("song", "backend", F.array_join("failures", ",").alias("failures"))
+
+
+# -- Ordered windows -----------------------------------------------------------
+
+
+@query(f"WITH {BASE} SELECT song, entry, round(max(t - 0.5 * entry) OVER (PARTITION BY song ORDER BY entry) + 0.5 * entry, 6) AS clamped FROM base")
+def clamp_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("song").orderBy("entry")
+    return lines(spark, sf_dir).select("song", "entry", F.round(tm.monotone(F.col("t"), F.col("entry"), 0.5, order), 6).alias("clamped"))
+
+
+@query(f"WITH {BASE} SELECT song, entry, round(sum(value) OVER (PARTITION BY song ORDER BY entry ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smoothed FROM base")
+def smooth5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.smooth(lines(spark, sf_dir), "value", 5, "s").select("song", "entry", F.round("s", 6).alias("smoothed"))
+
+
+@query(f"""WITH {BASE}, p AS (SELECT song, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM base GROUP BY song)
+SELECT song, entry, round(CASE WHEN hi <= lo THEN 0 ELSE least(1, greatest(0, (value - lo) / (hi - lo))) END, 6) AS level FROM base JOIN p USING (song)""")
+def normalize_p5_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.normalize(lines(spark, sf_dir), "value", "level").select("song", "entry", F.round("level", 6).alias("level"))
+
+
+@query(f"""WITH {BASE}, i AS (SELECT song, t AS s, t + value * 60 AS e, entry FROM base),
+g AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY song ORDER BY s, e) <= 3600 THEN 0 ELSE 1 END AS n FROM i),
+r AS (SELECT *, sum(n) OVER (PARTITION BY song ORDER BY s, e) AS run FROM g)
+SELECT song, round(min(s), 6) AS start, round(arg_max(e, (s, e)), 6) AS "end", count(*) AS parts FROM r GROUP BY song, run HAVING arg_max(e, (s, e)) - min(s) >= 7200""")
+def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("song", F.col("t").alias("start"), (F.col("t") + F.col("value") * 60).alias("end"))
+    return windows.merge_segments(rows, "start", "end", 3600, 7200).select("song", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "parts")
+
+
+@query(f"""WITH {BASE}, i AS (SELECT song, entry AS a, entry + segment % 4 AS b FROM base WHERE segment % 6 = 0),
+g AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY song ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS n FROM i),
+r AS (SELECT *, sum(n) OVER (PARTITION BY song ORDER BY a, b) AS run FROM g) SELECT song, min(a) AS start, max(b) AS "end" FROM r GROUP BY song, run""")
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).filter("segment % 6 = 0").select("song", F.col("entry").alias("start"), (F.col("entry") + F.col("segment") % 4).alias("end"))
+    return windows.interval_union(rows, "start", "end")
+
+
+def _runs_sql(member: str, least: int, same: str | None = None) -> str:
+    part = f", {same}" if same else ""
+    return f"""WITH {BASE}, x AS (SELECT *, {same or '0'} AS grp FROM base), f AS (SELECT song, entry, grp, entry - row_number() OVER (PARTITION BY song, grp ORDER BY entry) AS run FROM x WHERE {member})
+SELECT song, {'grp AS ' + same + ', ' if same else ''}min(entry) AS start_entry, max(entry) AS end_entry, CAST(count(*) AS INTEGER) AS length FROM f GROUP BY song, grp, run HAVING count(*) >= {least}""".replace(part + " FROM", " FROM")
+
+
+@query(_runs_sql("score < 0.62", 4))
+def low_score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.runs_of(lines(spark, sf_dir), F.col("score") < windows.TRUSTED, 4)
+
+
+@query(_runs_sql("round(score, 1) = 0", 2))
+def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.zero_collapse(lines(spark, sf_dir).withColumn("score", F.round("score", 1)), 2)
+
+
+@query(_runs_sql("half IS NOT NULL AND score < 0.30", 2, "half").replace("base.*", "*").replace("SELECT *, half AS grp FROM base", "SELECT *, segment // 50 AS half, segment // 50 AS grp FROM base"))
+def segment_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("segment", F.floor(F.col("segment") / 50).cast("int"))
+    return windows.segment_collapse(rows, 2).withColumnRenamed("segment", "half")
+
+
+@query(f"""WITH {BASE}, l AS (SELECT *, sum(CASE WHEN score < 0.62 THEN 1 ELSE 0 END) OVER (PARTITION BY song ORDER BY entry ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM base)
+SELECT song, min(CASE WHEN s = 4 THEN entry END) AS first_entry FROM l GROUP BY song""")
+def low_conf_run_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.low_run_start(lines(spark, sf_dir))
+
+
+@query(f"""WITH {BASE}, l AS (SELECT song, entry, CASE WHEN score < 0.62 THEN 1 ELSE 0 END AS low FROM base),
+w AS (SELECT *, count(*) OVER r AS rest, sum(low) OVER r AS lows, coalesce(lead(low) OVER (PARTITION BY song ORDER BY entry), 0) AS nxt FROM l WINDOW r AS (PARTITION BY song ORDER BY entry ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT song, min(CASE WHEN rest BETWEEN 4 AND 12 AND entry > 1 AND lows >= greatest(3, ceil(rest * 0.55)) AND low + nxt = 2 THEN entry END) AS tail_entry FROM w GROUP BY song""")
+def tail_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.tail_start(lines(spark, sf_dir))
+
+
+@query(f"""WITH {BASE}, d AS (SELECT song, entry, score, (CASE WHEN segment > 30 THEN 1 ELSE -1 END) * (0.8::DOUBLE + segment % 4 * 0.2::DOUBLE) AS delta FROM base WHERE score >= 0.1 AND segment % 10 <> 0),
+g AS (SELECT *, lag(entry) OVER w AS le, lag(delta) OVER w AS ld FROM d WINDOW w AS (PARTITION BY song ORDER BY entry)),
+r AS (SELECT *, sum(CASE WHEN entry = le + 1 AND sign(delta) = sign(ld) AND abs(delta - ld) <= 0.65 THEN 0 ELSE 1 END) OVER (PARTITION BY song ORDER BY entry) AS run FROM g)
+SELECT song, min(entry) AS start_entry, max(entry) AS end_entry, CAST(count(*) AS INTEGER) AS length, round(median(delta), 6) AS median_delta, round(max(delta) - min(delta), 6) AS spread, round(avg(score + 0.4), 6) AS mean_score FROM r GROUP BY song, run HAVING count(*) >= 2""")
+def drift_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("song", "entry", F.lit(0.0).alias("current"), (F.when(F.col("segment") > 30, 1).otherwise(-1) * (0.8 + F.col("segment") % 4 * 0.2)).alias("raw"), (F.col("score") + 0.4).alias("raw_score"), (F.col("segment") % 10 == 0).alias("borrowed"))
+    out = windows.drift_runs(rows, 2)
+    return out.select("song", "start_entry", "end_entry", "length", *[F.round(c, 6).alias(c) for c in ("median_delta", "spread", "mean_score")])
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """Two tokens a line: from t, and some seconds on; some lines have none."""
+
+    def span(start, end, score):
+        return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
+
+    t, v = F.col("t"), F.col("value")
+    made = F.array(span(t, t + v * 20, F.col("score")), span(t + F.col("segment") * 100.0, t + v * 10, F.col("score") / 2))
+    return rows.withColumn("timestamp", t).withColumn("token_spans", F.when(F.col("segment") % 9 != 0, made))
+
+
+SPANS = f"""WITH {BASE}, s AS (SELECT *, CASE WHEN segment % 9 <> 0 THEN t END AS fs, CASE WHEN segment % 9 <> 0 THEN t + value * 20 END AS te, CASE WHEN segment % 9 <> 0 THEN t + segment * 100.0::DOUBLE END AS sec FROM base),
+n AS (SELECT *, lag(te) OVER w AS pe, lead(t) OVER w AS nt FROM s WINDOW w AS (PARTITION BY song ORDER BY entry))"""
+
+
+@query(SPANS + """ SELECT song, entry, round(fs, 6) AS first_start, round(CASE WHEN fs IS NOT NULL THEN pe END, 6) AS previous_end, round(fs - pe, 6) AS gap,
+ CASE WHEN fs IS NOT NULL THEN coalesce(fs - pe >= 0.35 AND score >= 0.25, false) END AS clear FROM n""")
+def boundary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.boundary_evidence(_spans(lines(spark, sf_dir)))
+    return out.select("song", "entry", *[F.round(c, 6).alias(c) for c in ("first_start", "previous_end", "gap")], "clear")
+
+
+@query(SPANS + """ SELECT song, entry, round(CASE WHEN fs <= pe + 0.06 AND sec - fs >= 0.70 AND sec > pe + 0.05 AND sec < coalesce(nt, 'infinity'::DOUBLE) - 0.10 THEN sec END, 6) AS recovered FROM n""")
+def crossline_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.crossline_recovery(_spans(lines(spark, sf_dir))).select("song", "entry", F.round("recovered", 6).alias("recovered"))
+
+
+@query(f"""WITH {BASE}, n AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS x, max(t) OVER (PARTITION BY song) + 10 AS d FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)),
+b AS (SELECT *, t - CASE WHEN segment % 2 = 0 AND t - coalesce(p, 0) >= 4 THEN 4.2 ELSE 1.2 END AS back FROM n)
+SELECT song, entry, round(greatest(0, least(back, coalesce((p + t) / 2, back))), 6) AS window_start, round(least(d, greatest(coalesce(x, least(d, t + 4)) + 0.5, t + 1.2)), 6) AS window_end FROM b""")
+def alignment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("timestamp", F.col("t")).withColumn("norm", F.when(F.col("segment") % 2 == 0, "abc").otherwise("abcdef"))
+    rows = rows.withColumn("d", F.max("t").over(Window.partitionBy("song")) + 10)
+    out = windows.alignment_windows(rows, F.col("d"))
+    return out.select("song", "entry", F.round("window_start", 6).alias("window_start"), F.round("window_end", 6).alias("window_end"))
+
+
+@query(f"""WITH {BASE}, f AS (SELECT *, score < 0.1 AS fl, score < 0.05 AS hi, CASE WHEN t - lag(t) OVER (PARTITION BY song ORDER BY entry) <= 20000 THEN 0 ELSE 1 END AS n FROM base),
+c AS (SELECT *, sum(n) OVER (PARTITION BY song ORDER BY entry) AS chain FROM f)
+SELECT song, entry, coalesce(max(fl::INT) OVER (PARTITION BY song, chain ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS follows, coalesce(lag(hi) OVER (PARTITION BY song, chain ORDER BY entry), false) AS follows_high FROM c""")
+def follower_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("timestamp", F.col("t")).withColumn("flagged", F.col("score") < 0.1).withColumn("high", F.col("score") < 0.05)
+    return windows.follower_flags(rows, 20000).select("song", "entry", "follows", "follows_high")
+
+
+# -- Joins ----------------------------------------------------------------------
+
+
+def _frames(rows: DataFrame) -> DataFrame:
+    """Views as frames with a strength."""
+    return rows.filter(F.col("backend") == "view").select("song", "t", F.col("score").alias("onset"), (F.col("value") / 10 - 40).alias("rms_db"))
+
+
+@query(f"""WITH {BASE}, j AS (SELECT a.song, a.entry, f.t AS ft, f.score AS onset, row_number() OVER (PARTITION BY a.song, a.entry ORDER BY f.score DESC, f.t) AS rn
+ FROM base a JOIN base f ON a.song = f.song AND f.backend = 'view' AND f.t BETWEEN a.t - 30000 AND a.t + 30000 WHERE a.backend = 'click')
+SELECT b.song, b.entry, round(ft, 6) AS onset_time, round(onset, 6) AS onset FROM base b LEFT JOIN j ON b.song = j.song AND b.entry = j.entry AND rn = 1 WHERE b.backend = 'click'""")
+def asof_nearest_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    out = joins.nearest_onset(rows.filter(F.col("backend") == "click").select("song", "entry", "t"), _frames(rows), 30000)
+    return out.select("song", "entry", F.round("onset_time", 6).alias("onset_time"), F.round("onset", 6).alias("onset"))
+
+
+PEAKS = f"""WITH {BASE}, fr AS (SELECT song, t, score AS o, value, coalesce(lag(score) OVER w, 0) AS l, coalesce(lead(score) OVER w, 0) AS r FROM base WHERE backend = 'view' WINDOW w AS (PARTITION BY song ORDER BY t)),
+pk AS (SELECT song, t FROM fr WHERE o >= 0.55 AND o >= l AND o >= r)"""
+
+
+@query(PEAKS + """ SELECT b.song, b.entry, round(min(p.t), 6) AS peak_time FROM base b LEFT JOIN pk p ON p.song = b.song AND p.t BETWEEN b.t + 0.2 AND b.t + 200000 WHERE b.backend = 'click' GROUP BY 1, 2""")
+def first_peak_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    spans = rows.filter(F.col("backend") == "click").select("song", "entry", F.col("t").alias("start"), (F.col("t") + 200000).alias("end"))
+    return joins.first_peak(spans, _frames(rows), 0.55, 0.20).select("song", "entry", F.round("peak_time", 6).alias("peak_time"))
+
+
+@query(f"""WITH {BASE}, f AS (SELECT song, t, score, value / 10 - 40 AS rms FROM base WHERE backend = 'view'),
+h AS (SELECT a.song, a.t, median(b.rms) AS m FROM f a JOIN f b ON a.song = b.song AND b.t BETWEEN a.t AND a.t + 100000 WHERE a.score >= 0.1 GROUP BY 1, 2)
+SELECT song, round(min(t), 6) AS onset_time FROM h WHERE m >= -36 GROUP BY song""")
+def sustained_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = joins.sustained_onset(_frames(lines(spark, sf_dir)), 0.10, -36.0, 100000)
+    return out.select("song", F.round("onset_time", 6).alias("onset_time"))
+
+
+@query(f"WITH {BASE}, g AS (SELECT song, t AS s, t + 9000 AS e FROM base WHERE backend = 'view') SELECT song, entry FROM base b WHERE backend = 'click' AND EXISTS (SELECT 1 FROM g WHERE g.song = b.song) AND NOT EXISTS (SELECT 1 FROM g WHERE g.song = b.song AND b.t BETWEEN s - 0.05 AND e + 0.05)")
+def outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    regions = rows.filter(F.col("backend") == "view").select("song", F.col("t").alias("start"), (F.col("t") + 9000).alias("end"))
+    return joins.outside_regions(rows.filter(F.col("backend") == "click").select("song", "entry", "t"), regions).select("song", "entry")
+
+
+@query(f"""WITH {CONV.replace("AS norm FROM", "AS n0 FROM")}, p AS (SELECT song, entry, CASE WHEN entry % 3 = 0 THEN 'abcdefghijkl' ELSE '' END || n0 AS norm FROM conv)
+SELECT DISTINCT a.song, a.entry FROM p a JOIN p b ON a.song = b.song AND a.entry <> b.entry AND length(a.norm) >= 12 AND length(b.norm) >= 12
+ AND left(a.norm, least(12, greatest(8, least(length(a.norm), length(b.norm)) // 2))) = left(b.norm, least(12, greatest(8, least(length(a.norm), length(b.norm)) // 2)))""")
+def ambiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir)
+    return joins.ambiguous_prefix(rows.withColumn("norm", F.concat(F.when(F.col("entry") % 3 == 0, "abcdefghijkl").otherwise(""), "norm")))
+
+
+@query(f"""WITH {CONV}, s AS (SELECT song, entry, left(norm, CASE WHEN entry % 2 = 0 THEN 4 ELSE 400 END) AS norm FROM conv) SELECT DISTINCT a.song, a.entry FROM s a JOIN s b ON a.song = b.song AND a.entry <> b.entry AND abs(a.entry - b.entry) <= 8
+ WHERE length(a.norm) BETWEEN 4 AND 12 AND length(b.norm) > length(a.norm) AND contains(b.norm, a.norm)""")
+def short_dup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir).withColumn("norm", F.left("norm", F.when(F.col("entry") % 2 == 0, 4).otherwise(400)))
+    return joins.short_duplicates(rows)
+
+
+@query()
+def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir).select("song", "entry", F.left("norm", F.lit(60)).alias("norm"))
+    return joins.fuzzy_match(rows, rows.select("song", F.col("entry").alias("seg_idx"), F.substring("norm", 3, 50).alias("norm")))
+
+
+@query()
+def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir).select("song", "entry", "norm")
+    hints = rows.filter("entry % 2 = 0").select("song", F.col("entry").alias("hint_idx"), F.when(F.col("entry") % 4 == 0, F.col("entry")).alias("entry_number"), "norm")
+    return joins.match_anchors(rows, hints)
+
+
+# -- Text ------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({NORM}) AS norm, length({NORM}) AS n FROM documents")
+def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = tx.match_text(F.coalesce("text", F.lit("")), normal=False)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("norm"), F.length(norm).cast("long").alias("n"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents), w AS (SELECT doc_id, regexp_replace(line, '[ \t\n\r\f\x{0b}]+', '', 'g') AS c, regexp_extract_all(line, '[A-Za-z0-9'']+') AS words FROM d)
+SELECT doc_id, round(greatest(1.0::DOUBLE, len(words) * 1.7::DOUBLE + greatest(0, length(c) - length(array_to_string(words, ''))) * 0.5::DOUBLE), 6) AS weight FROM w""")
+def text_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.text_weight(line), 6).alias("weight"))
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30ff}]') THEN 'japanese' WHEN len(regexp_extract_all(text, '[A-Za-z]')) >= 2 THEN 'latin' WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') THEN 'han' ELSE 'other' END AS script FROM documents")
+def line_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.line_script(F.col("text")).alias("script"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, replace(replace(left(text, 200), '. ', '  '), ', ', ' / ') AS x FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(x, ' '), '[\t\n\r\f\x{0b} ]+/[\t\n\r\f\x{0b} ]+|(?:[ \x{3000}]{2,}|\t+)'), lambda p: trim(p, ' ')), lambda p: p <> ''), '|') AS parts FROM d""")
+def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.replace(F.replace(F.left("text", F.lit(200)), F.lit(". "), F.lit("  ")), F.lit(", "), F.lit(" / "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.split_group(x), "|").alias("parts"))
+
+
+@query()
+def leading_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir).withColumn("term", tx.leading_term(F.concat(F.substring("text", 1, 5), F.lit(", "), F.col("text")), normal=False))
+    return rows.select("song", "entry", "term.term", "term.count")
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '', 'g') AS r FROM documents) SELECT doc_id, r AS romaji FROM w""")
+def compact_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.compact_latin(F.left("text", F.lit(80)), normal=False).alias("romaji"))
+
+
+@query()
+def romaji_morae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tx.compact_latin(F.left("text", F.lit(80)), normal=False)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.romaji_morae(r), "-").alias("morae"))
+
+
+@query(f"""WITH {CONV}, l AS (SELECT song, array_to_string(list(text ORDER BY entry)[1:12], '') AS x FROM conv GROUP BY song) SELECT song, CASE WHEN x = '' THEN 'ja' WHEN regexp_matches(x, '[A-Za-z]') THEN 'en' ELSE 'ja' END AS lang FROM l""")
+def spoken_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_lines(spark, sf_dir).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("entry", "text"))).alias("r"))
+    return rows.select("song", tx.spoken_language(F.col("r.text")).alias("lang"))
+
+
+# -- Planning, folds, audits -------------------------------------------------------
+
+
+@query(rf"""WITH {CONV}, w AS (SELECT song, entry, greatest(1.0::DOUBLE, len(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z0-9'']+')) * 1.7::DOUBLE) AS wt FROM conv),
+s AS (SELECT *, coalesce(sum(wt) OVER (PARTITION BY song ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(wt) OVER (PARTITION BY song) AS total FROM w)
+SELECT song, entry, round(least(200.0::DOUBLE, 10 + 190 * before / total), 6) AS rough FROM s""")
+def weighted_rough_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.element_at(F.split("text", "\n"), 1)
+    words = F.greatest(F.lit(1.0), F.size(F.regexp_extract_all(first, F.lit("[A-Za-z0-9']+"), F.lit(0))) * 1.7)
+    rows = conversation_lines(spark, sf_dir).withColumn("w", words)
+    order = Window.partitionBy("song").orderBy("entry")
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("b", before).withColumn("s", F.sum("w").over(Window.partitionBy("song")))
+    return rows.select("song", "entry", F.round(F.least(F.lit(200.0), 10 + 190 * F.col("b") / F.col("s")), 6).alias("rough"))
+
+
+@query(f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, t + (segment - 50) * 1000.0::DOUBLE AS p, lead(t) OVER (PARTITION BY song ORDER BY entry) AS nt FROM base),
+f AS (SELECT song, entry, CASE WHEN nt IS NULL OR p < nt - 60 THEN p ELSE t END AS v FROM n WHERE entry = 1
+ UNION ALL SELECT n.song, n.entry, CASE WHEN n.p > f.v + 60 AND (n.nt IS NULL OR n.p < n.nt - 60) THEN n.p ELSE n.t END FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)
+SELECT song, entry, round(v, 6) AS accepted FROM f""")
+def bounded_accept_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folds.bounded_accept(lines(spark, sf_dir), F.col("t") + (F.col("segment") - 50) * 1000.0, 60.0)
+    return out.select("song", "entry", F.round("accepted", 6).alias("accepted"))
+
+
+@query()
+def weak_prefix_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    peak = F.struct((F.col("t") - F.col("segment") / 40.0).alias("time"), F.col("score").alias("score"))
+    rows = rows.select("song", "entry", F.col("t").alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), F.col("score").alias("ctc_score"), (F.col("score") / 10).alias("first_score"), (F.col("t") + 1).alias("token_end"), F.array(peak).alias("peaks"), F.lit(False).alias("window_realigned"))
+    out = folds.weak_prefix_recovery(rows)
+    return out.select("song", "entry", F.round("time", 6).alias("time"), "moved")
+
+
+@query()
+def local_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t, k = lines(spark, sf_dir), F.col("t"), F.col("segment")
+    made = rows.select("song", "entry", t.alias("wx"), F.col("score").alias("wx_score"), (t + (k - 50) / 10.0).alias("ctc"), (F.col("score") / 2).alias("ctc_score"), (t + (k - 50) / 12.0).alias("raw"), F.col("score").alias("raw_score"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), (k % 13 == 0).alias("prefix"), (k % 17 == 0).alias("crossline"), (k % 5 == 0).alias("clear"), (k % 19 == 0).alias("shared_low_segment"))
+    out = folds.fuse(made)
+    return out.select("song", "entry", F.round("time", 6).alias("time"), "reason")
+
+
+@query()
+def onset_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    near = joins.nearest_onset(rows.select("song", "entry", "t"), _frames(rows), 30000)
+    ends = rows.groupBy("song").agg((F.max("t") + 10).alias("duration"))
+    out = folds.snap_to_onsets(near.join(ends, "song"))
+    return out.select("song", "entry", F.round("time", 6).alias("time"))
+
+
+@query(f"""WITH {BASE}, c AS (SELECT *, CAST(round_even(greatest(0.0, value / 3) * 100, 0) AS BIGINT) AS cs FROM base)
+SELECT song, entry, printf('%02d:%02d.%02d', cs // 6000, cs % 6000 // 100, cs % 100) AS clock, backend || ';' || segment AS flags FROM c""")
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array_join(F.array("backend", F.col("segment").cast("string")), ";")
+    return lines(spark, sf_dir).select("song", "entry", tm.clock(F.col("value") / 3).alias("clock"), flags.alias("flags"))
