@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import decontaminate, near_copies, packing, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
+from linekeeper.llm import decontaminate, near_copies, oracles, packing, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

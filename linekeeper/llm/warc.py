@@ -188,6 +188,7 @@ def assemble(records: DataFrame) -> DataFrame:
         .groupBy("capture")
         .agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
     )
+    nested = materialize(nested, "captures")  # read twice: the archives are parsed once
     targets = nested.filter("response.record_type = 'response'").select(F.col("capture").alias("to"), F.col("metadata.page_id").alias("refers_to"))
     return nested.join(targets, F.col("response.refers_to_id") == F.col("to"), "left").drop("to")
 
@@ -200,7 +201,7 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """
     folder, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     if not files.isEmpty():
-        rows = materialize(assemble(read_records(spark, folder)), "captures")
+        rows = assemble(read_records(spark, folder))
     else:
         rows = assemble(spark.createDataFrame([], RECORD))
     return rows.select(
