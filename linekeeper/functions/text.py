@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # The character classes that matching keeps.
 KANA = "\\u3040-\\u30ff"
@@ -20,7 +21,7 @@ GROUP_GAP = r"\s+/\s+|(?:[ 　]{2,}|\t+)"
 TERM_GAP = r"[\s　,、，。！？!?・]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -52,7 +53,7 @@ def line_script(text: Column) -> Column:
 
 def split_group(text: Column, keep_single: bool = False) -> Column:
     """Display lines of a text line; ``keep_single``: a line without a gap stays as it is."""
-    parts = F.filter(F.transform(F.split(F.trim(text), GROUP_GAP), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.trim(text), GROUP_GAP), lambda x: F.trim(x)), lambda x: x != "")
     if not keep_single:
         return parts
     blank = F.trim(text) == ""
@@ -74,9 +75,9 @@ def romaji_morae(romaji: Column) -> Column:
     return F.regexp_extract_all(romaji, F.lit(r"n(?![aeiouy])|[b-df-hj-np-tv-z]*[aeiou]|."), F.lit(0))
 
 
-def leading_term(text: Column, normal: bool = True) -> Column:
-    """(term, count): a phrase's first term of two characters or more, and how often it opens the terms that follow without a break; ('', 0) if it doesn't repeat."""
-    raw = F.split(F.trim(nfkc(text) if normal else text), TERM_GAP)
+def leading_term(text: Column) -> Column:
+    """(term, count) of a text in normal form (a column of its own: no Python in array functions): a phrase's first term of two characters or more, and how often it opens the terms that follow without a break; ('', 0) if it doesn't repeat."""
+    raw = F.split(F.trim(text), TERM_GAP)
     terms = F.filter(F.transform(raw, lambda x: match_text(x, False)), lambda x: x != "")
     first = F.coalesce(F.try_element_at(terms, F.lit(1)), F.lit(""))
     state = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
@@ -117,7 +118,7 @@ def spoken_language(lines: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings; 0 if one is empty or null."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64")

@@ -25,7 +25,7 @@ def clock(seconds: Column) -> Column:
 def audit_clock(seconds: Column) -> Column:
     """mm:ss.ss of audits: rounded seconds don't carry into minutes (59.996 is 00:60.00); null is ''."""
     minutes = F.floor(seconds / 60)
-    return F.coalesce(F.format_string("%02d:%05.2f", minutes, seconds - minutes * 60), F.lit(""))
+    return F.when(seconds.isNull(), "").otherwise(F.format_string("%02d:%05.2f", minutes, seconds - minutes * 60))
 
 
 def percent(part: Column, total: Column) -> Column:

@@ -91,9 +91,9 @@ def match_anchors(entries: DataFrame, anchors: DataFrame) -> DataFrame:
             entry, error = None, None
             if h.entry_number == h.entry_number and h.entry_number is not None:
                 entry = int(h.entry_number)
-                error = "out of range" if entry not in text else "duplicate" if entry in used else "text mismatch" if text[entry] != h.norm else None
+                error = "out of range" if entry not in text else "duplicate" if entry in used else "text mismatch" if text[entry] != h.hint else None
             else:
-                free = [e for e in by_text.get(h.norm, []) if e not in used]
+                free = [e for e in by_text.get(h.hint, []) if e not in used]
                 entry = next((e for e in free if e > last), free[0] if free else None)
                 error = "no match" if entry is None else None
             if error is None:
@@ -103,6 +103,7 @@ def match_anchors(entries: DataFrame, anchors: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["song", "hint_idx", "entry", "error"])
 
     kind = entries.schema["song"].dataType.simpleString()
+    anchors = anchors.select("song", "hint_idx", "entry_number", F.col("norm").alias("hint"))  # the two sides may stem from one table
     return entries.groupBy("song").cogroup(anchors.groupBy("song")).applyInPandas(one, f"song {kind}, hint_idx int, entry int, error string")
 
 

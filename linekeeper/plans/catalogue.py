@@ -448,7 +448,7 @@ def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leading_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conversation_lines(spark, sf_dir).withColumn("term", tx.leading_term(F.concat(F.substring("text", 1, 5), F.lit(", "), F.col("text")), normal=False))
+    rows = conversation_lines(spark, sf_dir).withColumn("term", tx.leading_term(F.concat(F.substring("text", 1, 5), F.lit(", "), F.col("text"))))
     return rows.select("song", "entry", "term.term", "term.count")
 
 
