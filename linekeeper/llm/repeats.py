@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import keep_candidates, materialize, row_uid
+from linekeeper.llm.store import binary_column, keep_candidates, materialize, row_uid
 from linekeeper.llm.words import hash_words, runs, split_words, windows
 
 #: Words of a window and of the k-grams that anchor it.
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 10
 #: Segments of an anchor beyond which its windows are compared by hash in groups of their own.
 HOT_SEGMENTS = 5_000
 
@@ -97,17 +98,15 @@ def repeated_in(sequences: list[list], window: int) -> list[list[int]]:
     return out
 
 
-def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[bytes] | None, np.ndarray, pa.Array]]:
+def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(row, hashes of its words, UTF-8 text); bytes.split() gives the words."""
     texts = batch.column(text_col)
+    raw = binary_column(batch, text_col)
     for a, b in runs(texts):
         words, ends = split_words(texts.slice(a, b - a))
         hashes = hash_words(words)
         for i in range(b - a):
-            yield a + i, ends[i], hashes[ends[i] : ends[i + 1]], words.slice(ends[i], ends[i + 1] - ends[i])
-
-
-def _joined(words: pa.Array) -> bytes:
-    return b" ".join(words.cast(pa.binary()).to_pylist())
+            yield a + i, hashes[ends[i] : ends[i + 1]], raw[a + i] or b""
 
 
 def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
@@ -117,9 +116,9 @@ def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha, anchors, firsts = [], [], [], []
-            for _, _, hashes, words in _texts(batch, text_col):
+            for _, hashes, text in _texts(batch, text_col):
                 n.append(len(hashes))
-                sha.append(hashlib.sha256(_joined(words)).hexdigest())
+                sha.append(hashlib.sha256(b" ".join(text.split())).hexdigest())
                 a, first, _ = segments(hashes, window, gram)
                 anchors.append(a.view(np.int64))
                 firsts.append(first.astype(np.int32))
@@ -148,10 +147,10 @@ def _cut(docs: DataFrame, shared: DataFrame, window: int, gram: int, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("firsts")
-            for i, _, hashes, words in _texts(batch, text_col):
+            for i, hashes, text in _texts(batch, text_col):
                 anchors, first, last = segments(hashes, window, gram)
                 pick = np.flatnonzero(np.isin(first, wanted[i].values.to_numpy()))
-                raw = words.cast(pa.binary()).to_pylist()
+                raw = text.split()
                 texts = [b" ".join(raw[first[k] : last[k] + window]) for k in pick.tolist()]
                 one = pa.array(np.zeros(len(pick), np.int32) + i)
                 yield pa.RecordBatch.from_arrays(
@@ -251,7 +250,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     # equal segments: all but the earliest are repeats as a whole
     later = cut.join(merged.filter("n > 1").select("anchor", "key", "f"), ["anchor", "key"]).filter(place != F.col("f"))
     whole = later.select("uid", F.expr("sequence(first, first + windows - 1)").alias("starts"))
-    counts = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"))
+    # a window never comes twice in one segment (its second anchor is a segment further), so an anchor needs two different ones
+    counts = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1")
     heads = merged.select("anchor", F.col("f.uid").alias("uid"), F.col("f.first").alias("first")).join(counts, "anchor")
     heads = heads.join(cut.select("uid", "first", "doc_id", "words"), ["uid", "first"])
     usual = heads.filter(F.col("segments") <= hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "uid", "first")
@@ -261,18 +261,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, sha, text = [], [], []
-            for i, _, hashes, words in _texts(batch, text_col):
+            removed, sha, left = [], [], []
+            for i, text in enumerate(binary_column(batch, text_col)):
+                words = (text or b"").split()
                 at = np.unique(batch.column("starts")[i].values.to_numpy())
-                step = np.zeros(len(hashes) + 1, np.int32)
+                step = np.zeros(len(words) + 1, np.int32)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + window, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                kept = _joined(words.filter(pa.array(~gone)))
+                kept = b" ".join(compress(words, (~gone).tolist()))
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
-                text.append(kept.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["uid", "removed", "kept", "kept_text"])
+                left.append(kept.decode() if with_text else None)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], ["uid", "removed", "kept", "kept_text"])
 
     cut_docs = changed.mapInArrow(run, "uid long, removed long, kept string, kept_text string").dropDuplicates(["uid"])
     copy = ~F.col("is_first") & (F.col("n_words") >= window)
