@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
 from linekeeper.functions import timing as tm
-from linekeeper.operators import folds, joins, metrics, windows
+from linekeeper.operators import diagnostics, folds, joins, metrics, planning, repairs, scoring, windows
+from linekeeper.sources import lrc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -494,7 +495,17 @@ def bounded_accept_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("song", "entry", F.round("accepted", 6).alias("accepted"))
 
 
-@query()
+def _fold_sql(columns: str, accept: str, value: str, lower: str = "f.v", first: str = "0.0::DOUBLE") -> str:
+    """A recursive query over a song's lines: ``accept`` sees the revised time before as ``lo`` and the original time after as ``hi``."""
+    return f"""WITH RECURSIVE {BASE}, n AS (SELECT *, coalesce(lead(t) OVER w, max(t) OVER (PARTITION BY song) + 10) AS hi, lag(t) OVER w AS pt {columns} FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)),
+f AS (SELECT song, entry, CASE WHEN {accept.replace('lo', first)} THEN {value} ELSE t END AS v FROM n WHERE entry = 1
+ UNION ALL SELECT n.song, n.entry, CASE WHEN {accept.replace('lo', lower)} THEN {value} ELSE n.t END FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)"""
+
+
+@query(
+    _fold_sql(", t - segment / 40.0::DOUBLE AS p", "entry > 1 AND score <= 0.5 AND score >= 0.05 AND greatest(lo, pt + 1) + 0.03 < p AND p < t - 0.45 AND p < hi - 0.10 AND t - p <= 2.25", "p").replace("entry > 1", "n.entry > 1").replace("CASE WHEN n.entry > 1 AND score <= 0.5 AND score >= 0.05 AND greatest(0.0::DOUBLE", "CASE WHEN false AND greatest(0.0::DOUBLE")
+    + " SELECT f.song, f.entry, round(v, 6) AS time, v <> t AS moved FROM f JOIN base USING (song, entry)"
+)
 def weak_prefix_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     peak = F.struct((F.col("t") - F.col("segment") / 40.0).alias("time"), F.col("score").alias("score"))
@@ -525,3 +536,88 @@ SELECT song, entry, printf('%02d:%02d.%02d', cs // 6000, cs % 6000 // 100, cs %
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.array_join(F.array("backend", F.col("segment").cast("string")), ";")
     return lines(spark, sf_dir).select("song", "entry", tm.clock(F.col("value") / 3).alias("clock"), flags.alias("flags"))
+
+
+@query(
+    _fold_sql(", t + (segment - 50) / 70.0::DOUBLE AS p", "abs(p - n.t) BETWEEN 0.05 AND 0.65 AND score * 0.5 >= 0.02 AND value / 490 >= 0.55 AND NOT (p - n.t > 0.30 AND value / 490 < 0.85 AND score * 0.5 >= 0.22) AND lo + 0.10 < p AND p < hi - 0.10", "p")
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def micro_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t = lines(spark, sf_dir), F.col("t")
+    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), (F.col("value") / 490).alias("score"), (t + (F.col("segment") - 50) / 70.0).alias("ctc"), (F.col("score") * 0.5).alias("ctc_score"), F.lit(0.0).alias("first_score"), F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("raw_score"), F.lit(True).alias("suspicious"))
+    return repairs.micro_refinement(made).select("song", "entry", F.round("time", 6).alias("time"))
+
+
+@query(
+    _fold_sql(", t + (segment - 50) / 25.0::DOUBLE AS p", "abs(p - n.t) BETWEEN 0.40 AND 2.0 AND score + 0.3 >= 0.50 AND score + 0.3 >= segment / 100.0::DOUBLE + 0.15 AND lo + 0.10 < p AND p < hi - 0.10", "p")
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def vocal_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t = lines(spark, sf_dir), F.col("t")
+    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), (t + (F.col("segment") - 50) / 25.0).alias("ctc"), (F.col("segment") / 100.0).alias("near_onset"), (F.col("score") + 0.3).alias("ctc_onset"))
+    return repairs.vocal_tiebreak(made).select("song", "entry", F.round("time", 6).alias("time"))
+
+
+@query(f"""WITH {BASE}, c AS (SELECT *, score * 0.2 AS x, segment % 20 = 0 AS missing FROM base), l AS (SELECT song, entry, entry - row_number() OVER (PARTITION BY song ORDER BY entry) AS g FROM c WHERE x < 0.03),
+r AS (SELECT song, entry, count(*) OVER (PARTITION BY song, g) >= 4 AS coll FROM l)
+SELECT c.song, c.entry, CASE WHEN x >= 0.08 THEN 0.90 WHEN x >= 0.03 THEN 0.70 ELSE 0.35 END::DOUBLE AS tier, missing OR coalesce(coll, false) AS review,
+ CASE WHEN missing OR coalesce(coll, false) THEN concat_ws(';', CASE WHEN missing THEN 'ctc_missing_alignment' END, CASE WHEN x < 0.03 THEN 'ctc_low_path_confidence' END, CASE WHEN coll THEN 'ctc_confidence_collapse' END) END AS flags FROM c LEFT JOIN r ON r.song = c.song AND r.entry = c.entry""")
+def path_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("song", "entry", (F.col("score") * 0.2).alias("ctc_score"), (F.col("segment") % 20 == 0).alias("missing"))
+    return diagnostics.path_tiers(rows).select("song", "entry", F.col("score").alias("tier"), "review", F.when(F.col("review"), F.array_join("flags", ";")).alias("flags"))
+
+
+@query(f"""WITH {BASE}, d AS (SELECT song, entry, round(abs((segment - 50) / 25.0::DOUBLE), 3) AS delta, abs((segment - 50) / 25.0::DOUBLE) AS x FROM base WHERE segment % 7 <> 0)
+SELECT song, entry, 'unresolved_ctc_disagreement' AS flags, CASE WHEN x >= 1.0 THEN 'high' ELSE 'medium' END AS severity, delta FROM d WHERE x >= 0.35""")
+def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    own = rows.select("song", "entry", F.lit(0.0).alias("timestamp"), (F.col("segment") % 7 == 0).alias("settled"))
+    out = diagnostics.disagreements(own, rows.select("song", "entry", ((F.col("segment") - 50) / 25.0).alias("timestamp")))
+    return out.select("song", "entry", F.array_join("flags", ";").alias("flags"), "severity", "delta")
+
+
+@query(f"""WITH {BASE}, i AS (SELECT song, min(t) AS s0, arg_max(t + value, t) AS e1, max(t) + 500 AS d FROM base WHERE backend = 'view' GROUP BY song), b AS (SELECT song, max(t) + 500 AS d FROM base GROUP BY song),
+x AS (SELECT b.song, b.d, CASE WHEN s0 IS NULL THEN least(12.0, b.d * 0.08) ELSE greatest(0.0, least(s0, b.d * 0.18)) END AS s, e1 FROM b LEFT JOIN i ON i.song = b.song)
+SELECT song, round(s, 6) AS start, round(CASE WHEN e1 IS NULL THEN greatest(s + 1, d * 0.94) ELSE least(d, greatest(e1, d * 0.82)) END, 6) AS "end" FROM x""")
+def active_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    songs = rows.groupBy("song").agg((F.max("t") + 500).alias("duration"))
+    segs = rows.filter(F.col("backend") == "view").select("song", F.col("t").alias("start"), (F.col("t") + F.col("value")).alias("end"))
+    return planning.active_bounds(songs, segs).select("song", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(f"""WITH {BASE}, o AS (SELECT *, CAST(floor(value * 20) AS BIGINT) AS cs FROM base), g AS (SELECT *, CASE WHEN cs = lag(cs) OVER (PARTITION BY song ORDER BY entry) THEN 0 ELSE 1 END AS n FROM o),
+r AS (SELECT *, sum(n) OVER (PARTITION BY song ORDER BY entry) AS e FROM g)
+SELECT song AS doc_id, CAST(e AS INTEGER) AS entry, CAST(min(cs) AS INTEGER) AS time_cs, string_agg(backend || ' ' || segment, '|' ORDER BY entry) AS lines FROM r GROUP BY song, e""")
+def lrc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as a timed text and parsed again."""
+    cs = F.floor(F.col("value") * 20)
+    line = F.format_string("[%02d:%02d.%02d]%s %d", (cs / 6000).cast("long"), (F.pmod(cs, F.lit(6000)) / 100).cast("long"), F.pmod(cs, F.lit(100)), "backend", "segment")
+    made = lines(spark, sf_dir).select("song", "entry", line.alias("line")).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("entry", "line"))).alias("r"))
+    docs = made.select(F.col("song").alias("doc_id"), F.concat(F.lit("[by:x]\n\n"), F.array_join("r.line", "\n")).alias("content"))
+    return lrc.parse_for_evaluation(docs).select("doc_id", "entry", "time_cs", F.array_join("lines", "|").alias("lines"))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT *, t AS ts, CASE WHEN segment % 3 = 0 THEN t + (segment - 50) / 10.0::DOUBLE END AS forced, segment % 2 = 0 AS is_long, coalesce(lag(t) OVER w, 0) AS prev, lead(t) OVER w AS nxt, max(t) OVER (PARTITION BY song) + 10 AS d FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)),
+g AS (SELECT *, ts - prev AS gb, coalesce(nxt, d) - ts AS ga, abs(ts - forced) AS off FROM x)
+SELECT song, entry, concat_ws(';', CASE WHEN off >= CASE WHEN is_long THEN 2.0 ELSE 1.25 END THEN 'candidate_disagreement' END, CASE WHEN is_long AND ts - forced >= 3 THEN 'possible_midline_anchor' END,
+ CASE WHEN NOT is_long AND gb <= 3.5 AND off >= 0.7 THEN 'close_neighbor_onset_uncertain' END, CASE WHEN forced <= prev + 0.2 THEN 'forced_time_overlaps_previous_line' END,
+ CASE WHEN is_long AND ga <= 3.5 THEN 'long_line_close_to_next_entry' END, CASE WHEN is_long AND gb >= 8 AND ga >= 6 THEN 'long_line_wide_window' END, CASE WHEN is_long AND score < 0.88 THEN 'long_line_not_high_confidence' END) AS flags FROM g""")
+def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line's own flags; here lines are too far apart for followers, and none are on one segment."""
+    rows = lines(spark, sf_dir).withColumnRenamed("t", "timestamp")
+    rows = rows.withColumn("forced", F.when(F.col("segment") % 3 == 0, F.col("timestamp") + (F.col("segment") - 50) / 10.0)).withColumn("duration", F.max("timestamp").over(Window.partitionBy("song")) + 10)
+    text = F.when(F.col("segment") % 2 == 0, F.lit("x" * 20)).otherwise("abcdef")
+    rows = rows.withColumns({"borrowed": F.lit(False), "norm": text, "text": text, "segment": F.col("entry"), "score": F.greatest(F.col("score"), F.lit(1e-9))})
+    out = diagnostics.alignment_diagnostics(rows)
+    own = F.filter("flags", lambda x: ~x.isin("follows_suspicious_long_line", "possible_bad_split_boundary"))
+    return out.select("song", "entry", F.array_join(own, ";").alias("flags"))
+
+
+@query()
+def line_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t, k = lines(spark, sf_dir), F.col("t"), F.col("segment")
+    span = F.struct(t.alias("start"), (t + 1).alias("end"), F.col("score").alias("score"))
+    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), "score", (k % 25).alias("norm_len"), (k % 31 == 0).alias("manual"), F.when(k % 2 == 0, t + (k - 50) / 20.0).alias("raw"), F.col("score").alias("raw_score"), F.when(k % 5 == 0, t + 1.5).alias("forced"), F.lit(False).alias("risk_review"), (k % 3 == 0).alias("window_realigned"), F.col("score").alias("ctc_score"), F.array(span).alias("spans"), F.array(F.struct((t - 0.4).alias("time"), F.col("score").alias("score"))).alias("peaks"), (k % 3).alias("repeats"), (k % 11 == 0).alias("ambiguous"), (k % 13 == 0).alias("duplicate"), (k % 2 == 0).alias("asr_only_trust"), (k % 4 == 0).alias("mora_known"), F.lit(False).alias("isolated_low"))
+    out = scoring.score_lines(made)
+    return out.select("song", "entry", F.round("time", 6).alias("time"), "chosen", F.round("confidence", 6).alias("confidence"), "review")
