@@ -34,8 +34,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page: object, digest: str, turn: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind}/{page}/{digest}/{turn}')}>"
+def record_id(kind: str, page: object, digest: str) -> str:
+    """The same for the same page and payload: a record that a repeated task writes again counts once."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind}/{page}/{digest}')}>"
 
 
 def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -43,10 +44,10 @@ def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def capture_records(page: object, url: str | None, payload: bytes, digest: str, first_page: object, revisit: bool, turn: int = 0) -> list[bytes]:
+def capture_records(page: object, url: str | None, payload: bytes, digest: str, first_page: object, revisit: bool) -> list[bytes]:
     """The three records of one capture, response or revisit first."""
     uri = None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~")
-    own = record_id("response", page, digest, turn)
+    own = record_id("response", page, digest)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{digest}")]
@@ -56,12 +57,12 @@ def capture_records(page: object, url: str | None, payload: bytes, digest: str,
     where = urlsplit(uri or "")
     asked = f"GET {where.path or '/'} HTTP/1.1\r\nHost: {where.netloc}\r\n\r\n".encode()
     request = _record(
-        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest, turn)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
+        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
         asked,
     )
     fields = b"" if page is None else f"pageId: {page}\r\n".encode()
     metadata = _record(
-        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest, turn)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
         fields,
     )
     return [answer, request, metadata]
@@ -81,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     joined = rows.join(first, "sha1").select("page", "url", "body", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k, out, size, count, turns = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, 0, {}
+        task, k, out, size, count = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, 0
         done = []
 
         def close() -> None:

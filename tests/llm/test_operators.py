@@ -425,3 +425,31 @@ def test_trigram_queries(pattern, want):
 def test_secrets_of_nothing(empty):
     assert secrets.scan_secrets(empty).count() == 0
     assert secrets.redact(empty).count() == 0
+
+
+# -- stored tables ---------------------------------------------------------------
+
+
+def test_stored_tables_are_shared_and_cleared(spark, odd):
+    import os
+
+    from linekeeper.llm import store
+
+    root = store.shared_root(spark)
+    assert root == store.shared_root(spark)
+    path = store.new_folder(spark, "x")
+    assert path.startswith(f"{root}/linekeeper/{spark.sparkContext.applicationId}/x-")
+    store.put_file(path, "a.bin", b"one")
+    store.put_file(path, "a.bin", b"two")
+    local = path.removeprefix("file:").replace("//", "/")
+    assert os.listdir(local) == ["a.bin"] and open(f"{local}/a.bin", "rb").read() == b"two"
+    assert store.clear(spark) and not os.path.exists(local)
+
+
+def test_id_filter_lets_no_candidate_go(spark):
+    from linekeeper.llm import store
+
+    docs = spark.range(1000).selectExpr("xxhash64(id) as uid", "cast(id as string) as text")
+    ids = docs.filter("cast(text as int) % 7 = 0").select("uid")
+    assert sorted(int(r.text) for r in store.keep_candidates(docs, "uid", ids).collect()) == list(range(0, 1000, 7))
+    assert store.keep_candidates(docs, "uid", ids.limit(0)).count() == 0
