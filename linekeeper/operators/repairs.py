@@ -223,3 +223,141 @@ def tail_repair(df: DataFrame) -> DataFrame:
         return [{"song": r["song"], "entry": r["entry"], "time": t, "reason": why} for r, t, why in zip(rows, times, reasons, strict=True)]
 
     return fold_by_song(df, step, OUT.format(kind=kind))
+
+
+def opening_backtrack(df: DataFrame) -> DataFrame:
+    """(song, entry, time, reason): a fused line whose first four tokens are weak and later ones strong goes back to an onset.
+
+    Rows: timestamp, duration, fused, ctc_score, token_scores, onsets.
+    """
+
+    def propose(v: dict) -> tuple[float, str] | None:
+        scores = [_num(s) for s in v["token_scores"]] if v["token_scores"] is not None else []
+        weak = len(scores) >= 5 and max(scores[:4]) <= 0.08 and max(scores[4:10]) >= 0.30
+        start, end = max(v["before"] + 0.20, v["now"] - 0.90), v["now"] - 0.08
+        if not v["fused"] or _num(v["ctc_score"]) < 0.12 or not weak or end - start < 0.20:
+            return None
+        found = next((t for x in (0.65, 0.55) if (t := _first(v["onsets"], start, end, x)) is not None), None)
+        fits = found is not None and 0.25 <= v["now"] - found <= 0.80
+        return (found, "weak-opening-ctc-local-fusion-acoustic-onset") if fits else None
+
+    return _sweep(df, propose, 0.05)
+
+
+#: Score and forced lead for which a late onset may move a line forward by so much at most.
+LATE_LIMITS = (
+    (lambda score, lead: score <= 0.80, 0.65),
+    (lambda score, lead: score > 0.90 and lead < 0.90, 0.75),
+    (lambda score, lead: score > 0.90 and lead >= 1.60, 0.50),
+)
+
+
+def late_onset(df: DataFrame) -> DataFrame:
+    """(song, entry, time, reason): a line that is later than its forced time moves on to an onset 0.42 to 0.90 s away.
+
+    Rows: timestamp, duration, score, forced, onsets.
+    """
+
+    def propose(v: dict) -> tuple[float, str] | None:
+        score, lead = _num(v["score"]), v["now"] - _num(v["forced"], float("nan"))
+        if not 0.45 <= lead <= 3.0 or (score > 0.80 and lead > 2.10) or v["after_gap"] < 1.0:
+            return None
+        found = _first(v["onsets"], v["now"] + 0.42, min(v["now"] + 0.90, v["after"] - 0.12), 0.55, lead_in=0.0)
+        fits = found is not None and any(test(score, lead) and found - v["now"] <= most for test, most in LATE_LIMITS)
+        return (found, "acoustic-late-onset") if fits else None
+
+    return _sweep(df, propose, 0.10)
+
+
+@dataclass(frozen=True)
+class Initial:
+    """How a line may go back, by the first sound of its romaji: to an onset in a span, or to an early token peak."""
+
+    mode: str
+    sounds: tuple[str, ...]
+    most_score: float
+    min_before: float
+    min_after: float
+    shift: tuple[float, float]
+    onset: tuple[float, float, float] | None = None  # least distance from the line before, span's begin and end before the line
+    onset_levels: tuple[float, ...] = ()
+    peak: tuple[float, float] | None = None  # least score, least share of the strongest
+
+
+INITIALS = (
+    Initial("r-initial-acoustic", ("r",), 0.22, 0.0, 1.2, (0.45, 0.75), (0.80, 0.90, 0.10), (0.55, 0.45)),
+    Initial("ctc-first-token-posterior", ("m", "f", "t"), 0.28, 4.0, 7.0, (1.20, 1.90), peak=(0.0005, 0.06)),
+    Initial("ctc-near-first-token-posterior", ("m",), 0.12, 2.5, 1.2, (0.55, 0.85), peak=(0.01, 0.55)),
+    Initial("ctc-short-acoustic-onset", ("s", "t", "o"), 0.05, 2.5, 2.0, (0.20, 0.55), (0.35, 0.72, 0.10), (0.50, 0.45)),
+)
+
+
+def _pacing_harmed(v: dict, t: float) -> bool:
+    """Whether lines of so many characters would be sung less evenly."""
+
+    def error(at: float) -> float:
+        return abs((at - v["before"]) / max(1, v["before_len"]) - (v["after"] - at) / max(1, v["norm_len"]))
+
+    return error(v["now"]) <= 0.025 or error(t) > max(0.01, 1.30 * error(v["now"]))
+
+
+def initial_backtrack(df: DataFrame) -> DataFrame:
+    """(song, entry, time, reason): lines back to where their first consonant may have begun.
+
+    Rows: timestamp, duration, romaji, ctc_score, first_score, peaks, onsets, norm_len.
+    """
+    kind = df.schema["song"].dataType.simpleString()
+
+    def find(rule: Initial, v: dict) -> float | None:
+        if rule.onset:
+            start, end = max(v["before"] + rule.onset[0], v["now"] - rule.onset[1]), v["now"] - rule.onset[2]
+            return next((t for x in rule.onset_levels if (t := _first(v["onsets"], start, end, x)) is not None), None)
+        top = max((p["score"] for p in v["peaks"]), default=0.0)
+        early = [(p["time"], p["score"]) for p in v["peaks"] if rule.shift[0] <= v["now"] - p["time"] <= rule.shift[1] and p["score"] >= rule.peak[0] and top > 0 and p["score"] / top >= rule.peak[1]]
+        time, score = min(early, default=(None, 0.0))
+        return None if v["romaji"].startswith("t") and score < 0.02 else time
+
+    def step(rows: list[dict]) -> list[dict]:
+        times, out = [float(r["timestamp"]) for r in rows], []
+        for i, r in enumerate(rows):
+            reason = None
+            if i and r["romaji"]:
+                before, after = times[i - 1], times[i + 1] if i + 1 < len(times) else float(r["duration"])
+                peaks_ = list(r["peaks"]) if r["peaks"] is not None else []
+                v = {**r, "peaks": peaks_, "now": times[i], "before": before, "after": after, "before_len": int(_num(rows[i - 1]["norm_len"])), "norm_len": int(_num(r["norm_len"]))}
+                fits = lambda x: r["romaji"].startswith(x.sounds) and _num(r["ctc_score"]) <= x.most_score and times[i] - before >= x.min_before and after - times[i] >= max(1.2, x.min_after)  # noqa: B023, E731
+                rule = next((x for x in INITIALS if fits(x)), None)
+                t = float(found) if rule and (found := find(rule, v)) is not None else None
+                if t is not None and rule.shift[0] <= times[i] - t <= rule.shift[1] and before + 0.20 < t < after - 0.20:
+                    first = _num(r["first_score"])
+                    if rule.mode != "ctc-short-acoustic-onset" or (first < 0.05 and not (first >= 0.04 and _pacing_harmed(v, t))):
+                        times[i], reason = t, rule.mode
+            out.append({"song": r["song"], "entry": r["entry"], "time": times[i], "reason": reason})
+        return out
+
+    return fold_by_song(df, step, OUT.format(kind=kind))
+
+
+def apply_anchors(df: DataFrame) -> DataFrame:
+    """(song, entry, time, reason, error): anchored lines at their anchor's time; an anchor that isn't strictly between its neighbours is an error.
+
+    Rows: timestamp, duration, anchor (seconds, null without one).
+    """
+    kind = df.schema["song"].dataType.simpleString()
+
+    def step(rows: list[dict]) -> list[dict]:
+        times, out = [float(r["timestamp"]) for r in rows], []
+        for i, r in enumerate(rows):
+            anchor, reason, error = _num(r["anchor"], float("nan")), None, None
+            if anchor == anchor:
+                anchor = max(0.0, min(float(r["duration"]), anchor))
+                if i and anchor <= times[i - 1] + 0.05:
+                    error = "not after the line before"
+                elif i + 1 < len(times) and anchor >= times[i + 1] - 0.05:
+                    error = "not before the next line"
+                else:
+                    times[i], reason = anchor, "manual-anchor-hint"
+            out.append({"song": r["song"], "entry": r["entry"], "time": times[i], "reason": reason, "error": error})
+        return out
+
+    return fold_by_song(df, step, OUT.format(kind=kind) + ", error string")
