@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
 from linekeeper.functions import timing as tm
-from linekeeper.operators import diagnostics, folds, joins, metrics, planning, repairs, scoring, windows
+from linekeeper.operators import diagnostics, folds, joins, matching, metrics, planning, repairs, scoring, windows
 from linekeeper.sources import lrc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,3 +621,32 @@ def line_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), "score", (k % 25).alias("norm_len"), (k % 31 == 0).alias("manual"), F.when(k % 2 == 0, t + (k - 50) / 20.0).alias("raw"), F.col("score").alias("raw_score"), F.when(k % 5 == 0, t + 1.5).alias("forced"), F.lit(False).alias("risk_review"), (k % 3 == 0).alias("window_realigned"), F.col("score").alias("ctc_score"), F.array(span).alias("spans"), F.array(F.struct((t - 0.4).alias("time"), F.col("score").alias("score"))).alias("peaks"), (k % 3).alias("repeats"), (k % 11 == 0).alias("ambiguous"), (k % 13 == 0).alias("duplicate"), (k % 2 == 0).alias("asr_only_trust"), (k % 4 == 0).alias("mora_known"), F.lit(False).alias("isolated_low"))
     out = scoring.score_lines(made)
     return out.select("song", "entry", F.round("time", 6).alias("time"), "chosen", F.round("confidence", 6).alias("confidence"), "review")
+
+
+@query(
+    _fold_sql(", greatest(0.0, least(t + (segment - 50) * 500.0::DOUBLE, max(t) OVER (PARTITION BY song) + 10)) AS p, lead(t) OVER w IS NULL AS fin", "segment % 3 = 0 AND p > lo + 0.05 AND (fin OR p < hi - 0.05)", "p", first="-1e18::DOUBLE")
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def apply_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t = lines(spark, sf_dir), F.col("t")
+    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), F.when(F.col("segment") % 3 == 0, t + (F.col("segment") - 50) * 500.0).alias("anchor"))
+    return repairs.apply_anchors(made).select("song", "entry", F.round("time", 6).alias("time"))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT *, t + 2 AS e, instr('abcdefghij', substr('abcdefghij', 1 + segment % 10, 2)) AS pos FROM base)
+SELECT song, entry, round(CASE WHEN pos > 1 THEN t + 2 * least(0.95, (pos - 1) / 10.0::DOUBLE) ELSE t END, 6) AS place FROM x""")
+def place_in_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, text = lines(spark, sf_dir), F.lit("abcdefghij")
+    norm = F.substr(text, 1 + F.col("segment") % 10, F.lit(2))
+    place = matching.place_in_segment(norm, F.col("t"), F.col("t") + 2, text, F.array().cast("array<struct<ch: string, t: double>>"))
+    return rows.select("song", "entry", F.round(place, 6).alias("place"))
+
+
+@query()
+def segment_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    segs = rows.select("song", (F.floor(F.col("entry") / 2)).cast("int").alias("seg_idx"), F.col("t").alias("start"), (F.col("t") + 3).alias("end"), F.lit("abcdef").alias("norm"), "entry").filter("entry % 2 = 0").drop("entry")
+    matched = F.when(F.col("segment") % 3 > 0, F.floor(F.col("entry") / 2).cast("int"))
+    made = rows.select("song", "entry", F.lit("xyz").alias("norm"), F.lit(False).alias("marker"), matched.alias("segment"), "score", F.when(matched.isNotNull(), F.col("t")).alias("t"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"))
+    out = matching.times_from_segments(made, segs)
+    return out.select("song", "entry", F.round("time", 6).alias("time"), "how")
