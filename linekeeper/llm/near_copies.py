@@ -203,9 +203,10 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest-pairs")
     more = verify(rest, rows, size, percent, text_col, "rest-links")
     roots = components(links.union(more), "all")
-    member = sets.select("uid", "doc_id", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
-    member = member.select("doc_id", "n", F.coalesce("root", "node").alias("root"), "uid")
-    least = member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    member = sets.select("doc_id", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
+    member = materialize(member.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "members")
+    # stored, so that the join is of two plain shuffles, in which a large component's partition can be split
+    least = materialize(member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
