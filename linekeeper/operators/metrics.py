@@ -179,6 +179,8 @@ def positional_eval(reference: DataFrame, generated: DataFrame, *keys: str) -> D
     out = both.groupBy(*keys).agg(
         F.count("a_cs").alias("reference_entries"),
         F.count("b_cs").alias("generated_entries"),
+        F.sum(F.coalesce(F.size("a_lines"), F.lit(0))).alias("reference_display_lines"),
+        F.sum(F.coalesce(F.size("b_lines"), F.lit(0))).alias("generated_display_lines"),
         F.count_if(differs | lonely).alias("text_mismatches"),
         F.slice(F.array_sort(F.collect_list(F.when(differs, F.col("entry")))), 1, 25).alias("text_mismatch_indices"),
         F.max(off).alias("max_abs_delta_cs"),
@@ -194,3 +196,33 @@ def positional_eval(reference: DataFrame, generated: DataFrame, *keys: str) -> D
 def number_entries(df: DataFrame, *order: str, song: str = "song") -> DataFrame:
     """Adds entry: the row's number in its song, from 1."""
     return df.withColumn("entry", F.row_number().over(Window.partitionBy(song).orderBy(*order)))
+
+
+#: Gates of a benchmark case: (name, metric, comparison); a case's null requirement is not applied.
+CASE_GATES = (
+    ("text_mismatches", "text_mismatches", "equal"),
+    ("within_25cs", "within_25cs_percent", "least"),
+    ("within_50cs", "within_50cs_percent", "least"),
+    ("max_abs_delta_cs", "max_abs_delta_cs", "equal"),
+    ("max_abs_delta_cs_at_most", "max_abs_delta_cs", "most"),
+    ("backend", "backend", "equal"),
+    ("selected_backend", "selected_backend", "equal"),
+    ("report_device", "report_device", "equal"),
+    ("trusted_percent", "trusted_percent", "least"),
+    ("review_required_count", "review_required_count", "equal"),
+    ("ctc_local_fusion_count", "ctc_local_fusion_count", "equal"),
+)
+
+
+def evaluate_cases(df: DataFrame) -> DataFrame:
+    """Adds failures and passed to rows with metrics and requirements (``require_`` and a gate's name, where the column exists)."""
+    tests = {"equal": lambda v, r: ~v.eqNullSafe(r), "least": lambda v, r: F.coalesce(v, F.lit(0.0)) < r, "most": lambda v, r: v > r}
+    gates = {}
+    for name, metric, kind in CASE_GATES:
+        need = f"require_{name}"
+        if need in df.columns and metric in df.columns:
+            gates[name] = F.col(need).isNotNull() & tests[kind](F.col(metric), F.col(need))
+    if {"require_review_entries", "review_entries"} <= set(df.columns):
+        gates["review_entries"] = F.col("require_review_entries").isNotNull() & ~F.array_sort("review_entries").eqNullSafe(F.array_sort("require_review_entries"))
+    out = gate_failures(df, gates)
+    return out.withColumn("passed", F.size("failures") == 0)

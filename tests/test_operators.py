@@ -101,6 +101,7 @@ def test_evaluation_counts_missing_entries(spark):
     a = rows(spark, [("d", 1, 100, ["x"]), ("d", 2, 200, ["y"]), ("d", 3, 300, ["z"])], schema)
     b = rows(spark, [("d", 1, 100, ["x"]), ("d", 2, 230, ["q"])], schema)
     got = metrics.positional_eval(a, b, "doc_id").first()
+    assert (got.reference_display_lines, got.generated_display_lines) == (3, 2)
     assert (got.text_mismatches, got.text_mismatch_indices, got.max_abs_delta_cs, got.within_25cs, got.within_50cs_percent, got.nonzero_time_diffs, got.entry_count_match) == (2, [2], 30, 1, 66.67, 2, False)
 
 
@@ -205,3 +206,10 @@ def test_line_scoring(spark, lines, want):
 def test_long_disagreement_is_reviewed_and_split(spark):
     got = scoring.score_lines(rows(spark, [line(1, 10.0), line(2, 20.0, n=20, forced=17.5)], LINE)).filter("entry = 2").first()
     assert got.review and "long_line_disagreement" in got.penalties and got.split == 18.75
+
+
+def test_cases_apply_their_own_gates(spark):
+    schema = "name string, text_mismatches long, within_25cs_percent double, backend string, review_entries array<int>, require_text_mismatches long, require_within_25cs double, require_backend string, require_review_entries array<int>"
+    df = rows(spark, [("a", 0, 100.0, "ctc", [2, 1], 0, 100.0, "ctc", [1, 2]), ("b", 1, 99.0, "ctc", [], 0, 100.0, "hybrid", [1]), ("c", 5, None, None, None, None, None, None, None)], schema)
+    got = {r.name: (r.passed, r.failures) for r in metrics.evaluate_cases(df).collect()}
+    assert got == {"a": (True, []), "b": (False, ["text_mismatches", "within_25cs", "backend", "review_entries"]), "c": (True, [])}
