@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import binary_column, keep_candidates, materialize, row_uid
+from linekeeper.llm.store import binary_column, drop_rows, keep_candidates, materialize, row_uid
 from linekeeper.llm.words import hash_words, runs, split_words, windows
 
 #: Words of a window and of the k-grams that anchor it.
@@ -237,10 +237,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     order = F.struct(F.col("doc_id").alias("d"), F.col("uid").alias("u"))
     firsts = own.groupBy("sha").agg(F.min(order).alias("f")).select("sha", F.col("f.u").alias("f"))
     told = materialize(own.select("uid", "doc_id", "n_words", "sha").join(firsts, "sha").withColumn("is_first", F.col("uid") == F.col("f")).drop("f"), "told")
-    reps = own.join(told.filter("is_first").select("uid").distinct(), "uid", "left_semi").filter(f"n_words >= {window}")
+    reps = drop_rows(own, "uid", told.filter("not is_first").select("uid")).filter(f"n_words >= {window}")
     places = reps.select("uid", "doc_id", F.explode_outer(F.arrays_zip("anchors", "firsts")).alias("z")).select("uid", "doc_id", F.col("z.anchors").alias("anchor"), F.col("z.firsts").alias("first"))
-    often = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    shared = places.join(often, "anchor", "left_semi").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list("first").alias("firsts"))
+    # stored: most places are dropped before the join, which is of two plain shuffles, so that a hot anchor's partition can be split
+    often = materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "often")
+    shared = keep_candidates(places, "anchor", often).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list("first").alias("firsts"))
     shared = materialize(shared, "shared")
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))
     cut = materialize(_cut(rows, shared, window, gram, text_col), "cut")

@@ -27,7 +27,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/linekeeper/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_root(spark)}/linekeeper/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has stored; results that aren't written elsewhere can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/linekeeper/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -64,26 +71,41 @@ def id_filter(ids: DataFrame, uid: str, bits: int = FILTER_BITS) -> np.ndarray:
     return words
 
 
+def _hits(batch: pa.RecordBatch, uid: str, words: np.ndarray) -> np.ndarray:
+    """Which rows' ``uid`` the filter has."""
+    slot = np.mod(batch.column(uid).to_numpy(zero_copy_only=False).astype(np.int64), len(words) * 64)
+    return ((words[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+
+
 def keep_candidates(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``uid`` occurs in ``ids``.
+    """Rows of ``docs`` whose ``uid`` (long) occurs in ``ids`` (a stored table).
 
     The Bloom filter (fixed size) drops most other rows before the shuffle; where it is
     full it lets all through, and the semi join alone decides.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(id_filter(ids, uid))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids, uid))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
         for batch in batches:
-            h = batch.column(uid).to_numpy(zero_copy_only=False).astype(np.int64)
-            slot = np.mod(h, len(words) * 64)
-            hit = (words[slot >> 6] >> (slot & 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool)))
+            yield batch.filter(pa.array(_hits(batch, uid, sent.value)))
 
     return docs.mapInArrow(drop, docs.schema).join(ids.select(uid).distinct(), uid, "left_semi")
 
 
+def drop_rows(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``uid`` (long) does not occur in ``ids`` (a stored table); only those that the filter has are shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids, uid))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_hits(batch, uid, sent.value) == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(ids.select(uid).distinct(), uid, "left_anti"))
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return pc.cast(batch.column(name), pa.binary()).to_pylist()
