@@ -23,7 +23,7 @@ from linekeeper.llm.tokens import crc, default_path, encoded
 
 CAPACITY = 4096
 #: Pieces of one length that a task ranks together.
-RANK_GROUP = 20_000
+RANK_GROUP = 1_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
