@@ -89,7 +89,7 @@ def keep_candidates(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_hits(batch, uid, sent.value)))
 
-    return docs.mapInArrow(drop, docs.schema).join(ids.select(uid).distinct(), uid, "left_semi")
+    return docs.mapInArrow(drop, docs.schema).join(ids.select(uid), uid, "left_semi")
 
 
 def drop_rows(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def drop_rows(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, docs.schema)
 
-    return part(False).unionByName(part(True).join(ids.select(uid).distinct(), uid, "left_anti"))
+    return part(False).unionByName(part(True).join(ids.select(uid), uid, "left_anti"))
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
