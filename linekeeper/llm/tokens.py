@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Id that ends a document.
 END_ID = 1
 #: Stems of either half of the cache.
-CACHE_STEMS = 400_000
+CACHE_STEMS = 200_000
 #: Text bytes that are encoded together.
 RUN_BYTES = 3 << 20
 #: Splits joined stems apart again; never part of a stem that is joined.
