@@ -443,7 +443,7 @@ def line_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH d AS (SELECT doc_id, replace(replace(left(text, 200), '. ', '  '), ', ', ' / ') AS x FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(x, ' '), '[\t\n\r\f\x{0b} ]+/[\t\n\r\f\x{0b} ]+|(?:[ \x{3000}]{2,}|\t+)'), lambda p: trim(p, ' ')), lambda p: p <> ''), '|') AS parts FROM d""")
 def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.replace(F.replace(F.left("text", F.lit(200)), F.lit(". "), F.lit("  ")), F.lit(", "), F.lit(" / "))
+    x = F.replace(F.replace("text", F.lit(". "), F.lit("  ")), F.lit(", "), F.lit(" / "))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.split_group(x), "|").alias("parts"))
 
 
@@ -455,12 +455,12 @@ def leading_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '', 'g') AS r FROM documents) SELECT doc_id, r AS romaji FROM w""")
 def compact_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.compact_latin(F.left("text", F.lit(80)), normal=False).alias("romaji"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.compact_latin(F.col("text"), normal=False).alias("romaji"))
 
 
 @query()
 def romaji_morae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tx.compact_latin(F.left("text", F.lit(80)), normal=False)
+    r = tx.compact_latin(F.col("text"), normal=False)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.romaji_morae(r), "-").alias("morae"))
 
 
