@@ -408,8 +408,8 @@ def short_dup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conversation_lines(spark, sf_dir).select("song", "entry", F.left("norm", F.lit(60)).alias("norm"))
-    return joins.fuzzy_match(rows, rows.select("song", F.col("entry").alias("seg_idx"), F.substring("norm", 3, 50).alias("norm")))
+    rows = conversation_lines(spark, sf_dir).select("song", "entry", "norm")
+    return joins.fuzzy_match(rows, rows.select("song", F.col("entry").alias("seg_idx"), F.expr("substring(norm, 3)").alias("norm")))
 
 
 @query()
