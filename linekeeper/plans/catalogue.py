@@ -402,7 +402,7 @@ def ambiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CONV}, s AS (SELECT song, entry, left(norm, CASE WHEN entry % 2 = 0 THEN 4 ELSE 400 END) AS norm FROM conv) SELECT DISTINCT a.song, a.entry FROM s a JOIN s b ON a.song = b.song AND a.entry <> b.entry AND abs(a.entry - b.entry) <= 8
  WHERE length(a.norm) BETWEEN 4 AND 12 AND length(b.norm) > length(a.norm) AND contains(b.norm, a.norm)""")
 def short_dup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conversation_lines(spark, sf_dir).withColumn("norm", F.left("norm", F.when(F.col("entry") % 2 == 0, 4).otherwise(400)))
+    rows = conversation_lines(spark, sf_dir).withColumn("norm", F.when(F.col("entry") % 2 == 0, F.left("norm", F.lit(4))).otherwise(F.col("norm")))
     return joins.short_duplicates(rows)
 
 
