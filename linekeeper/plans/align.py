@@ -1,4 +1,4 @@
-"""The whole alignment as one plan over evidence tables: candidates, choice, fusion, scoring, report."""
+"""The alignment's main path as one plan over evidence tables: candidates, choice, fusion, scoring, report; README lists what it leaves out."""
 
 from __future__ import annotations
 
@@ -15,22 +15,33 @@ def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame)
     lines: song, entry, text, norm, duration.  words: song, entry, timestamp, score, segment,
     borrowed (word-level candidate).  tokens: song, entry, timestamp, ctc_score, missing,
     token_spans, peaks (token-level candidate).  raw: song, entry, timestamp, score.
+
+    Every line has a decision.  A line without a row in a candidate counts as missing there;
+    where the time of the chosen candidate is missing, it takes the other candidate's, the raw
+    one or else that of the last line with any (0 at first), untrusted and, unless scoring resolves it, for review.
     """
+    keys = lines.select("song", "entry")
+    tokens = keys.join(tokens, ["song", "entry"], "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    words = keys.join(words, ["song", "entry"], "left")
     tiers = diagnostics.path_tiers(tokens)
     token_report = diagnostics.path_report(tiers).withColumns({"backend": F.lit("ctc"), "trusted_percent": F.lit(100.0), "ordinal": F.lit(1)})
     word_lines = words.withColumns({"timing_repair": F.lit(None).cast("string"), "timing_trusted": F.lit(False)})
-    word_report = metrics.confidence_metrics(word_lines, "song").withColumns({"backend": F.lit("whisperx"), "ordinal": F.lit(2), "collapse_detected": F.lit(False)})
+    collapsed = windows.segment_collapse(words).select("song").union(windows.zero_collapse(words).select("song")).distinct().withColumn("collapse_detected", F.lit(True))
+    word_report = metrics.confidence_metrics(word_lines, "song").join(collapsed, "song", "left").withColumns({"backend": F.lit("whisperx"), "ordinal": F.lit(2)})
     reports = token_report.unionByName(word_report, allowMissingColumns=True)
     reports = reports.withColumns({"high_risk_count": F.lit(0), "low_confidence_count": F.coalesce("low_confidence_count", F.lit(0)), "error": F.lit(None).cast("string")})
     reports = reports.withColumn("quality", metrics.selection_quality())
     chosen = metrics.choose_candidate(reports)
     order = Window.partitionBy("song").orderBy("entry")
     evidence = windows.boundary_evidence(tiers.drop("score"))
-    t = evidence.select("song", "entry", F.col("timestamp").alias("ctc"), "ctc_score", "first_score", "clear", "token_spans", "peaks")
+    t = evidence.select("song", "entry", F.col("timestamp").alias("ctc"), "ctc_score", "first_score", "clear", "token_spans", "peaks", F.col("review").alias("token_review"))
     w = words.select("song", "entry", F.col("timestamp").alias("wx"), F.col("score").alias("wx_score"), "segment")
     r = raw.select("song", "entry", F.col("timestamp").alias("raw"), F.col("score").alias("raw_score"))
     rows = lines.join(t, ["song", "entry"]).join(w, ["song", "entry"]).join(r, ["song", "entry"], "left").join(chosen, "song")
     same_low = F.coalesce((F.col("segment") == F.lag("segment").over(order)) & (F.lag("wx_score").over(order) < metrics.TRUSTED), F.lit(False))
+    known = F.coalesce("wx", "ctc", "raw")
+    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("word_missing", F.col("wx").isNull()).withColumn("wx", F.coalesce(known, before, F.lit(0.0)))
     rows = rows.withColumns({"prefix": F.lit(False), "crossline": F.lit(False), "clear": F.coalesce("clear", F.lit(False)), "shared_low_segment": same_low})
     fused = folds.fuse(rows.select("song", "entry", "wx", "wx_score", "ctc", "ctc_score", "raw", "raw_score", "duration", "prefix", "crossline", "clear", "shared_low_segment"))
     rows = rows.join(fused.select("song", "entry", F.col("time").alias("fused"), "reason"), ["song", "entry"])
@@ -39,15 +50,15 @@ def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame)
     scored = rows.select(
         "song",
         "entry",
-        F.when(by_tokens, F.col("ctc")).otherwise(F.col("fused")).alias("timestamp"),
+        F.when(by_tokens, F.coalesce("ctc", "wx")).otherwise(F.col("fused")).alias("timestamp"),
         "duration",
-        F.when(by_tokens, F.when(F.col("ctc_score") >= 0.08, 0.90).when(F.col("ctc_score") >= 0.03, 0.70).otherwise(0.35)).otherwise(F.col("wx_score")).alias("score"),
+        F.when(by_tokens, F.when(F.col("ctc_score") >= 0.08, 0.90).when(F.col("ctc_score") >= 0.03, 0.70).otherwise(0.35)).when(F.col("word_missing"), 0.0).otherwise(F.col("wx_score")).alias("score"),
         F.length("norm").alias("norm_len"),
         F.lit(False).alias("manual"),
         "raw",
         "raw_score",
         F.lit(None).cast("double").alias("forced"),
-        F.lit(False).alias("risk_review"),
+        F.when(by_tokens, F.col("token_review") | F.col("ctc").isNull()).otherwise(F.col("word_missing")).alias("risk_review"),
         F.lit(False).alias("window_realigned"),
         "ctc_score",
         spans.alias("spans"),
