@@ -25,6 +25,46 @@ def place_in_segment(norm: Column, start: Column, end: Column, seg_norm: Column,
     return F.when(has_chars & near, exact).when(~has_chars, F.coalesce(guess, start)).otherwise(start)
 
 
+def earlier_duplicates(matches: DataFrame, segments: DataFrame) -> DataFrame:
+    """(song, entry, segment, score): matches moved to a segment shortly before that is nearly the same.
+
+    matches: song, entry, norm, segment, score; segments: song, seg_idx, start, norm.  First up
+    to 2 back within 2.5 s where it fits about as well, then up to 3 back within 5 s where it
+    opens the line.
+    """
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+
+        def ratio(a: str, b: str) -> float:
+            return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+        def fit(a: str, b: str) -> float:
+            r = ratio(a, b)
+            return 0.0 if not a or not b else max(r, 0.96) if a in b else max(r, 0.72) if b in a and len(b) >= 4 else r
+
+        parts = right.sort_values("seg_idx")
+        numbers, starts, texts = parts["seg_idx"].tolist(), parts["start"].tolist(), parts["norm"].fillna("").tolist()
+        place, out = {n: i for i, n in enumerate(numbers)}, []
+        for r in left.sort_values("entry").itertuples():
+            at, score, text = None if pd.isna(r.segment) else place.get(int(r.segment)), r.score, r.norm or ""
+            for back, seconds, alike in ((2, 2.5, 0.70), (3, 5.0, 0.86)):
+                for k in range(at - 1, max(-1, at - back - 1), -1) if at else ():
+                    if not texts[k] or starts[at] - starts[k] > seconds or ratio(texts[k], texts[at]) < alike:
+                        continue
+                    if back == 2 and (now := fit(text, texts[k])) >= score - 0.05:
+                        at, score = k, max(score, now)
+                        break
+                    if back == 3 and text.startswith(texts[k]):
+                        at, score = k, max(score, 0.80)
+                        break
+            out.append((key[0], r.entry, None if at is None else numbers[at], score))
+        return pd.DataFrame(out, columns=["song", "entry", "segment", "score"])
+
+    kind = matches.schema["song"].dataType.simpleString()
+    return matches.groupBy("song").cogroup(segments.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, score double")
+
+
 def _fill(rows: list[dict], segs: dict[int, dict], duration: float) -> None:
     """Lines without a time: from a shared segment, the segment after, the silence after a segment, or the neighbours."""
     for i, r in enumerate(rows):
