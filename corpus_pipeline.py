@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linekeeper.llm.decontaminate import leaks
-from linekeeper.llm.near_copies import near_copies
+from linekeeper.llm.near_copies import first_of_groups
 from linekeeper.llm.packing import pack_documents
 from linekeeper.llm.quality_rules import quality_rules
 from linekeeper.llm.secrets import redact
-from linekeeper.llm.store import materialize
+from linekeeper.llm.store import materialize, row_uid
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +23,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id; repeated rows once."""
-    groups = near_copies(docs, size=5, percent=80)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near copies (five words, 0.8) the row with the smallest id; a null id comes last; repeated rows once."""
+    first = first_of_groups(docs, size=5, percent=80).select(F.col("uid").alias("__uid"))
+    return docs.join(first, row_uid("doc_id", "text") == F.col("__uid"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that hold no item of the benchmark; rows that share an id, or have none, are judged each."""
+    found = leaks(docs.select(row_uid("doc_id", "text").alias("uid"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="uid")
+    return docs.join(found.select(F.col("doc_id").alias("__uid")).distinct(), row_uid("doc_id", "text") == F.col("__uid"), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

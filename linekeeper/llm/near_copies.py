@@ -164,6 +164,22 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     equal results; null ids take part and are never a component's id unless it has no
     other; other columns are ignored; an empty table gives no rows.
     """
+    member = members(docs, size, percent, id_col, text_col)
+    # stored, so that the join is of two plain shuffles, in which a large component's partition can be split
+    least = materialize(member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """uid (row_uid of id and text) of the row with the smallest id of each component, a null id last; of rows that share the id, the one with the smallest uid; of rows without shingles all."""
+    member = members(docs, size, percent, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    first = member.filter("root is not null").groupBy("root").agg(F.min(order)["uid"].alias("uid")).select("uid")
+    return first.union(member.filter("root is null").select("uid")).distinct()
+
+
+def members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """uid, doc_id, n and root of every row: rows of one component share the root; null without shingles.  Stored."""
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))
     sets = describe(docs, size, percent, id_col, text_col)
     full = sets.filter("n > 0")
@@ -203,11 +219,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest-pairs")
     more = verify(rest, rows, size, percent, text_col, "rest-links")
     roots = components(links.union(more), "all")
-    member = sets.select("doc_id", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
-    member = materialize(member.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "members")
-    # stored, so that the join is of two plain shuffles, in which a large component's partition can be split
-    least = materialize(member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    member = sets.select("uid", "doc_id", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
+    return materialize(member.select("uid", "doc_id", "n", F.coalesce("root", "node").alias("root")), "members")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
