@@ -34,9 +34,9 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page: object, digest: str) -> str:
-    """The same for the same page and payload: a record that a repeated task writes again counts once."""
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{kind}/{page}/{digest}')}>"
+def record_id(kind: str, page: object, url: str | None, number: int, digest: str) -> str:
+    """The same for the same row of pages: a record that a repeated task writes again counts once; ``number`` tells rows apart that repeat page, URL and payload."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, repr((kind, page, url, number, digest)))}>"
 
 
 def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -44,25 +44,25 @@ def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def capture_records(page: object, url: str | None, payload: bytes, digest: str, first_page: object, revisit: bool) -> list[bytes]:
-    """The three records of one capture, response or revisit first."""
+def capture_records(page: object, url: str | None, number: int, payload: bytes, digest: str, first: dict | None, revisit: bool) -> list[bytes]:
+    """The three records of one capture, response or revisit first; ``first``: page, url and number of the capture that a revisit refers to."""
     uri = None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~")
-    own = record_id("response", page, digest)
+    own = record_id("response", page, url, number, digest)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{digest}")]
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", first_page, digest))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", first["page"], first["url"], first["number"], digest))]
     answer = _record([*head, ("Content-Type", "application/http;msgtype=response")], http if revisit else http + payload)
     where = urlsplit(uri or "")
     asked = f"GET {where.path or '/'} HTTP/1.1\r\nHost: {where.netloc}\r\n\r\n".encode()
     request = _record(
-        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
+        [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, url, number, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
         asked,
     )
     fields = b"" if page is None else f"pageId: {page}\r\n".encode()
     metadata = _record(
-        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, url, number, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
         fields,
     )
     return [answer, request, metadata]
@@ -76,10 +76,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     body = F.coalesce(F.col(body_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"))
+    # a row's partition and place in it: the same again in a repeated task, as files are read in order
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.monotonically_increasing_id().alias("number"))
     # pre-aggregated, so that many equal payloads cost one row a task; the join's hot keys are for AQE to split
-    first = pages.select(F.col(id_col).alias("page"), F.sha1(body.cast("binary")).alias("sha1")).groupBy("sha1").agg(F.min("page").alias("first"))
-    joined = rows.join(first, "sha1").select("page", "url", "body", "first")
+    first = rows.groupBy("sha1").agg(F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url", "number"))).alias("first"))
+    joined = rows.join(first, "sha1").select("page", "url", "number", "body", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, out, size, count = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, 0
@@ -93,10 +94,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
         for batch in batches:
             bodies = binary_column(batch, "body")
-            for page, url, body, first in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), bodies, batch.column("first").to_pylist(), strict=True):
+            for page, url, number, body, first in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "number")), bodies, batch.column("first").to_pylist(), strict=True):
                 digest = payload_digest(body)
-                revisit = len(body) >= min_bytes and page != first
-                for record in capture_records(page, url, body, digest, first, revisit):
+                revisit = len(body) >= min_bytes and first is not None and page != first["page"]
+                for record in capture_records(page, url, number, body, digest, first, revisit):
                     out.write(gzip.compress(record, 6, mtime=0))
                     size += len(record)
                     count += 1
@@ -197,8 +198,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Null html: an empty payload; null url: no target URI; null page_id: its payloads are never the response if another has an id.
 
-    Rows that repeat page_id and payload are one capture; with an empty table there are no
-    files and no rows; other columns are ignored.
+    Every row of pages is a capture of its own, also one that repeats another; with an empty
+    table there are no files and no rows; other columns are ignored.
     """
     folder, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     if not files.isEmpty():
