@@ -22,8 +22,6 @@ from linekeeper.llm.store import binary_column
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 4000
-#: Passages of a document that its bag has in fitting, at most, evenly spaced; scoring uses all.
-FIT_PASSAGES = 32
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 12, 8, 250, 0.03, 1e-3, 7
 #: Score from which a document is predicted to be good.
 CUT = 0.3
@@ -195,7 +193,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, i
         for batch in batches:
             texts = binary_column(batch, text_col)
             made = [own.passages(t or b"") for t in texts]
-            made = [x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)] if len(x) > FIT_PASSAGES else x for x in made]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col).cast(pa.string()), batch.column("__label"), pa.array([x.tobytes() for x in made], pa.binary())], ["id", "label", "bag"]
             )
