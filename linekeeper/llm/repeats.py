@@ -1,101 +1,170 @@
-"""Removal of repeated passages by suffix automata.
-
-Every window of consecutive words whose sequence also starts earlier is removed.  The
-corpus itself is the reference: automata of all of it, sent to every task, would cost
-(shards x corpus), so the shards are made by content instead, and each shard's automaton
-meets only the text that can match it:
-
-* a window is known by its anchor, the k-gram of least hash within it (winnowing); equal
-  windows have equal anchors, so all of a window's occurrences meet at one anchor;
-* the consecutive windows of one anchor form a segment, a stretch of text a little longer
-  than a window; equal segments are merged first, only the earliest of them goes on;
-* an anchor's segments, earliest first, stream through one online suffix automaton.  The
-  matching statistic at a word is the length of the longest stretch ending there that
-  occurred before; where it reaches the window's length the window is a repeat.
+"""Removal of repeated passages by suffix automata of reference shards.
+
+Every window of consecutive words whose sequence also starts earlier is removed.
+
+* A window is known by its anchor, the k-gram of least hash within it (winnowing).  The
+  consecutive windows of one anchor form a segment, a stretch of text a little longer than
+  a window.  Equal windows have equal anchors, so only segments whose anchor occurs again
+  can hold a repeat; all others are skipped.
+* The reference is one copy, the earliest, of every different segment that is left.  It is
+  dealt to shards by anchor; each shard gives compact suffix automata of a bounded size,
+  whose states know where their words first occurred.  They lie in the shared folder, for
+  any number of tasks to read.
+* Documents' segments, all of them, stream through their shard's automata.  The matching
+  statistic at a word is the length of the longest stretch ending there that the reference
+  holds; where it reaches the window's length, the state tells where the window first
+  occurred, and it is a repeat if that is another place.  The maximal runs of such windows
+  are removed.
+
+A k-gram that very many places have is the anchor of a window only if all of the window's
+k-grams are such: the edges of a common passage, which differ from document to document,
+then have rare anchors and are skipped, and the passage itself is one segment.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import binary_column, drop_rows, keep_candidates, materialize, row_uid
+from linekeeper.llm.store import binary_column, drop_rows, has_ids, id_filter, keep_candidates, materialize, new_folder, open_folder, put_file, row_uid
 from linekeeper.llm.words import hash_words, runs, split_words, windows
 
 #: Words of a window and of the k-grams that anchor it.
 WINDOW, GRAM = 20, 10
-#: Segments of an anchor beyond which its windows are compared by hash in groups of their own.
-HOT_SEGMENTS = 5_000
+#: Words of the reference in one automaton.
+SHARD_WORDS = 200_000
+#: Words that a task streams, about.
+TASK_WORDS = 3_000_000
+#: Places from which on a k-gram counts as common; of larger tables one place in a million.
+COMMON = 4096
 
 
-def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of the runs of windows that share an anchor."""
+def segments(hashes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, last window) of the runs of windows that share an anchor; ``common``: filter of k-grams that come last."""
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = windows(hashes, gram)
     span = window - gram + 1
-    place = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n)
+    rank = grams >> np.uint64(1)
+    if common is not None:
+        rank |= has_ids(grams.view(np.int64), common).astype(np.uint64) << np.uint64(63)
+    place = np.lib.stride_tricks.sliding_window_view(rank, span).argmin(axis=1) + np.arange(n)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], n) - 1
     return grams[place[first]], first, last
 
 
 class SuffixAutomaton:
-    """Online automaton of a sequence of values."""
+    """Online automaton of a set of sequences; a state knows where its longest words first ended."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.last = 0
-
-    def extend(self, value: object) -> int:
-        """Append a value; returns the length of the longest suffix that occurred before."""
-        nexts, link, length = self.next, self.link, self.length
-        cur = len(nexts)
-        nexts.append({})
-        link.append(0)
-        length.append(length[self.last] + 1)
-        p = self.last
-        while p != -1 and value not in nexts[p]:
-            nexts[p][value] = cur
+        self.end = [-1]
+        #: where each sequence begins
+        self.starts: list[int] = []
+        self.size = 0
+
+    def _split(self, p: int, q: int, value: object) -> int:
+        """The state of p's words with ``value``, which q holds together with longer ones."""
+        nexts, link = self.next, self.link
+        clone = len(nexts)
+        nexts.append(nexts[q].copy())
+        link.append(link[q])
+        self.length.append(self.length[p] + 1)
+        self.end.append(self.end[q])
+        link[q] = clone
+        while p != -1 and nexts[p].get(value) == q:
+            nexts[p][value] = clone
             p = link[p]
-        if p != -1:
-            q = nexts[p][value]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(nexts)
-                nexts.append(nexts[q].copy())
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p != -1 and nexts[p].get(value) == q:
-                    nexts[p][value] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        self.last = cur
-        return length[link[cur]]
-
-
-def repeated_in(sequences: list[list], window: int) -> list[list[int]]:
-    """For each sequence, earliest first, the starts of its windows that occurred before."""
-    automaton, out = SuffixAutomaton(), []
-    for k, values in enumerate(sequences):
-        found = []
-        for i, v in enumerate(values):
-            if automaton.extend(v) >= window:
-                found.append(i - window + 1)
-        automaton.extend(("end", k))  # a value of its own: nothing matches across it
-        out.append(found)
-    return out
+        return clone
+
+    def add(self, values: list) -> None:
+        """Append a sequence; nothing matches across its ends."""
+        nexts, link, length, last = self.next, self.link, self.length, 0
+        self.starts.append(self.size)
+        for at, value in enumerate(values, self.size):
+            q = nexts[last].get(value)
+            if q is not None:
+                last = q if length[last] + 1 == length[q] else self._split(last, q, value)
+                continue
+            cur = len(nexts)
+            nexts.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            self.end.append(at)
+            p = last
+            while p != -1 and value not in nexts[p]:
+                nexts[p][value] = cur
+                p = link[p]
+            if p != -1:
+                q = nexts[p][value]
+                link[cur] = q if length[p] + 1 == length[q] else self._split(p, q, value)
+            last = cur
+        self.size += len(values)
+
+    def packed(self, vocabulary: list[bytes], places: list[tuple[int, int]]) -> bytes:
+        """Arrays of the automaton over word numbers, with the (uid, first window) of each sequence."""
+        import zstandard
+
+        n = len(vocabulary)
+        keys = np.array([s * n + v for s, out in enumerate(self.next) for v in out], np.int64)
+        to = np.array([t for out in self.next for t in out.values()], np.int32)
+        parts = (b" ".join(vocabulary), keys, to, *[np.array(x, np.int32) for x in (self.link, self.length, self.end, self.starts)])
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((*parts, np.array([u for u, _ in places], np.int64), np.array([f for _, f in places], np.int32)), protocol=5))
+
+
+class Reference:
+    """A packed automaton, opened to be streamed through."""
+
+    def __init__(self, raw: bytes) -> None:
+        import zstandard
+
+        words, keys, to, link, length, end, starts, uids, firsts = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+        vocabulary = words.split(b" ")
+        self.number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
+        self.words = len(vocabulary)
+        self.next = dict(zip(keys.tolist(), to.tolist(), strict=True))
+        self.link, self.length, self.end, self.starts = link.tolist(), length.tolist(), end.tolist(), starts.tolist()
+        self.uids, self.firsts = uids.tolist(), firsts.tolist()
+
+    def first_places(self, words: list[bytes], window: int) -> dict[int, tuple[int, int]]:
+        """{start of a window within ``words``: (uid, window) where it first occurs}, by matching statistics."""
+        nexts, link, length, n = self.next, self.link, self.length, self.words
+        out, state, size = {}, 0, 0
+        for i, v in enumerate(map(self.number.get, words)):
+            if v is None:
+                state = size = 0
+                continue
+            to = nexts.get(state * n + v)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = nexts.get(state * n + v)
+            if to is None:
+                size = 0
+                continue
+            state = to
+            size += 1
+            if size >= window:
+                while length[link[state]] >= window:
+                    state = link[state]
+                    size = length[state]
+                k = bisect_right(self.starts, self.end[state]) - 1
+                out[i - window + 1] = (self.uids[k], self.firsts[k] + self.end[state] - self.starts[k] - window + 1)
+        return out
 
 
 def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -109,6 +178,11 @@ def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.ndarr
             yield a + i, hashes[ends[i] : ends[i + 1]], raw[a + i] or b""
 
 
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+
+
 def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     """uid, doc_id, n_words, sha (of the words joined by spaces) and the anchors and first windows of its segments (stored)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -122,16 +196,8 @@ def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str
                 a, first, _ = segments(hashes, window, gram)
                 anchors.append(a.view(np.int64))
                 firsts.append(first.astype(np.int32))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in anchors])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("uid"),
-                    batch.column(id_col),
-                    pa.array(n, pa.int64()),
-                    pa.array(sha, pa.string()),
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(anchors) if anchors else np.zeros(0, np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int32))),
-                ],
+                [batch.column("uid"), batch.column(id_col), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(anchors, np.int64), _lists(firsts, np.int32)],
                 ["uid", "doc_id", "n_words", "sha", "anchors", "firsts"],
             )
 
@@ -139,16 +205,82 @@ def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str
     return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, n_words long, sha string, anchors array<long>, firsts array<int>"), "segments")
 
 
-def _cut(docs: DataFrame, shared: DataFrame, window: int, gram: int, text_col: str) -> DataFrame:
-    """A row for each shared segment: uid, doc_id, anchor, first window, windows, key of its words, words joined by spaces."""
+def _holding(own: DataFrame, common: np.ndarray) -> DataFrame:
+    """uids of the documents with an anchor in the filter."""
+    sent = own.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = batch.column("anchors")
+            hit = has_ids(anchors.flatten().to_numpy(zero_copy_only=False), sent.value)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            ends = np.concatenate([[0], np.cumsum(anchors.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("uid").filter(pa.array(total[ends[1:]] > total[ends[:-1]]))], ["uid"])
+
+    return own.select("uid", "anchors").mapInArrow(run, "uid long").distinct()
+
+
+def common_grams(rows: DataFrame, own: DataFrame, anchors: DataFrame, least: int, window: int, gram: int, text_col: str) -> np.ndarray | None:
+    """Filter (of fixed size) of the k-grams that windows with a common anchor hold ``least`` times or more; None if no anchor is common.
+
+    Least grows with the table, so that at most a million anchors are common.
+    """
+    hot = anchors.filter(F.col("n") >= least)
+    if hot.isEmpty():
+        return None
+    first = id_filter(hot.select("anchor"), "anchor")
+    texts = keep_candidates(rows, "uid", materialize(_holding(own, first), "common-holders"))
+    sent = rows.sparkSession.sparkContext.broadcast(first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.zeros(0, np.uint64)]
+            for _, hashes, _ in _texts(batch, text_col):
+                a, lo, hi = segments(hashes, window, gram)
+                hit = has_ids(a.view(np.int64), sent.value)
+                step = np.zeros(len(hashes) + 1, np.int32)
+                np.add.at(step, lo[hit], 1)
+                np.add.at(step, np.minimum(hi[hit] + window - gram + 1, len(hashes)), -1)
+                grams = windows(hashes, gram)
+                held.append(grams[np.cumsum(step)[: len(grams)] > 0])
+            seen, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    grams = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return id_filter(grams, "gram")
+
+
+def _anchors_anew(rows: DataFrame, own: DataFrame, common: np.ndarray, window: int, gram: int, text_col: str) -> DataFrame:
+    """``own`` with the anchors of the documents that have a common one taken anew, common k-grams last (stored).
+
+    The others' anchors are not common, hence stay the same under that order.
+    """
+    held = materialize(_holding(own, common), "common-documents")
+    sent = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [segments(hashes, window, gram, sent.value) for _, hashes, _ in _texts(batch, text_col)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), _lists([a.view(np.int64) for a, _, _ in made], np.int64), _lists([f.astype(np.int32) for _, f, _ in made], np.int32)], ["uid", "anchors", "firsts"]
+            )
+
+    new = keep_candidates(rows, "uid", held).mapInArrow(run, "uid long, anchors array<long>, firsts array<int>").dropDuplicates(["uid"])
+    kept = drop_rows(own, "uid", held)
+    return materialize(kept.unionByName(keep_candidates(own.drop("anchors", "firsts"), "uid", held).join(new, "uid")), "segments-anew")
+
+
+def _cut(docs: DataFrame, shared: DataFrame, common: np.ndarray | None, window: int, gram: int, text_col: str) -> DataFrame:
+    """A row for each shared segment: uid, doc_id, anchor, first window, n words, key of its words, words joined by spaces."""
     kind = shared.schema["doc_id"].dataType.simpleString()
     rows = keep_candidates(docs, "uid", shared.select("uid")).join(shared, "uid")
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("firsts")
             for i, hashes, text in _texts(batch, text_col):
-                anchors, first, last = segments(hashes, window, gram)
+                anchors, first, last = segments(hashes, window, gram, sent.value)
                 pick = np.flatnonzero(np.isin(first, wanted[i].values.to_numpy()))
                 raw = text.split()
                 texts = [b" ".join(raw[first[k] : last[k] + window]) for k in pick.tolist()]
@@ -159,105 +291,149 @@ def _cut(docs: DataFrame, shared: DataFrame, window: int, gram: int, text_col: s
                         batch.column("doc_id").take(one),
                         pa.array(anchors[pick].view(np.int64)),
                         pa.array(first[pick].astype(np.int32)),
-                        pa.array((last - first + 1)[pick].astype(np.int32)),
+                        pa.array((last - first + window)[pick].astype(np.int32)),
                         pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                        pa.array([t.decode() for t in texts], pa.string()),
+                        pa.array(texts, pa.binary()),
                     ],
-                    ["uid", "doc_id", "anchor", "first", "windows", "key", "words"],
+                    ["uid", "doc_id", "anchor", "first", "n", "key", "words"],
                 )
 
-    return rows.mapInArrow(run, f"uid long, doc_id {kind}, anchor long, first int, windows int, key binary, words string")
+    return rows.mapInArrow(run, f"uid long, doc_id {kind}, anchor long, first int, n int, key binary, words binary")
 
 
-def _stream(rows: DataFrame, window: int) -> DataFrame:
-    """(uid, starts of repeated windows), from rows sorted by anchor and place, by an automaton for each anchor.
+def build_reference(heads: DataFrame, folder: str, parts: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Write the automata of the segments (shard, doc_id, uid, first, words), earliest first; returns (shard, file), stored.
 
-    Repeated rows of a document follow each other and count once.
+    A shard's files are numbered in the order of its segments; each has ``shard_words`` words or little more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, held = None, []
+        task, k, shard, made = TaskContext.get().partitionId(), 0, None, []
+        automaton, number, places = SuffixAutomaton(), {}, []
 
-        def done() -> pa.RecordBatch:
-            found = repeated_in([w.split(b" ") for _, _, w in held], window)
-            keep = [(u, f, x) for (u, f, _), x in zip(held, found, strict=True) if x]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keep], pa.int64()), pa.array([[k[1] + i for i in k[2]] for k in keep], pa.list_(pa.int32()))], ["uid", "starts"]
-            )
+        def close() -> None:
+            nonlocal automaton, number, places, k
+            if places:
+                made.append((shard, put_file(f"{folder}/{shard:012d}", f"{task:08d}-{k:06d}", automaton.packed(list(number), places))))
+                automaton, number, places, k = SuffixAutomaton(), {}, [], k + 1
 
         for batch in batches:
-            words = batch.column("words").cast(pa.binary()).to_pylist()
-            for a, u, f, w in zip(batch.column("anchor").to_pylist(), batch.column("uid").to_pylist(), batch.column("first").to_pylist(), words, strict=True):
-                if a != anchor:
-                    if held:
-                        yield done()
-                    anchor, held = a, []
-                if not held or held[-1][:2] != (u, f):
-                    held.append((u, f, w))
-        if held:
-            yield done()
+            for s, u, f, w in zip(*(batch.column(c).to_pylist() for c in ("shard", "uid", "first", "words")), strict=True):
+                if s != shard or automaton.size >= shard_words:
+                    close()
+                    shard = s
+                automaton.add([number.setdefault(x, len(number)) for x in w.split(b" ")])
+                places.append((u, f))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], ["shard", "file"])
+
+    ordered = heads.repartitionByRange(parts, "shard", "doc_id", "uid", "first").sortWithinPartitions("shard", "doc_id", "uid", "first")
+    return materialize(ordered.select("shard", "uid", "first", "words").mapInArrow(run, "shard long, file string"), "automata")
+
 
-    return rows.select("anchor", "uid", "first", "words").mapInArrow(run, "uid long, starts array<int>")
+def open_references(folder: str, shard: int) -> Iterator[Reference]:
+    """A shard's automata, one at a time, in the order of their segments."""
+    from pyarrow import fs
 
+    disk, path = open_folder(f"{folder}/{shard:012d}")
+    for file in sorted(x.path for x in disk.get_file_info(fs.FileSelector(path)) if not x.base_name.startswith(".")):
+        with disk.open_input_stream(file) as f:
+            yield Reference(f.read())
 
-def _by_window(rows: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments: windows meet by a hash of their words instead, and no task holds an anchor."""
+
+def stream(rows: DataFrame, folder: str, parts: int, window: int) -> DataFrame:
+    """(uid, a, b): runs of windows, from a to b, that first occur elsewhere; ``rows``: shard, uid, first, words of every segment.
+
+    Tasks get ranges of (shard, uid, first), so a hot shard is dealt to several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def done() -> pa.RecordBatch:
+            seen: list[dict] = [{} for _ in held]
+            for reference in open_references(folder, shard):
+                for found, (_, _, words) in zip(seen, held, strict=True):
+                    for at, place in reference.first_places(words.split(b" "), window).items():
+                        found.setdefault(at, place)  # files are in the order of places: the first to hold a window decides
+            uids, first, last = [], [], []
+            for found, (u, f, _) in zip(seen, held, strict=True):
+                starts = [f + at for at, place in sorted(found.items()) if place != (u, f + at)]
+                for x in starts:
+                    if uids and uids[-1] == u and last[-1] == x - 1:
+                        last[-1] = x
+                    else:
+                        uids.append(u)
+                        first.append(x)
+                        last.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["uid", "a", "b"])
+
         for batch in batches:
-            uids, docs, starts, keys = [], [], [], []
-            for i, (f, w) in enumerate(zip(batch.column("first").to_pylist(), batch.column("words").cast(pa.binary()).to_pylist(), strict=True)):
-                words = w.split(b" ")
-                for k in range(len(words) - window + 1):
-                    uids.append(i)
-                    starts.append(f + k)
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])))
-            one = pa.array(uids, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").take(one), batch.column("doc_id").take(one), pa.array(starts, pa.int32()), pa.array(keys, pa.binary())], ["uid", "doc_id", "start", "key"]
-            )
+            for s, u, f, w in zip(*(batch.column(c).to_pylist() for c in ("shard", "uid", "first", "words")), strict=True):
+                if s != shard:
+                    if held:
+                        yield done()
+                    shard, held = s, []
+                held.append((u, f, w))
+        if held:
+            yield done()
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    every = materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, start int, key binary"), "hot-windows")
-    first = every.groupBy("key").agg(F.min(F.struct("doc_id", "uid", "start")).alias("f"))
-    later = every.join(first, "key").filter(F.struct("doc_id", "uid", "start") != F.col("f"))
-    return later.select("uid", F.array("start").alias("starts"))
+    ordered = rows.select("shard", "uid", "first", "words").repartitionByRange(parts, "shard", "uid", "first").sortWithinPartitions("shard", "uid", "first")
+    return ordered.mapInArrow(run, "uid long, a int, b int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_SEGMENTS, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = False,
+    shard_words: int = SHARD_WORDS,
+    common_places: int = COMMON,
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row.
 
     Null texts have no words.  Rows that repeat id and text are one document and get equal
     results; rows with one id and other texts are separate, in the order of a hash; null
-    ids come first; other columns are ignored; an empty table gives no rows.
+    ids come first; texts of any length are judged whole; other columns are ignored; an
+    empty table gives no rows.
     """
     own = describe(docs, window, gram, id_col, text_col)
     nothing = hashlib.sha256(b"").hexdigest()
-    # equal word sequences: the first goes on, the others are repeats as a whole
+    # equal word sequences: the later ones hold nothing that doesn't start earlier; stored, so that a hot one's partition can be split
     order = F.struct(F.col("doc_id").alias("d"), F.col("uid").alias("u"))
-    firsts = own.groupBy("sha").agg(F.min(order).alias("f")).select("sha", F.col("f.u").alias("f"))
+    firsts = materialize(own.groupBy("sha").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).select("sha", F.col("f.u").alias("f")), "firsts")
     told = materialize(own.select("uid", "doc_id", "n_words", "sha").join(firsts, "sha").withColumn("is_first", F.col("uid") == F.col("f")).drop("f"), "told")
+    rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))
     reps = drop_rows(own, "uid", told.filter("not is_first").select("uid")).filter(f"n_words >= {window}")
-    places = reps.select("uid", "doc_id", F.explode_outer(F.arrays_zip("anchors", "firsts")).alias("z")).select("uid", "doc_id", F.col("z.anchors").alias("anchor"), F.col("z.firsts").alias("first"))
-    # stored: most places are dropped before the join, which is of two plain shuffles, so that a hot anchor's partition can be split
-    often = materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "often")
-    shared = keep_candidates(places, "anchor", often).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list("first").alias("firsts"))
+
+    def often(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        places = reps.select("uid", "doc_id", F.explode_outer(F.arrays_zip("anchors", "firsts")).alias("z")).select("uid", "doc_id", F.col("z.anchors").alias("anchor"), F.col("z.firsts").alias("first"))
+        return places, materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+
+    places, anchors = often(reps)
+    total = anchors.agg(F.sum("n")).first()[0] or 0
+    common = common_grams(rows, reps, anchors, max(common_places, total >> 20), window, gram, text_col)
+    if common is not None:
+        reps = _anchors_anew(rows, reps, common, window, gram, text_col)
+        places, anchors = often(reps)
+    # most places are dropped before the join, which is of two stored sides, so that a hot anchor's partition can be split
+    shared = keep_candidates(places, "anchor", anchors.select("anchor")).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list("first").alias("firsts"))
     shared = materialize(shared, "shared")
-    rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))
-    cut = materialize(_cut(rows, shared, window, gram, text_col), "cut")
+    cut = materialize(_cut(rows, shared, common, window, gram, text_col), "cut")
     place = F.struct("doc_id", "uid", "first")
-    merged = cut.groupBy("anchor", "key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
-    merged = materialize(merged, "merged")
-    # equal segments: all but the earliest are repeats as a whole
-    later = cut.join(merged.filter("n > 1").select("anchor", "key", "f"), ["anchor", "key"]).filter(place != F.col("f"))
-    whole = later.select("uid", F.expr("sequence(first, first + windows - 1)").alias("starts"))
-    # a window never comes twice in one segment (its second anchor is a segment further), so an anchor needs two different ones
-    counts = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1")
-    heads = merged.select("anchor", F.col("f.uid").alias("uid"), F.col("f.first").alias("first")).join(counts, "anchor")
-    heads = heads.join(cut.select("uid", "first", "doc_id", "words"), ["uid", "first"])
-    usual = heads.filter(F.col("segments") <= hot).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "uid", "first")
-    found = _stream(usual, window).union(_by_window(heads.filter(F.col("segments") > hot), window)).union(whole)
-    starts = materialize(found.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    merged = materialize(cut.groupBy("anchor", "key").agg(F.min(place).alias("f"), F.first("n").alias("n")).select("anchor", "f.*", "n"), "merged")
+    size = merged.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-size // shard_words))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    parts = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // TASK_WORDS))
+    folder = new_folder(docs.sparkSession, "reference")
+    segment = F.xxhash64("uid", "first").alias("segment")
+    heads = keep_candidates(cut.select(segment, shard, "doc_id", "uid", "first", "words"), "segment", merged.select(segment))
+    build_reference(heads, folder, min(parts, shards), shard_words)
+    starts = stream(cut.select(shard, "uid", "first", "words"), folder, parts, window).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    starts = materialize(starts, "starts")
     changed = keep_candidates(rows, "uid", starts.select("uid")).join(starts, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +441,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             removed, sha, left = [], [], []
             for i, text in enumerate(binary_column(batch, text_col)):
                 words = (text or b"").split()
-                at = np.unique(batch.column("starts")[i].values.to_numpy())
+                spans = batch.column("runs")[i].values
                 step = np.zeros(len(words) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
+                np.add.at(step, spans.field("a").to_numpy(), 1)
+                np.add.at(step, spans.field("b").to_numpy() + window, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 kept = b" ".join(compress(words, (~gone).tolist()))
                 removed.append(int(gone.sum()))

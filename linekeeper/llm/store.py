@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing is set (tests, a laptop) a folder of our own is made and set.
+    Where nothing is set, a local session (tests, a laptop) gets a folder of its own; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="linekeeper-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -71,12 +74,16 @@ def id_filter(ids: DataFrame, uid: str, bits: int = FILTER_BITS) -> np.ndarray:
     return words
 
 
-def _hits(batch: pa.RecordBatch, uid: str, words: np.ndarray) -> np.ndarray:
-    """Which rows' ``uid`` the filter has."""
-    slot = np.mod(batch.column(uid).to_numpy(zero_copy_only=False).astype(np.int64), len(words) * 64)
+def has_ids(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of ``ids`` (64-bit) the filter has."""
+    slot = np.mod(ids, len(words) * 64)
     return ((words[slot >> 6] >> (slot & 63)) & 1).astype(bool)
 
 
+def _hits(batch: pa.RecordBatch, uid: str, words: np.ndarray) -> np.ndarray:
+    return has_ids(batch.column(uid).to_numpy(zero_copy_only=False).astype(np.int64), words)
+
+
 def keep_candidates(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``uid`` (long) occurs in ``ids`` (a stored table).
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from tests.llm import brute
+from tests.llm.conftest import prose
 
 from linekeeper.llm import decontaminate, near_copies, packing, quality_model, quality_rules, repeats, secrets, sharding, token_files, tokens, warc
 
@@ -240,10 +241,22 @@ def test_quality_rules_of_nothing(empty):
 # -- 6: repeats ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [5000, 1])
-def test_repeats(odd, odd_rows, hot):
+@pytest.mark.parametrize(("shard_words", "common"), [(200_000, 4096), (30, 2)])
+def test_repeats(odd, odd_rows, shard_words, common):
     want = brute.repeats(list(dict.fromkeys(odd_rows)))
-    same([tuple(r) for r in repeats.remove_repeats(odd, hot=hot).collect()], [want[d] for d, _ in odd_rows])
+    same([tuple(r) for r in repeats.remove_repeats(odd, shard_words=shard_words, common_places=common).collect()], [want[d] for d, _ in odd_rows])
+
+
+@pytest.mark.parametrize(("shard_words", "common"), [(200_000, 4096), (100, 3)])
+def test_repeats_of_a_common_passage(spark, shard_words, common):
+    """A passage in other surroundings each time, near copies of one text, and a text made of few words."""
+    passage, base = prose(21, 45), prose(22, 90).split()
+    rows = [(i, f"{prose(100 + i, 12)} {passage} {prose(200 + i, 25)}") for i in range(40)]
+    rows += [(100 + i, " ".join([*base[: 20 + i], "changed", *base[20 + i :]])) for i in range(40)]
+    rows += [(200 + i, " ".join("ab"[(k * k + i) % 7 % 2] for k in range(150))) for i in range(8)]
+    want = brute.repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same([tuple(r) for r in repeats.remove_repeats(df, shard_words=shard_words, common_places=common).collect()], list(want.values()))
 
 
 def test_repeats_of_nothing(empty):
@@ -251,18 +264,21 @@ def test_repeats_of_nothing(empty):
 
 
 def test_automaton_against_brute_force():
+    """Every window's first place in the reference, and matching across no ends."""
     rng = np.random.default_rng(1)
     for _ in range(200):
-        seqs = [rng.integers(0, 3, rng.integers(0, 14)).tolist() for _ in range(4)]
-        seen, want = set(), []
-        for s in seqs:
-            own = []
+        seqs = [rng.integers(0, 3, rng.integers(1, 14)).tolist() for _ in range(4)]
+        first = {}
+        for k, s in enumerate(seqs):
             for i in range(len(s) - 2):
-                if tuple(s[i : i + 3]) in seen:
-                    own.append(i)
-                seen.add(tuple(s[i : i + 3]))
-            want.append(own)
-        assert repeats.repeated_in(seqs, 3) == want
+                first.setdefault(tuple(s[i : i + 3]), (k, i))
+        automaton = repeats.SuffixAutomaton()
+        for s in seqs:
+            automaton.add(s)
+        reference = repeats.Reference(automaton.packed([b"a", b"b", b"c"], [(k, 0) for k in range(4)]))
+        for s in [*seqs, rng.integers(0, 4, 30).tolist()]:
+            want = {i: first[tuple(s[i : i + 3])] for i in range(len(s) - 2) if tuple(s[i : i + 3]) in first}
+            assert reference.first_places([b"abcd"[v : v + 1] for v in s], 3) == want
 
 
 # -- 7: WARC ---------------------------------------------------------------------
