@@ -3,17 +3,20 @@
 The plan is made over counts: for each length, longest first, the fullest sequences that
 still take it are filled, whole runs of equal sequences at a time.  It has a size that
 depends on the capacity only.  Documents then take the planned slots by their rank among
-the pieces of their length.
+the pieces of their length: a task numbers its own pieces of each length as it cuts them,
+and the counts of the tasks before it are added, so no task ever ranks a whole length.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +25,6 @@ from linekeeper.llm.store import materialize
 from linekeeper.llm.tokens import crc, default_path, encoded
 
 CAPACITY = 4096
-#: Pieces of one length that a task ranks together.
-RANK_GROUP = 1_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
@@ -73,13 +74,14 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; only documents over the capacity are cut."""
+    """doc_id, piece, start, length, ids_crc32 of each piece, and its number ``r`` among those of its length in ``task``; only documents over the capacity are cut."""
     path = tokenizer or default_path()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), Counter()
         for ids, tokens in encoded(batches, path, id_col, text_col):
-            row, piece, start, length, crcs = [], [], [], [], []
+            row, piece, start, length, crcs, number = [], [], [], [], [], []
             for i, data in enumerate(tokens):
                 for k, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a : a + 4 * capacity]
@@ -88,28 +90,27 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                     start.append(a // 4)
                     length.append(len(part) // 4)
                     crcs.append(crc(part))
+                    number.append(seen[length[-1]])
+                    seen[length[-1]] += 1
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crcs)]],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [ids.take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crcs)], pa.array([task] * len(row), pa.int32()), pa.array(number, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "task", "r"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, r long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``doc_id, piece, start, length, ids_crc32`` (a stored table: it is read three times)."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """sequence_id and offset of the rows of cut_pieces (a stored table: it is read three times, and its numbers stay)."""
     spark = pieces.sparkSession
+    per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     # one row for each length: at most ``capacity`` of them
-    counts = {int(k): int(n) for k, n in pieces.groupBy("length").count().collect()}
+    counts = {int(k): int(n) for k, n in per_task.groupBy("length").agg(F.sum("n")).collect()}
     plan, _ = plan_best_fit(counts, capacity)
-    # a length with many pieces is ranked in sub-groups, whose sizes are summed up first
-    groups = spark.createDataFrame([(k, 1 + n // rank_group) for k, n in counts.items()] or [(0, 1)], "length long, groups long")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
-    before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("length", "g").count().select("length", "g", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "g").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("r", F.row_number().over(within)).join(base, ["length", "g"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r") - 1).alias("r"))
+    # a length's counts: one row for each task
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = pieces.join(base, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r")).alias("r"))
     plan = plan.sort_values(["length", "rank"], ignore_index=True)
     sent = spark.sparkContext.broadcast({c: plan[c].to_numpy() for c in plan.columns})
 
@@ -138,8 +139,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """Tokenize, cut and pack: a row for each piece with its place.
 
     Null text counts as empty: one piece that holds the end id alone.  Repeated rows and
-    ids get places of their own, null ids too; an empty table gives no rows; other columns
-    are ignored.  Ids with several texts keep their pieces apart by ids_crc32 only.
+    ids get places of their own, null ids too; texts of any length are cut whole; an empty
+    table gives no rows; other columns are ignored.
     """
     return pack_pieces(materialize(cut_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity)
 
