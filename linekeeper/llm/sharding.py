@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linekeeper.llm.store import materialize
+
 #: Sub-groups of a shard for numbering rows: no task numbers a whole shard.
 SLOT_BUCKETS = 1024
 
@@ -96,23 +98,24 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     """
     tree = tree or Tree.even(shards)
     key = F.col("doc_id").cast("string")
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.coalesce(key, F.lit("\u0000"))), 1, 7), 16, 10).cast("long"), F.lit(SLOT_BUCKETS)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    placed = assign(rows, key, tree, "shard").withColumn("bucket", bucket)
-    # counts need the ids alone: the scan reads one column; shards * SLOT_BUCKETS rows at most
-    counts = assign(docs.select(F.col(id_col).alias("doc_id")), key, tree, "shard").withColumn("bucket", bucket)
-    counts = counts.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # stored once: the texts are read and the draws are made a single time, and a row's number stays as it is
+    placed = materialize(assign(assign(rows, key, tree, "shard"), key, tree.grown(), "grown_shard"), "placed")
+    # sub-groups by the row's number, so that rows of one id or text spread; shards * SLOT_BUCKETS counts at most
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(SLOT_BUCKETS)).cast("int"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "bucket").orderBy("row")
     numbered = placed.withColumn("r", F.row_number().over(within)).join(F.broadcast(base), ["shard", "bucket"])
-    out = numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("r") - 1).cast("long").alias("slot"))
-    return assign(out, key, tree.grown(), "grown_shard")
+    slot = (F.col("base") + F.col("r") - 1).cast("long").alias("slot")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
