@@ -12,7 +12,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,7 +60,7 @@ def capture_records(page: object, url: str | None, number: int, payload: bytes,
         [("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, url, number, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")],
         asked,
     )
-    fields = b"" if page is None else f"pageId: {page}\r\n".encode()
+    fields = b"" if page is None else f"pageId: {quote(str(page), safe='')}\r\n".encode()
     metadata = _record(
         [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, url, number, digest)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")],
         fields,
@@ -71,15 +71,16 @@ def capture_records(page: object, url: str | None, number: int, payload: bytes,
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> tuple[str, DataFrame]:
     """Write ``pages`` as .warc.gz files; returns the folder and the list of files (file, records).
 
-    Of equal payloads with ``min_bytes`` bytes or more, the one with the smallest id is
-    written whole, the others as revisits of it.
+    Of equal payloads with ``min_bytes`` bytes or more, the one with the smallest id (any
+    type) is written whole, the others as revisits of it.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     body = F.coalesce(F.col(body_col), F.lit(""))
     # a row's partition and place in it: the same again in a repeated task, as files are read in order
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.monotonically_increasing_id().alias("number"))
-    # pre-aggregated, so that many equal payloads cost one row a task; the join's hot keys are for AQE to split
-    first = rows.groupBy("sha1").agg(F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url", "number"))).alias("first"))
+    # pre-aggregated, so that many equal payloads cost one row a task, and stored: the join is then of
+    # two plain shuffles, in which adaptive execution splits the partition of a hot payload
+    first = materialize(rows.groupBy("sha1").agg(F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url", "number"))).alias("first")), "warc-firsts")
     joined = rows.join(first, "sha1").select("page", "url", "number", "body", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +143,16 @@ def parse_archive(raw: bytes) -> Iterator[dict]:
                     raise ValueError(f"payload of {out['record_id']} does not match its digest")
             elif kind == "metadata":
                 fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
-                out["page_id"] = int(fields["pageId"]) if "pageId" in fields else None
+                out["page_id"] = unquote(fields["pageId"]) if "pageId" in fields else None
             yield out
 
 
-def read_records(spark, folder: str, payloads: bool = False) -> DataFrame:
-    """A row for each WARC record in the folder's files."""
+def read_records(spark, folder: str, payloads: bool = False, id_kind: str = "long") -> DataFrame:
+    """A row for each WARC record in the folder's files; ``id_kind``: type of the page ids, which the records hold as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = {"payload_bytes": pa.int64(), "page_id": pa.int64(), "payload": pa.binary()}
+        kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
 
         def made(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] if payloads or n != "payload" else None for r in rows], kinds.get(n, pa.string())) for n in names], names)
@@ -168,7 +169,7 @@ def read_records(spark, folder: str, payloads: bool = False) -> DataFrame:
                     yield made(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD.replace("page_id long", "page_id string")).withColumn("page_id", F.col("page_id").cast(id_kind))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -201,15 +202,17 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     Every row of pages is a capture of its own, also one that repeats another; with an empty
     table there are no files and no rows; other columns are ignored.
     """
-    folder, files = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    folder, files = write_archives(pages)
     if not files.isEmpty():
-        rows = assemble(read_records(spark, folder))
+        rows = assemble(read_records(spark, folder, id_kind=kind))
     else:
         rows = assemble(spark.createDataFrame([], RECORD))
     return rows.select(
-        F.col("metadata.page_id").alias("page_id"),
+        F.col("metadata.page_id").cast(kind).alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        "refers_to",
+        F.col("refers_to").cast(kind).alias("refers_to"),
     )
