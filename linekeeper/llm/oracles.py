@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from linekeeper.llm.secrets import RULES
-
+#: (kind, expression, group, its least number of characters): fixed values of the scan, then those of the kinds beyond them.
+SECRETS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("bearer", r"[bB][eE][aA][rR][eE][rR]\x20+([A-Za-z0-9+/_.=-]+)", 1, 16),
+    ("url_login", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 3),
+    ("hook", r"hooks\.[a-z]+\.com/services/([A-Za-z0-9/_-]+)", 1, 20),
+)
 WS = r"[\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -52,12 +60,12 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 
 def _secrets() -> str:
     parts = []
-    for k, rule in enumerate(RULES):
-        p = rule.pattern.replace("'", "''")
+    for k, (kind, pattern, group, least) in enumerate(SECRETS):
+        p = pattern.replace("'", "''")
         parts.append(
-            f"""SELECT doc_id, {k} AS ord, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s,
- unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(g, lambda x: length(x))) AS size, {rule.least} AS least
- FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}', {rule.group}) AS g FROM d)"""
+            f"""SELECT doc_id, {k} AS ord, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s,
+ unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(g, lambda x: length(x))) AS size, {least} AS least
+ FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}', {group}) AS g FROM d)"""
         )
     rows = " UNION ALL ".join(parts)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({rows}), k AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM f WHERE size >= least),

@@ -5,6 +5,11 @@ hold: an OR of ANDs (alternatives of mandatory literals).  The index lists, for
 trigram that some query names, the documents that hold it; a rule's candidates are the
 documents in the intersection of its postings, and only these are searched with the
 expression.  Rules without mandatory trigrams search every document.
+
+The candidates are stored, and a filter of fixed size tells in the scan which documents
+can be among them: only those texts are shuffled to meet their candidate's row.  From some
+ten million candidates on the filter lets more and more others through, at last all; the
+join alone decides.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import row_uid
+from linekeeper.llm.store import materialize, row_uid
 
 
 @dataclass(frozen=True)
@@ -186,28 +191,57 @@ def spans_of(rule: Rule, order: int, text: str = "__text") -> Column:
     )
 
 
+#: Longs of the filter over candidates: 2 MB, whatever the data.
+FILTER_LONGS = 1 << 18
+
+
+def uid_filter(ids: DataFrame, uid: str = "__uid", longs: int = FILTER_LONGS) -> Column:
+    """One-hash filter over ``uid``, as a scalar: an array of ``longs`` bit sets."""
+    slot = f"pmod({uid}, {64 * longs})"
+    seen = ids.select(F.expr(f"cast({slot} div 64 as int) as w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int)) as m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    every = ids.sparkSession.range(longs).select(F.col("id").cast("int").alias("w")).join(seen, "w", "left").na.fill(0, ["m"])
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("bits")).scalar()
+
+
+def _no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)")
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "found") -> DataFrame:
     """Every row with ``out``: all matches as an array of (start, ord, kind, end), sorted.
 
-    Null text counts as empty: no match.  Rows that repeat id and text share candidates and
-    give equal results; null ids are kept; an empty table gives no rows.
+    Null text counts as empty: no match; texts of any length are searched whole.  Rows that
+    repeat id and text share candidates and give equal results, each its own row; matches
+    that begin at one place are in the order of the rules; null ids are kept; a column of
+    the input named as ``out`` gives way; an empty table gives no rows.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     indexed = [k for k, q in enumerate(queries) if q != ANY]
+    columns = [c for c in docs.columns if c != out]
     rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__uid", row_uid(id_col, text_col))
-    if indexed:
-        names = sorted({t for k in indexed for part in queries[k] for t in part})
-        hits = candidates(postings(rows, names), [queries[k] for k in indexed])
-        rows = rows.join(hits, "__uid", "left")
-    parts = []
-    for k, rule in enumerate(rules):
-        spans = spans_of(rule, k)
-        if k in indexed:
-            asked = F.col("__rules").bitwiseAND(F.lit(1 << indexed.index(k))) != 0
-            spans = F.when(F.col("__rules").isNotNull() & asked, spans).otherwise(F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)"))
-        parts.append(spans)
-    found = F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
-    return rows.withColumn(out, found).drop("__uid", "__text", "__rules")
+
+    def searched(part: DataFrame, asked: bool) -> DataFrame:
+        """``part`` with the spans; rules with an index only for rows that are their candidates."""
+        spans = []
+        for k, rule in enumerate(rules):
+            if k not in indexed:
+                spans.append(spans_of(rule, k))
+            elif asked:
+                mine = F.col("__rules").bitwiseAND(F.lit(1 << indexed.index(k))) != 0
+                spans.append(F.when(F.col("__rules").isNotNull() & mine, spans_of(rule, k)).otherwise(_no_spans()))
+        found = F.array_sort(F.concat(*spans)) if len(spans) > 1 else spans[0] if spans else _no_spans()
+        return part.select(*columns, found.alias(out))
+
+    if not indexed:
+        return searched(rows, False)
+    names = sorted({t for k in indexed for part in queries[k] for t in part})
+    # stored: the join below is then of two plain shuffles, in which the partition of a hot text can be split
+    hits = materialize(candidates(postings(rows, names), [queries[k] for k in indexed]), "candidates")
+    marked = rows.withColumn("__bits", uid_filter(hits))
+    slot = f"pmod(__uid, {64 * FILTER_LONGS})"
+    maybe = F.expr(f"(shiftrightunsigned(__bits[cast({slot} div 64 as int)], cast({slot} % 64 as int)) & 1L) = 1L")
+    inside = searched(marked.filter(maybe).drop("__bits").join(hits, "__uid", "left"), True)
+    return searched(marked.filter(~maybe), False).unionByName(inside)
 
 
 def listed(found: str, kinds: tuple[str, ...] | None = None) -> Column:
@@ -217,7 +251,11 @@ def listed(found: str, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with each secret replaced by ``mark``; overlapping matches become one mark.  Null texts stay null."""
+    """``docs`` with each secret replaced by ``mark``; overlapping matches become one mark.
+
+    Null texts stay null; rows that repeat a text are changed alike, each its own row; an
+    empty table gives no rows; other columns stay as they are, whatever their names.
+    """
     columns = docs.columns
     found = scan_secrets(docs.withColumn("__one", F.lit(1)), rules, "__one", text_col, "__found")
     merged = F.expr(
