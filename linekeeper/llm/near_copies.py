@@ -1,8 +1,12 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Texts with equal shingle sets form a class, of which one takes part.  A class's shingles
-are ordered rare first by a count over all documents; two sets that reach the threshold
-share one of their first few.  Candidates meet on these prefix shingles:
+are ordered rare first; two sets that reach the threshold share one of their first few.
+The order: shingles that tasks meet again and again are counted by hash over all
+documents, the TOP most frequent of them come last, by their counts; all others are rarer
+than these and come first, by hash.  (Any common order gives right results; this one keeps
+frequent shingles out of the prefixes at every size of the corpus, with a table of fixed
+size.)  Candidates meet on the prefix shingles:
 
 * first every class meets one pivot of each of its prefix shingles, and the links found
   join most of a group of near copies into one component;
@@ -10,7 +14,9 @@ share one of their first few.  Candidates meet on these prefix shingles:
   components meet.  A pair within one component needs no check: it is linked anyhow.
 
 So no link between components is lost, and a group of n near copies costs about n checks,
-not all pairs.  Every pair is verified once, on the whole sets.
+not all pairs.  Pairs pass the length and positional filters as they are formed, then the
+suffix filter on bit signatures of the sets (128 bytes a class); only the texts of what is
+left are read, and every pair is verified once, on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ from linekeeper.llm.graph import components
 from linekeeper.llm.store import keep_candidates, materialize, row_uid
 from linekeeper.llm.words import hashed_texts, shingles
 
-#: Cells of the shingle counts: the order of shingles needs no exact counts, only one order for all.
-CELLS = 1 << 17
+#: Frequent shingles that are told apart in the order.
+TOP = 1 << 18
+#: Shingles that a task counts together, and from how many equal ones on it reports one.
+CHUNK, REPORT = 1 << 22, 3
+#: Bits of a set's signature.
+SIGNATURE_BITS = 1024
 #: Classes that meet one pivot of a shingle; more are dealt to several, whose pivots meet in turn.
 PIVOT_GROUP = 4000
 
@@ -39,48 +49,95 @@ def prefix_size(n: Column | np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _shingle_counts(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
-    """Documents per cell of hashed shingles, over all documents: CELLS values at most reach the driver."""
+def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the most frequent shingles, TOP at most.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            held = [shingles(h, size) % np.uint64(CELLS) for _, h in hashed_texts(batch, text_col, True)]
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=CELLS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["cell", "n"])
+    A shingle is counted where CHUNK shingles in a row hold it REPORT times or more, which
+    bounds a task's memory and what is shuffled.
+    """
 
-    rows = docs.select(text_col).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(CELLS, np.int64)
-    total[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return total
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
+        def report() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(every)))
+            often = times >= REPORT
+            return pa.RecordBatch.from_arrays([pa.array(every[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "n"])
 
-def rare_first(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the common order: by the count of its cell, then by hash."""
-    return sets[np.lexsort((sets, counts[(sets % np.uint64(len(counts))).astype(np.int64)]))]
+        for batch in batches:
+            for _, hashes in hashed_texts(batch, text_col, True):
+                own = shingles(hashes, size)
+                held.append(own)
+                n += len(own)
+                if n >= CHUNK:
+                    yield report()
+                    held, n = [], 0
+        yield report()
+
+    rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = materialize(rows, "frequent")
+    # the least count with which TOP shingles or fewer are left, from a histogram of some hundred rows
+    level = F.floor(F.log2("n") * 8).cast("int")
+    steps = sorted(((r.level, r.n) for r in rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for k, n in steps:
+        if total + n > TOP:
+            break
+        total, least = total + n, k
+    got = rows.filter(level >= (least if least is not None else 1 << 30)).toPandas().sort_values("shingle")
+    hashes = got["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], got["n"].to_numpy(np.int64)[order]
+
+
+def known_counts(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of shingles, 0 of those that aren't among the frequent ones."""
+    hashes, counts = frequent
+    if not len(hashes):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+    return np.where(hashes[at] == values, counts[at], 0)
+
+
+def rare_first(sets: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A set (ascending) in the common order, by count and then by hash, and its counts."""
+    n = known_counts(sets, frequent)
+    order = np.argsort(n, kind="stable")
+    return sets[order], n[order]
+
+
+def signature(sets: np.ndarray) -> bytes:
+    """A bit for each shingle; sets differ in as many shingles at least as signatures in bits."""
+    bits = np.zeros(SIGNATURE_BITS, np.uint8)
+    bits[(sets % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter for pairs of signatures (rows of bytes) of sets of n1 and n2 shingles: false where they can't reach the threshold."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+    return (100 + percent) * (n1 + n2 - apart) >= 2 * percent * (n1 + n2)
 
 
 def describe(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, n, digest of the set, its prefix and how many pivots each prefix shingle has (stored)."""
-    counts = _shingle_counts(docs, size, text_col)
-    spark = docs.sparkSession
-    usual = int(counts.mean()) if len(counts) else 0
-    sent = spark.sparkContext.broadcast(counts)
+    """uid, doc_id, n, digest and signature of the set, its prefix and how many pivots each prefix shingle has (stored)."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
+        frequent = sent.value
         for batch in batches:
-            n, digest, prefix, pivots = [], [], [], []
+            n, digest, bits, prefix, pivots = [], [], [], [], []
             for _, hashes in hashed_texts(batch, text_col, True):
                 s = shingles(hashes, size)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                first = rare_first(s, cells)[: prefix_size(len(s), percent)] if len(s) else s
-                over = cells[(first % np.uint64(len(cells))).astype(np.int64)] - 2 * usual
+                bits.append(signature(s))
+                first, often = (x[: prefix_size(len(s), percent)] for x in rare_first(s, frequent))
                 prefix.append(first.view(np.int64))
-                pivots.append((1 + np.maximum(over, 0) // PIVOT_GROUP).astype(np.int32))
+                pivots.append((1 + often // PIVOT_GROUP).astype(np.int32))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             many = np.concatenate(pivots) if pivots else np.zeros(0, np.int32)
@@ -90,14 +147,15 @@ def describe(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
                     batch.column(id_col),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
+                    pa.array(bits, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(many)),
                 ],
-                ["uid", "doc_id", "n", "digest", "prefix", "pivots"],
+                ["uid", "doc_id", "n", "digest", "bits", "prefix", "pivots"],
             )
 
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), id_col, text_col)
-    return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, n long, digest binary, prefix array<long>, pivots array<int>"), "shingle-sets")
+    return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, n long, digest binary, bits binary, prefix array<long>, pivots array<int>"), "shingle-sets")
 
 
 def _reach(a: str, b: str, percent: int) -> Column:
@@ -127,11 +185,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return (100 + percent) * common >= percent * total
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text_col: str, name: str) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, text_col: str, name: str) -> DataFrame:
     """The pairs (a, b) of uids whose texts reach the threshold (stored).
 
-    Texts of candidates alone are shuffled: b's text goes to a, whose set is made once.
+    Signatures first; texts of the candidates left alone are shuffled: b's text goes to a,
+    whose set is made once.
     """
+    bits = sets.select("uid", "n", "bits")
+    side = lambda x: bits.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"bits_{x}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in "ab")
+            n1, n2 = (batch.column(f"n_{x}").to_numpy() for x in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(a, b, n1, n2, percent)))
+
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(narrow, "a long, b long").distinct(), f"{name}-pairs")
     ids = materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct(), f"{name}-ids")
     texts = keep_candidates(docs, "uid", ids)
     left = pairs.join(texts.withColumnRenamed("uid", "b").withColumnRenamed(text_col, "text_b"), "b")
@@ -162,7 +231,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     component_id is the smallest id that links reach.  Null, empty and blank texts have no
     shingles and are their own component; equal texts are always linked; repeated rows get
     equal results; null ids take part and are never a component's id unless it has no
-    other; other columns are ignored; an empty table gives no rows.
+    other; texts of any length take part whole; other columns are ignored; an empty table
+    gives no rows.
     """
     member = members(docs, size, percent, id_col, text_col)
     # stored, so that the join is of two plain shuffles, in which a large component's partition can be split
@@ -195,14 +265,15 @@ def members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     first = F.first(me).over(Window.partitionBy("token", "deal").orderBy("pos", "node"))
     met = tokens.select("token", "pivots", me.alias("m"), first.alias("p")).filter("pivots > 1 or m.node <> p.node")
     met = materialize(met, "met")
-    # the pivots of one shingle meet the first of them in turn
-    top = F.first("p").over(Window.partitionBy("token").orderBy("p.pos", "p.node"))
-    dealt = met.filter("pivots > 1").select("token", "m", "p", top.alias("top"))
+    # the pivots of one shingle meet the first of them in turn; stored, so that a hot shingle's partition can be split
+    many = met.filter("pivots > 1")
+    tops = many.groupBy("token").agg(F.min(F.struct("p.pos", "p.node", "p.n")).alias("t")).select("token", F.struct("t.node", "t.n", "t.pos").alias("top"))
+    dealt = many.join(materialize(tops, "tops"), "token").select("token", "m", "p", "top")
     bridges = dealt.select("token", F.col("p").alias("m"), F.col("top").alias("p"), "top").distinct()
     met = met.filter("pivots = 1").select("token", "m", "p", F.col("p").alias("top")).union(dealt).union(bridges)
     pairs = met.filter((F.col("m.node") != F.col("p.node")) & _reach("m", "p", percent)).select(F.col("p.node").alias("a"), F.col("m.node").alias("b")).distinct()
     pairs = materialize(pairs, "star-pairs")
-    links = verify(pairs, rows, size, percent, text_col, "star-links")
+    links = verify(pairs, sets, rows, size, percent, text_col, "star-links")
     roots = components(links, "star")
     # shingles whose members are in several components
     root = lambda x: F.coalesce(F.col(f"{x}_root"), F.col(f"{x}.node"))
@@ -210,14 +281,14 @@ def members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
         roots.select(F.col("node").alias("pn"), F.col("root").alias("top_root")), F.col("top.node") == F.col("pn"), "left"
     )
     known = materialize(known.select("token", F.struct("m.*", root("m").alias("root")).alias("m"), root("top").alias("top_root")), "rooted")
-    outside = known.filter("m.root <> top_root").select("token", F.col("m").alias("o")).distinct()
+    outside = materialize(known.filter("m.root <> top_root").select("token", F.col("m").alias("o")).distinct(), "outside")
     # every other member; an only pivot has met all already
-    inside = known.join(outside.select("token").distinct(), "token", "left_semi").select("token", "m").distinct()
+    inside = materialize(known.join(outside.select("token").distinct(), "token", "left_semi").select("token", "m").distinct(), "inside")
     rest = outside.join(inside, "token").filter((F.col("o.root") != F.col("m.root")) & _reach("o", "m", percent))
     rest = rest.select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest-pairs")
-    more = verify(rest, rows, size, percent, text_col, "rest-links")
+    more = verify(rest, sets, rows, size, percent, text_col, "rest-links")
     roots = components(links.union(more), "all")
     member = sets.select("uid", "doc_id", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
     return materialize(member.select("uid", "doc_id", "n", F.coalesce("root", "node").alias("root")), "members")
