@@ -4,9 +4,10 @@ A value takes 1 to 4 bytes; its two-bit length code goes to the control bytes, f
 byte, and its bytes to the data.  Frequent ids get small ranks, hence one byte.  Decoding
 looks the four lengths of each control byte up in a table.
 
-File: b"LKTF", version, file number, then blocks.  Block: header, null flags, document
-ids, token counts, control bytes, data bytes, crc32 of these.  ``vocabulary.lkt`` holds
-the id of each rank.
+File: b"LKTF", version, file number, then blocks.  Block: header (sizes and crc32 of what
+follows), document ids, token counts, control bytes, data bytes.  Ids: null flags, then
+64-bit numbers, or texts' lengths and UTF-8 bytes.  ``vocabulary.lkt`` holds the id of
+each rank.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from linekeeper.llm.tokens import crc, default_path, encoded
 FILE_TOKENS = 16_000_000
 BLOCK_TOKENS = 1_000_000
 
-MAGIC, VERSION = b"LKTF", 1
+MAGIC, VERSION = b"LKTF", 2
 FILE_HEAD = "<4sIQ"
-BLOCK_HEAD = "<IQQQI"
+BLOCK_HEAD = "<I?QQQQI"
 #: The four lengths that a control byte holds.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 PLACES = np.arange(4, dtype=np.uint8)
@@ -66,50 +67,75 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view(f"<u{width}").reshape(-1)
 
 
-def pack_block(ids: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
+def pack_ids(ids: list[int | str | None]) -> tuple[bool, bytes]:
+    """Whether the ids are texts, and their bytes."""
+    null = np.array([i is None for i in ids], np.uint8).tobytes()
+    if not any(isinstance(i, str) for i in ids):
+        return False, null + np.array([i or 0 for i in ids], "<i8").tobytes()
+    raw = [(i or "").encode() for i in ids]
+    return True, null + np.array([len(x) for x in raw], "<u4").tobytes() + b"".join(raw)
+
+
+def unpack_ids(n: int, texts: bool, raw: bytes) -> list[int | str | None]:
+    null = np.frombuffer(raw[:n], np.uint8).tolist()
+    if not texts:
+        values = np.frombuffer(raw[n:], "<i8").tolist()
+    else:
+        ends = (5 * n + np.cumsum(np.frombuffer(raw[n : 5 * n], "<u4").astype(np.int64))).tolist()
+        values = [raw[a:b].decode() for a, b in zip([5 * n, *ends[:-1]], ends, strict=True)]
+    return [None if z else i for z, i in zip(null, values, strict=True)]
+
+
+def pack_block(ids: list[int | str | None], counts: list[int], ranks: np.ndarray) -> bytes:
     control, data = encode_values(ranks)
-    body = b"".join(
-        [np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(counts, "<u4").tobytes(), control, data]
-    )
-    return struct.pack(BLOCK_HEAD, len(ids), len(ranks), len(control), len(data), crc(body)) + body
+    texts, own = pack_ids(ids)
+    body = b"".join([own, np.array(counts, "<u4").tobytes(), control, data])
+    return struct.pack(BLOCK_HEAD, len(ids), texts, len(own), len(ranks), len(control), len(data), crc(body)) + body
 
 
-def read_file(raw: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
+def read_file(raw: bytes) -> Iterator[tuple[int, list[int | str | None], np.ndarray, np.ndarray]]:
     """(file number, document ids, token counts, ranks) of each block; a damaged file is an error."""
     magic, version, number = struct.unpack_from(FILE_HEAD, raw)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token file of this version")
     at = struct.calcsize(FILE_HEAD)
     while at < len(raw):
-        n, total, n_control, n_data, check = struct.unpack_from(BLOCK_HEAD, raw, at)
+        n, texts, n_ids, total, n_control, n_data, check = struct.unpack_from(BLOCK_HEAD, raw, at)
         at += struct.calcsize(BLOCK_HEAD)
-        body = memoryview(raw)[at : at + 13 * n + n_control + n_data]
+        control = n_ids + 4 * n
+        body = memoryview(raw)[at : at + control + n_control + n_data]
         if crc(body) != check:
             raise ValueError(f"block at byte {at} is damaged")
-        null = np.frombuffer(body[:n], np.uint8)
-        ids = [None if z else i for z, i in zip(null.tolist(), np.frombuffer(body[n : 9 * n], "<i8").tolist(), strict=True)]
-        counts = np.frombuffer(body[9 * n : 13 * n], "<u4")
-        yield number, ids, counts, decode_values(body[13 * n : 13 * n + n_control], body[13 * n + n_control :], total)
+        counts = np.frombuffer(body[n_ids:control], "<u4")
+        yield number, unpack_ids(n, texts, bytes(body[:n_ids])), counts, decode_values(body[control : control + n_control], body[control + n_control :], total)
         at += len(body)
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, tokens (compressed ids, two bytes each where the vocabulary allows it)."""
+    """doc_id (long, or as text), n_tokens, tokens (compressed ids, two bytes each) and a hash of these."""
     import zstandard
 
+    kind = _id_kind(docs, id_col)
+    arrow = pa.int64() if kind == "long" else pa.string()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for ids, tokens in encoded(batches, path, id_col, text_col):
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.cast(pa.int64()),
+                    ids.cast(arrow),
                     pa.array([len(x) // 4 for x in tokens], pa.int64()),
                     pa.array([squeeze.compress(np.frombuffer(x, "<u4").astype("<u2").tobytes()) for x in tokens], pa.binary()),
                 ],
                 ["doc_id", "n_tokens", "tokens"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, tokens binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens binary")
+
+
+def _id_kind(docs: DataFrame, id_col: str) -> str:
+    """Ids that are whole numbers are kept as such, all others as text."""
+    return "long" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
 def _unpack(batch: pa.RecordBatch, squeeze) -> list[np.ndarray]:
@@ -181,12 +207,13 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, docs_n, tokens_n)], ["file", "docs", "tokens"])
 
     parts = max(1, -(-total // file_tokens))
-    ordered = tokens.repartitionByRange(parts, "doc_id", "n_tokens", "tokens").sortWithinPartitions("doc_id", "n_tokens", "tokens")
+    order = ("doc_id", "n_tokens", "tokens")
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return folder, materialize(ordered.mapInArrow(write, "file long, docs long, tokens long"), "token-file-list")
 
 
-def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the files; start counts all ids before it."""
+def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = False, id_kind: str = "long") -> DataFrame:
+    """doc_id (``id_kind``: long or string, as written), start, n_tokens, ids_crc32 (and ids) of each document in the files; start counts all ids before it."""
     id_of = np.frombuffer(bytes(spark.read.format("binaryFile").load(f"{folder}/vocabulary.lkt").first()["content"]), "<u4")
     sent = spark.sparkContext.broadcast(id_of)
 
@@ -201,7 +228,7 @@ def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = Fals
                     parts = [data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                     cols = [
                         pa.array([number] * len(ids), pa.int64()),
-                        pa.array(ids, pa.int64()),
+                        pa.array(ids, pa.int64() if id_kind == "long" else pa.string()),
                         pa.array(at + ends - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array([crc(x) for x in parts], pa.int64()),
@@ -212,19 +239,20 @@ def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = Fals
                     yield pa.RecordBatch.from_arrays(cols, names)
                     at += int(ends[-1])
 
-    kind = "file long, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    kind = f"file long, doc_id {id_kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.lkt").load(folder).select("content").mapInArrow(run, kind)
     # the list has a row for each file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    joined = rows.join(base, "file")
+    joined = rows.join(base, "file")  # a file's documents are many, its base is one row
     return joined.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
-    """Null text: the end id alone; null ids come first; equal ids in the order of their tokens; an empty table gives no files and no rows."""
+    """Null text: the end id alone; null ids come first; equal ids in the order of their numbers of tokens, then of a hash; repeated rows each; an empty table gives no files and no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kind = _id_kind(docs, "doc_id")
     folder, files = write_token_files(docs)
     if files.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(spark, folder, files)
+        return spark.createDataFrame([], f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, files, id_kind=kind)
