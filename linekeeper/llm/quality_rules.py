@@ -1,9 +1,10 @@
 """Quality rules: base heuristics and a hashed n-gram log-likelihood ratio, in SQL expressions only.
 
-Two multinomials over hashed token n-grams (n = 1, 2) are counted over all documents:
-the raw corpus and its trusted part.  A document's score is the mean over its n-grams of
-log(p_trusted / p_raw); documents under a fixed threshold are rejected.  Counts are
-integers and each document's sum runs in text order, so the verdicts are deterministic.
+Two multinomials over hashed token n-grams (n = 1, 2) are counted: the raw corpus, over all
+documents, and a trusted target, over all of its rows.  A document's score is the mean over
+its n-grams of log(p_target / p_raw).  The threshold follows from the two: SPREAD standard
+deviations of an n-gram's ratio under the target below its mean there.  Counts are integers
+and every sum runs in a fixed order, so the verdicts are deterministic.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linekeeper.llm.secrets import in_filter, uid_filter
+from linekeeper.llm.store import materialize
+
 #: Cells of the hashed multinomials; the tables hold this many rows, whatever the data.
 CELLS = 1 << 14
-#: Mean log-likelihood ratio per n-gram under which a document is rejected.
-THRESHOLD = -0.35
+#: Standard deviations of an n-gram's log-likelihood ratio by which a document's mean may fall below the target's.
+SPREAD = 2.0
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Words and punctuation apart; letters, digits, other.
 TOKEN = r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+"
-#: Shouting or doubled marks: not in a trusted text.
+#: Shouting or doubled marks: not in a text of the default target.
 LOUD = r"\p{Lu}{2}|[!?]{2}"
 
 
@@ -28,7 +32,7 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, and __text."""
     df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
     df = df.withColumn("__n", F.size("__words"))
@@ -44,7 +48,7 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__repeated", repeated)
     df = df.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), x -> x rlike '{WORD}')".replace("\\", "\\\\")))
     return df.select(
-        *[c for c in df.columns if not c.startswith("__") and c not in RESULTS],
+        *[c for c in df.columns if not c.startswith("__")],
         F.col("__text"),
         F.col("__n").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -55,10 +59,21 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def trusted(text: str = "__text", cells: str = "__cells") -> Column:
-    """The trusted part of a corpus: 50 tokens at least, no symbols of markup, no shouting or doubled marks."""
+    """The default target, where no rows are given: texts of 50 tokens at least without symbols of markup, shouting or doubled marks."""
     return (F.size(cells) >= 99) & ~F.col(text).rlike(f"{SYMBOL}|{LOUD}")
 
 
+def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", good: int = 1) -> DataFrame:
+    """All rows of ``docs`` that some label calls good: the target of the rules.
+
+    Ids are stored; a filter of fixed size drops most other rows before the join.
+    """
+    ids = labels.filter((F.col(label_col) == good) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__id")).distinct()
+    ids = materialize(ids.withColumn("__uid", F.xxhash64("__id")), "target-ids")
+    marked = docs.withColumn("__bits", uid_filter(ids)).withColumn("__uid", F.xxhash64(id_col))
+    return marked.filter(in_filter()).join(ids.select("__id"), F.col(id_col) == F.col("__id"), "left_semi").select(*docs.columns)
+
+
 def ngram_cells(text: str = "__text", cells: int = CELLS) -> Column:
     """Cells (int) of a text's hashed tokens and token pairs, in text order."""
     tokens = f"regexp_extract_all({text}, '{TOKEN}', 0)".replace("\\", "\\\\")
@@ -70,48 +85,61 @@ def ngram_cells(text: str = "__text", cells: int = CELLS) -> Column:
     )
 
 
-def llr_table(rows: DataFrame, cells: int = CELLS) -> DataFrame:
-    """One row: array ``llr`` of ``cells`` log-likelihood ratios, from rows (cell array ``__cells``, flag ``__trusted``).
+def _counts(rows: DataFrame, name: str) -> DataFrame:
+    """(cell, name): how often each cell occurs in the arrays ``__cells``."""
+    # explode_outer: explode would have its array evaluated once more, in an inferred filter
+    return rows.select(F.explode_outer("__cells").alias("cell")).filter("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+
 
-    A cell's count gets 1 added in either multinomial.
+def llr_table(raw: DataFrame, target: DataFrame, cells: int = CELLS, spread: float = SPREAD) -> DataFrame:
+    """One row: array ``llr`` of ``cells`` log-likelihood ratios and, last, the threshold, from rows with cell arrays ``__cells``.
+
+    A cell's count gets 1 added in either multinomial; the threshold's mean and deviation are
+    over the target's own n-grams.  Without a target there is no threshold (-Infinity).
     """
-    spark = rows.sparkSession
-    counts = (
-        # explode_outer: explode would have its array evaluated once more, in an inferred filter
-        rows.select("__trusted", F.explode_outer("__cells").alias("cell"))
-        .filter("cell is not null")
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if("__trusted").alias("good"))
-    )
-    every = spark.range(cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").na.fill(0, ["raw", "good"])
+    every = raw.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell"))
+    every = every.join(_counts(raw, "raw"), "cell", "left").join(_counts(target, "good"), "cell", "left").na.fill(0, ["raw", "good"])
     packed = every.agg(
         F.array_sort(F.collect_list(F.struct("cell", "raw", "good"))).alias("c"), F.sum("raw").alias("raw"), F.sum("good").alias("good")
     )
-    return packed.select(
-        F.expr(f"transform(c, x -> ln((x.good + 1) / (good + {cells})) - ln((x.raw + 1) / (raw + {cells})))").alias("llr")
-    )
+    packed = packed.select("good", F.expr(f"transform(c, x -> named_struct('p', x.good / greatest(good, 1), 'v', ln((x.good + 1) / (good + {cells})) - ln((x.raw + 1) / (raw + {cells}))))").alias("t"))
+    packed = packed.select("good", "t", F.expr("aggregate(t, 0D, (a, x) -> a + x.p * x.v)").alias("mean"), F.expr("aggregate(t, 0D, (a, x) -> a + x.p * x.v * x.v)").alias("square"))
+    cut = F.when(F.col("good") > 0, F.col("mean") - spread * F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))).otherwise(F.lit(float("-inf")))
+    return packed.select(F.concat(F.transform("t", lambda x: x["v"]), F.array(cut)).alias("llr"))
+
+
+def judged(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs``, all its columns as they are, with ``__r``: the struct of RESULTS."""
+    plain = lambda d: d.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
+    chosen = plain(docs).filter(trusted()) if target is None else plain(target)
+    table = llr_table(plain(docs).select("__cells"), chosen.select("__cells"), cells, spread).scalar()
+    # columns of the input that have names of results step aside
+    aside = {c: f"own_of_{c}" for c in docs.columns if c in RESULTS}
+    scored = base_features(docs.withColumnsRenamed(aside), aside.get(text_col, text_col))
+    scored = scored.withColumn("__cells", ngram_cells("__text", cells)).withColumn("__llr", table)
+    scored = scored.withColumn("llr", F.expr("if(size(__cells) = 0, 0D, aggregate(__cells, 0D, (a, c) -> a + __llr[c]) / size(__cells))"))
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.expr(f"__llr[{cells}]")))
+    # a generator's output is a barrier: filters on the results are not pushed into the expressions behind them, which would then run once for each use
+    results = F.explode_outer(F.array(F.struct(*RESULTS))).alias("__r")
+    return scored.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns], results)
 
 
-def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, text_col: str = "text", is_trusted: Column | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
     """Every row with the base features, llr (mean per n-gram, 0 without any) and ``kept``.
 
-    ``kept`` is false if the base rules fail, else llr >= threshold.  ``is_trusted``: which
-    rows form the target multinomial (over __text and its __cells).  Null text counts
-    as empty (base_failed).  Repeated rows are judged alike; with an empty corpus there are
-    no rows; columns of the input that have names of results give way; an all-untrusted corpus gives every cell the smoothed uniform target.
+    ``kept`` is false if the base rules fail, else whether llr reaches the threshold.
+    ``target``: the rows (with the same text column) that form the trusted multinomial;
+    without it the rows of ``docs`` that ``trusted`` takes.  Null text counts as empty
+    (base_failed); texts of any length are read whole; repeated rows are judged alike, each
+    its own row; null ids are kept; with an empty corpus there are no rows; with an empty
+    target the base rules alone decide; columns of the input that have names of results
+    give way to these (``judged`` keeps both).
     """
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
-    rows = rows.select("__cells", (trusted() if is_trusted is None else is_trusted).alias("__trusted"))
-    table = llr_table(rows, cells).scalar()
-    scored = base_features(docs, text_col).withColumn("__cells", ngram_cells("__text", cells)).withColumn("__llr", table)
-    scored = scored.withColumn("llr", F.expr("if(size(__cells) = 0, 0D, aggregate(__cells, 0D, (a, c) -> a + __llr[c]) / size(__cells))"))
-    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    # a generator's output is a barrier: filters on the results are not pushed into the expressions behind them, which would then run once for each use
-    results = F.explode_outer(F.array(F.struct(*RESULTS))).alias("__r")
-    own = [c for c in docs.columns if c not in RESULTS]
-    return scored.select(*own, results).select(*own, "__r.*")
+    return judged(docs, target, spread, cells, text_col).select(*[c for c in docs.columns if c not in RESULTS], "__r.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The target: all documents that labels call good."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    target = labelled_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules(docs, target).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")

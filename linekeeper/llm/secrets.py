@@ -203,6 +203,12 @@ def uid_filter(ids: DataFrame, uid: str = "__uid", longs: int = FILTER_LONGS) ->
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("bits")).scalar()
 
 
+def in_filter(bits: str = "__bits", uid: str = "__uid", longs: int = FILTER_LONGS) -> Column:
+    """Whether the filter in column ``bits`` has ``uid``."""
+    slot = f"pmod({uid}, {64 * longs})"
+    return F.expr(f"(shiftrightunsigned({bits}[cast({slot} div 64 as int)], cast({slot} % 64 as int)) & 1L) = 1L")
+
+
 def _no_spans() -> Column:
     return F.expr("cast(array() as array<struct<start:int,ord:int,kind:string,end:int>>)")
 
@@ -238,8 +244,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     # stored: the join below is then of two plain shuffles, in which the partition of a hot text can be split
     hits = materialize(candidates(postings(rows, names), [queries[k] for k in indexed]), "candidates")
     marked = rows.withColumn("__bits", uid_filter(hits))
-    slot = f"pmod(__uid, {64 * FILTER_LONGS})"
-    maybe = F.expr(f"(shiftrightunsigned(__bits[cast({slot} div 64 as int)], cast({slot} % 64 as int)) & 1L) = 1L")
+    maybe = in_filter()
     inside = searched(marked.filter(maybe).drop("__bits").join(hits, "__uid", "left"), True)
     return searched(marked.filter(~maybe), False).unionByName(inside)
 

@@ -1,6 +1,7 @@
 """Plain re-statements of what the operators compute, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -92,3 +93,91 @@ def token_ids(tokenizer, text):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def shard_of(key, tree):
+    """Where the draws of a tree {region: {rack: {shard: weight}}} lead a key."""
+
+    def weight(node):
+        return sum(weight(x) for x in node.values()) if isinstance(node, dict) else node
+
+    def wins(at, node):
+        def arrival(name):
+            u = int(hashlib.md5(f"{key}|{at}|{name}".encode()).hexdigest()[:13], 16)
+            return -math.log((u + 0.5) / 2**52) / weight(node[name])
+
+        return min(node, key=arrival)
+
+    region = wins("root", tree)
+    rack = wins(region, tree[region])
+    return wins(f"{region}.{rack}", tree[region][rack])
+
+
+def attention_score(model, text):
+    """The score of one text: a passage of 64 words at a time, each sum written out."""
+    from linekeeper.llm.quality_model import word_bucket, word_features
+
+    w = [x.encode() for x in words(text)]
+    raw, hidden = [], []
+    for passage in [w[i : i + 64] for i in range(0, len(w), 64)] or [[]]:
+        n = max(1, len(passage))
+        x = [sum(v) / n for v in zip(*map(word_features, passage), strict=True)] or [0.0] * 17
+        x += [sum(a == b for a, b in zip(passage, passage[1:], strict=False)) / n, len(set(passage)) / n, len(passage) / 64]
+        x = [(v - m) / s for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        m = model.weights
+        h = []
+        for j in range(len(m["e"])):
+            h.append(math.tanh(m["e"][j] + sum(v * m["E"][i][j] for i, v in enumerate(x)) + sum(m["W"][word_bucket(p)][j] for p in passage) / n))
+        gate = 0.0
+        for g in range(len(m["w"])):
+            gate += m["w"][g] * math.tanh(sum(h[j] * m["V"][j][g] for j in range(len(h)))) / (1 + math.exp(-sum(h[j] * m["U"][j][g] for j in range(len(h)))))
+        raw.append(gate)
+        hidden.append(h)
+    top = max(raw)
+    weight = [math.exp(r - top) for r in raw]
+    z = [sum(a * h[j] for a, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-(model.weights["b"][0] + sum(c * v for c, v in zip(model.weights["c"], z, strict=True)))))
+
+
+def murmur3(data, seed):
+    """The 32-bit hash of bytes or a 32-bit integer, as a signed integer; bytes beyond whole words are mixed one by one."""
+    mask = 0xFFFFFFFF
+
+    def rot(x, r):
+        return (x << r | x >> (32 - r)) & mask
+
+    def mix(h, k):
+        k = rot(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        return (rot(h ^ k, 13) * 5 + 0xE6546B64) & mask
+
+    h = seed & mask
+    if isinstance(data, int):
+        h, n = mix(h, data & mask), 4
+    else:
+        n = len(data)
+        for i in range(0, n - n % 4, 4):
+            h = mix(h, int.from_bytes(data[i : i + 4], "little"))
+        for b in data[n - n % 4 :]:
+            h = mix(h, (b - 256 if b > 127 else b) & mask)
+    h ^= n
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def likelihood_ratios(texts, target, cells, spread):
+    """(mean log ratio of each text, threshold): hashed tokens and pairs of them, 1 added to each count."""
+    import regex
+
+    def grams(text):
+        h = [murmur3(t.encode(), 42) for t in regex.findall(r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+", text or "")]
+        return [x % cells for x in h] + [murmur3(b, murmur3(a, 42)) % cells for a, b in zip(h, h[1:], strict=False)]
+
+    held = [grams(t) for t in texts]
+    raw, good = Counter(c for g in held for c in g), Counter(c for t in target for c in grams(t))
+    raw_n, good_n = sum(raw.values()) + cells, sum(good.values()) + cells
+    ratio = [math.log((good[c] + 1) / good_n) - math.log((raw[c] + 1) / raw_n) for c in range(cells)]
+    mean = sum(n * ratio[c] for c, n in good.items()) / sum(good.values())
+    square = sum(n * ratio[c] ** 2 for c, n in good.items()) / sum(good.values())
+    return [sum(ratio[c] for c in g) / len(g) if g else 0.0 for g in held], mean - spread * math.sqrt(square - mean * mean)

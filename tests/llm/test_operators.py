@@ -46,6 +46,14 @@ def test_packing(spark, odd, odd_rows, tokenizer):
     assert len(places) == -(-sum(r.length for r in rows) // 4096)
 
 
+def test_packing_of_one_repeated_row(spark):
+    """Equal rows spread over tasks and places; no task ranks them all."""
+    df = spark.createDataFrame([(7, "a b c")] * 5000, "doc_id long, text string").repartition(6)
+    rows = packing.pack_documents(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 5000
+    assert len({r.sequence_id for r in rows}) == -(-5000 // (4096 // rows[0].length))
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
@@ -86,6 +94,14 @@ def test_token_files(spark, odd, odd_rows, tokenizer):
     assert [tuple(r) for r in sorted(rows, key=lambda r: r.start)] == want
 
 
+def test_token_files_of_text_ids(spark, tmp_path):
+    rows = [("b", "one two"), (None, "x"), ("", "y"), ("é\n", None), ("b", "one two"), ("a", "three")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(token_files.op3_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, "", "a", "b", "b", "é\n"]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(6)]
+
+
 def test_token_files_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert token_files.op3_token_files(spark, str(tmp_path)).count() == 0
@@ -104,7 +120,7 @@ def test_values_round_trip():
 def test_damaged_token_file_is_an_error():
     import struct
 
-    raw = struct.pack(token_files.FILE_HEAD, token_files.MAGIC, 1, 0) + token_files.pack_block([1, None], [2, 1], np.array([7, 300, 2], np.uint32))
+    raw = struct.pack(token_files.FILE_HEAD, token_files.MAGIC, token_files.VERSION, 0) + token_files.pack_block([1, None], [2, 1], np.array([7, 300, 2], np.uint32))
     assert [(i, r.tolist()) for _, i, _, r in token_files.read_file(raw)] == [([1, None], [7, 300, 2])]
     with pytest.raises(ValueError):
         list(token_files.read_file(raw[:-1] + b"\xff"))
@@ -142,7 +158,7 @@ def test_near_copies_of_a_large_group(spark, monkeypatch):
     rows += [(200 + i, prose(100 + i, 60) + " " + " ".join(base[:25])) for i in range(60)]
     for group in (4000, 20):
         monkeypatch.setattr(near_copies, "PIVOT_GROUP", group)
-        monkeypatch.setattr(near_copies, "CELLS", 1 << 14)
+        monkeypatch.setattr(near_copies, "TOP", 1 << 18 if group > 100 else 30)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         same(near_copies.near_copies(docs, 4, 85).collect(), brute.components(rows, 4, 85))
 
@@ -160,9 +176,11 @@ def test_filters_lose_nothing():
         assert near_copies.suffix_bound(a, b) >= common
         assert near_copies.linked(a, b, 80) == (100 * common >= 80 * len(np.union1d(a, b)))
         if near_copies.linked(a, b, 80):
-            counts = np.ones(16, np.int64)
-            p = [set(near_copies.rare_first(x, counts)[: near_copies.prefix_size(len(x), 80)].tolist()) for x in (a, b)]
+            frequent = np.unique(rng.integers(0, 60, 20).astype(np.uint64)), rng.integers(1, 5, 60)
+            p = [set(near_copies.rare_first(x, frequent)[0][: near_copies.prefix_size(len(x), 80)].tolist()) for x in (a, b)]
             assert p[0] & p[1]
+            bits = [np.frombuffer(near_copies.signature(x), np.uint64)[None] for x in (a, b)]
+            assert near_copies.may_link(*bits, np.array([len(a)]), np.array([len(b)]), 80).all()
 
 
 # -- 4: sharding -----------------------------------------------------------------
@@ -178,6 +196,21 @@ def test_sharding(odd, odd_rows):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_shards_are_those_of_the_draws(spark):
+    tree = {r: {k: {4 * r + 2 * k + s: 1.0 for s in range(2)} for k in range(2)} for r in range(4)}
+    grown = {**tree, 4: {0: {16: 1.0}}}
+    ids = [None, "", "a|b", "é", *map(str, range(-5, 400))]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(df).collect()}
+    assert got == {i: (brute.shard_of("\0" if i is None else i, tree), brute.shard_of("\0" if i is None else i, grown)) for i in ids}
+
+
+def test_slots_of_one_repeated_id_spread(spark):
+    df = spark.createDataFrame([(7, "same")] * 3000, "doc_id long, text string").repartition(4)
+    rows = sharding.shard_documents(df)
+    assert sorted(r.slot for r in rows.collect()) == list(range(3000)) and rows.select("shard").distinct().count() == 1
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.shard_documents(empty).count() == 0
 
@@ -208,32 +241,36 @@ def test_base_rules(odd, odd_rows):
     assert all(r.kept <= (not r.base_failed) for r in rows)
 
 
-def test_likelihood_ratio(spark):
-    """Recomputed from the operator's cells; filters on the results run."""
-    from tests.llm.conftest import prose
-
-    import math
-    from collections import Counter
-
-    from pyspark.sql import functions as F
-
-    texts = [prose(i, 80) for i in range(30)] + [" ".join(w.upper() + "!!" for w in prose(50 + i, 80).split()) for i in range(6)]
+@pytest.mark.parametrize("given", [True, False])
+def test_likelihood_ratio(spark, given):
+    """Tokens, cells, both multinomials, scores and threshold restated; filters on the results run."""
+    texts = [prose(i, 80) + ", é日本 1,000" for i in range(30)] + [" ".join(w.upper() + "!!" for w in prose(50 + i, 80).split()) for i in range(6)] + [None, "", "-- 12"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    cells = docs.select("doc_id", quality_rules.ngram_cells("text").alias("c"), F.col("text").rlike(f"{quality_rules.SYMBOL}|{quality_rules.LOUD}").alias("bad")).collect()
-    raw, good = Counter(), Counter()
-    for r in cells:
-        raw.update(r.c)
-        if not r.bad and len(r.c) >= 99:
-            good.update(r.c)
-    m, nr, ng = quality_rules.CELLS, sum(raw.values()), sum(good.values())
-    want = {r.doc_id: sum(math.log((good[c] + 1) / (ng + m)) - math.log((raw[c] + 1) / (nr + m)) for c in r.c) / len(r.c) for r in cells}
-    out = quality_rules.quality_rules(docs)
+    if given:
+        chosen = [i for i in range(30) if i % 3 == 0]
+        target = quality_rules.labelled_target(docs, spark.createDataFrame([(i, int(i % 3 == 0 and i < 30)) for i in range(39)] + [(None, 1), (1, None), (99, 1), (0, 1)], "doc_id long, quality int"))
+        same(target.collect(), [(i, texts[i]) for i in chosen])
+    else:
+        chosen, target = range(30), None
+    scores, cut = brute.likelihood_ratios(texts, [texts[i] for i in chosen], quality_rules.CELLS, quality_rules.SPREAD)
+    out = quality_rules.quality_rules(docs, target)
     for r in out.collect():
-        assert r.llr == pytest.approx(want[r.doc_id], abs=1e-9)
-        assert r.kept == (r.doc_id < 30)
+        assert r.llr == pytest.approx(scores[r.doc_id], abs=1e-9)
+        assert r.kept == (not r.base_failed and scores[r.doc_id] >= cut) == (r.doc_id < 30)
     assert out.filter("kept and llr > -10").count() == 30
 
 
+def test_rules_without_a_target_are_the_base_rules(spark, odd):
+    rows = quality_rules.quality_rules(odd, odd.limit(0)).collect()
+    assert all(r.kept == (not r.base_failed) for r in rows) and any(r.kept for r in rows)
+
+
+def test_columns_named_as_results_stay(spark):
+    docs = spark.createDataFrame([(1, prose(1, 60), -5, "x")], "doc_id long, text string, n_words int, kept string")
+    got = quality_rules.judged(docs).first()
+    assert (got.n_words, got.kept, got["__r"].n_words) == (-5, "x", 60)
+
+
 def test_quality_rules_of_nothing(empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
@@ -358,18 +395,17 @@ def test_leaks_of_nothing(spark, empty):
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, 4)).astype(np.float32) for n in (1, 3, 2)]
+    bags = [quality_model.Bag(rng.normal(size=(n, 4)).astype(np.float32), np.array([5] * n), rng.integers(0, 512, 5 * n).astype(np.int16)) for n in (1, 3, 2)]
     model = quality_model.GatedAttention.fit(bags, [1, 0, 1])
-    x = (np.concatenate(bags) - model.mean) / model.scale
-    sizes, y = np.array([1, 3, 2]), np.array([1.0, 0.0, 1.0])
-    starts = np.cumsum(sizes) - sizes
+    x, starts, sizes = model.inputs(bags)
+    y = np.array([1.0, 0.0, 1.0])
 
     def loss():
         p = model._forward(x, starts, sizes)["p"]
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     for k, g in model._gradients(x, starts, sizes, y).items():
-        at = tuple(0 for _ in g.shape)
+        at = (int(bags[1].buckets[0]), 0) if k == "W" else tuple(0 for _ in g.shape)
         old = model.weights[k][at]
         model.weights[k][at] = old + 1e-6
         up = loss()
@@ -378,6 +414,34 @@ def test_gradients_match_differences():
         model.weights[k][at] = old
 
 
+def test_scores_against_a_plain_forward_pass(odd, odd_rows, spark):
+    """Passage by passage, word by word; and the bags that are fitted on hold the same passages."""
+    rng = np.random.default_rng(3)
+    bags = [quality_model.Bag(rng.normal(size=(n, quality_model.FEATURES)).astype(np.float32), np.array([5] * n), rng.integers(0, 512, 5 * n).astype(np.int16)) for n in (1, 3, 2, 4)]
+    model = quality_model.GatedAttention.fit(bags, [1, 0, 1, 0])
+    want = [(d, brute.attention_score(model, t)) for d, t in odd_rows]
+    got = [(r.doc_id, r.score) for r in quality_model.score_quality(odd, model).collect()]
+    key = lambda x: (repr(x[0]), x[1])
+    for (a, x), (b, y) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-5)
+    import pyarrow as pa
+
+    made = quality_model.make_bags(quality_model.WordTable(), pa.array([t for _, t in odd_rows], pa.string()))
+    for bag, (_, y) in zip(made, want, strict=True):
+        x, starts, sizes = model.inputs([bag])
+        assert model._forward(x, starts, sizes)["p"][0] == pytest.approx(y, abs=1e-5)
+
+
+def test_fitting_takes_bounded_rows(spark, monkeypatch):
+    """An id with very many rows counts once, with the text of the smallest hash."""
+    seen = []
+    monkeypatch.setattr(quality_model.GatedAttention, "fit", classmethod(lambda cls, bags, labels: seen.append((len(bags), labels))))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "x"), (4, "y"), (6, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 6)], "doc_id long, quality int")
+    quality_model.fit_quality(docs, labels, most=3)
+    assert seen == [(3, [1, 1, 1])]
+
+
 def test_classifier_on_held_out_documents(spark, odd, odd_rows):
     from tests.llm.conftest import prose
 

@@ -7,6 +7,7 @@ from tests.llm.conftest import prose
 import corpus_pipeline
 from linekeeper.llm import quality_rules, tokens
 
+LABELS = "doc_id long, quality int, toxic int"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -22,6 +23,7 @@ def folder(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i != 32), 0) for i, *_ in rows] + [(None, 1, 0)], LABELS).write.parquet(f"{out}/labels.parquet")
     return str(out)
 
 
@@ -72,6 +74,7 @@ def test_stages(spark, folder):
 def test_stages_on_nothing(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
@@ -81,3 +84,17 @@ def test_threshold_is_between(spark):
     docs = spark.createDataFrame([(i, prose(i, 80)) for i in range(25)] + [(99, text)], "doc_id long, text string")
     row = quality_rules.quality_rules(docs).filter("doc_id = 99").first()
     assert not row.base_failed and not row.kept
+
+
+def test_stages_keep_columns_that_have_names_of_results(spark, folder):
+    """Other columns, one id with two texts, and a clean row that shares its id with a leaking one."""
+    item, first, other = prose(500, 40), prose(20, 80), " ".join(reversed(prose(20, 80).split()))
+    rows = [(1, first, -1, "a", 7), (1, prose(21, 60) + " " + item, -2, "b", 8), (None, other, -3, None, None), (None, prose(22, 60) + " " + item, -4, "d", 9), (2, first, -5, "e", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, kept string, uid int")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), "clash")
+        kept[name] = sorted((tuple(r) for r in docs.collect()), key=repr)
+    assert kept["quality rules"] == sorted(rows, key=repr)
+    assert kept["n-gram Jaccard join"] == sorted(rows[:4], key=repr)
+    assert kept["secret scans"] == sorted([rows[0], rows[2]], key=repr)
