@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all rows
 that the stage before kept, and its result is stored and reread as the next one's docs.
+
+Every stage takes null ids and texts, texts of any length, repeated rows, ids that several
+texts share, extra columns of any name and empty tables; rows are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -12,35 +15,62 @@ from pyspark.sql import functions as F
 from linekeeper.llm.decontaminate import leaks
 from linekeeper.llm.near_copies import first_of_groups
 from linekeeper.llm.packing import pack_documents
-from linekeeper.llm.quality_rules import quality_rules
+from linekeeper.llm.quality_rules import judged, labelled_target
 from linekeeper.llm.secrets import redact
 from linekeeper.llm.store import materialize, row_uid
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the base rules and the likelihood ratio against the documents that labels call good.
+
+    A null or empty text fails (under 50 words); repeated rows are judged alike and stay
+    repeated; columns of any name keep their values.
+    """
+    target = labelled_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(docs, target).filter("__r.kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the row with the smallest id; a null id comes last; repeated rows once."""
+    """Of each group of near copies (five words, 0.8) the row with the smallest id.
+
+    A null id comes last; of rows with one id and other texts in a group one stays, by a
+    hash; rows that repeat id and text count once; texts without words are in no group and
+    stay; other columns are those of any of the repeated rows.
+    """
     first = first_of_groups(docs, size=5, percent=80).select(F.col("uid").alias("__uid"))
     return docs.join(first, row_uid("doc_id", "text") == F.col("__uid"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark; rows that share an id, or have none, are judged each."""
+    """Documents that hold no item of the benchmark.
+
+    Rows that share an id, or have none, are judged each by their own text; repeated rows
+    stay or go together; null and empty texts stay; without items all rows stay.
+    """
     found = leaks(docs.select(row_uid("doc_id", "text").alias("uid"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="uid")
-    return docs.join(found.select(F.col("doc_id").alias("__uid")).distinct(), row_uid("doc_id", "text") == F.col("__uid"), "left_anti")
+    # stored: the texts are searched once, and the join is of two plain sides
+    found = materialize(found.select(F.col("doc_id").alias("__uid")).distinct(), "leaking")
+    return docs.join(found, row_uid("doc_id", "text") == F.col("__uid"), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(*docs.columns)
+    """All documents, with secrets replaced by a mark and n_chars, where it exists, counted anew.
+
+    Null texts stay null, with their n_chars; repeated rows stay repeated; columns of any
+    other name keep their values.
+    """
+    hidden = redact(docs)
+    if "n_chars" in docs.columns:
+        hidden = hidden.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return hidden.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their places in sequences of 4096 tokens."""
+    """Each document's pieces and their places in sequences of 4096 tokens.
+
+    A null or empty text is one piece, its end id; repeated rows and ids get places of their
+    own; an empty table gives no rows.
+    """
     return pack_documents(docs)
 
 
