@@ -135,7 +135,59 @@ def segment_score(entry: Column, segment: Column) -> Column:
     )
 
 
+#: White space as the domain's names have it, beyond ASCII too.
+NAME_GAP = "[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]+"
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def file_stem(path: Column) -> Column:
+    """The file name without its last suffix; a leading dot begins none."""
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def with_suffix(path: Column, suffix: str) -> Column:
+    """The path with its last suffix replaced."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/\\])\.[^./\\]*$", ""), F.lit(suffix))
+
+
 def report_key(name: Column) -> Column:
-    """Key under which checked files and reports meet: stem up to '--', without '.checked', trimmed, lower case."""
-    stem = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    return F.lower(F.trim(F.replace(F.regexp_replace(stem, "--.*$", ""), F.lit(".checked"), F.lit(""))))
+    """Key under which checked files and reports meet: stem up to '--', without a last '.checked', without white space, lower case."""
+    stem = F.regexp_replace(F.regexp_replace(file_stem(name), "(?s)--.*$", ""), r"(?i)\.checked$", "")
+    return F.lower(F.regexp_replace(stem, NAME_GAP, ""))
+
+
+def safe_stem(name: Column) -> Column:
+    """A name that any file system takes: illegal characters as '_', no outer white space and dots; 'case' if nothing is left."""
+    clean = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
+    clean = F.regexp_replace(F.regexp_replace(clean, f"^{NAME_GAP}|{NAME_GAP}$", ""), r"^\.+|\.+$", "")
+    return F.when(clean == "", "case").otherwise(clean)
+
+
+def number_list(text: Column) -> Column:
+    """Whole numbers of a comma-separated text, sorted; blank parts are left out."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_sort(F.transform(parts, lambda x: x.cast("int")))
+
+
+def anchor_profile(text: Column, romaji: Column | None = None) -> Column:
+    """What a line begins and ends with: normal form, romaji where it is known, else its Latin letters."""
+    norm = match_text(text)
+    latin = compact_latin(text)
+    known = F.lit(None).cast("string") if romaji is None else F.when(romaji != "", romaji)
+    sound = F.coalesce(known, F.when(latin != "", latin))
+    morae = romaji_morae(known)
+    last = lambda x, n: F.substring(x, -n, n)
+    return F.struct(
+        text.alias("entry_text"),
+        F.left(norm, F.lit(8)).alias("normalized_prefix"),
+        F.when(F.length(norm) <= 8, norm).otherwise(last(norm, 8)).alias("normalized_suffix"),
+        F.when(known.isNotNull(), "ja-hepburn-pykakasi").when(sound.isNotNull(), "latin-fallback").otherwise("unavailable").alias("phonetic_system"),
+        sound.alias("romaji"),
+        F.left(sound, F.lit(12)).alias("romaji_prefix"),
+        F.when(F.length(sound) <= 12, sound).otherwise(last(sound, 12)).alias("romaji_suffix"),
+        F.when(known.isNotNull(), F.coalesce(F.try_element_at(morae, F.lit(1)), F.lit(""))).alias("first_mora"),
+        F.when(known.isNotNull(), F.coalesce(F.try_element_at(morae, F.lit(-1)), F.lit(""))).alias("last_mora"),
+    )

@@ -34,7 +34,7 @@ def percent(part: Column, total: Column) -> Column:
 
 
 def truthy(value: Column, default: object) -> Column:
-    """Value, or the default where it is null or 0."""
+    """Value, or the default (a constant or a column) where it is null or 0."""
     return F.when(value.isNull() | (value == 0), F.lit(default)).otherwise(value)
 
 

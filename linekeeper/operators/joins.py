@@ -33,17 +33,43 @@ def peaks(frames: DataFrame, threshold: float = 0.55) -> DataFrame:
     return frames.withColumn("__l", left).withColumn("__r", right).filter((F.col("onset") >= threshold) & (F.col("onset") >= F.col("__l")) & (F.col("onset") >= F.col("__r"))).drop("__l", "__r")
 
 
-def first_peak(spans: DataFrame, frames: DataFrame, threshold: float = 0.55, lead_in: float = 0.0) -> DataFrame:
-    """Adds peak_time: the first peak in [start + lead_in, end] of each row (song, entry, start, end)."""
-    top = peaks(frames, threshold).select("song", F.col("t").alias("pt"))
-    found = spans.join(top, "song").filter((F.col("end") > F.col("start")) & F.col("pt").between(F.col("start") + lead_in, F.col("end")))
-    return spans.join(found.groupBy("song", "entry").agg(F.min("pt").alias("peak_time")), ["song", "entry"], "left")
+def plateaus(frames: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """(song, t, onset, times): peaks with the times of the frames from there on that are as high (within 1e-6) without a break."""
+    order = Window.partitionBy("song").orderBy("t")
+    rows = frames.withColumns({"__l": F.lag("onset", 1, 0.0).over(order), "__r": F.lead("onset", 1, 0.0).over(order)})
+    level = F.coalesce(F.abs(F.col("onset") - F.lag("onset").over(order)) > 1e-6, F.lit(True))
+    rows = rows.withColumn("run", F.sum(level.cast("int")).over(order)).filter(F.col("onset") >= threshold)
+    rest = Window.partitionBy("song", "run").orderBy("t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("times", F.collect_list("t").over(rest))
+    return rows.filter((F.col("onset") >= F.col("__l")) & (F.col("onset") >= F.col("__r"))).select("song", "t", "onset", "times")
+
+
+def first_peak(spans: DataFrame, frames: DataFrame, threshold: float = 0.55, lead_in: float = 0.0, middle: bool = False) -> DataFrame:
+    """Adds peak_time: the first peak in [start + lead_in, end] of each row (song, entry, start, end); ``middle``: of a plateau the middle of its part up to ``end``.
+
+    Spans and peaks are put in one order by time and each span looks ahead to the next peak: no pairs are formed.
+    """
+    none = F.lit(None)
+    top = plateaus(frames, threshold) if middle else peaks(frames, threshold).select("song", "t", F.array("t").alias("times"))
+    marks = top.select("song", F.col("t").alias("__at"), F.lit(1).alias("__kind"), none.cast("int").alias("entry"), none.cast("double").alias("__end"), F.col("times").alias("__times"))
+    asks = spans.select("song", (F.col("start") + lead_in).alias("__at"), F.lit(0).alias("__kind"), F.col("entry").cast("int").alias("entry"), F.when(F.col("end") > F.col("start"), F.col("end")).alias("__end"), none.cast("array<double>").alias("__times"))
+    ahead = Window.partitionBy("song").orderBy("__at", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = asks.unionByName(marks).withColumn("__next", F.first("__times", ignorenulls=True).over(ahead)).filter("__kind = 0")
+    held = F.filter("__next", lambda x: x <= F.col("__end"))
+    # the first time is the peak's own
+    found = both.filter(F.col("__next")[0] <= F.col("__end")).select("song", "entry", ((held[0] + F.element_at(held, -1)) / 2 if middle else held[0]).alias("peak_time"))
+    return spans.join(found, ["song", "entry"], "left")
 
 
 def sustained_onset(frames: DataFrame, threshold: float = 0.70, floor: float = -18.0, seconds: float = 3.0) -> DataFrame:
-    """(song, onset_time): the first strong frame whose next ``seconds`` have a median level of ``floor`` or more."""
-    strong = frames.filter(F.col("onset") >= threshold).select("song", F.col("t").alias("at"))
-    after = strong.join(frames.select("song", "t", "rms_db"), "song").filter(F.col("t").between(F.col("at"), F.col("at") + seconds))
+    """(song, onset_time): the first strong frame whose next ``seconds`` have a median level of ``floor`` or more.
+
+    Frames meet strong ones by song and time bucket, as long as the reach: a frame is in the bucket of a strong one or the next.
+    """
+    bucket = F.floor(F.col("t") / seconds).cast("long")
+    strong = frames.filter(F.col("onset") >= threshold).select("song", F.col("t").alias("at"), bucket.alias("b"))
+    near = frames.select("song", "t", "rms_db", F.explode(F.array(bucket, bucket - 1)).alias("b"))
+    after = strong.join(near, ["song", "b"]).filter(F.col("t").between(F.col("at"), F.col("at") + seconds))
     held = after.groupBy("song", "at").agg(F.median("rms_db").alias("level")).filter(F.col("level") >= floor)
     return held.groupBy("song").agg(F.min("at").alias("onset_time"))
 
@@ -68,10 +94,17 @@ def short_duplicates(lines: DataFrame, text: str = "norm", window: int = 8) -> D
 
 
 def outside_regions(lines: DataFrame, regions: DataFrame, slack: float = 0.05) -> DataFrame:
-    """Lines at a time ``t`` outside all regions (song, start, end) of a song that has some."""
-    some = regions.select("song").distinct()
-    near = (lines["song"] == regions["song"]) & lines["t"].between(regions["start"] - slack, regions["end"] + slack)
-    return lines.join(some, "song", "left_semi").join(regions, near, "left_anti")
+    """Lines at a time ``t`` outside all regions (song, start, end) of a song that has some.
+
+    In one order by time a line sees the latest end of the regions that have begun: no pairs are formed.
+    """
+    none = F.lit(None)
+    starts = regions.select("song", (F.col("start") - slack).alias("__at"), F.lit(0).alias("__kind"), (F.col("end") + slack).alias("__end"), none.cast("struct<%s>" % ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in lines.schema)).alias("__line"))
+    asks = lines.select("song", F.col("t").alias("__at"), F.lit(1).alias("__kind"), none.cast("double").alias("__end"), F.struct(*lines.columns).alias("__line"))
+    begun = Window.partitionBy("song").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = F.max(F.col("__kind") == 0).over(Window.partitionBy("song"))
+    both = asks.unionByName(starts).withColumns({"__last": F.max("__end").over(begun), "__some": some})
+    return both.filter((F.col("__kind") == 1) & F.col("__some") & (F.col("__last").isNull() | (F.col("__last") < F.col("__at")))).select("__line.*")
 
 
 def match_anchors(entries: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def place_in_segment(norm: Column, start: Column, end: Column, seg_norm: Column, chars: Column) -> Column:
@@ -25,6 +26,54 @@ def place_in_segment(norm: Column, start: Column, end: Column, seg_norm: Column,
     return F.when(has_chars & near, exact).when(~has_chars, F.coalesce(guess, start)).otherwise(start)
 
 
+def suffix_time(norm: Column, start: Column, end: Column, chars: Column) -> Column:
+    """Time of a text that ends its segment and is most of it (ratio 0.75), where it begins within a second of the segment; else null.
+
+    The longest block that both share is the text itself, so the ratio follows from the lengths.
+    """
+    spelled = F.array_join(F.transform(chars, lambda c: c["ch"]), "")
+    n, total = F.length(norm), F.length(norm) + F.length(spelled)
+    at = F.instr(spelled, norm)
+    t = F.try_element_at(chars, at)["t"]
+    fits = (n > 0) & spelled.endswith(norm) & (2 * n >= 0.75 * total) & (at > 1)
+    return F.when(fits & t.between(start - 0.10, end + 0.10) & (t - start <= 1.0), t)
+
+
+def char_time(norm: Column, start: Column, end: Column, chars: Column) -> Column:
+    """Time of the character at which a text begins in its segment's characters, else by its suffix; null if it is out of the segment or not there."""
+    spelled = F.array_join(F.transform(chars, lambda c: c["ch"]), "")
+    at = F.instr(spelled, norm)
+    t = F.try_element_at(chars, at)["t"]
+    exact = F.when(t.between(start - 0.10, end + 0.10), t)
+    return F.when((F.length(norm) > 0) & (F.size(chars) > 0), F.when(at > 0, exact).otherwise(suffix_time(norm, start, end, chars)))
+
+
+def text_time(norm: Column, start: Column, end: Column, seg_norm: Column, latin: Column | None = None, seg_latin: Column | None = None) -> Column:
+    """Time of a text in its segment by its share of the characters; by the longest romaji prefix (18 to 5) where the text itself isn't there; else null."""
+    at, basis = F.instr(seg_norm, norm), F.length(seg_norm)
+    if latin is not None and seg_latin is not None:
+        lengths = F.sequence(F.least(F.length(latin), F.lit(18)), F.lit(5), F.lit(-1))
+        found = F.filter(F.transform(F.when(F.length(latin) >= 5, lengths), lambda k: F.instr(seg_latin, F.left(latin, k))), lambda x: x > 0)
+        sound = F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(0))
+        basis = F.when(at > 0, basis).otherwise(F.length(seg_latin))
+        at = F.when(at > 0, at).otherwise(sound)
+    seconds = F.greatest(F.lit(0.0), end - start)
+    share = start + seconds * F.least(F.lit(0.95), (at - 1) / basis)
+    inside = F.when(share.between(start - 0.10, end + 0.10), share)
+    return F.when((F.length(norm) > 0) & (F.length(seg_norm) > 0) & (at > 0), F.when(at == 1, start).when((seconds > 0.05) & (basis > 0), inside))
+
+
+def token_peaks(frames: DataFrame, seconds: float, offset: float = 0.0, limit: int = 8) -> DataFrame:
+    """(song, entry, peaks): of each line's first-token posteriors (song, entry, frame, value) the highest local maxima, the later frame first on ties; beyond the ends counts as -1."""
+    order = Window.partitionBy("song", "entry").orderBy("frame")
+    top = frames.withColumns({"__l": F.lag("value", 1, -1.0).over(order), "__r": F.lead("value", 1, -1.0).over(order)})
+    top = top.filter((F.col("value") >= F.col("__l")) & (F.col("value") >= F.col("__r")))
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("value", "frame"))))
+    rows = top.groupBy("song", "entry").agg(F.slice(ranked, 1, limit).alias("r"))
+    one = lambda x: F.struct(F.round(F.lit(offset) + x["frame"] * F.lit(seconds), 3).alias("time"), F.round(x["value"], 6).alias("score"))
+    return rows.select("song", "entry", F.transform("r", one).alias("peaks"))
+
+
 def earlier_duplicates(matches: DataFrame, segments: DataFrame) -> DataFrame:
     """(song, entry, segment, score): matches moved to a segment shortly before that is nearly the same.
 

@@ -98,6 +98,20 @@ def strict_failure(least_trusted: float = 100.0) -> Column:
     )
 
 
+def review_failure(strict: bool = False, fail_on_review: bool = False, min_trusted: float | None = None) -> Column:
+    """The first gate that a report fails, with its figures, or null; a strict run asks for 100 % trust unless told otherwise."""
+    least = 100.0 if strict and min_trusted is None else min_trusted
+    reviews, trusted = _n("review_required_count").cast("long"), F.coalesce(F.col("trusted_percent").cast("double"), F.lit(0.0))
+    gates = []
+    if strict or fail_on_review:
+        gates.append(F.when(reviews > 0, F.concat(F.lit("review_required_count="), reviews.cast("string"))))
+    if least is not None:
+        gates.append(F.when(trusted < least, F.concat(F.lit("trusted_percent="), trusted.cast("string"), F.lit(f" < required {float(least)}"))))
+    if strict:
+        gates.append(F.when(F.coalesce("collapse_detected", F.lit(False)), F.lit("collapse_detected=true")))
+    return F.coalesce(*gates, F.lit(None).cast("string"))
+
+
 def prefer_ctc(ctc_collapsed: Column, ctc_missing: Column, ctc_reviews: Column, hybrid_reviews: Column) -> Column:
     """Whether a patched candidate has so many more reviews than a clean one that it isn't worth it."""
     return ~ctc_collapsed & (ctc_missing == 0) & (hybrid_reviews >= F.greatest(F.lit(8), ctc_reviews * 3 + 5))

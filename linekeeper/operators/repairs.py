@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linekeeper.operators.folds import fold_by_song
-from linekeeper.operators.joins import peaks
+from linekeeper.operators.joins import plateaus
 from linekeeper.operators.windows import COLLAPSE, TRUSTED
 
 OUT = "song {kind}, entry int, time double, reason string"
@@ -22,14 +22,27 @@ OUT = "song {kind}, entry int, time double, reason string"
 
 def with_peaks(lines: DataFrame, frames: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Adds onsets: the song's peaks, in the order of time."""
-    top = peaks(frames, threshold).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("t", "onset"))).alias("onsets"))
+    top = plateaus(frames, threshold).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("t", "onset", "times"))).alias("onsets"))
     return lines.join(top, "song", "left")
 
 
 def _first(onsets: list | None, start: float, end: float, threshold: float, lead_in: float = 0.20) -> float | None:
-    if end <= start:
+    """The first peak in the span; with a lead-in the middle of its plateau up to the span's end."""
+    if end <= start or onsets is None:
         return None
-    return next((float(o["t"]) for o in onsets if start + lead_in <= o["t"] <= end and o["onset"] >= threshold), None) if onsets is not None else None
+    peak = next((o for o in onsets if start + lead_in <= o["t"] <= end and o["onset"] >= threshold), None)
+    if peak is None:
+        return None
+    times = [x for x in _field(peak, "times") if x <= end] if lead_in else []
+    return float(peak["t"] + times[-1]) / 2 if len(times) > 1 else float(peak["t"])
+
+
+def _field(peak: dict, name: str) -> list:
+    try:
+        got = peak[name]
+    except (KeyError, ValueError):
+        return []
+    return [] if got is None else list(got)
 
 
 @dataclass(frozen=True)
@@ -146,7 +159,7 @@ def vocal_tiebreak(df: DataFrame) -> DataFrame:
     def propose(v: dict) -> tuple[float, str] | None:
         ctc, own, other = _num(v["ctc"], float("nan")), _num(v["near_onset"]), _num(v["ctc_onset"])
         if 0.40 <= abs(ctc - v["now"]) <= 2.0 and other >= 0.50 and other >= own + 0.15:
-            return ctc, "vocal-onset-tiebreak"
+            return ctc, "demucs-vocal-onset-prefers-ctc"
         return None
 
     return _sweep(df, propose, 0.10)
@@ -361,3 +374,37 @@ def apply_anchors(df: DataFrame) -> DataFrame:
         return out
 
     return fold_by_song(df, step, OUT.format(kind=kind) + ", error string")
+
+
+def short_duplicate_recovery(df: DataFrame) -> DataFrame:
+    """(song, entry, time, reason, supporting): a short line that was put on a later occurrence goes back to an onset that neighbours' evidence supports.
+
+    Rows: timestamp, duration, onsets, short_duplicate (in the context of a longer line),
+    flags, evidence (map of a risk's candidate times).  The onset is within 0.45 s of the
+    earliest of the times that the line and five before it hold in the span, 1.20 to 6.80 s
+    before the line.
+    """
+    kind = df.schema["song"].dataType.simpleString()
+    sources = ("raw", "raw_asr", "whisperx", "whisperx_forced_first")
+
+    def step(rows: list[dict]) -> list[dict]:
+        times, out = [float(r["timestamp"]) for r in rows], []
+        held = [dict(r["evidence"]) if r["evidence"] is not None else {} for r in rows]
+        for i, r in enumerate(rows):
+            now, reason, support = times[i], None, []
+            before, after = times[i - 1] if i else 0.0, times[i + 1] if i + 1 < len(times) else float(r["duration"])
+            low, high = max(before + 0.40, now - 7.00), now - 0.45
+            flagged = r["flags"] is not None and "short_duplicate_asr_consensus_untrusted" in list(r["flags"])
+            if r["short_duplicate"] and flagged and now - before >= 3.50 and high - low >= 0.50:
+                near = ((rows[k]["entry"], next((held[k][s] for s in sources if held[k].get(s) is not None and low <= held[k][s] <= high), None)) for k in range(max(0, i - 5), i + 1))
+                support = [(e, t) for e, t in near if t is not None]
+            if support:
+                focus = min(t for _, t in support)
+                span = max(low, focus - 0.45), min(high, focus + 0.45)
+                found = _first(r["onsets"], *span, 0.65) or _first(r["onsets"], *span, 0.55)
+                if found and min(abs(found - t) for _, t in support) <= 1.20 and 1.20 <= now - found <= 6.80 and before + 0.05 < found < after - 0.05:
+                    times[i], reason = found, "short-duplicate-acoustic-onset-with-neighbor-asr-context"
+            out.append({"song": r["song"], "entry": r["entry"], "time": times[i], "reason": reason, "supporting": [e for e, _ in support] if reason else None})
+        return out
+
+    return fold_by_song(df, step, OUT.format(kind=kind) + ", supporting array<int>")

@@ -6,7 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linekeeper.operators import diagnostics, folds, metrics, scoring, windows
+from linekeeper.functions.text import leading_term
+from linekeeper.operators import diagnostics, folds, joins, metrics, scoring, windows
+
+# The sources of timing that can be asked for; audio is another name of heuristic.
+SOURCES = ("auto", "lyrics", "ctc", "jactc", "whisperx", "whispercpp", "heuristic", "audio")
+
+
+def choose_source(songs: DataFrame, asked: str = "auto") -> DataFrame:
+    """Adds source and error: how a song is timed.  songs: timed (its lyrics have times), checked (a checked file agrees), backends (array of names that can run)."""
+    if asked not in SOURCES:
+        raise ValueError(f"no source of timing: {asked}")
+    wanted = "heuristic" if asked == "audio" else asked
+    if wanted == "auto":
+        source = F.when(F.col("timed"), "lyrics").when(F.col("checked"), "checked_lrc").when(F.size("backends") > 0, "competition")
+    elif wanted == "lyrics":
+        source = F.when(F.col("timed"), "lyrics")
+    else:
+        source = F.when((F.lit(wanted) == "heuristic") | F.array_contains("backends", wanted), wanted)
+    return songs.withColumn("source", source).withColumn("error", F.when(F.col("source").isNull(), f"no evidence for timing source {wanted}"))
+
+
+def line_context(lines: DataFrame) -> DataFrame:
+    """(song, entry, repeats, ambiguous, duplicate, repeated): what a line's text has in common with its own and other lines."""
+    order = Window.partitionBy("song").orderBy("entry")
+    near = F.collect_list("norm").over(order.rowsBetween(-12, -1))
+    rows = lines.select("song", "entry", leading_term(F.col("text"))["count"].alias("repeats"), F.coalesce(F.array_contains(near, F.col("norm")), F.lit(False)).alias("repeated"))
+    for name, found in (("ambiguous", joins.ambiguous_prefix(lines)), ("duplicate", joins.short_duplicates(lines))):
+        rows = rows.join(found.withColumn(name, F.lit(True)), ["song", "entry"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows
+
+
+def recovered_tokens(tiers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Token-level lines after the cross-line and weak-prefix recoveries, with crossline and prefix."""
+    rows = windows.crossline_recovery(tiers).withColumns({"crossline": F.col("recovered").isNotNull(), "timestamp": F.coalesce("recovered", "timestamp")}).drop("recovered")
+    first = F.try_element_at("token_spans", F.lit(1))["score"]
+    ends = F.array_max(F.transform("token_spans", lambda s: s["end"]))
+    asked = rows.filter("timestamp is not null").join(lines.select("song", "entry", "duration"), ["song", "entry"])
+    moved = folds.weak_prefix_recovery(asked.select("song", "entry", "timestamp", "duration", "ctc_score", first.alias("first_score"), ends.alias("token_end"), "peaks", F.lit(False).alias("window_realigned")))
+    rows = rows.join(moved.select("song", "entry", F.col("time").alias("__t"), F.col("moved").alias("prefix")), ["song", "entry"], "left")
+    return rows.withColumns({"timestamp": F.coalesce("__t", "timestamp"), "prefix": F.coalesce("prefix", F.lit(False))}).drop("__t")
 
 
 def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,8 +72,8 @@ def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame)
     reports = reports.withColumn("quality", metrics.selection_quality())
     chosen = metrics.choose_candidate(reports)
     order = Window.partitionBy("song").orderBy("entry")
-    evidence = windows.boundary_evidence(tiers.drop("score"))
-    t = evidence.select("song", "entry", F.col("timestamp").alias("ctc"), "ctc_score", "first_score", "clear", "token_spans", "peaks", F.col("review").alias("token_review"))
+    evidence = windows.boundary_evidence(recovered_tokens(tiers.drop("score"), lines))
+    t = evidence.select("song", "entry", F.col("timestamp").alias("ctc"), "ctc_score", "first_score", "clear", "prefix", "crossline", "token_spans", "peaks", F.col("review").alias("token_review"))
     w = words.select("song", "entry", F.col("timestamp").alias("wx"), F.col("score").alias("wx_score"), "segment")
     r = raw.select("song", "entry", F.col("timestamp").alias("raw"), F.col("score").alias("raw_score"))
     rows = lines.join(t, ["song", "entry"]).join(w, ["song", "entry"]).join(r, ["song", "entry"], "left").join(chosen, "song")
@@ -42,7 +81,7 @@ def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame)
     known = F.coalesce("wx", "ctc", "raw")
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("word_missing", F.col("wx").isNull()).withColumn("wx", F.coalesce(known, before, F.lit(0.0)))
-    rows = rows.withColumns({"prefix": F.lit(False), "crossline": F.lit(False), "clear": F.coalesce("clear", F.lit(False)), "shared_low_segment": same_low})
+    rows = rows.withColumns({**{c: F.coalesce(c, F.lit(False)) for c in ("prefix", "crossline", "clear")}, "shared_low_segment": same_low}).join(line_context(lines), ["song", "entry"])
     fused = folds.fuse(rows.select("song", "entry", "wx", "wx_score", "ctc", "ctc_score", "raw", "raw_score", "duration", "prefix", "crossline", "clear", "shared_low_segment"))
     rows = rows.join(fused.select("song", "entry", F.col("time").alias("fused"), "reason"), ["song", "entry"])
     by_tokens = F.col("selected") == "ctc"
@@ -63,12 +102,13 @@ def align(lines: DataFrame, words: DataFrame, tokens: DataFrame, raw: DataFrame)
         "ctc_score",
         spans.alias("spans"),
         "peaks",
-        F.lit(0).alias("repeats"),
-        F.lit(False).alias("ambiguous"),
-        F.lit(False).alias("duplicate"),
+        "repeats",
+        "ambiguous",
+        "duplicate",
+        "repeated",
         F.lit(False).alias("asr_only_trust"),
         F.lit(False).alias("mora_known"),
-        (by_tokens & (F.col("ctc_score") < diagnostics.LOW)).alias("isolated_low"),
+        "text",
     )
     decisions = scoring.score_lines(scored).join(rows.select("song", "entry", "selected", "reason"), ["song", "entry"])
     final = decisions.groupBy("song", "selected").agg(

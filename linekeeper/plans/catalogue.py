@@ -399,7 +399,7 @@ def ambiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ambiguous_prefix(rows.withColumn("norm", F.concat(F.when(F.col("entry") % 3 == 0, "abcdefghijkl").otherwise(""), "norm")))
 
 
-@query(f"""WITH {CONV}, s AS (SELECT song, entry, left(norm, CASE WHEN entry % 2 = 0 THEN 4 ELSE 400 END) AS norm FROM conv) SELECT DISTINCT a.song, a.entry FROM s a JOIN s b ON a.song = b.song AND a.entry <> b.entry AND abs(a.entry - b.entry) <= 8
+@query(f"""WITH {CONV}, s AS (SELECT song, entry, CASE WHEN entry % 2 = 0 THEN left(norm, 4) ELSE norm END AS norm FROM conv) SELECT DISTINCT a.song, a.entry FROM s a JOIN s b ON a.song = b.song AND a.entry <> b.entry AND abs(a.entry - b.entry) <= 8
  WHERE length(a.norm) BETWEEN 4 AND 12 AND length(b.norm) > length(a.norm) AND contains(b.norm, a.norm)""")
 def short_dup_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_lines(spark, sf_dir).withColumn("norm", F.when(F.col("entry") % 2 == 0, F.left("norm", F.lit(4))).otherwise(F.col("norm")))
@@ -440,7 +440,7 @@ def line_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.line_script(F.col("text")).alias("script"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, replace(replace(left(text, 200), '. ', '  '), ', ', ' / ') AS x FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, replace(replace(text, '. ', '  '), ', ', ' / ') AS x FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(x, ' '), '[\t\n\r\f\x{0b} ]+/[\t\n\r\f\x{0b} ]+|(?:[ \x{3000}]{2,}|\t+)'), lambda p: trim(p, ' ')), lambda p: p <> ''), '|') AS parts FROM d""")
 def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.replace(F.replace("text", F.lit(". "), F.lit("  ")), F.lit(", "), F.lit(" / "))
@@ -453,7 +453,7 @@ def leading_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("song", "entry", "term.term", "term.count")
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '', 'g') AS r FROM documents) SELECT doc_id, r AS romaji FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS r FROM documents) SELECT doc_id, r AS romaji FROM w""")
 def compact_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.compact_latin(F.col("text"), normal=False).alias("romaji"))
 
@@ -618,7 +618,7 @@ def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, t, k = lines(spark, sf_dir), F.col("t"), F.col("segment")
     span = F.struct(t.alias("start"), (t + 1).alias("end"), F.col("score").alias("score"))
-    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), "score", (k % 25).alias("norm_len"), (k % 31 == 0).alias("manual"), F.when(k % 2 == 0, t + (k - 50) / 20.0).alias("raw"), F.col("score").alias("raw_score"), F.when(k % 5 == 0, t + 1.5).alias("forced"), F.lit(False).alias("risk_review"), (k % 3 == 0).alias("window_realigned"), F.col("score").alias("ctc_score"), F.array(span).alias("spans"), F.array(F.struct((t - 0.4).alias("time"), F.col("score").alias("score"))).alias("peaks"), (k % 3).alias("repeats"), (k % 11 == 0).alias("ambiguous"), (k % 13 == 0).alias("duplicate"), (k % 2 == 0).alias("asr_only_trust"), (k % 4 == 0).alias("mora_known"), F.lit(False).alias("isolated_low"))
+    made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), "score", (k % 25).alias("norm_len"), (k % 31 == 0).alias("manual"), F.when(k % 2 == 0, t + (k - 50) / 20.0).alias("raw"), F.col("score").alias("raw_score"), F.when(k % 5 == 0, t + 1.5).alias("forced"), F.lit(False).alias("risk_review"), (k % 3 == 0).alias("window_realigned"), F.col("score").alias("ctc_score"), F.array(span).alias("spans"), F.array(F.struct((t - 0.4).alias("time"), F.col("score").alias("score"))).alias("peaks"), (k % 3).alias("repeats"), (k % 11 == 0).alias("ambiguous"), (k % 13 == 0).alias("duplicate"), (k % 2 == 0).alias("asr_only_trust"), (k % 4 == 0).alias("mora_known"))
     out = scoring.score_lines(made)
     return out.select("song", "entry", F.round("time", 6).alias("time"), "chosen", F.round("confidence", 6).alias("confidence"), "review")
 

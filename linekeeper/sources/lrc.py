@@ -15,7 +15,8 @@ from linekeeper.functions.timing import TAG, clock, tag_cs
 from linekeeper.operators.windows import islands
 
 META = r"^\[[a-zA-Z]+:.*\]$"
-TIMED = rf"^\s*((?:{TAG.replace('(', '(?:').replace('(?:?:', '(?:')})+)(.*)$"
+# Fixed value: a line with one time tag or more, and its text.
+TIMED = r"^\s*((?:\[[0-9]{1,3}:[0-9]{2}(?:\.[0-9]{1,3})?\])+)(.*)$"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -145,6 +146,48 @@ def lrc_text(entries: DataFrame, heads: DataFrame, generator: str = "timeline en
     return joined.select("doc_id", F.concat(F.lit("﻿"), F.array_join("all", "\n"), F.lit("\n")).alias("content"))
 
 
-def write_texts(docs: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One folder of text files; refuses an existing one unless told to replace it."""
-    docs.select(F.regexp_replace("content", "\n$", "").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+def write_texts(docs: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """One file for each row (doc_id, content), named by the last part of doc_id; returns (doc_id, file).
+
+    An existing file is an error unless ``overwrite``.  A file is written aside and moved, so
+    a repeated task leaves it whole; rows that share a name are an error.
+    """
+    spark = docs.sparkSession
+    named = docs.select("doc_id", F.element_at(F.split("doc_id", r"[/\\]"), -1).alias("name"), "content")
+    twice = named.groupBy("name").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"several files would be named {twice.name}")
+    if not overwrite:
+        there = existing_files(spark, path)
+        clash = named.join(there, named["name"] == there["file_name"], "left_semi").first()
+        if clash:
+            raise FileExistsError(f"{path}/{clash.name}")
+
+    def write(rows):
+        import uuid
+
+        from pyarrow import fs
+
+        disk, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
+        disk.create_dir(folder, recursive=True)
+        for frame in rows:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                aside = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}"
+                with disk.open_output_stream(aside) as out:
+                    out.write((content or "").encode())
+                disk.move(aside, f"{folder}/{name}")
+            yield frame.assign(file=path.rstrip("/") + "/" + frame["name"])[["doc_id", "file"]]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    done = named.mapInPandas(write, f"doc_id {kind}, file string").collect()
+    return spark.createDataFrame([tuple(r) for r in done], f"doc_id {kind}, file string")
+
+
+def existing_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_name, mtime) of the files of a folder; none if it doesn't exist."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "path string, file_name string, mtime timestamp")
+    found = spark.read.format("binaryFile").load(path)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("modificationTime").alias("mtime"))

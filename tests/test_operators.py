@@ -79,14 +79,14 @@ def test_review_explosion(spark):
     assert tuple(got) == (True, False, False)
 
 
-@pytest.mark.parametrize("args,time,reason", [((23.29, 0.002, 23.03, 0.52, 23.14), 23.085, "whisperx-japanese-ctc-onset-consensus"), ((202.27, 0.06, 202.525, 0.96, 202.539), 202.532, "whisperx-japanese-ctc-over-ctc-onset-consensus"), ((123.876, 0.009, 123.222, 0.889, 124.112), 123.222, "high-confidence-whisperx-over-weak-ctc-initial"), ((1.0, 0.5, 1.0, 0.5, 1.0), None, None)])
+@pytest.mark.parametrize("args,time,reason", [((40.0, 0.01, 39.75, 0.5, 39.85), 39.8, "whisperx-japanese-ctc-onset-consensus"), ((90.0, 0.1, 90.5, 0.8, 90.6), 90.55, "whisperx-japanese-ctc-over-ctc-onset-consensus"), ((61.0, 0.0, 60.5, 0.8, 61.25), 60.5, "high-confidence-whisperx-over-weak-ctc-initial"), ((61.0, 0.0, 60.5, 0.79, 61.25), None, None), ((90.0, 0.11, 90.5, 0.8, 90.6), None, None)])
 def test_onset_consensus(spark, args, time, reason):
     got = spark.range(1).select(metrics.onset_consensus(*map(F.lit, args)).alias("x")).first().x
     assert got.reason == reason and (got.time is None if time is None else got.time == pytest.approx(time))
 
 
 def test_zero_gap(spark):
-    got = spark.range(1).select(metrics.accept_zero_gap(*map(F.lit, (0.0, 0.20, 10.0, 10.75, 0.24))).alias("a"), metrics.accept_zero_gap(*map(F.lit, (0.12, 0.20, 10.0, 10.75, 0.24))).alias("b")).first()
+    got = spark.range(1).select(metrics.accept_zero_gap(*map(F.lit, (0.04, 0.40, 5.0, 5.5, 0.43))).alias("a"), metrics.accept_zero_gap(*map(F.lit, (0.05, 0.40, 5.0, 5.5, 0.43))).alias("b")).first()
     assert tuple(got) == (True, False)
 
 
@@ -157,10 +157,10 @@ def test_weak_prefix_and_twins(spark):
     schema = "song string, entry int, timestamp double, duration double, ctc_score double, first_score double, token_end double, peaks array<struct<time: double, score: double>>, window_realigned boolean"
 
     def song(name, tail, score):
-        return [(name, 1, 198.0, 300.0, 0.5, 0.9, tail, None, False), (name, 2, 202.16, 300.0, 0.3, 0.01, 204.0, [(200.09, score), (201.00, 0.03)], False)]
+        return [(name, 1, 48.0, 90.0, 0.5, 0.9, tail, None, False), (name, 2, 52.0, 90.0, 0.3, 0.05, 54.0, [(50.0, score), (51.0, 0.03)], False)]
 
-    got = {(r.song, r.entry): r.time for r in folds.weak_prefix_recovery(rows(spark, song("a", 199.0, 0.19) + song("b", 199.0, 0.04) + song("c", 200.45, 0.19), schema)).collect()}
-    assert (got["a", 2], got["b", 2], got["c", 2]) == (200.09, 202.16, 202.16)
+    got = {(r.song, r.entry): r.time for r in folds.weak_prefix_recovery(rows(spark, song("a", 49.0, 0.05) + song("b", 49.0, 0.049) + song("c", 49.99, 0.5), schema)).collect()}
+    assert (got["a", 2], got["b", 2], got["c", 2]) == (50.0, 52.0, 52.0)
 
 
 def test_fold_reads_the_revised_neighbour(spark):
@@ -173,39 +173,65 @@ def test_fusion(spark):
     schema = "song string, entry int, wx double, wx_score double, ctc double, ctc_score double, raw double, raw_score double, duration double, prefix boolean, crossline boolean, clear boolean, shared_low_segment boolean"
     df = rows(spark, [("a", 1, 20.0, 0.55, 22.5, 0.1, 22.3, 0.76, 60.0, False, False, False, False), ("b", 1, 20.0, 0.95, 20.9, 0.9, None, None, 60.0, False, False, False, False)], schema)
     got = {r.song: (r.time, r.reason) for r in folds.fuse(df).collect()}
-    assert got == {"a": (22.5, "ctc-raw-consensus"), "b": (20.0, None)}
+    assert got == {"a": (22.5, "ctc-raw-consensus-over-whisperx"), "b": (20.0, None)}
 
 
-LINE = "song string, entry int, timestamp double, duration double, score double, norm_len int, manual boolean, raw double, raw_score double, forced double, risk_review boolean, window_realigned boolean, ctc_score double, spans array<struct<start: double, end: double, score: double>>, peaks array<struct<time: double, score: double>>, repeats int, ambiguous boolean, duplicate boolean, asr_only_trust boolean, mora_known boolean, isolated_low boolean"
+LINE = "song string, entry int, timestamp double, duration double, score double, norm_len int, manual boolean, raw double, raw_score double, forced double, risk_review boolean, window_realigned boolean, ctc_score double, spans array<struct<start: double, end: double, score: double>>, peaks array<struct<time: double, score: double>>, repeats int, ambiguous boolean, duplicate boolean, asr_only_trust boolean, mora_known boolean"
 
 
-def line(entry, t, score=0.5, n=8, manual=False, raw=None, raw_score=None, forced=None, spans=None, peaks=None, repeats=0, ctc=0.5, realigned=False):
-    return ("a", entry, t, 300.0, score, n, manual, raw, raw_score, forced, False, realigned, ctc, spans, peaks, repeats, False, False, False, False, False)
+def line(entry, t, score=0.5, n=8, manual=False, raw=None, raw_score=None, forced=None, spans=None, peaks=None, repeats=0, ctc=0.5, realigned=False, ambiguous=False, risk=False):
+    return ("a", entry, t, 300.0, score, n, manual, raw, raw_score, forced, risk, realigned, ctc, spans, peaks, repeats, ambiguous, False, False, False)
 
 
 @pytest.mark.parametrize(
     "lines,want",
     [
-        ([line(1, 9.0, spans=[(9.0, 10.8, 0.9)]), line(2, 11.2, raw=10.5, raw_score=0.96)], (11.2, "selected_path")),
-        ([line(1, 10.0), line(2, 20.0, score=0.35, raw=20.15, raw_score=0.96)], (20.15, "raw_asr")),
-        ([line(1, 30.0), line(2, 36.396, raw=37.0, raw_score=0.96, spans=[(36.396, 36.4, 0.01), (37.258, 38.0, 0.9)])], (37.0, "raw_asr")),
-        ([line(1, 100.0), line(2, 113.0, spans=[(113.0, 113.1, 0.008), (113.807, 114.0, 0.9)])], (113.807, "ctc_detached_initial_token_recovery")),
-        ([line(1, 10.0), line(2, 18.322, spans=[(18.322, 18.4, 0.8), (19.0, 19.4, 0.9)])], (18.322, "selected_path")),
-        ([line(1, 160.0), line(2, 175.0, ctc=0.073687, spans=[(175.0, 175.2, 0.02)], peaks=[(172.770, 0.034785), (174.091, 0.039345)], repeats=3)], (172.770, "ctc_repeated_leading_term_onset")),
-        ([line(1, 10.0, spans=[(10.0, 14.9, 0.9)]), line(2, 16.0, ctc=0.07, spans=[(16.0, 16.2, 0.02)], peaks=[(14.8, 0.03)], repeats=3)], (16.0, "selected_path")),
+        # a raw time within the token tail before it counts little
+        ([line(1, 9.0, spans=[(9.0, 11.0, 0.9)]), line(2, 12.0, raw=11.03, raw_score=0.99)], (12.0, "selected_path")),
+        # a weak first token of a window aligned anew gives way to a strong raw time, not to a repeated text's
+        ([line(1, 10.0), line(2, 20.0, raw=20.5, raw_score=0.8, realigned=True, spans=[(20.0, 20.1, 0.12), (20.2, 20.4, 0.5)])], (20.5, "raw_asr")),
+        ([line(1, 10.0), line(2, 20.0, raw=20.5, raw_score=0.8, realigned=True, ambiguous=True, spans=[(20.0, 20.1, 0.12), (20.2, 20.4, 0.5)])], (20.0, "selected_path")),
+        # a detached first token
+        ([line(1, 30.0), line(2, 40.0, raw=40.5, raw_score=0.9, spans=[(40.0, 40.1, 0.5), (40.45, 41.0, 0.9)])], (40.5, "raw_asr")),
+        ([line(1, 30.0), line(2, 40.0, spans=[(40.0, 40.1, 0.019), (40.5, 41.0, 0.9)])], (40.5, "ctc_detached_initial_token_recovery")),
+        ([line(1, 30.0), line(2, 40.0, spans=[(40.0, 40.1, 0.02), (40.5, 41.0, 0.9)])], (40.0, "selected_path")),
+        # a repeated first word begins earlier, but not in the tail before it
+        ([line(1, 50.0), line(2, 65.0, ctc=0.18, spans=[(65.0, 65.2, 0.05), (65.2, 65.3, 0.4)], peaks=[(62.0, 0.02), (63.0, 0.03)], repeats=2)], (62.0, "ctc_repeated_leading_term_onset")),
+        ([line(1, 50.0, spans=[(50.0, 62.0, 0.9)]), line(2, 65.0, ctc=0.18, spans=[(65.0, 65.2, 0.05), (65.2, 65.3, 0.4)], peaks=[(62.03, 0.02)], repeats=2)], (65.0, "selected_path")),
         ([line(1, 10.0), line(2, 16.0, manual=True, ctc=0.01, peaks=[(15.9, 0.9)])], (16.0, "manual_anchor")),
     ],
 )
 def test_line_scoring(spark, lines, want):
     got = scoring.score_lines(rows(spark, lines, LINE)).filter("entry = 2").first()
     assert (got.time, got.chosen) == want
-    if want[1] == "raw_asr":
-        assert got.confidence >= 0.70 or got.review is False
+
+
+@pytest.mark.parametrize(
+    "kwargs,review,resolution",
+    [
+        # a rescue that isn't adopted (out of bounds) does not clear a review
+        ({"raw": 25.0, "raw_score": 0.95, "spans": [(20.0, 20.1, 0.5), (20.5, 21.0, 0.9)], "risk": True}, True, None),
+        ({"raw": 20.5, "raw_score": 0.95, "spans": [(20.0, 20.1, 0.5), (20.5, 21.0, 0.9)], "risk": True}, False, "high-confidence-raw-resolves-detached-ctc-initial-token"),
+        # nor does the second token's time
+        ({"spans": [(20.0, 20.1, 0.01), (20.5, 21.0, 0.9)], "risk": True}, True, None),
+        ({"spans": [(20.0, 20.1, 0.5), (20.2, 21.0, 0.9)], "risk": True, "realigned": True}, False, "local-vocal-ctc-confirms-first-token"),
+        # a lone weak path is no defect by itself
+        ({"ctc": 0.02, "score": 0.1}, False, None),
+        ({"ctc": 0.03, "score": 0.1}, True, None),
+        # a score of 0 counts as missing, that is as 1
+        ({"ctc": 0.0, "score": 0.1}, True, None),
+    ],
+)
+def test_reviews(spark, kwargs, review, resolution):
+    got = scoring.score_lines(rows(spark, [line(1, 10.0), line(2, 20.0, **kwargs), line(3, 24.0)], LINE)).filter("entry = 2").first()
+    assert (got.review, got.resolution) == (review, resolution)
 
 
 def test_long_disagreement_is_reviewed_and_split(spark):
-    got = scoring.score_lines(rows(spark, [line(1, 10.0), line(2, 20.0, n=20, forced=17.5)], LINE)).filter("entry = 2").first()
-    assert got.review and "long_line_disagreement" in got.penalties and got.split == 18.75
+    df = rows(spark, [line(1, 10.0), line(2, 20.0, n=20, forced=17.5)], LINE).withColumn("text", F.lit("abcdefghi")).withColumn("timing_trusted", F.lit(True))
+    got = scoring.score_lines(df).filter("entry = 2").first()
+    assert got.review and "long_line_disagreement" in got.penalties and got.split == "abcd"
+    assert not got.trusted and "timing_trust_removed_for_review" in got.flags and got.severity == "high"
 
 
 def test_cases_apply_their_own_gates(spark):

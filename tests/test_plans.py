@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linekeeper.plans.align import align
+from linekeeper.plans.align import align, choose_source
 from linekeeper.sources import audio
 from linekeeper.streaming import live
 
@@ -25,6 +25,15 @@ def test_align(spark):
     assert {r.song: r.timing_entries for r in report.collect()} == {"a": 3, "b": 3}
 
 
+def test_sources_of_timing(spark):
+    df = spark.createDataFrame([(True, True, ["ctc"]), (False, True, []), (False, False, ["ctc"]), (False, False, [])], "timed boolean, checked boolean, backends array<string>")
+    ask = lambda x: [r.source for r in choose_source(df, x).collect()]
+    assert ask("auto") == ["lyrics", "checked_lrc", "competition", None] and ask("audio") == ["heuristic"] * 4
+    assert ask("ctc") == ["ctc", None, "ctc", None] and ask("lyrics") == ["lyrics", None, None, None]
+    with pytest.raises(ValueError):
+        choose_source(df, "other")
+
+
 def test_sound(spark, tmp_path):
     rate, rng = audio.RATE, np.random.default_rng(0)
     sound = rng.normal(0, 0.001, rate * 6)
@@ -42,6 +51,11 @@ def test_sound(spark, tmp_path):
     assert frames.agg(F.max("onset")).first()[0] == pytest.approx(1.0)
     with pytest.raises(ValueError):
         audio.frame_features(np.zeros(10))
+    voice = audio.vocal_onsets(audio.read_frames(spark, str(tmp_path), voice=True))
+    best = voice.orderBy(F.desc("onset"), "t").first()
+    assert best.onset == pytest.approx(1.0) and min(abs(best.t - x) for x in (1.0, 2.2, 3.5, 4.7)) < 0.15
+    with pytest.raises(ValueError):
+        audio.consonant_features(np.zeros(10))
 
 
 def test_live_metrics(spark, tmp_path):

@@ -92,4 +92,4 @@ def test_truthy(spark):
 
 
 def test_report_key(spark):
-    assert one(spark, "/a/b/ Song Name.checked--x.lrc", tx.report_key) == "song name"
+    assert one(spark, "/a/b/ Song Name.checked--x.lrc", tx.report_key) == "songname"
