@@ -428,11 +428,10 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("norm"), F.length(norm).cast("long").alias("n"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents), w AS (SELECT doc_id, regexp_replace(line, '[ \t\n\r\f\x{0b}]+', '', 'g') AS c, regexp_extract_all(line, '[A-Za-z0-9'']+') AS words FROM d)
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS line FROM documents), w AS (SELECT doc_id, regexp_replace(line, '[ \t\n\r\f\x{0b}]+', '', 'g') AS c, regexp_extract_all(line, '[A-Za-z0-9'']+') AS words FROM d)
 SELECT doc_id, round(greatest(1.0::DOUBLE, len(words) * 1.7::DOUBLE + greatest(0, length(c) - length(array_to_string(words, ''))) * 0.5::DOUBLE), 6) AS weight FROM w""")
 def text_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.text_weight(line), 6).alias("weight"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.text_weight(F.coalesce("text", F.lit(""))), 6).alias("weight"))
 
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30ff}]') THEN 'japanese' WHEN len(regexp_extract_all(text, '[A-Za-z]')) >= 2 THEN 'latin' WHEN regexp_matches(text, '[\x{3400}-\x{9fff}]') THEN 'han' ELSE 'other' END AS script FROM documents")
@@ -447,10 +446,14 @@ def split_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.split_group(x), "|").alias("parts"))
 
 
-@query()
+@query(rf"""WITH {CONV}, x AS (SELECT song, entry, regexp_split_to_array(trim(regexp_extract(text, '^[^ ]*') || ', ' || text, ' '), '[ \\t\\n\\x0B\\f\\r　,、，。！？!?・]+') AS raw FROM conv),
+t AS (SELECT song, entry, list_filter(list_transform(raw, lambda v: regexp_replace(v, '[^0-9A-Za-z\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]+', '', 'g')), lambda v: v <> '') AS terms FROM x),
+r AS (SELECT *, coalesce(terms[1], '') AS head, coalesce(list_position(list_transform(terms, lambda v: starts_with(v, terms[1])), false) - 1, len(terms)) AS n FROM t)
+SELECT song, entry, CASE WHEN length(head) >= 2 AND n >= 2 THEN head ELSE '' END AS term, CAST(CASE WHEN length(head) >= 2 AND n >= 2 THEN n ELSE 0 END AS INTEGER) AS count FROM r""".replace("\\\\", "\\"))
 def leading_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conversation_lines(spark, sf_dir).withColumn("term", tx.leading_term(F.concat(F.substring("text", 1, 5), F.lit(", "), F.col("text"))))
-    return rows.select("song", "entry", "term.term", "term.count")
+    """Turns with their first word put before them once more."""
+    text = F.concat(F.regexp_extract("text", "^[^ ]*", 0), F.lit(", "), F.col("text"))
+    return conversation_lines(spark, sf_dir).withColumn("term", tx.leading_term(text)).select("song", "entry", "term.term", "term.count")
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS r FROM documents) SELECT doc_id, r AS romaji FROM w""")
@@ -458,7 +461,8 @@ def compact_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.compact_latin(F.col("text"), normal=False).alias("romaji"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS r FROM documents), p AS (SELECT doc_id, regexp_replace(r, 'n([aeiouy])', '~\1', 'g') AS r FROM w)
+SELECT doc_id, replace(array_to_string(regexp_extract_all(r, 'n|[b-df-hj-np-tv-z~]*[aeiou]|.'), '-'), '~', 'n') AS morae FROM p""")
 def romaji_morae(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tx.compact_latin(F.col("text"), normal=False)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.romaji_morae(r), "-").alias("morae"))
@@ -473,19 +477,6 @@ def spoken_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- Planning, folds, audits -------------------------------------------------------
 
 
-@query(rf"""WITH {CONV}, w AS (SELECT song, entry, greatest(1.0::DOUBLE, len(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z0-9'']+')) * 1.7::DOUBLE) AS wt FROM conv),
-s AS (SELECT *, coalesce(sum(wt) OVER (PARTITION BY song ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(wt) OVER (PARTITION BY song) AS total FROM w)
-SELECT song, entry, round(least(200.0::DOUBLE, 10 + 190 * before / total), 6) AS rough FROM s""")
-def weighted_rough_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.element_at(F.split("text", "\n"), 1)
-    words = F.greatest(F.lit(1.0), F.size(F.regexp_extract_all(first, F.lit("[A-Za-z0-9']+"), F.lit(0))) * 1.7)
-    rows = conversation_lines(spark, sf_dir).withColumn("w", words)
-    order = Window.partitionBy("song").orderBy("entry")
-    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.withColumn("b", before).withColumn("s", F.sum("w").over(Window.partitionBy("song")))
-    return rows.select("song", "entry", F.round(F.least(F.lit(200.0), 10 + 190 * F.col("b") / F.col("s")), 6).alias("rough"))
-
-
 @query(f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, t + (segment - 50) * 1000.0::DOUBLE AS p, lead(t) OVER (PARTITION BY song ORDER BY entry) AS nt FROM base),
 f AS (SELECT song, entry, CASE WHEN nt IS NULL OR p < nt - 60 THEN p ELSE t END AS v FROM n WHERE entry = 1
  UNION ALL SELECT n.song, n.entry, CASE WHEN n.p > f.v + 60 AND (n.nt IS NULL OR n.p < n.nt - 60) THEN n.p ELSE n.t END FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)
@@ -514,7 +505,24 @@ def weak_prefix_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("song", "entry", F.round("time", 6).alias("time"), "moved")
 
 
-@query()
+def _fusion_sql() -> str:
+    def step(lo: str) -> str:
+        far = f"(score >= 0.95 AND abs(raw - t) BETWEEN 1.5 AND 3.5 AND mid AND raw > {lo} + 3.0 AND raw < hi - 1.0)"
+        near = "(cs >= 0.08 AND score >= 0.82 AND abs(raw - t) >= 0.25 AND mid AND NOT agrees)"
+        target = f"(CASE WHEN {far} OR {near} THEN raw ELSE ctc END)"
+        reason = f"""CASE WHEN NOT (off >= 1.10 OR ((pre OR crs) AND off >= 0.35)) OR NOT ({far} OR {near} OR cs >= 0.08) OR NOT ({target} > {lo} + 0.10 AND {target} < hi - 0.10) THEN NULL
+ WHEN {far} THEN 'raw-high-confidence-anchor-over-whisperx' WHEN {near} THEN 'raw-internal-anchor-between-ctc-and-whisperx' WHEN pre THEN 'ctc-weak-prefix-recovery-over-whisperx' WHEN crs THEN 'ctc-crossline-initial-recovery-over-whisperx'
+ WHEN clr AND cs >= 0.08 AND off >= 0.45 THEN 'ctc-clear-boundary-over-whisperx' WHEN agrees AND off >= 1.0 THEN 'ctc-raw-consensus-over-whisperx' WHEN cs >= 0.25 AND off >= 1.5 THEN 'high-evidence-ctc-over-whisperx' WHEN cs >= 0.18 AND off >= 1.1 THEN 'moderate-evidence-ctc-over-whisperx'
+ WHEN off >= 2.0 THEN 'large-whisperx-ctc-disagreement' WHEN low THEN 'previous-low-confidence-same-asr-segment' WHEN score < 0.85 THEN 'low-confidence-whisperx-with-ctc-anchor' END"""
+        return f"SELECT song, entry, CASE WHEN r IS NULL THEN t ELSE g END AS v, r AS reason FROM (SELECT *, {reason} AS r, {target} AS g FROM"
+
+    return f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, score, score / 2 AS cs, t + (segment - 50) / 10.0::DOUBLE AS ctc, t + (segment - 50) / 12.0::DOUBLE AS raw, segment <> 50 AS mid, abs(t + (segment - 50) / 10.0::DOUBLE - t) AS off,
+ score >= 0.72 AND abs((t + (segment - 50) / 12.0::DOUBLE) - (t + (segment - 50) / 10.0::DOUBLE)) <= 0.75 AS agrees, segment % 13 = 0 AS pre, segment % 17 = 0 AS crs, segment % 5 = 0 AS clr, segment % 19 = 0 AS low, coalesce(lead(t) OVER w, max(t) OVER (PARTITION BY song) + 10) AS hi FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)),
+f AS ({step('0.0::DOUBLE')} n WHERE entry = 1) UNION ALL {step('lo')} (SELECT n.*, f.v AS lo FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)))
+SELECT song, entry, round(max(v - 0.10 * entry) OVER (PARTITION BY song ORDER BY entry) + 0.10 * entry, 6) AS time, reason FROM f"""
+
+
+@query(_fusion_sql())
 def local_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, t, k = lines(spark, sf_dir), F.col("t"), F.col("segment")
     made = rows.select("song", "entry", t.alias("wx"), F.col("score").alias("wx_score"), (t + (k - 50) / 10.0).alias("ctc"), (F.col("score") / 2).alias("ctc_score"), (t + (k - 50) / 12.0).alias("raw"), F.col("score").alias("raw_score"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), (k % 13 == 0).alias("prefix"), (k % 17 == 0).alias("crossline"), (k % 5 == 0).alias("clear"), (k % 19 == 0).alias("shared_low_segment"))
@@ -522,7 +530,11 @@ def local_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("song", "entry", F.round("time", 6).alias("time"), "reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE}, j AS (SELECT a.song, a.entry, f.t AS ft, f.score AS onset, row_number() OVER (PARTITION BY a.song, a.entry ORDER BY f.score DESC, f.t) AS rn FROM base a JOIN base f ON a.song = f.song AND f.backend = 'view' AND f.t BETWEEN a.t - 30000 AND a.t + 30000),
+n AS (SELECT b.song, b.entry, CASE WHEN onset >= 0.18 THEN ft ELSE t END AS x, max(t) OVER (PARTITION BY b.song) + 10 AS d, count(*) OVER (PARTITION BY b.song) - b.entry AS rest FROM base b LEFT JOIN j ON j.song = b.song AND j.entry = b.entry AND rn = 1),
+f AS (SELECT song, entry, greatest(0.0, least(d, CASE WHEN rest > 0 THEN least(x, d - 0.28 * rest) ELSE x END)) AS v FROM n WHERE entry = 1
+ UNION ALL SELECT n.song, n.entry, greatest(0.0, least(d, CASE WHEN rest > 0 THEN least(greatest(x, f.v + 0.28), d - 0.28 * rest) ELSE greatest(x, f.v + 0.28) END)) FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)
+SELECT song, entry, round(v, 6) AS time FROM f""")
 def onset_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     near = joins.nearest_onset(rows.select("song", "entry", "t"), _frames(rows), 30000)
@@ -533,7 +545,7 @@ def onset_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BASE}, c AS (SELECT *, CAST(round_even(greatest(0.0, value / 3) * 100, 0) AS BIGINT) AS cs FROM base)
 SELECT song, entry, printf('%02d:%02d.%02d', cs // 6000, cs % 6000 // 100, cs % 100) AS clock, backend || ';' || segment AS flags FROM c""")
-def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.array_join(F.array("backend", F.col("segment").cast("string")), ";")
     return lines(spark, sf_dir).select("song", "entry", tm.clock(F.col("value") / 3).alias("clock"), flags.alias("flags"))
 
@@ -604,19 +616,43 @@ SELECT song, entry, concat_ws(';', CASE WHEN off >= CASE WHEN is_long THEN 2.0 E
  CASE WHEN NOT is_long AND gb <= 3.5 AND off >= 0.7 THEN 'close_neighbor_onset_uncertain' END, CASE WHEN forced <= prev + 0.2 THEN 'forced_time_overlaps_previous_line' END,
  CASE WHEN is_long AND ga <= 3.5 THEN 'long_line_close_to_next_entry' END, CASE WHEN is_long AND gb >= 8 AND ga >= 6 THEN 'long_line_wide_window' END, CASE WHEN is_long AND score < 0.88 THEN 'long_line_not_high_confidence' END) AS flags FROM g""")
 def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line's own flags; here lines are too far apart for followers, and none are on one segment."""
+    """A line's flags; here lines are too far apart for followers, and none are on one segment."""
     rows = lines(spark, sf_dir).withColumnRenamed("t", "timestamp")
     rows = rows.withColumn("forced", F.when(F.col("segment") % 3 == 0, F.col("timestamp") + (F.col("segment") - 50) / 10.0)).withColumn("duration", F.max("timestamp").over(Window.partitionBy("song")) + 10)
     text = F.when(F.col("segment") % 2 == 0, F.lit("x" * 20)).otherwise("abcdef")
     rows = rows.withColumns({"borrowed": F.lit(False), "norm": text, "text": text, "segment": F.col("entry"), "score": F.greatest(F.col("score"), F.lit(1e-9))})
     out = diagnostics.alignment_diagnostics(rows)
-    own = F.filter("flags", lambda x: ~x.isin("follows_suspicious_long_line", "possible_bad_split_boundary"))
-    return out.select("song", "entry", F.array_join(own, ";").alias("flags"))
+    return out.select("song", "entry", F.array_join("flags", ";").alias("flags"))
 
 
-@query()
+def _scoring_sql() -> str:
+    """One span a line: no first token is weak or detached, so the local path settles every third line, and only a line too close to its neighbours gives way to another candidate."""
+
+    def step(source: str, lo: str, first: str) -> str:
+        inside = lambda x: f"({x} > lo + 0.05 AND {x} < hi - 0.05)"
+        bounded = lambda t, p: f"CASE WHEN {inside(t)} THEN {p} ELSE greatest(0, {p} - 0.35) END"
+        one = lambda i, name, t, p, there="true": f"CASE WHEN {there} THEN {{'p': round({bounded(t, p)}, 3), 'j': {-i}, 't': {t}, 's': '{name}'}} END"
+        heard = "k % 2 = 0"
+        raw = f"CASE WHEN k % 3 = 0 THEN 0.05 WHEN raw <= tail + 0.03 THEN least(0.35 + 0.45 * s, 0.10) ELSE 0.35 + 0.45 * s END"
+        made = f"[{one(0, 'selected_path', 't', '(0.55 + 0.35 * s)')}, {one(1, 'raw_asr', 'raw', '(' + raw + ')', heard)}, {one(2, 'whisperx_forced_first', '(t + 1.5)', '0.58', 'k % 5 = 0')}, {one(3, 'ctc_nearby_phonetic_peak', '(t - 0.4)', '(0.48 + 0.3 * s)', 'near')}]"
+        spread = "(list_max([t, CASE WHEN k % 2 = 0 THEN raw ELSE t END, CASE WHEN k % 5 = 0 THEN t + 1.5 ELSE t END]) - list_min([t, CASE WHEN k % 2 = 0 THEN raw ELSE t END, CASE WHEN near THEN t - 0.4 ELSE t END]))"
+        cost = "CASE WHEN sp >= 0.75 THEN 0.25 ELSE 0 END + CASE WHEN NOT opening AND t <= lo + 0.12 THEN 0.20 ELSE 0 END + CASE WHEN k % 25 >= 18 AND sp >= 1.25 THEN 0.18 ELSE 0 END + CASE WHEN k % 25 <= 4 AND sp >= 0.45 THEN 0.16 ELSE 0 END + CASE WHEN dup THEN 0.24 ELSE 0 END + CASE WHEN k % 4 = 0 AND near THEN 0.12 ELSE 0 END"
+        take = f"(best.s <> 'selected_path' AND best.p >= 0.74 AND conf >= 0.70 AND {inside('best.t')})"
+        return f"""SELECT song, entry, CASE WHEN k % 31 = 0 OR NOT {take} THEN t ELSE best.t END AS v, CASE WHEN k % 31 = 0 THEN 'manual_anchor' WHEN {take} THEN best.s ELSE 'selected_path' END AS chosen, CASE WHEN k % 31 = 0 THEN 1.0 ELSE conf END AS confidence,
+ k % 31 <> 0 AND k % 3 <> 0 AND (sp >= 1.25 OR dup OR (conf < 0.68 AND NOT (c < 0.03 AND cost = 0 AND sp < 0.75))) AS review
+ FROM (SELECT *, greatest(0.0, least(1.0, best.p - cost))::DOUBLE AS conf FROM (SELECT *, list_sort(list_filter({made}, lambda x: x IS NOT NULL), 'DESC')[1] AS best, ({cost})::DOUBLE AS cost FROM (SELECT *, round({spread}, 9) AS sp, {lo} AS lo, {first} AS opening FROM {source})))"""
+
+    return f"""WITH RECURSIVE {BASE}, m AS (SELECT song, entry, segment AS k, round(score * 5) / 5 AS s, round(t) AS t FROM base),
+n AS (SELECT *, CASE WHEN s = 0 THEN 1.0 ELSE s END AS c, t + (k - 50) / 20.0::DOUBLE AS raw, lag(t) OVER w + 1 AS tail, coalesce(t - 0.4 > lag(t) OVER w + 1 + 0.03, true) AS near, k % 26 = 0 AS dup, coalesce(lead(t) OVER w, max(t) OVER (PARTITION BY song) + 10) AS hi FROM m WINDOW w AS (PARTITION BY song ORDER BY entry)),
+f AS ({step('n WHERE entry = 1', '0.0::DOUBLE', 'true')} UNION ALL {step('(SELECT n.*, f.v AS before FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)', 'before', 'false')})
+SELECT song, entry, round(max(v - 0.05 * entry) OVER (PARTITION BY song ORDER BY entry) + 0.05 * entry, 6) AS time, chosen, round(confidence, 6) AS confidence, review FROM f"""
+
+
+@query(_scoring_sql())
 def line_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, t, k = lines(spark, sf_dir), F.col("t"), F.col("segment")
+    """Whole seconds and fifths, so that no candidate's rounding is a tie."""
+    rows = lines(spark, sf_dir).withColumns({"t": F.round("t"), "score": F.round(F.col("score") * 5) / 5})
+    t, k = F.col("t"), F.col("segment")
     span = F.struct(t.alias("start"), (t + 1).alias("end"), F.col("score").alias("score"))
     made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), "score", (k % 25).alias("norm_len"), (k % 31 == 0).alias("manual"), F.when(k % 2 == 0, t + (k - 50) / 20.0).alias("raw"), F.col("score").alias("raw_score"), F.when(k % 5 == 0, t + 1.5).alias("forced"), F.lit(False).alias("risk_review"), (k % 3 == 0).alias("window_realigned"), F.col("score").alias("ctc_score"), F.array(span).alias("spans"), F.array(F.struct((t - 0.4).alias("time"), F.col("score").alias("score"))).alias("peaks"), (k % 3).alias("repeats"), (k % 11 == 0).alias("ambiguous"), (k % 13 == 0).alias("duplicate"), (k % 2 == 0).alias("asr_only_trust"), (k % 4 == 0).alias("mora_known"))
     out = scoring.score_lines(made)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
-from linekeeper.operators import candidates, forced, matching, metrics, planning
+from linekeeper.operators import candidates, forced, joins, matching, metrics, planning, repairs
 from linekeeper.plans.catalogue import BASE, CANDIDATES, CONV, REPORT, _candidates, _fold_sql, _reports, conversation_lines, lines, query, table
 from linekeeper.sources import files, lrc, reports
 
@@ -455,3 +455,180 @@ def forced_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.select("song", "entry", t.alias("timestamp"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"), F.lit("abcd").alias("norm"), F.lit("abcd").alias("text"), "score", F.col("entry").alias("segment"), (t + 0.5).alias("segment_end"), F.lit("abcd").alias("asr_norm"), F.lit("abcd").alias("asr_text"), F.lit(False).alias("borrowed"), (t - k / 200.0).alias("forced"), F.lit(False).alias("settled"))
     gap = rows.withColumn("gap", t - F.lag("t").over(Window.partitionBy("song").orderBy("entry"))).filter("gap is null or gap >= 10").select("song", "entry")
     return forced.lyric_refinement(made).join(gap, ["song", "entry"]).select("song", "entry", "reason")
+
+
+# -- Repairs from sound -----------------------------------------------------------------
+
+
+def _repair_lines(spark: SparkSession, sf_dir: str, onset, level, **columns) -> DataFrame:
+    """Lines with their song's end, one onset and what a repair asks for besides."""
+    rows = lines(spark, sf_dir).withColumn("duration", F.max("t").over(Window.partitionBy("song")) + 10)
+    one = F.struct(onset.alias("t"), level.alias("onset"), F.array(onset).alias("times"))
+    return rows.select("song", "entry", F.col("t").alias("timestamp"), "duration", F.array(one).alias("onsets"), *[v.alias(k) for k, v in columns.items()])
+
+
+def _times(out: DataFrame) -> DataFrame:
+    return out.select("song", "entry", F.round("time", 6).alias("time"))
+
+
+@query(
+    _fold_sql(
+        ", t + (0.43 + segment % 10 * 0.05)::DOUBLE AS p, segment / 40.0::DOUBLE AS lead",
+        "lead BETWEEN 0.45 AND 3.0 AND NOT (score > 0.80 AND lead > 2.10) AND hi - n.t >= 1.0 AND score + 0.3 >= 0.55 AND p >= n.t + 0.42 AND p <= least(n.t + 0.90, hi - 0.12) AND ((score <= 0.80 AND p - n.t <= 0.65) OR (score > 0.90 AND lead < 0.90 AND p - n.t <= 0.75) OR (score > 0.90 AND lead >= 1.60 AND p - n.t <= 0.50)) AND lo + 0.10 < p AND p < hi - 0.10",
+        "p",
+    )
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def late_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("t"), F.col("segment")
+    rows = _repair_lines(spark, sf_dir, t + (0.43 + k % 10 * 0.05), F.col("score") + 0.3, score=F.col("score"), forced=t - k / 40.0)
+    return _times(repairs.late_onset(rows))
+
+
+_PRE = "greatest(lo + 0.10, hi - least(2.2, greatest(1.4, segment * 0.055::DOUBLE)))"
+
+
+@query(
+    _fold_sql("", f"n.entry > 1 AND segment % 2 = 0 AND score >= 0.80 AND hi - n.t >= 12 AND segment % 5 < 4 AND {_PRE} > n.t + 5 AND {_PRE} < hi - 0.20 AND {_PRE} > lo AND {_PRE} < hi", _PRE).replace("THEN " + _PRE, "THEN " + _PRE.replace("lo", "0.0::DOUBLE"), 1).replace("THEN " + _PRE, "THEN " + _PRE.replace("lo", "f.v"), 1)
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("t"), F.col("segment")
+    rows = lines(spark, sf_dir).withColumn("duration", F.max("t").over(Window.partitionBy("song")) + 10)
+    after = F.coalesce(F.lead("t").over(Window.partitionBy("song").orderBy("entry")), F.col("duration"))
+    end = after + k % 5 * 0.09
+    rows = rows.withColumn("segment_end", end).select("song", "entry", t.alias("timestamp"), "duration", "score", F.when(k % 2 == 0, t - 20).otherwise(F.col("segment_end") - 5).alias("segment_start"), "segment_end", k.alias("norm_len"))
+    return _times(repairs.long_segment_repair(rows))
+
+
+@query(
+    _fold_sql(
+        ", t - (0.1 + segment % 10 * 0.083)::DOUBLE AS p",
+        "segment % 2 = 0 AND score >= 0.30 AND (n.t - 0.08) - greatest(lo + 0.20, n.t - 0.90) >= 0.20 AND p >= greatest(lo + 0.20, n.t - 0.90) + 0.20 AND p <= n.t - 0.08 AND n.t - p BETWEEN 0.25 AND 0.80 AND lo + 0.05 < p AND p < hi - 0.05",
+        "p",
+    )
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def opening_backtracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("t"), F.col("segment")
+    scores = F.array(*[F.lit(0.05)] * 4, F.col("score"))
+    rows = _repair_lines(spark, sf_dir, t - (0.1 + k % 10 * 0.083), F.lit(0.6), fused=k % 2 == 0, ctc_score=F.col("score"), token_scores=scores)
+    return _times(repairs.opening_backtrack(rows))
+
+
+@query(
+    _fold_sql(
+        ", t - (0.3 + segment % 10 * 0.051)::DOUBLE AS p",
+        "n.entry > 1 AND segment % 2 = 0 AND score * 0.4 <= 0.22 AND hi - n.t >= 1.2 AND p >= greatest(lo + 0.80, n.t - 0.90) + 0.20 AND p <= n.t - 0.10 AND n.t - p BETWEEN 0.45 AND 0.75 AND lo + 0.20 < p AND p < hi - 0.20",
+        "p",
+    )
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def initial_backtracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("t"), F.col("segment")
+    none = F.lit(None).cast("array<struct<time: double, score: double>>")
+    rows = _repair_lines(spark, sf_dir, t - (0.3 + k % 10 * 0.051), F.lit(0.5), romaji=F.when(k % 2 == 0, "ra").otherwise("ka"), ctc_score=F.col("score") * 0.4, first_score=F.lit(0.0), peaks=none, norm_len=F.lit(5))
+    return _times(repairs.initial_backtrack(rows))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT song, entry, t / 5000 + 1 AS t, CASE WHEN entry < 4 THEN 0.1 ELSE score END AS s FROM base), a AS (SELECT song, min(entry) AS e, arg_min(t, entry) AS ta FROM x WHERE entry > 1 AND s >= 0.62 AND t >= 20 GROUP BY song),
+c AS (SELECT song, count(*) AS n FROM x GROUP BY song), o AS (SELECT a.*, e - 1 AS k, greatest(0, ta - least(12, 4 + 4 * (e - 1))) AS st FROM a JOIN c USING (song) WHERE n >= 3 AND e >= 3),
+p AS (SELECT *, ceil(st + 0.2) AS onset FROM o WHERE ceil(st + 0.2) <= greatest(st + 0.2, ta - 6) AND ceil(st + 0.2) > 2)
+SELECT x.song, x.entry, round(CASE WHEN x.entry <= p.k THEN least(onset + greatest(0.2, ta - onset) * (x.entry - 1) / p.k, ta - 0.10 * (p.k - x.entry + 1)) ELSE t END, 6) AS time FROM x LEFT JOIN p USING (song)""")
+def intro_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three lines are poor; there is an onset at every whole second."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.struct(i.cast("double").alias("t"), F.lit(0.9).alias("onset"), F.array(i.cast("double")).alias("times")))
+    rows = lines(spark, sf_dir).select("song", "entry", (F.col("t") / 5000 + 1).alias("timestamp"), F.when(F.col("entry") < 4, 0.1).otherwise(F.col("score")).alias("score"), F.lit(1).alias("segment"), F.lit(False).alias("borrowed"), F.when(F.col("entry") == 1, every).alias("onsets"))
+    return _times(repairs.intro_repair(rows.withColumn("duration", F.max("timestamp").over(Window.partitionBy("song")) + 10)))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT *, max(t) OVER w + 100 AS d, count(*) OVER w AS n FROM base WINDOW w AS (PARTITION BY song)), y AS (SELECT *, n - 3 AS first FROM x), z AS (SELECT song, max(CASE WHEN entry = first - 1 THEN t END) AS pt FROM y GROUP BY song)
+SELECT y.song, entry, round(CASE WHEN first > 1 AND entry >= first AND pt > 0 AND d - pt - 13 >= 8 THEN least(d, pt + 13 + (d - pt - 13) * (entry - first) / 4.0::DOUBLE) ELSE t END, 6) AS time FROM y JOIN z USING (song)""")
+def tail_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four lines are a tail that repeats itself; singing goes on 13 s after the line before them."""
+    whole, order = Window.partitionBy("song"), Window.partitionBy("song").orderBy("entry")
+    rows = lines(spark, sf_dir).withColumns({"n": F.count(F.lit(1)).over(whole), "duration": F.max("t").over(whole) + 100})
+    rows = rows.withColumn("tail_entry", (F.col("n") - 3).cast("int"))
+    onset = F.max(F.when(F.col("entry") == F.col("tail_entry") - 1, F.col("t"))).over(whole) + 13
+    made = rows.select("song", "entry", F.col("t").alias("timestamp"), "duration", F.lit(1.0).alias("weight"), "tail_entry", F.lit(True).alias("repeated_tail"), onset.alias("tail_onset"), F.lit(None).cast("double").alias("voice_end"))
+    return _times(repairs.tail_repair(made))
+
+
+@query(
+    _fold_sql(
+        ", segment % 9 AS q, t - (1.3 + segment % 9 * 0.6)::DOUBLE AS p",
+        "n.entry > 1 AND segment % 2 = 0 AND n.t - lo >= 3.5 AND p - 0.25 >= greatest(lo + 0.40, n.t - 7.0) AND p <= n.t - 0.45 AND p <= least(n.t - 0.45, p + 0.2) AND n.t - p BETWEEN 1.20 AND 6.80 AND lo + 0.05 < p AND p < hi - 0.05",
+        "p",
+    )
+    + " SELECT song, entry, round(v, 6) AS time FROM f"
+)
+def duplicate_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged short lines whose raw time is a quarter of a second before an onset."""
+    t, k = F.col("t"), F.col("segment")
+    p = t - (1.3 + k % 9 * 0.6)
+    flag = F.when(k % 2 == 0, F.array(F.lit("short_duplicate_asr_consensus_untrusted")))
+    rows = _repair_lines(spark, sf_dir, p, F.lit(0.9), short_duplicate=F.lit(True), flags=flag, evidence=F.create_map(F.lit("raw"), p - 0.25))
+    return _times(repairs.short_duplicate_recovery(rows))
+
+
+# -- What is left of files and gates -------------------------------------------------------
+
+
+@query(f"""WITH {BASE}, e AS (SELECT song, entry, CASE WHEN segment % 4 = 0 THEN 0 ELSE 100 END AS cs, CASE WHEN segment % 3 = 0 THEN backend || ' - song' WHEN segment % 3 = 1 THEN 'song' ELSE 'x - y' END AS x FROM base),
+k AS (SELECT * FROM e WHERE NOT (cs = 0 AND contains(x, '-') AND contains(regexp_replace(x, '[^0-9A-Za-z]+', '', 'g'), 'song')))
+SELECT song, CAST(row_number() OVER (PARTITION BY song ORDER BY entry) AS INTEGER) AS entry, x AS line FROM k""")
+def title_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("segment")
+    text = F.when(k % 3 == 0, F.concat("backend", F.lit(" - song"))).when(k % 3 == 1, "song").otherwise("x - y")
+    rows = lines(spark, sf_dir).select(F.col("song").alias("doc_id"), "entry", F.when(k % 4 == 0, 0).otherwise(100).alias("time_cs"), F.array(text).alias("lines"))
+    out = lrc.drop_title_cards(rows, rows.select("doc_id").distinct().withColumn("title", F.lit("so ng!")))
+    return out.select(F.col("doc_id").alias("song"), "entry", F.element_at("lines", 1).alias("line"))
+
+
+def _mmss(cs: str) -> str:
+    return f"printf('%02d:%02d.%02d', {cs} // 6000, {cs} % 6000 // 100, {cs} % 100)"
+
+
+@query(f"""WITH {BASE}, e AS (SELECT song, entry, CAST(round_even(greatest(0.0, value / 3) * 100, 0) AS BIGINT) AS cs, backend || segment AS x FROM base), b AS (SELECT song, string_agg('[' || {_mmss('cs')} || ']' || x || chr(10) || '[' || {_mmss('cs')} || ']second', chr(10) ORDER BY entry) AS body FROM e GROUP BY song)
+SELECT song, md5(chr(65279) || '[ti:' || CASE WHEN song % 2 = 0 THEN 'Some One ' ELSE '' END || 'Title]' || chr(10) || '[re:timeline engine]' || chr(10) || '[length:03:20.00]' || chr(10) || '[by:timeline engine]' || chr(10) || '[00:00.00]' || CASE WHEN song % 2 = 0 THEN 'Some One - ' ELSE '' END || 'Title' || chr(10) || body || chr(10)) AS content FROM b""")
+def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select(F.col("song").alias("doc_id"), "entry", F.array(F.concat("backend", F.col("segment").cast("string")), F.lit("second")).alias("lines"), (F.col("value") / 3).alias("t"))
+    heads = rows.select("doc_id").distinct().select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Some One").alias("artist"), F.lit("Title").alias("title"), F.lit(200.0).alias("duration"))
+    return lrc.lrc_text(rows, heads).select(F.col("doc_id").alias("song"), F.md5("content").alias("content"))
+
+
+@query(f"""WITH {BASE}, r AS (SELECT song, entry, segment, CAST(floor(value * 20) AS BIGINT) AS cs FROM base), l AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY entry) AS pos FROM r WHERE segment % 5 <> 1 AND segment % 5 <> 2),
+g AS (SELECT *, CASE WHEN segment % 5 = 0 THEN entry END AS num, CASE WHEN segment % 5 <> 0 AND cs = lag(cs) OVER (PARTITION BY song ORDER BY entry) THEN 0 ELSE 1 END AS nw FROM l), h AS (SELECT *, sum(nw) OVER (PARTITION BY song ORDER BY entry) AS i FROM g)
+SELECT song, CAST(i AS INTEGER) AS hint_idx, CAST(arg_min(num, entry) AS INTEGER) AS entry_number, CAST(min(cs) AS INTEGER) AS time_cs, string_agg('a' || segment, '|' ORDER BY entry) AS lines FROM (SELECT *, coalesce(num, -1) AS z FROM h) GROUP BY song, i""")
+def anchor_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor files with numbered hints, comments and markers, parsed."""
+    cs, k = F.floor(F.col("value") * 20), F.col("segment")
+    tag = F.format_string("[%02d:%02d.%02d]", (cs / 6000).cast("long"), (F.pmod(cs, F.lit(6000)) / 100).cast("long"), F.pmod(cs, F.lit(100)))
+    hint = F.concat(tag, F.lit("a"), k.cast("string"))
+    line = F.when(k % 5 == 0, F.concat(F.lit("# entry = "), F.col("entry").cast("string"), F.lit("\n"), hint)).when(k % 5 == 1, "# a note").when(k % 5 == 2, F.concat(tag, F.lit("♪"))).otherwise(hint)
+    docs = lines(spark, sf_dir).filter("segment % 5 <> 2").select("song", F.struct("entry", line.alias("line")).alias("r")).groupBy("song").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    docs = docs.select(F.col("song").alias("doc_id"), F.array_join("r.line", "\n").alias("content"))
+    return lrc.parse_anchors(docs).select(F.col("doc_id").alias("song"), "hint_idx", "entry_number", "time_cs", F.array_join("lines", "|").alias("lines"))
+
+
+@query(REPORT + """ SELECT song, backend, trusted_entries = 0 OR trusted_percent < 35 OR (timing_entries >= 6 AND low_confidence_count >= ceil(timing_entries * 0.8)) OR timing_entries % 5 = 0 OR (timing_entries >= 8 AND (trusted_percent < 85 OR low_confidence_percent >= 50 OR timing_entries % 6 >= 4 OR timing_entries % 4 >= ceil(timing_entries * 0.25))) AS untrusted FROM m""")
+def untrusted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("timing_entries")
+    rows = _reports(spark, sf_dir).withColumns({"collapse_detected": n % 5 == 0, "max_post_long_uncertain_run": n % 6, "high_risk_count": n % 4})
+    return rows.select("song", "backend", metrics.is_untrusted().alias("untrusted"))
+
+
+@query(f"WITH {BASE} SELECT song, entry, segment % 10 / 100.0::DOUBLE <= 0.04 AND value / 500 >= 0.30 AND score * 0.9 >= greatest(0.05, score * 0.8 * 1.05) AS accepted FROM base")
+def zero_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.accept_zero_gap(F.col("segment") % 10 / 100.0, F.col("score") * 0.8, F.lit(0.0), F.col("value") / 500, F.col("score") * 0.9)
+    return lines(spark, sf_dir).select("song", "entry", got.alias("accepted"))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT *, lag(entry) OVER w AS le FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)), p AS (SELECT song, entry, t FROM base WHERE score >= 0.55)
+SELECT b.song, b.entry, round(min(p.t), 6) AS peak_time FROM base b LEFT JOIN p ON p.song = b.song AND p.t BETWEEN b.t AND b.t + 50000 WHERE b.backend = 'click' GROUP BY 1, 2""")
+def late_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first frame of 0.55 or more, where every second frame is silent: each is a peak, with no lead-in."""
+    rows = lines(spark, sf_dir)
+    loud = rows.select("song", F.explode(F.array(F.struct(F.col("t").alias("t"), F.col("score").alias("onset")), F.struct((F.col("t") + 1e-4).alias("t"), F.lit(0.0).alias("onset")))).alias("f")).select("song", "f.*")
+    spans = rows.filter("backend = 'click'").select("song", "entry", F.col("t").alias("start"), (F.col("t") + 50000).alias("end"))
+    return joins.first_peak(spans, loud, 0.55).select("song", "entry", F.round("peak_time", 6).alias("peak_time"))
