@@ -14,7 +14,6 @@ join alone decides.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser
