@@ -56,7 +56,7 @@ def test_windows_move_their_targets(spark):
 
 def test_boundaries(spark):
     schema = "song string, entry int, timestamp double, duration double, ctc_score double, token_end double, local_time double, local_score double, local_end double"
-    df = spark.createDataFrame([("a", 1, 5.0, 60.0, 0.5, 10.0, None, None, None), ("a", 2, 10.03, 60.0, 0.2, 14.0, 10.4, 0.21, 16.0), ("a", 3, 16.03, 60.0, 0.2, 20.0, 16.5, 0.3, 21.0), ("a", 4, 30.0, 60.0, 0.2, 33.0, 31.0, 0.9, 33.0)], schema)
+    df = spark.createDataFrame([("a", 1, 5.0, 60.0, 0.5, 10.0, None, None, None), ("a", 2, 10.03, 60.0, 0.2, 14.0, 10.4, 0.22, 16.0), ("a", 3, 16.03, 60.0, 0.2, 20.0, 16.5, 0.3, 21.0), ("a", 4, 30.0, 60.0, 0.2, 33.0, 31.0, 0.9, 33.0)], schema)
     assert {r.entry: r.time for r in forced.apply_boundaries(df).collect()} == {1: 5.0, 2: 10.4, 3: 16.5, 4: 30.0}
 
 
