@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linekeeper.plans.align import align, choose_source
+from linekeeper.plans.words import word_candidate
 from linekeeper.sources import audio
 from linekeeper.streaming import live
 
@@ -25,6 +26,17 @@ def test_align(spark):
     assert {r.song: r.timing_entries for r in report.collect()} == {"a": 3, "b": 3}
 
 
+def test_word_candidate(spark):
+    texts = ["alphabravo", "charliedelta", "echofoxtrot"]
+    lines = spark.createDataFrame([(s, i + 1, t, t, 60.0) for s in "ab" for i, t in enumerate(texts)], "song string, entry int, text string, norm string, duration double")
+    segments = spark.createDataFrame([("a", i, 10.0 * i + 5, 10.0 * i + 8, t, t, []) for i, t in enumerate(texts)], "song string, seg_idx int, start double, end double, text string, norm string, chars array<struct<ch: string, t: double>>")
+    times = spark.createDataFrame([("a", 2, [("c", 14.7)], 14.0)], "song string, entry int, chars array<struct<ch: string, t: double>>, start double")
+    got, report = word_candidate(lines, segments, times)
+    assert {(r.entry, r.time, r.refinement) for r in got.filter("song = 'a'").collect()} == {(1, 5.0, None), (2, 14.7, "high-confidence-small-forced"), (3, 25.0, None)}
+    errors = {r.song: r.error for r in report.collect()}
+    assert errors["a"] is None and errors["b"].startswith("unusable alignment: trusted_entries=0, timing_entries=3")
+
+
 def test_sources_of_timing(spark):
     df = spark.createDataFrame([(True, True, ["ctc"]), (False, True, []), (False, False, ["ctc"]), (False, False, [])], "timed boolean, checked boolean, backends array<string>")
     ask = lambda x: [r.source for r in choose_source(df, x).collect()]
