@@ -20,6 +20,9 @@ CELLS = 1 << 14
 #: Standard deviations of an n-gram's log-likelihood ratio by which a document's mean may fall below the target's.
 SPREAD = 2.0
 
+#: Ids of a target that are broadcast, at most (some 16 MB).
+BROADCAST_IDS = 1 << 19
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Words and punctuation apart; letters, digits, other.
@@ -66,10 +69,13 @@ def trusted(text: str = "__text", cells: str = "__cells") -> Column:
 def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", good: int = 1) -> DataFrame:
     """All rows of ``docs`` that some label calls good: the target of the rules.
 
-    Ids are stored; a filter of fixed size drops most other rows before the join.
+    Ids are stored and counted: up to BROADCAST_IDS are sent to all tasks; with more, a
+    filter of fixed size drops most other rows and the rest meet their ids in a shuffle.
     """
     ids = labels.filter((F.col(label_col) == good) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__id")).distinct()
     ids = materialize(ids.withColumn("__uid", F.xxhash64("__id")), "target-ids")
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids.select("__id")), F.col(id_col) == F.col("__id"), "left_semi").select(*docs.columns)
     marked = docs.withColumn("__bits", uid_filter(ids)).withColumn("__uid", F.xxhash64(id_col))
     return marked.filter(in_filter()).join(ids.select("__id"), F.col(id_col) == F.col("__id"), "left_semi").select(*docs.columns)
 

@@ -241,12 +241,13 @@ def test_base_rules(odd, odd_rows):
     assert all(r.kept <= (not r.base_failed) for r in rows)
 
 
-@pytest.mark.parametrize("given", [True, False])
-def test_likelihood_ratio(spark, given):
+@pytest.mark.parametrize("given", ["sent", "shuffled", None])
+def test_likelihood_ratio(spark, given, monkeypatch):
     """Tokens, cells, both multinomials, scores and threshold restated; filters on the results run."""
     texts = [prose(i, 80) + ", é日本 1,000" for i in range(30)] + [" ".join(w.upper() + "!!" for w in prose(50 + i, 80).split()) for i in range(6)] + [None, "", "-- 12"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     if given:
+        monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 100 if given == "sent" else 3)
         chosen = [i for i in range(30) if i % 3 == 0]
         target = quality_rules.labelled_target(docs, spark.createDataFrame([(i, int(i % 3 == 0 and i < 30)) for i in range(39)] + [(None, 1), (1, None), (99, 1), (0, 1)], "doc_id long, quality int"))
         same(target.collect(), [(i, texts[i]) for i in chosen])
@@ -386,6 +387,18 @@ def test_leaks_in_blocks(spark, odd, monkeypatch):
     same(decontaminate.leaks(odd, table).collect(), whole)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_scattered_items_are_found(parts):
+    """Four fifths of an item in pieces all over a long document share a minimum with it."""
+    rng = np.random.default_rng(parts)
+    for n in (20, 60, 150):
+        item = rng.integers(0, 2**64, n, dtype=np.uint64)
+        body = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+        pieces, cuts = np.array_split(item[: -(-4 * n // 5)], parts), np.sort(rng.integers(0, 3000, parts))
+        spread = np.concatenate([x for p, a, b in zip(pieces, [0, *cuts[:-1]], cuts, strict=True) for x in (body[a:b], p)])
+        assert decontaminate.ItemIndex([1], [np.sort(item)]).candidates(spread, np.zeros(len(spread), np.int64)) == {(0, 0)}
+
+
 def test_leaks_of_nothing(spark, empty):
     assert decontaminate.leaks(empty, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
