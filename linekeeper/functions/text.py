@@ -15,7 +15,7 @@ KANA = "\\u3040-\\u30ff"
 HAN = "\\u3400-\\u9fff"
 # Words that mark an instrumental passage.
 MARKER_WORDS = ("instrumental", "intro", "interlude", "outro", "間奏", "イントロ", "アウトロ")
-#: Between display lines of one entry: a slash with spaces, two spaces or more, or tabs.
+# Fixed value: between display lines of one entry: a slash with spaces, two spaces or more, or tabs.
 GROUP_GAP = r"\s+/\s+|(?:[ 　]{2,}|\t+)"
 #: Between the terms of a phrase.
 TERM_GAP = r"[\s　,、，。！？!?・]+"

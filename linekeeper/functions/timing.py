@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-#: One time tag: minutes, seconds, fraction.
+# Fixed value: one time tag: minutes, seconds, fraction.
 TAG = r"\[([0-9]{1,3}):([0-9]{2})(?:\.([0-9]{1,3}))?\]"
 
 

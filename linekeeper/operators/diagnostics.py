@@ -35,6 +35,25 @@ def path_tiers(df: DataFrame, least: int = 4) -> DataFrame:
     return df.withColumn("review", review).withColumn("flags", F.when(review, flags)).withColumn("severity", F.when(review, "high"))
 
 
+def validated_path(df: DataFrame, gap: float = 0.10) -> DataFrame:
+    """Adds timestamp, missing, ctc_score and score of an aligner's rows (song, entry, start, ctc_score, duration).
+
+    A row without a start follows the line before by ``gap`` (0 at first), has a score of 0
+    and counts as missing, not as low; times are within the song and then rise by ``gap`` at
+    least, as a running maximum.
+    """
+    order = Window.partitionBy("song").orderBy("entry")
+    place = F.row_number().over(order)
+    rows = df.withColumns({"missing": F.col("start").isNull(), "__i": place, "ctc_score": F.coalesce("ctc_score", F.lit(0.0))})
+    inside = F.greatest(F.lit(0.0), F.least("duration", "start"))
+    rows = rows.withColumn("__t", F.when(~F.col("missing"), inside).when(F.col("__i") == 1, 0.0))
+    rows = rows.withColumn("timestamp", F.max(F.col("__t") - gap * F.col("__i")).over(order) + gap * F.col("__i"))
+    tier = F.lit(LOWEST_TIER)
+    for limit, value in reversed(TIERS):
+        tier = F.when(F.col("ctc_score") >= limit, value).otherwise(tier)
+    return rows.withColumn("score", F.when(F.col("missing"), 0.0).otherwise(tier)).drop("__i", "__t")
+
+
 def path_report(df: DataFrame) -> DataFrame:
     """Counts of path_tiers for each song."""
     return df.groupBy("song").agg(

@@ -117,6 +117,7 @@ def prefer_ctc(ctc_collapsed: Column, ctc_missing: Column, ctc_reviews: Column,
     return ~ctc_collapsed & (ctc_missing == 0) & (hybrid_reviews >= F.greatest(F.lit(8), ctc_reviews * 3 + 5))
 
 
+# The reasons and limits here are fixed values.
 def onset_consensus(ctc: Column, first: Column, words: Column, score: Column, other: Column) -> Column:
     """(time, reason) of a narrow rescue of a line's onset from three sources; nulls where no rule holds."""
     off, near, middle = F.abs(ctc - words), F.abs(words - other), (words + other) / 2

@@ -73,7 +73,7 @@ def _with(*names: str, **limits: float) -> Callable[[dict], bool]:
 
 
 _SPLIT = ("follows_suspicious_long_line", "possible_bad_split_boundary")
-#: The first rule whose condition holds decides.
+# Reasons and limits; the first rule whose condition holds decides.
 BOUNDARY_RULES = (
     Rule("first-line-acoustic-onset", lambda v: v["first"] and v["now"] <= 1.0, lambda v: (0.20, max(0.21, v["now"] - 0.10)), 0.12, 0.35),
     Rule("candidate-disagreement-acoustic-backtrack", _only("candidate_disagreement"), lambda v: (max(v["before"] + 0.10, v["now"] - 0.85), v["now"] - 0.12), 0.45, 0.65),
@@ -257,7 +257,7 @@ def opening_backtrack(df: DataFrame) -> DataFrame:
     return _sweep(df, propose, 0.05)
 
 
-#: Score and forced lead for which a late onset may move a line forward by so much at most.
+# Score and forced lead for which a late onset may move a line forward by so much at most.
 LATE_LIMITS = (
     (lambda score, lead: score <= 0.80, 0.65),
     (lambda score, lead: score > 0.90 and lead < 0.90, 0.75),
@@ -297,6 +297,7 @@ class Initial:
     peak: tuple[float, float] | None = None  # least score, least share of the strongest
 
 
+# Modes and limits.
 INITIALS = (
     Initial("r-initial-acoustic", ("r",), 0.22, 0.0, 1.2, (0.45, 0.75), (0.80, 0.90, 0.10), (0.55, 0.45)),
     Initial("ctc-first-token-posterior", ("m", "f", "t"), 0.28, 4.0, 7.0, (1.20, 1.90), peak=(0.0005, 0.06)),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linekeeper.operators.folds import fold_by_song
 
@@ -209,3 +210,21 @@ def score_lines(df: DataFrame) -> DataFrame:
         return out
 
     return fold_by_song(df, step, SCHEMA.format(kind=kind))
+
+
+def upsert_risks(risks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(song, entry, flags, severity, review_required, resolution, chosen_time, confidence): risks after the decisions.
+
+    A line for review adds its flags to its risk, or makes a new one (medium from a
+    confidence of 0.45 on, else high); a resolved line's risk is resolved and gets the flag
+    of that alone; all other risks stay.  risks: song, entry, flags, severity, review_required.
+    """
+    made = decisions.select("song", "entry", F.col("flags").alias("__f"), F.col("review").alias("__r"), F.col("severity").alias("__s"), F.col("resolution").alias("__n"), F.col("time").alias("__t"), F.col("confidence").alias("__c"))
+    both = risks.withColumn("__old", F.lit(True)).join(made, ["song", "entry"], "full_outer").filter("__old or __r")
+    old, review, settled = F.coalesce("__old", F.lit(False)), F.coalesce("__r", F.lit(False)), F.col("__n").isNotNull()
+    own = F.coalesce("flags", F.array().cast("array<string>"))
+    flags = F.when(review, F.array_distinct(F.concat(own, F.coalesce("__f", F.array().cast("array<string>"))))).when(settled, F.array_distinct(F.concat(own, F.slice("__f", -1, 1)))).otherwise(own)
+    severity = F.when(old & settled & ~review, "resolved").when(old, F.col("severity")).otherwise(F.col("__s"))
+    needed = F.when(review, True).when(settled, False).otherwise(F.col("review_required"))
+    touched = lambda c: F.when(review, F.col(c))
+    return both.select("song", "entry", flags.alias("flags"), severity.alias("severity"), needed.alias("review_required"), F.when(~review, F.col("__n")).alias("resolution"), touched("__t").alias("chosen_time"), touched("__c").alias("confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
-from linekeeper.operators import candidates, forced, joins, matching, metrics, planning, repairs
+from linekeeper.operators import candidates, diagnostics, forced, joins, matching, metrics, planning, repairs, scoring
 from linekeeper.plans.catalogue import BASE, CANDIDATES, CONV, REPORT, _candidates, _fold_sql, _reports, conversation_lines, lines, query, table
 from linekeeper.sources import files, lrc, reports
 
@@ -632,3 +632,27 @@ def late_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = rows.select("song", F.explode(F.array(F.struct(F.col("t").alias("t"), F.col("score").alias("onset")), F.struct((F.col("t") + 1e-4).alias("t"), F.lit(0.0).alias("onset")))).alias("f")).select("song", "f.*")
     spans = rows.filter("backend = 'click'").select("song", "entry", F.col("t").alias("start"), (F.col("t") + 50000).alias("end"))
     return joins.first_peak(spans, loud, 0.55).select("song", "entry", F.round("peak_time", 6).alias("peak_time"))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT song, entry, CASE WHEN segment % 6 > 0 THEN t + segment - 50 END AS st, CASE WHEN segment % 4 > 0 THEN score * 0.2 ELSE 0 END AS c, max(t) OVER (PARTITION BY song) + 10 AS d FROM base),
+y AS (SELECT *, CASE WHEN st IS NOT NULL THEN greatest(0.0, least(d, st)) WHEN entry = 1 THEN 0.0 END AS v FROM x)
+SELECT song, entry, st IS NULL AS missing, round(max(v - 0.10 * entry) OVER (PARTITION BY song ORDER BY entry) + 0.10 * entry, 6) AS timestamp, CASE WHEN st IS NULL THEN 0.0 WHEN c >= 0.08 THEN 0.9 WHEN c >= 0.03 THEN 0.7 ELSE 0.35 END::DOUBLE AS score FROM y""")
+def validated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("t"), F.col("segment")
+    rows = lines(spark, sf_dir).select("song", "entry", F.when(k % 6 > 0, t + k - 50).alias("start"), F.when(k % 4 > 0, F.col("score") * 0.2).alias("ctc_score"), (F.max("t").over(Window.partitionBy("song")) + 10).alias("duration"))
+    return diagnostics.validated_path(rows).select("song", "entry", "missing", F.round("timestamp", 6).alias("timestamp"), "score")
+
+
+@query(f"""WITH {BASE}, x AS (SELECT *, segment % 3 = 0 AS old, segment % 4 = 0 AS rev, segment % 4 = 1 AS fixed FROM base)
+SELECT song, entry, array_to_string(CASE WHEN rev AND old THEN ['f', 'g'] WHEN rev THEN ['g', 'f'] WHEN fixed THEN ['f', 'settled'] ELSE ['f'] END, ';') AS flags, CASE WHEN old AND fixed THEN 'resolved' WHEN old THEN 'low' WHEN score >= 0.45 THEN 'medium' ELSE 'high' END AS severity,
+ CASE WHEN rev THEN true WHEN fixed THEN false ELSE segment % 2 = 0 END AS review_required, CASE WHEN fixed THEN 'why' END AS resolution, round(CASE WHEN rev THEN t END, 6) AS chosen_time FROM x WHERE old OR rev""")
+def risk_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = lines(spark, sf_dir), F.col("segment")
+    review, fixed = k % 4 == 0, k % 4 == 1
+    risks = rows.filter("segment % 3 = 0").select("song", "entry", F.array(F.lit("f")).alias("flags"), F.lit("low").alias("severity"), (k % 2 == 0).alias("review_required"))
+    made = rows.select(
+        "song", "entry", F.col("t").alias("time"), F.col("score").alias("confidence"), review.alias("review"), F.when(fixed, F.array(F.lit("x"), F.lit("settled"))).otherwise(F.array(F.lit("g"), F.lit("f"))).alias("flags"),
+        F.when(review, F.when(F.col("score") >= 0.45, "medium").otherwise("high")).when(fixed, "resolved").alias("severity"), F.when(fixed, "why").alias("resolution"),
+    )
+    out = scoring.upsert_risks(risks, made)
+    return out.select("song", "entry", F.array_join("flags", ";").alias("flags"), "severity", "review_required", "resolution", F.round("chosen_time", 6).alias("chosen_time"))

@@ -77,6 +77,13 @@ def cases(references: DataFrame, reports: DataFrame, categories: DataFrame | Non
     return joined.withColumn("category", F.coalesce("mapped", infer_category(F.col("reference")))).drop("mapped")
 
 
+def read_category_map(spark: SparkSession, path: str) -> DataFrame:
+    """(name, category) of a JSON object {name: category}; a file that is none is an error."""
+    text = spark.read.text(path, wholetext=True)
+    held = text.select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+    return held.select(F.explode("m").alias("name", "category"))
+
+
 # Words of a title that tell its category, the first rule that applies, and the category of all others.
 CATEGORIES = (
     (("ツユ", "雨", "過去", "終点", "バス", "朧月夜"), "high-density / complex Japanese"),

@@ -129,6 +129,14 @@ def test_anchor_files(spark):
     assert "Refusing" in ask(explicit="/t/y.anchor-template.lrc")[1] and "not found" in ask(explicit="/none")[1]
 
 
+def test_category_map(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{\n "Song A": "x", "B": "y"\n}')
+    assert {tuple(r) for r in reports.read_category_map(spark, str(tmp_path / "m.json")).collect()} == {("Song A", "x"), ("B", "y")}
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(Exception):
+        reports.read_category_map(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_source_times_are_all_or_none(spark):
     df = spark.createDataFrame([("a", 1, 150), ("a", 2, 200), ("b", 1, 100), ("b", 2, None)], "doc_id string, entry int, time_cs int")
     got = {(r.doc_id, r.entry): (r.t, r.error is None) for r in files.source_times(df).collect()}
