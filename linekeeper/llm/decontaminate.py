@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linekeeper.llm.store import tidy
 from linekeeper.llm.words import hash_words, mix, runs, shingles, split_words, windows
 
 PERMUTATIONS = 64
@@ -144,7 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, i
                     ["doc_id", "item_id", "n_item", "n_shared"],
                 )
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_item long, n_shared long")
+        part = docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {kind}, item_id {item_kind}, n_item long, n_shared long")
         out = part if out is None else out.union(part)
     return out
 

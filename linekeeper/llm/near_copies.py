@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.llm.graph import components
-from linekeeper.llm.store import keep_candidates, materialize, row_uid
+from linekeeper.llm.store import keep_candidates, materialize, row_uid, tidy
 from linekeeper.llm.words import hashed_texts, shingles
 
 #: Frequent shingles that are told apart in the order.
 TOP = 1 << 18
 #: Shingles that a task counts together, and from how many equal ones on it reports one.
-CHUNK, REPORT = 1 << 22, 3
+CHUNK, REPORT = 1 << 20, 2
 #: Bits of a set's signature.
 SIGNATURE_BITS = 1024
 #: Classes that meet one pivot of a shingle; more are dealt to several, whose pivots meet in turn.
@@ -76,7 +76,7 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.nda
                     held, n = [], 0
         yield report()
 
-    rows = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col).mapInArrow(tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = materialize(rows, "frequent")
     # the least count with which TOP shingles or fewer are left, from a histogram of some hundred rows
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -155,7 +155,7 @@ def describe(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
             )
 
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), id_col, text_col)
-    return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, n long, digest binary, bits binary, prefix array<long>, pivots array<int>"), "shingle-sets")
+    return materialize(rows.mapInArrow(tidy(run), f"uid long, doc_id {kind}, n long, digest binary, bits binary, prefix array<long>, pivots array<int>"), "shingle-sets")
 
 
 def _reach(a: str, b: str, percent: int) -> Column:
@@ -200,7 +200,7 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percen
             n1, n2 = (batch.column(f"n_{x}").to_numpy() for x in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(may_link(a, b, n1, n2, percent)))
 
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(narrow, "a long, b long").distinct(), f"{name}-pairs")
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(narrow), "a long, b long").distinct(), f"{name}-pairs")
     ids = materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct(), f"{name}-ids")
     texts = keep_candidates(docs, "uid", ids)
     left = pairs.join(texts.withColumnRenamed("uid", "b").withColumnRenamed(text_col, "text_b"), "b")
@@ -222,7 +222,7 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percen
                 keep[i] = linked(last_set, shingles(hashes, size), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return materialize(both.mapInArrow(run, "a long, b long"), name)
+    return materialize(both.mapInArrow(tidy(run), "a long, b long"), name)
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linekeeper.llm.store import materialize
+from linekeeper.llm.store import materialize, tidy
 from linekeeper.llm.tokens import crc, default_path, encoded
 
 CAPACITY = 4096
@@ -97,7 +97,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "r"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, r long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, r long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -132,7 +132,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

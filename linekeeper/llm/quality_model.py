@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linekeeper.llm.store import tidy
 from linekeeper.llm.words import runs, split_words
 
 #: Words of a passage.
@@ -301,7 +302,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, i
                     ["id", "label", "features", "sizes", "buckets"],
                 )
 
-    got = rows.mapInArrow(bags, "id string, label int, features binary, sizes binary, buckets binary").toPandas().sort_values("id", kind="stable")
+    got = rows.mapInArrow(tidy(bags), "id string, label int, features binary, sizes binary, buckets binary").toPandas().sort_values("id", kind="stable")
     if got.empty:
         return None
     made = [Bag(np.frombuffer(f, np.float32).reshape(-1, FEATURES), np.frombuffer(n, np.int32), np.frombuffer(w, np.int16)) for f, n, w in zip(got["features"], got["sizes"], got["buckets"], strict=True)]
@@ -330,7 +331,7 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, id_col: str = "
                 )
 
     rows = docs.select(id_col, text_col, held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op9_quality_model(spark, sf_dir: str) -> DataFrame:

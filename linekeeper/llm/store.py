@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,24 @@ def clear(spark: SparkSession) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that go to a Python worker together while a table is made: texts are long.
+BATCH_ROWS = 2_000
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and survives lost executors, but keeps the
     table columnar and compressed, so that later readers prune columns.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = new_folder(spark, name), spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_uid(*cols: str):
@@ -56,15 +66,39 @@ def row_uid(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that releases memory at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 #: Bits of the id pre-filter: 2 MB, whatever the data.
 FILTER_BITS = 1 << 24
+#: Bits by which an id is shifted for its second place.
+SECOND = 27
 
 
 def id_filter(ids: DataFrame, uid: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """One-hash Bloom filter over ``uid`` (long), gathered as at most ``bits / 64`` longs."""
-    slot = F.pmod(F.col(uid), F.lit(bits))
+    """Bloom filter of two bits an id over ``uid`` (long), gathered as at most ``bits / 64`` longs; ``bits`` is a power of two."""
+    slots = F.explode(F.array(F.col(uid).bitwiseAND(F.lit(bits - 1)), F.shiftright(uid, SECOND).bitwiseAND(F.lit(bits - 1))))
     rows = (
-        ids.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({uid}, 64) as int))").alias("m"))
+        ids.select(slots.alias("s"))
+        .select(F.shiftright("s", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("m"))
         .groupBy("w")
         .agg(F.bit_or("m").alias("m"))
         .toPandas()
@@ -76,8 +110,11 @@ def id_filter(ids: DataFrame, uid: str, bits: int = FILTER_BITS) -> np.ndarray:
 
 def has_ids(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Which of ``ids`` (64-bit) the filter has."""
-    slot = np.mod(ids, len(words) * 64)
-    return ((words[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+    most = np.int64(len(words) * 64 - 1)
+    out = np.ones(len(ids), bool)
+    for slot in (ids & most, (ids >> np.int64(SECOND)) & most):
+        out &= ((words[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+    return out
 
 
 def _hits(batch: pa.RecordBatch, uid: str, words: np.ndarray) -> np.ndarray:
@@ -99,6 +136,17 @@ def keep_candidates(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(drop, docs.schema).join(ids.select(uid), uid, "left_semi")
 
 
+def rows_in_filter(df: DataFrame, uid: str, words: np.ndarray) -> DataFrame:
+    """Rows whose ``uid`` (long) the filter has: all that were put in, and some more."""
+    sent = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_hits(batch, uid, sent.value)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def drop_rows(docs: DataFrame, uid: str, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``uid`` (long) does not occur in ``ids`` (a stored table); only those that the filter has are shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids, uid))

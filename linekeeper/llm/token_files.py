@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linekeeper.llm.store import materialize, new_folder, put_file
+from linekeeper.llm.store import materialize, new_folder, put_file, tidy
 from linekeeper.llm.tokens import crc, default_path, encoded
 
 #: Tokens of a file and of a block within it.
@@ -130,7 +130,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFram
                 ["doc_id", "n_tokens", "tokens"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, tokens binary")
 
 
 def _id_kind(docs: DataFrame, id_col: str) -> str:
@@ -157,7 +157,7 @@ def vocabulary(tokens: DataFrame, size: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("tokens").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size, np.int64)
     total[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return np.lexsort((np.arange(size), -total)).astype("<u4")
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     # the range is found from a sample of the keys that goes to the driver: a hash stands for the tokens there
     order = ("doc_id", "n_tokens", F.xxhash64("tokens"))
     ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return folder, materialize(ordered.mapInArrow(write, "file long, docs long, tokens long"), "token-file-list")
+    return folder, materialize(ordered.mapInArrow(tidy(write), "file long, docs long, tokens long"), "token-file-list")
 
 
 def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = False, id_kind: str = "long") -> DataFrame:
@@ -241,7 +241,7 @@ def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = Fals
                     at += int(ends[-1])
 
     kind = f"file long, doc_id {id_kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.lkt").load(folder).select("content").mapInArrow(run, kind)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.lkt").load(folder).select("content").mapInArrow(tidy(run), kind)
     # the list has a row for each file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))

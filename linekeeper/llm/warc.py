@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import binary_column, materialize, new_folder, put_file
+from linekeeper.llm.store import binary_column, materialize, new_folder, put_file, tidy
 
 #: Uncompressed bytes after which a task starts its next file.
 FILE_BYTES = 32 << 20
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["file", "records"])
 
-    return folder, materialize(joined.mapInArrow(write, "file string, records long"), "warc-list")
+    return folder, materialize(joined.mapInArrow(tidy(write), "file string, records long"), "warc-list")
 
 
 RECORD = (
@@ -169,7 +169,7 @@ def read_records(spark, folder: str, payloads: bool = False, id_kind: str = "lon
                     yield made(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(run, RECORD.replace("page_id long", "page_id string")).withColumn("page_id", F.col("page_id").cast(id_kind))
+    return files.mapInArrow(tidy(run), RECORD.replace("page_id long", "page_id string")).withColumn("page_id", F.col("page_id").cast(id_kind))
 
 
 def assemble(records: DataFrame) -> DataFrame:
