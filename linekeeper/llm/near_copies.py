@@ -86,7 +86,7 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.nda
         if total + n > TOP:
             break
         total, least = total + n, k
-    got = rows.filter(level >= (least if least is not None else 1 << 30)).toPandas().sort_values("shingle")
+    got = rows.filter(level >= (least if least is not None else 1 << 30)).toArrow().to_pandas().sort_values("shingle")
     hashes = got["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], got["n"].to_numpy(np.int64)[order]

@@ -302,7 +302,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, i
                     ["id", "label", "features", "sizes", "buckets"],
                 )
 
-    got = rows.mapInArrow(tidy(bags), "id string, label int, features binary, sizes binary, buckets binary").toPandas().sort_values("id", kind="stable")
+    got = rows.mapInArrow(tidy(bags), "id string, label int, features binary, sizes binary, buckets binary").toArrow().to_pandas().sort_values("id", kind="stable")
     if got.empty:
         return None
     made = [Bag(np.frombuffer(f, np.float32).reshape(-1, FEATURES), np.frombuffer(n, np.int32), np.frombuffer(w, np.int16)) for f, n, w in zip(got["features"], got["sizes"], got["buckets"], strict=True)]

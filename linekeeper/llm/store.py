@@ -101,10 +101,10 @@ def id_filter(ids: DataFrame, uid: str, bits: int = FILTER_BITS) -> np.ndarray:
         .select(F.shiftright("s", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("m"))
         .groupBy("w")
         .agg(F.bit_or("m").alias("m"))
-        .toPandas()
+        .toArrow()
     )
     words = np.zeros(bits // 64, np.int64)
-    words[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    words[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return words
 
 

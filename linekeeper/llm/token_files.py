@@ -157,7 +157,7 @@ def vocabulary(tokens: DataFrame, size: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("tokens").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("tokens").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     total = np.zeros(size, np.int64)
     total[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return np.lexsort((np.arange(size), -total)).astype("<u4")
