@@ -6,11 +6,13 @@ Every window of consecutive words whose sequence also starts earlier is removed.
   consecutive windows of one anchor form a segment, a stretch of text a little longer than
   a window.  Equal windows have equal anchors, so only segments whose anchor occurs again
   can hold a repeat; all others are skipped.
-* The reference is one copy, the earliest, of every different segment that is left.  It is
-  dealt to shards by anchor; each shard gives compact suffix automata of a bounded size,
-  whose states know where their words first occurred.  They lie in the shared folder, for
-  any number of tasks to read.
-* Documents' segments, all of them, stream through their shard's automata.  The matching
+* Where all segments of an anchor are equal, each matches the earliest whole: no automaton
+  is needed to find all its windows there.
+* The reference is one copy, the earliest, of every different segment of the other anchors.
+  It is dealt to shards by anchor; each shard gives compact suffix automata of a bounded
+  size, whose states know where their words first occurred.  They lie in the shared folder,
+  for any number of tasks to read.
+* Documents' segments of these anchors all stream through their shard's automata.  The matching
   statistic at a word is the length of the longest stretch ending there that the reference
   holds; where it reaches the window's length, the state tells where the window first
   occurred, and it is a repeat if that is another place.  The maximal runs of such windows
@@ -31,22 +33,25 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import binary_column, drop_rows, has_ids, id_filter, keep_candidates, materialize, new_folder, open_folder, put_file, row_uid
+from linekeeper.llm.store import binary_column, drop_rows, has_ids, id_filter, keep_candidates, materialize, new_folder, open_folder, put_file, row_uid, rows_in_filter, tidy
 from linekeeper.llm.words import hash_words, runs, split_words, windows
 
 #: Words of a window and of the k-grams that anchor it.
-WINDOW, GRAM = 20, 10
+WINDOW, GRAM = 20, 8
 #: Words of the reference in one automaton.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 100_000
 #: Words that a task streams, about.
 TASK_WORDS = 3_000_000
 #: Places from which on a k-gram counts as common; of larger tables one place in a million.
-COMMON = 4096
+COMMON = 1 << 17
+#: Bits of the filter over anchors that occur again (4 MB).
+ANCHOR_BITS = 1 << 25
 
 
 def segments(hashes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,10 +124,11 @@ class SuffixAutomaton:
         """Arrays of the automaton over word numbers, with the (uid, first window) of each sequence."""
         import zstandard
 
-        n = len(vocabulary)
-        keys = np.array([s * n + v for s, out in enumerate(self.next) for v in out], np.int64)
-        to = np.array([t for out in self.next for t in out.values()], np.int32)
-        parts = (b" ".join(vocabulary), keys, to, *[np.array(x, np.int32) for x in (self.link, self.length, self.end, self.starts)])
+        step = lambda x: np.diff(np.array(x, np.int32), prepend=np.int32(0))  # mostly ones, which pack well
+        out = np.array(list(map(len, self.next)), np.int32)
+        values = np.array([v for x in self.next for v in x], np.int32)
+        to = np.array([t for x in self.next for t in x.values()], np.int32) - np.repeat(np.arange(len(out), dtype=np.int32), out)
+        parts = (b" ".join(vocabulary), out, values, to, np.array(self.link, np.int32), step(self.length), step(self.end), step(self.starts))
         return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((*parts, np.array([u for u, _ in places], np.int64), np.array([f for _, f in places], np.int32)), protocol=5))
 
 
@@ -132,12 +138,15 @@ class Reference:
     def __init__(self, raw: bytes) -> None:
         import zstandard
 
-        words, keys, to, link, length, end, starts, uids, firsts = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+        words, out, values, to, link, length, end, starts, uids, firsts = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
         vocabulary = words.split(b" ")
+        states = np.repeat(np.arange(len(out), dtype=np.int64), out)
+        keys, to = states * len(vocabulary) + values, states + to
         self.number = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
         self.words = len(vocabulary)
         self.next = dict(zip(keys.tolist(), to.tolist(), strict=True))
-        self.link, self.length, self.end, self.starts = link.tolist(), length.tolist(), end.tolist(), starts.tolist()
+        self.link = link.tolist()
+        self.length, self.end, self.starts = (np.cumsum(x).tolist() for x in (length, end, starts))
         self.uids, self.firsts = uids.tolist(), firsts.tolist()
 
     def first_places(self, words: list[bytes], window: int) -> dict[int, tuple[int, int]]:
@@ -178,31 +187,34 @@ def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, np.ndarr
             yield a + i, hashes[ends[i] : ends[i + 1]], raw[a + i] or b""
 
 
-def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+SEGMENTS = "anchors array<long>, firsts array<int>, sizes array<int>"
+
+
+def _segment_lists(made: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.ListArray]:
+    """The columns of SEGMENTS, from the segments of each text."""
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _, _ in made])]).astype(np.int32))
+    columns = [[a.view(np.int64) for a, _, _ in made], [f.astype(np.int32) for _, f, _ in made], [(z - f + 1).astype(np.int32) for _, f, z in made]]
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c) if c else np.zeros(0, k))) for c, k in zip(columns, (np.int64, np.int32, np.int32), strict=True)]
 
 
 def describe(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, n_words, sha (of the words joined by spaces) and the anchors and first windows of its segments (stored)."""
+    """uid, doc_id, n_words, sha (of the words joined by spaces) and the anchors, first windows and numbers of windows of its segments (stored)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, anchors, firsts = [], [], [], []
+            n, sha, made = [], [], []
             for _, hashes, text in _texts(batch, text_col):
                 n.append(len(hashes))
                 sha.append(hashlib.sha256(b" ".join(text.split())).hexdigest())
-                a, first, _ = segments(hashes, window, gram)
-                anchors.append(a.view(np.int64))
-                firsts.append(first.astype(np.int32))
+                made.append(segments(hashes, window, gram))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column(id_col), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(anchors, np.int64), _lists(firsts, np.int32)],
-                ["uid", "doc_id", "n_words", "sha", "anchors", "firsts"],
+                [batch.column("uid"), batch.column(id_col), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *_segment_lists(made)],
+                ["uid", "doc_id", "n_words", "sha", "anchors", "firsts", "sizes"],
             )
 
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), id_col, text_col)
-    return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, n_words long, sha string, anchors array<long>, firsts array<int>"), "segments")
+    return materialize(rows.mapInArrow(tidy(run), f"uid long, doc_id {kind}, n_words long, sha string, {SEGMENTS}"), "segments")
 
 
 def _holding(own: DataFrame, common: np.ndarray) -> DataFrame:
@@ -217,7 +229,7 @@ def _holding(own: DataFrame, common: np.ndarray) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(anchors.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("uid").filter(pa.array(total[ends[1:]] > total[ends[:-1]]))], ["uid"])
 
-    return own.select("uid", "anchors").mapInArrow(run, "uid long").distinct()
+    return own.select("uid", "anchors").mapInArrow(tidy(run), "uid long").distinct()
 
 
 def common_grams(rows: DataFrame, own: DataFrame, anchors: DataFrame, least: int, window: int, gram: int, text_col: str) -> np.ndarray | None:
@@ -246,7 +258,7 @@ def common_grams(rows: DataFrame, own: DataFrame, anchors: DataFrame, least: int
             seen, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    grams = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    grams = texts.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return id_filter(grams, "gram")
 
 
@@ -261,44 +273,67 @@ def _anchors_anew(rows: DataFrame, own: DataFrame, common: np.ndarray, window: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [segments(hashes, window, gram, sent.value) for _, hashes, _ in _texts(batch, text_col)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), _lists([a.view(np.int64) for a, _, _ in made], np.int64), _lists([f.astype(np.int32) for _, f, _ in made], np.int32)], ["uid", "anchors", "firsts"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), *_segment_lists(made)], ["uid", "anchors", "firsts", "sizes"])
 
-    new = keep_candidates(rows, "uid", held).mapInArrow(run, "uid long, anchors array<long>, firsts array<int>").dropDuplicates(["uid"])
+    new = keep_candidates(rows, "uid", held).mapInArrow(tidy(run), f"uid long, {SEGMENTS}").dropDuplicates(["uid"])
     kept = drop_rows(own, "uid", held)
-    return materialize(kept.unionByName(keep_candidates(own.drop("anchors", "firsts"), "uid", held).join(new, "uid")), "segments-anew")
+    return materialize(kept.unionByName(keep_candidates(own.drop("anchors", "firsts", "sizes"), "uid", held).join(new, "uid")), "segments-anew")
 
 
-def _cut(docs: DataFrame, shared: DataFrame, common: np.ndarray | None, window: int, gram: int, text_col: str) -> DataFrame:
+def _shared(reps: DataFrame, anchors: DataFrame, most: int) -> DataFrame:
+    """uid, doc_id and ``held`` (anchor, first window, windows) of documents' segments whose anchor is among ``anchors`` (stored).
+
+    Up to ``most`` anchors the filter alone decides, which lets a few others through; they
+    hold no repeat and cost their space only.  With more the segments meet the anchors.
+    """
+    sent = reps.sparkSession.sparkContext.broadcast(id_filter(anchors, "anchor", ANCHOR_BITS))
+    kind = reps.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("anchors", "firsts", "sizes")]
+            hit = has_ids(lists[0].flatten().to_numpy(zero_copy_only=False), sent.value)
+            ends = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            kept = np.concatenate([[0], np.cumsum(hit)])[ends].astype(np.int32)
+            flat = pa.StructArray.from_arrays([x.flatten().filter(pa.array(hit)) for x in lists], ["anchor", "first", "size"])
+            out = pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(kept), flat)], ["uid", "doc_id", "held"])
+            yield out.filter(pa.array(kept[1:] > kept[:-1]))
+
+    found = reps.select("uid", "doc_id", "anchors", "firsts", "sizes").mapInArrow(tidy(run), f"uid long, doc_id {kind}, held array<struct<anchor: long, first: int, size: int>>")
+    if anchors.count() > most:
+        places = found.select("uid", "doc_id", F.explode("held").alias("h")).select("uid", "doc_id", "h.*").join(anchors.select("anchor"), "anchor", "left_semi")
+        found = places.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("anchor", "first", "size")).alias("held"))
+    return materialize(found, "shared")
+
+
+def _cut(docs: DataFrame, shared: DataFrame, window: int, text_col: str) -> DataFrame:
     """A row for each shared segment: uid, doc_id, anchor, first window, n words, key of its words, words joined by spaces."""
     kind = shared.schema["doc_id"].dataType.simpleString()
     rows = keep_candidates(docs, "uid", shared.select("uid")).join(shared, "uid")
-    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("firsts")
-            for i, hashes, text in _texts(batch, text_col):
-                anchors, first, last = segments(hashes, window, gram, sent.value)
-                pick = np.flatnonzero(np.isin(first, wanted[i].values.to_numpy()))
+            wanted = batch.column("held")
+            for i, text in enumerate(binary_column(batch, text_col)):
+                own = wanted[i].values
+                first, size = own.field("first"), pc.add(own.field("size"), pa.scalar(window - 1, pa.int32()))
                 raw = text.split()
-                texts = [b" ".join(raw[first[k] : last[k] + window]) for k in pick.tolist()]
-                one = pa.array(np.zeros(len(pick), np.int32) + i)
+                texts = [b" ".join(raw[a : a + n]) for a, n in zip(first.to_pylist(), size.to_pylist(), strict=True)]
+                one = pa.array(np.full(len(texts), i, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("uid").take(one),
                         batch.column("doc_id").take(one),
-                        pa.array(anchors[pick].view(np.int64)),
-                        pa.array(first[pick].astype(np.int32)),
-                        pa.array((last - first + window)[pick].astype(np.int32)),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                        own.field("anchor"),
+                        first,
+                        size,
+                        pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
                         pa.array(texts, pa.binary()),
                     ],
                     ["uid", "doc_id", "anchor", "first", "n", "key", "words"],
                 )
 
-    return rows.mapInArrow(run, f"uid long, doc_id {kind}, anchor long, first int, n int, key binary, words binary")
+    return rows.mapInArrow(tidy(run), f"uid long, doc_id {kind}, anchor long, first int, n int, key long, words binary")
 
 
 def build_reference(heads: DataFrame, folder: str, parts: int, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -328,7 +363,7 @@ def build_reference(heads: DataFrame, folder: str, parts: int, shard_words: int
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], ["shard", "file"])
 
     ordered = heads.repartitionByRange(parts, "shard", "doc_id", "uid", "first").sortWithinPartitions("shard", "doc_id", "uid", "first")
-    return materialize(ordered.select("shard", "uid", "first", "words").mapInArrow(run, "shard long, file string"), "automata")
+    return materialize(ordered.select("shard", "uid", "first", "words").mapInArrow(tidy(run), "shard long, file string"), "automata")
 
 
 def open_references(folder: str, shard: int) -> Iterator[Reference]:
@@ -341,6 +376,17 @@ def open_references(folder: str, shard: int) -> Iterator[Reference]:
             yield Reference(f.read())
 
 
+def place_runs(found: dict[int, tuple[int, int]]) -> list[list[int]]:
+    """Windows with the places where they first occur, as runs [from, to, uid, window there] that go on there too."""
+    out: list[list[int]] = []
+    for at, (u, f) in sorted(found.items()):
+        if out and out[-1][1] == at - 1 and out[-1][2] == u and f - at == out[-1][3] - out[-1][0]:
+            out[-1][1] = at
+        else:
+            out.append([at, at, u, f])
+    return out
+
+
 def stream(rows: DataFrame, folder: str, parts: int, window: int) -> DataFrame:
     """(uid, a, b): runs of windows, from a to b, that first occur elsewhere; ``rows``: shard, uid, first, words of every segment.
 
@@ -351,21 +397,14 @@ def stream(rows: DataFrame, folder: str, parts: int, window: int) -> DataFrame:
         shard, held = None, []
 
         def done() -> pa.RecordBatch:
-            seen: list[dict] = [{} for _ in held]
+            seen: dict[bytes, dict] = {words: {} for _, _, words in held}  # equal texts stream once a task
             for reference in open_references(folder, shard):
-                for found, (_, _, words) in zip(seen, held, strict=True):
+                for words, found in seen.items():
                     for at, place in reference.first_places(words.split(b" "), window).items():
                         found.setdefault(at, place)  # files are in the order of places: the first to hold a window decides
-            uids, first, last = [], [], []
-            for found, (u, f, _) in zip(seen, held, strict=True):
-                starts = [f + at for at, place in sorted(found.items()) if place != (u, f + at)]
-                for x in starts:
-                    if uids and uids[-1] == u and last[-1] == x - 1:
-                        last[-1] = x
-                    else:
-                        uids.append(u)
-                        first.append(x)
-                        last.append(x)
+            spans = {words: place_runs(found) for words, found in seen.items()}
+            rows = [(u, f + a, f + b) for u, f, words in held for a, b, *place in spans[words] if place != [u, f + a]]
+            uids, first, last = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["uid", "a", "b"])
 
         for batch in batches:
@@ -379,7 +418,7 @@ def stream(rows: DataFrame, folder: str, parts: int, window: int) -> DataFrame:
             yield done()
 
     ordered = rows.select("shard", "uid", "first", "words").repartitionByRange(parts, "shard", "uid", "first").sortWithinPartitions("shard", "uid", "first")
-    return ordered.mapInArrow(run, "uid long, a int, b int")
+    return ordered.mapInArrow(tidy(run), "uid long, a int, b int")
 
 
 def remove_repeats(
@@ -391,6 +430,7 @@ def remove_repeats(
     with_text: bool = False,
     shard_words: int = SHARD_WORDS,
     common_places: int = COMMON,
+    filter_anchors: int = ANCHOR_BITS // 16,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row.
 
@@ -407,32 +447,40 @@ def remove_repeats(
     told = materialize(own.select("uid", "doc_id", "n_words", "sha").join(firsts, "sha").withColumn("is_first", F.col("uid") == F.col("f")).drop("f"), "told")
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))
     reps = drop_rows(own, "uid", told.filter("not is_first").select("uid")).filter(f"n_words >= {window}")
+    reps = materialize(reps.drop("n_words", "sha"), "first-copies")
 
-    def often(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        places = reps.select("uid", "doc_id", F.explode_outer(F.arrays_zip("anchors", "firsts")).alias("z")).select("uid", "doc_id", F.col("z.anchors").alias("anchor"), F.col("z.firsts").alias("first"))
-        return places, materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    def often(reps: DataFrame) -> DataFrame:
+        anchors = reps.select(F.explode_outer("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        return materialize(anchors.filter("n > 1 and anchor is not null"), "often")
 
-    places, anchors = often(reps)
+    anchors = often(reps)
     total = anchors.agg(F.sum("n")).first()[0] or 0
     common = common_grams(rows, reps, anchors, max(common_places, total >> 20), window, gram, text_col)
     if common is not None:
         reps = _anchors_anew(rows, reps, common, window, gram, text_col)
-        places, anchors = often(reps)
-    # most places are dropped before the join, which is of two stored sides, so that a hot anchor's partition can be split
-    shared = keep_candidates(places, "anchor", anchors.select("anchor")).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list("first").alias("firsts"))
-    shared = materialize(shared, "shared")
-    cut = materialize(_cut(rows, shared, common, window, gram, text_col), "cut")
+        anchors = often(reps)
+    shared = _shared(reps, anchors, filter_anchors)
+    cut = materialize(_cut(rows, shared, window, text_col), "cut")
     place = F.struct("doc_id", "uid", "first")
-    merged = materialize(cut.groupBy("anchor", "key").agg(F.min(place).alias("f"), F.first("n").alias("n")).select("anchor", "f.*", "n"), "merged")
-    size = merged.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-size // shard_words))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    merged = materialize(cut.groupBy("anchor", "key").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "merged")
+    several = materialize(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"), "several")
+    # all of an anchor's segments are equal: each but the earliest is a run of repeats; of two stored sides, so that a hot one can be split
+    alone = materialize(merged.filter("copies > 1").join(several, "anchor", "left_anti").select("anchor", "key", "f"), "alone")
+    copies = cut.select("uid", "doc_id", "first", "n", "anchor", "key").join(alone, ["anchor", "key"]).filter(place != F.col("f"))
+    copies = copies.select("uid", F.col("first").alias("a"), (F.col("first") + F.col("n") - window).alias("b"))
+    # the others, and some more that the filter lets through
+    mask = id_filter(several, "anchor")
+    wanted = rows_in_filter(merged.select("anchor", "f.uid", "f.first", "n"), "anchor", mask)
+    wanted = materialize(wanted.select(F.xxhash64("uid", "first").alias("segment"), "n"), "heads")
+    streamed = rows_in_filter(cut.select("anchor", "doc_id", "uid", "first", "n", "words"), "anchor", mask)
+    shards = max(1, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // shard_words))
     parts = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // TASK_WORDS))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     folder = new_folder(docs.sparkSession, "reference")
-    segment = F.xxhash64("uid", "first").alias("segment")
-    heads = keep_candidates(cut.select(segment, shard, "doc_id", "uid", "first", "words"), "segment", merged.select(segment))
+    heads = keep_candidates(streamed.select(F.xxhash64("uid", "first").alias("segment"), shard, "doc_id", "uid", "first", "words"), "segment", wanted.select("segment"))
     build_reference(heads, folder, min(parts, shards), shard_words)
-    starts = stream(cut.select(shard, "uid", "first", "words"), folder, parts, window).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    found = stream(streamed.select(shard, "uid", "first", "words"), folder, parts, window).unionByName(copies)
+    starts = found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     starts = materialize(starts, "starts")
     changed = keep_candidates(rows, "uid", starts.select("uid")).join(starts, "uid")
 
@@ -452,7 +500,7 @@ def remove_repeats(
                 left.append(kept.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], ["uid", "removed", "kept", "kept_text"])
 
-    cut_docs = changed.mapInArrow(run, "uid long, removed long, kept string, kept_text string").dropDuplicates(["uid"])
+    cut_docs = changed.mapInArrow(tidy(run), "uid long, removed long, kept string, kept_text string").dropDuplicates(["uid"])
     copy = ~F.col("is_first") & (F.col("n_words") >= window)
     out = told.join(cut_docs, "uid", "left").select(
         "uid",

@@ -279,10 +279,10 @@ def test_quality_rules_of_nothing(empty):
 # -- 6: repeats ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("shard_words", "common"), [(200_000, 4096), (30, 2)])
-def test_repeats(odd, odd_rows, shard_words, common):
+@pytest.mark.parametrize(("shard_words", "common", "few"), [(200_000, 4096, 1 << 20), (30, 2, 0)])
+def test_repeats(odd, odd_rows, shard_words, common, few):
     want = brute.repeats(list(dict.fromkeys(odd_rows)))
-    same([tuple(r) for r in repeats.remove_repeats(odd, shard_words=shard_words, common_places=common).collect()], [want[d] for d, _ in odd_rows])
+    same([tuple(r) for r in repeats.remove_repeats(odd, shard_words=shard_words, common_places=common, filter_anchors=few).collect()], [want[d] for d, _ in odd_rows])
 
 
 @pytest.mark.parametrize(("shard_words", "common"), [(200_000, 4096), (100, 3)])
