@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import decontaminate, near_copies, oracles, packing, prefix_bpe, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
+from linekeeper.llm import cross_tokens, decontaminate, near_copies, oracles, packing, prefix_bpe, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_prefix_bpe": prefix_bpe.op11_prefix_bpe,
+        "op12_cross_tokens": cross_tokens.op12_cross_tokens,
     }
 
 
