@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linekeeper.llm import cross_tokens, decontaminate, near_copies, oracles, packing, prefix_bpe, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
+from linekeeper.llm import cross_tokens, decontaminate, near_copies, oracles, packing, prefix_bpe, prefix_trie, quality_model, quality_rules, repeats, secrets, sharding, token_files, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_prefix_bpe": prefix_bpe.op11_prefix_bpe,
         "op12_cross_tokens": cross_tokens.op12_cross_tokens,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
