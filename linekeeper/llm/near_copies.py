@@ -248,6 +248,16 @@ def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return first.union(member.filter("root is null").select("uid")).distinct()
 
 
+def surplus_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, gone) of the rows that don't simply stay, stored: gone is true but for the first of a component (by ``first_of_groups``), false for a uid that stays and that several rows have."""
+    member = members(docs, size, percent, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    first = materialize(member.filter("root is not null").groupBy("root").agg(F.min(order)["uid"].alias("first")), "first-rows")
+    gone = materialize(member.filter("root is not null").join(first, "root").filter("uid <> first").select("uid").distinct(), "gone")
+    often = member.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("uid").join(gone, "uid", "left_anti")
+    return materialize(gone.select("uid", F.lit(True).alias("gone")).union(often.select("uid", F.lit(False))), "surplus")
+
+
 def members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """uid, doc_id, n and root of every row: rows of one component share the root; null without shingles.  Stored."""
     rows = docs.select(row_uid(id_col, text_col).alias("uid"), F.col(text_col))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linekeeper.llm.secrets import in_filter, uid_filter
-from linekeeper.llm.store import materialize
+from linekeeper.llm.store import come_back, materialize, stand_aside
 
 #: Cells of the hashed multinomials; the tables hold this many rows, whatever the data.
 CELLS = 1 << 14
@@ -35,7 +35,8 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, and __text."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, and __text, to columns without inner names."""
+    own = df.columns
     df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
     df = df.withColumn("__n", F.size("__words"))
@@ -51,7 +52,7 @@ def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__repeated", repeated)
     df = df.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), x -> x rlike '{WORD}')".replace("\\", "\\\\")))
     return df.select(
-        *[c for c in df.columns if not c.startswith("__")],
+        *own,
         F.col("__text"),
         F.col("__n").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -74,10 +75,12 @@ def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     ids = labels.filter((F.col(label_col) == good) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__id")).distinct()
     ids = materialize(ids.withColumn("__uid", F.xxhash64("__id")), "target-ids")
+    docs, names = stand_aside(docs)
+    own = names[id_col]
     if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids.select("__id")), F.col(id_col) == F.col("__id"), "left_semi").select(*docs.columns)
-    marked = docs.withColumn("__bits", uid_filter(ids)).withColumn("__uid", F.xxhash64(id_col))
-    return marked.filter(in_filter()).join(ids.select("__id"), F.col(id_col) == F.col("__id"), "left_semi").select(*docs.columns)
+        return docs.join(F.broadcast(ids.select("__id")), F.col(own) == F.col("__id"), "left_semi").select(*come_back(names))
+    marked = docs.withColumn("__bits", uid_filter(ids)).withColumn("__uid", F.xxhash64(own))
+    return marked.filter(in_filter()).join(ids.select("__id"), F.col(own) == F.col("__id"), "left_semi").select(*come_back(names))
 
 
 def ngram_cells(text: str = "__text", cells: int = CELLS) -> Column:
@@ -115,19 +118,18 @@ def llr_table(raw: DataFrame, target: DataFrame, cells: int = CELLS, spread: flo
 
 
 def judged(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs``, all its columns as they are, with ``__r``: the struct of RESULTS."""
+    """For every row of ``docs`` a row (doc, verdict): the struct of all its columns, whatever their names, and that of RESULTS."""
     plain = lambda d: d.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
     chosen = plain(docs).filter(trusted()) if target is None else plain(target)
     table = llr_table(plain(docs).select("__cells"), chosen.select("__cells"), cells, spread).scalar()
-    # columns of the input that have names of results step aside
-    aside = {c: f"own_of_{c}" for c in docs.columns if c in RESULTS}
-    scored = base_features(docs.withColumnsRenamed(aside), aside.get(text_col, text_col))
+    docs, names = stand_aside(docs, *RESULTS)
+    scored = base_features(docs, names[text_col])
     scored = scored.withColumn("__cells", ngram_cells("__text", cells)).withColumn("__llr", table)
     scored = scored.withColumn("llr", F.expr("if(size(__cells) = 0, 0D, aggregate(__cells, 0D, (a, c) -> a + __llr[c]) / size(__cells))"))
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.expr(f"__llr[{cells}]")))
     # a generator's output is a barrier: filters on the results are not pushed into the expressions behind them, which would then run once for each use
     results = F.explode_outer(F.array(F.struct(*RESULTS))).alias("__r")
-    return scored.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns], results)
+    return scored.select(*docs.columns, results).select(F.struct(*come_back(names)).alias("doc"), F.col("__r").alias("verdict"))
 
 
 def quality_rules(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
@@ -138,10 +140,12 @@ def quality_rules(docs: DataFrame, target: DataFrame | None = None, spread: floa
     without it the rows of ``docs`` that ``trusted`` takes.  Null text counts as empty
     (base_failed); texts of any length are read whole; repeated rows are judged alike, each
     its own row; null ids are kept; with an empty corpus there are no rows; with an empty
-    target the base rules alone decide; columns of the input that have names of results
-    give way to these (``judged`` keeps both).
+    target the base rules alone decide; a score equal to the threshold is kept; columns of
+    the input that have names of results give way to these (``judged`` keeps both), all
+    others keep their values, whatever their names.
     """
-    return judged(docs, target, spread, cells, text_col).select(*[c for c in docs.columns if c not in RESULTS], "__r.*")
+    rows = judged(docs, target, spread, cells, text_col)
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in RESULTS], "verdict.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linekeeper.llm.store import materialize, row_uid
+from linekeeper.llm.store import come_back, materialize, row_uid, stand_aside
 
 
 @dataclass(frozen=True)
@@ -218,12 +218,14 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     Null text counts as empty: no match; texts of any length are searched whole.  Rows that
     repeat id and text share candidates and give equal results, each its own row; matches
     that begin at one place are in the order of the rules; null ids are kept; a column of
-    the input named as ``out`` gives way; an empty table gives no rows.
+    the input named as ``out`` gives way, all others keep their values, whatever their names; an empty
+    table gives no rows.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     indexed = [k for k, q in enumerate(queries) if q != ANY]
-    columns = [c for c in docs.columns if c != out]
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__uid", row_uid(id_col, text_col))
+    docs, names = stand_aside(docs, out)
+    columns = come_back(names, out)
+    rows = docs.withColumn("__text", F.coalesce(F.col(names[text_col]), F.lit(""))).withColumn("__uid", row_uid(names[id_col], names[text_col]))
 
     def searched(part: DataFrame, asked: bool) -> DataFrame:
         """``part`` with the spans; rules with an index only for rows that are their candidates."""
@@ -260,7 +262,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     Null texts stay null; rows that repeat a text are changed alike, each its own row; an
     empty table gives no rows; other columns stay as they are, whatever their names.
     """
-    columns = docs.columns
+    docs, names = stand_aside(docs)
+    text_col = names[text_col]
     found = scan_secrets(docs.withColumn("__one", F.lit(1)), rules, "__one", text_col, "__found")
     merged = F.expr(
         """aggregate(__found, cast(array() as array<struct<s:int,e:int>>), (a, x) ->
@@ -272,7 +275,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
                 substring({text_col}, if(i = 0, 0, __spans[i - 1].e) + 1, x.s - if(i = 0, 0, __spans[i - 1].e)), '{mark}')), ''),
               substring({text_col}, __spans[size(__spans) - 1].e + 1))"""
     done = found.withColumn("__spans", merged).withColumn(text_col, F.expr(f"if({text_col} is null or size(__spans) = 0, {text_col}, {cut})"))
-    return done.select(*columns)
+    return done.select(*come_back(names))
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:

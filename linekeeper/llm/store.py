@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stand_aside(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
+    """(``docs``, its columns that begin with ``__`` or are among ``results`` under names that nothing else has; {each column: its name there}).
+
+    Inner columns begin with ``__``; what the input has under such names is kept out of their way and gets its name back with ``come_back``.
+    """
+    names, taken = {c: c for c in docs.columns}, {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        if c.startswith("__") or c in results:
+            new = f"own_of_{c.strip('_')}"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            names[c] = new
+    return docs.withColumnsRenamed({c: new for c, new in names.items() if c != new}), names
+
+
+def come_back(names: dict[str, str], *without: str) -> list[Column]:
+    """The columns of ``stand_aside`` under their own names, but for those of ``without``."""
+    return [F.col(new).alias(c) for c, new in names.items() if c not in without]
+
+
 def row_uid(*cols: str):
     """64-bit key of a row: rows that agree in these columns share it."""
     return F.xxhash64(*[F.col(c) for c in cols])
