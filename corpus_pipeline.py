@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linekeeper.llm.decontaminate import leaks
-from linekeeper.llm.near_copies import first_of_groups
+from linekeeper.llm.near_copies import surplus_rows
 from linekeeper.llm.packing import pack_documents
 from linekeeper.llm.quality_rules import judged, labelled_target
-from linekeeper.llm.secrets import redact
-from linekeeper.llm.store import materialize, row_uid
+from linekeeper.llm.secrets import in_filter, redact, uid_filter
+from linekeeper.llm.store import come_back, materialize, row_uid, stand_aside
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated; columns of any name keep their values.
     """
     target = labelled_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(docs, target).filter("__r.kept").select(*docs.columns)
+    return judged(docs, target).filter("verdict.kept").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+
+
+def _apart(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Rows that may be among ``told`` (__uid), which alone have to meet it in a shuffle; all others; the columns' names."""
+    own, names = stand_aside(docs)
+    marked = own.withColumn("__uid", row_uid(names["doc_id"], names["text"])).withColumn("__bits", uid_filter(told))
+    return marked.filter(in_filter()).drop("__bits"), marked.filter(~in_filter()).drop("__bits"), names
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     hash; rows that repeat id and text count once; texts without words are in no group and
     stay; other columns are those of any of the repeated rows.
     """
-    first = first_of_groups(docs, size=5, percent=80).select(F.col("uid").alias("__uid"))
-    return docs.join(first, row_uid("doc_id", "text") == F.col("__uid"), "left_semi").dropDuplicates(["doc_id", "text"])
+    told = surplus_rows(docs, size=5, percent=80).select(F.col("uid").alias("__uid"), F.col("gone").alias("__gone"))
+    asked, others, names = _apart(docs, told)
+    met = asked.join(told, "__uid", "left")
+    again = met.filter("not __gone").dropDuplicates([names["doc_id"], names["text"]])
+    kept, *more = (x.select(*come_back(names)) for x in (others, met.filter("__gone is null"), again))
+    return kept.union(more[0]).union(more[1])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +61,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = leaks(docs.select(row_uid("doc_id", "text").alias("uid"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="uid")
     # stored: the texts are searched once, and the join is of two plain sides
     found = materialize(found.select(F.col("doc_id").alias("__uid")).distinct(), "leaking")
-    return docs.join(found, row_uid("doc_id", "text") == F.col("__uid"), "left_anti")
+    asked, others, names = _apart(docs, found)
+    return others.select(*come_back(names)).union(asked.join(found, "__uid", "left_anti").select(*come_back(names)))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
