@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from linekeeper.functions import blocks
+
 # The character classes that matching keeps.
 KANA = "\\u3040-\\u30ff"
 HAN = "\\u3400-\\u9fff"
@@ -79,15 +80,19 @@ def leading_term(text: Column) -> Column:
     """(term, count) of a text in normal form (a column of its own: no Python in array functions): a phrase's first term of two characters or more, and how often it opens the terms that follow without a break; ('', 0) if it doesn't repeat."""
     raw = F.split(F.trim(text), TERM_GAP)
     terms = F.filter(F.transform(raw, lambda x: match_text(x, False)), lambda x: x != "")
-    first = F.coalesce(F.try_element_at(terms, F.lit(1)), F.lit(""))
     state = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
-    run = F.aggregate(
-        terms,
-        state,
-        lambda a, x: F.struct(F.when(a["on"] & x.startswith(first), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["on"] & x.startswith(first)).alias("on")),
-    )["n"]
-    good = (F.length(first) >= 2) & (run >= 2)
-    return F.struct(F.when(good, first).otherwise("").alias("term"), F.when(good, run).otherwise(0).alias("count"))
+
+    def opening(held: Column) -> Column:
+        first = F.coalesce(F.try_element_at(held, F.lit(1)), F.lit(""))
+        run = F.aggregate(
+            held, state, lambda a, x: F.struct(F.when(a["on"] & x.startswith(held[0]), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["on"] & x.startswith(held[0])).alias("on")), lambda a: a["n"]
+        )
+        return F.struct(first.alias("term"), run.alias("count"))
+
+    # the array of one array binds the terms to a name: an expression used twice is worked out twice in a lambda
+    found = F.transform(F.array(terms), opening)
+    good = lambda x: (F.length(x["term"]) >= 2) & (x["count"] >= 2)
+    return F.transform(found, lambda x: F.struct(F.when(good(x), x["term"]).otherwise("").alias("term"), F.when(good(x), x["count"]).otherwise(0).alias("count")))[0]
 
 
 def is_marker(line: Column, strict: bool = True, normal: bool = True) -> Column:
@@ -121,7 +126,7 @@ def spoken_language(lines: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings; 0 if one is empty or null."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64")
+    return pd.Series(blocks.ratios(*([x if isinstance(x, str) else "" for x in side] for side in (left, right))), dtype="float64")
 
 
 def segment_score(entry: Column, segment: Column) -> Column:

@@ -5,11 +5,15 @@ Range joins carry an equality (song and a time bucket), so that Spark hashes the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linekeeper.functions import blocks
 from linekeeper.functions.text import segment_score
 
 
@@ -140,43 +144,86 @@ def match_anchors(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     return entries.groupBy("song").cogroup(anchors.groupBy("song")).applyInPandas(one, f"song {kind}, hint_idx int, entry int, error string")
 
 
+#: Songs whose lines are matched side by side.
+SONGS = 256
+
+
+class _Song:
+    """Where the matching of a song's lines with its segments stands."""
+
+    __slots__ = ("key", "entries", "lines", "numbers", "texts", "at", "line", "best")
+
+    def __init__(self, key) -> None:
+        self.key, self.entries, self.lines, self.numbers, self.texts = key, [], [], [], []
+        self.at, self.line, self.best = 0, 0, (0.0, -1, 0)
+
+
+def _side_by_side(songs: list[_Song], ahead: int, spans: int, accept: float, stop: float) -> list[tuple]:
+    """(song, entry, segment, span, score) of the songs' lines: the next line of every song at a time, so that many pairs of texts are compared together."""
+    out = []
+    while songs := [s for s in songs if s.line < len(s.lines)]:
+        wave = 1 if len(songs) >= 64 else 4 if len(songs) >= 16 else ahead
+        for first in range(0, ahead, wave):
+            asked = []
+            for s in songs:
+                line = s.lines[s.line]
+                if s.best[0] >= stop or not line:
+                    continue
+                for i in range(s.at + first, min(len(s.texts), s.at + min(ahead, first + wave))):
+                    for k in range(1, min(spans, len(s.texts) - i) + 1):
+                        text = "".join(s.texts[i : i + k])
+                        # a ratio is twice the shorter text over both at most, a score 0.96 where the line is held
+                        if max(2 * min(len(line), len(text)) / (len(line) + len(text)), 0.96 if line in text else 0.72) > s.best[0]:
+                            asked.append((s, i, k, line, text))
+            found = blocks.scores([x[3] for x in asked], [x[4] for x in asked])
+            for (s, i, k, _, _), score in zip(asked, found.tolist(), strict=True):
+                # once a score ends the search, segments further on don't count
+                if score > s.best[0] and (s.best[0] < stop or i == s.best[1]):
+                    s.best = (score, i, k)
+        for s in songs:
+            score, i, k = s.best
+            hit = i >= 0 and score >= accept
+            out.append((s.key, s.entries[s.line], s.numbers[i] if hit else None, k if hit else None, score))
+            s.at, s.line, s.best = i + k if hit else s.at, s.line + 1, (0.0, -1, 0)
+    return out
+
+
 def fuzzy_match(lines: DataFrame, segments: DataFrame, ahead: int = 12, spans: int = 3, accept: float = 0.42, stop: float = 0.88) -> DataFrame:
     """(song, entry, segment, span, score): lines matched to segments in order, each from where the last one ended.
 
     lines: song, entry, norm; segments: song, seg_idx, norm.  Of up to ``ahead`` segments and
-    1 to ``spans`` of them together the best is taken; a score of ``stop`` ends the search.
+    1 to ``spans`` of them together the best is taken, the first of equals; a score of
+    ``stop`` ends the search.  Null texts count as empty and match nothing.  Songs pass through
+    a task in their order, SONGS of them side by side.
     """
-
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        def score(a: str, b: str) -> float:
-            if not a or not b:
-                return 0.0
-            ratio = SequenceMatcher(None, a, b).ratio()
-            return max(ratio, 0.96) if a in b else max(ratio, 0.72) if b in a and len(b) >= 4 else ratio
-
-        parts = right.sort_values("seg_idx")
-        texts, numbers = parts["norm"].fillna("").tolist(), parts["seg_idx"].tolist()
-        at, out = 0, []
-        for line in left.sort_values("entry").itertuples():
-            best = (0.0, None, 0)
-            for i in range(at, min(len(texts), at + ahead)):
-                for k in range(1, min(spans, len(texts) - i) + 1):
-                    s = score(line.norm or "", "".join(texts[i : i + k]))
-                    if s > best[0]:
-                        best = (s, i, k)
-                if best[0] >= stop:
-                    break
-            if best[1] is not None and best[0] >= accept:
-                out.append((key[0], line.entry, numbers[best[1]], best[2], best[0]))
-                at = best[1] + best[2]
-            else:
-                out.append((key[0], line.entry, None, None, best[0]))
-        return pd.DataFrame(out, columns=["song", "entry", "segment", "span", "score"])
-
-    kind = lines.schema["song"].dataType.simpleString()
-    return lines.groupBy("song").cogroup(segments.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, span int, score double")
+    rows = lines.select("song", F.lit(0).alias("kind"), F.col("entry").cast("int").alias("at"), "norm").unionByName(segments.select("song", F.lit(1).alias("kind"), F.col("seg_idx").cast("int").alias("at"), "norm"))
+    kind = rows.schema["song"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Song] = []
+        song_type = None
+
+        def out() -> pa.RecordBatch:
+            found = _side_by_side(held, ahead, spans, accept, stop)
+            held.clear()
+            types = (song_type, pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate(types)], names=["song", "entry", "segment", "span", "score"])
+
+        for batch in batches:
+            song_type = batch.column("song").type
+            for song, side, at, norm in zip(*(batch.column(c).to_pylist() for c in ("song", "kind", "at", "norm")), strict=True):
+                if not held or held[-1].key != song:
+                    if len(held) >= SONGS:
+                        yield out()
+                    held.append(_Song(song))
+                own = held[-1]
+                (own.numbers if side else own.entries).append(at)
+                (own.texts if side else own.lines).append(norm or "")
+        if held:
+            yield out()
+
+    dealt = rows.repartition("song").sortWithinPartitions("song", "kind", "at")
+    return dealt.mapInArrow(run, f"song {kind}, entry int, segment int, span int, score double")
 
 
 def pair_scores(lines: DataFrame, segments: DataFrame, band: int = 12) -> DataFrame:
@@ -190,21 +237,26 @@ def repeated_tail(segments: DataFrame, after: float = 0.0, least: int = 6, alike
     """(song, repeated): whether ``least`` segments in a row are like the first of their run; short ones break it."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        head, run, found = "", 0, False
-        for r in rows.sort_values("seg_idx").itertuples():
-            if r.start < after:
+        rows = rows[~(rows["start"] < after)].sort_values("seg_idx")
+        texts = [x if isinstance(x, str) else "" for x in rows["norm"]]
+        at, longest = 0, 0
+        while at < len(texts) and longest < least:
+            if len(texts[at]) < 8:
+                at += 1
                 continue
-            text = r.norm or ""
-            if len(text) < 8:
-                head, run = "", 0
-            elif head and SequenceMatcher(None, head, text).ratio() >= alike:
-                run += 1
-            else:
-                head, run = text, 1
-            found = found or run >= least
-        return pd.DataFrame([(key[0], found)], columns=["song", "repeated"])
+            # a run ends at the first text that is short or unlike its head; a few more texts are looked at each time
+            run, reach = 1, max(1, least - 1)
+            while True:
+                near = texts[at + run : at + run + reach]
+                like = [len(t) >= 8 for t in near]
+                like = [x and r >= alike for x, r in zip(like, blocks.ratios([texts[at]] * len(near), near), strict=True)]
+                more = like.index(False) if False in like else len(like)
+                run, reach = run + more, 2 * reach
+                if more < len(near) or not near or run >= least:
+                    break
+            longest = max(longest, run)
+            at += run
+        return pd.DataFrame([(key[0], longest >= least)], columns=["song", "repeated"])
 
     kind = segments.schema["song"].dataType.simpleString()
     return segments.groupBy("song").applyInPandas(one, f"song {kind}, repeated boolean")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linekeeper.functions import blocks
+
 
 def place_in_segment(norm: Column, start: Column, end: Column, seg_norm: Column, chars: Column) -> Column:
     """Time of a line's text in its segment: that of the matching character, else by its share of the text; the start where it isn't found.
@@ -82,32 +84,31 @@ def earlier_duplicates(matches: DataFrame, segments: DataFrame) -> DataFrame:
     opens the line.
     """
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        def ratio(a: str, b: str) -> float:
-            return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    steps = ((2, 2.5, 0.70), (3, 5.0, 0.86))  # fixed values: how far back, within how many seconds, how alike
 
-        def fit(a: str, b: str) -> float:
-            r = ratio(a, b)
-            return 0.0 if not a or not b else max(r, 0.96) if a in b else max(r, 0.72) if b in a and len(b) >= 4 else r
-
-        parts = right.sort_values("seg_idx")
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts, left = right.sort_values("seg_idx"), left.sort_values("entry")
         numbers, starts, texts = parts["seg_idx"].tolist(), parts["start"].tolist(), parts["norm"].fillna("").tolist()
-        place, out = {n: i for i, n in enumerate(numbers)}, []
-        for r in left.sort_values("entry").itertuples():
-            at, score, text = None if pd.isna(r.segment) else place.get(int(r.segment)), r.score, r.norm or ""
-            for back, seconds, alike in ((2, 2.5, 0.70), (3, 5.0, 0.86)):
+        place = {n: i for i, n in enumerate(numbers)}
+        # all comparisons that may be asked for, in two calls
+        near = [(k, i) for i in range(len(texts)) for k in range(max(0, i - 3), i) if starts[i] - starts[k] <= 5.0]
+        alike = dict(zip(near, blocks.ratios([texts[k] for k, _ in near], [texts[i] for _, i in near]).tolist(), strict=True))
+        rows = [(r.entry, None if pd.isna(r.segment) else place.get(int(r.segment)), r.score, r.norm if isinstance(r.norm, str) else "") for r in left.itertuples()]
+        pairs = [(n, k) for n, (_, at, _, _) in enumerate(rows) if at for k in range(max(0, at - 2), at)]
+        fit = dict(zip(pairs, blocks.scores([rows[n][3] for n, _ in pairs], [texts[k] for _, k in pairs]).tolist(), strict=True))
+        out = []
+        for n, (entry, at, score, text) in enumerate(rows):
+            for back, seconds, least in steps:
                 for k in range(at - 1, max(-1, at - back - 1), -1) if at else ():
-                    if not texts[k] or starts[at] - starts[k] > seconds or ratio(texts[k], texts[at]) < alike:
+                    if not texts[k] or starts[at] - starts[k] > seconds or alike[k, at] < least:
                         continue
-                    if back == 2 and (now := fit(text, texts[k])) >= score - 0.05:
-                        at, score = k, max(score, now)
+                    if back == 2 and fit[n, k] >= score - 0.05:
+                        at, score = k, max(score, fit[n, k])
                         break
                     if back == 3 and text.startswith(texts[k]):
                         at, score = k, max(score, 0.80)
                         break
-            out.append((key[0], r.entry, None if at is None else numbers[at], score))
+            out.append((key[0], entry, None if at is None else numbers[at], score))
         return pd.DataFrame(out, columns=["song", "entry", "segment", "score"])
 
     kind = matches.schema["song"].dataType.simpleString()

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from linekeeper.plans import catalogue, library  # noqa: F401
+from linekeeper.plans import catalogue, library, matches  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ def test_entry_runs(spark):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "orders customer events documents labels conversations pages".split():
+    for t in "orders customer events documents labels conversations pages part".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
