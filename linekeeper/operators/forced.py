@@ -1,22 +1,26 @@
 """Repairs from forced times: the time of a line's first character when its text is aligned by force.
 
-Rules are a table.  A rule sees the line's values and may move the forced time before it is
-taken; the later ones ask only where none has held before.
+A rule is a box: ranges of a line's measures and a flag that it must have.  Which boxes hold
+a line is told in columns, and each leaves an option there: a time, and how it has to lie to
+the time of the line before, which is all that the fold over a song still decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linekeeper.operators.folds import fold_by_song
 from linekeeper.operators.repairs import OUT, _num
 
 # Words that a segment may lack where its line goes on into the next segment.
 SPAN_WORDS = ("私",)
+INF = math.inf
 
 
 def first_char_time(chars: Column, start: Column) -> Column:
@@ -25,56 +29,103 @@ def first_char_time(chars: Column, start: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class ForcedRule:
-    """``open``: asks only where no rule has held; ``move``: the forced time that the rule goes by."""
+class Box:
+    """Closed ranges of a line's letters, score, seconds behind its forced time and seconds behind the line before; a flag; where the forced time has to lie.
+
+    ``floor``: inside (between the line before, 0.10 s behind it, and the line itself), after
+    (0.10 s behind the line before) or heard (0.05 s behind the segment of the line before).
+    ``lead``: seconds by which the time is set before the forced one.
+    """
 
     reason: str
-    when: Callable[[dict], bool]
-    open: bool = False
-    move: Callable[[dict], float] | None = None
-
-
-def _inside(v: dict) -> bool:
-    return v["before"] + 0.10 < v["forced"] < v["now"]
-
-
-def _clear(v: dict) -> bool:
-    return v["forced"] >= v["previous_end"] + 0.05
-
-
-# The limits and reasons of the rules.
-RULES = (
-    ForcedRule("short-line-late-asr", lambda v: v["n"] <= 3 and v["gap"] >= 3.0 and v["now"] - v["short"] >= 1.2 and v["short"] >= v["before"] + 0.10, move=lambda v: v["short"]),
-    ForcedRule("line-spans-next-segment", lambda v: v["spans_on"] and 0.5 <= v["late"] <= 1.5 and _clear(v)),
-    ForcedRule("close-following-line", lambda v: v["n"] > 3 and 0.55 <= v["late"] <= 0.8 and 2.0 <= v["gap"] <= 2.6 and _clear(v)),
-    ForcedRule("low-confidence-late-asr-forced", lambda v: v["n"] >= 8 and v["score"] < 0.55 and v["other_segment"] and 1.2 <= v["late"] <= 2.2 and v["gap"] >= 4.0 and _clear(v)),
-    ForcedRule(
-        "post-borrowed-line-forced",
-        lambda v: v["after_borrowed"] and v["n"] > 3 and v["score"] >= 0.90 and 1.3 <= v["late"] <= 2.5 and v["gap"] >= 2.5 and v["forced"] >= v["before"] + 0.10,
-        open=True,
-        move=lambda v: max(v["before"] + 0.10, v["forced"] - 0.25),
-    ),
-    ForcedRule(
-        "suffix-after-unmatched-same-segment",
-        lambda v: v["same_segment"] and v["previous_score"] <= 0.05 and v["score"] >= 0.90 and v["is_suffix"] and 0.8 <= v["late"] <= 1.5 and _inside(v),
-        open=True,
-    ),
-    ForcedRule("medium-confidence-forced", lambda v: 0.64 <= v["score"] <= 0.75 and 1.2 <= v["late"] <= 1.8 and v["gap"] >= 4.0 and _inside(v), open=True),
-    ForcedRule("high-confidence-small-forced", lambda v: v["score"] >= 0.90 and 0.25 <= v["late"] <= 0.45 and _inside(v), open=True),
-    ForcedRule("low-confidence-same-segment-forced", lambda v: v["same_segment"] and 0.50 <= v["score"] <= 0.65 and 0.50 <= v["late"] <= 1.00 and v["gap"] >= 3.0 and _inside(v), open=True),
+    floor: str
+    letters: tuple[float, float] = (0, INF)
+    score: tuple[float, float] = (-INF, INF)
+    late: tuple[float, float] = (-INF, INF)
+    gap: tuple[float, float] = (-INF, INF)
+    flag: str | None = None
+    lead: float = 0.0
+
+
+# The limits and reasons of the rules, those that win first.
+BOXES = (
+    Box("low-confidence-late-asr-forced", "heard", letters=(8, INF), score=(-INF, math.nextafter(0.55, 0)), late=(1.2, 2.2), gap=(4.0, INF), flag="other_segment"),
+    Box("close-following-line", "heard", letters=(4, INF), late=(0.55, 0.8), gap=(2.0, 2.6)),
+    Box("line-spans-next-segment", "heard", late=(0.5, 1.5), flag="spans_on"),
+    Box("short-line-late-asr", "after", letters=(0, 3), gap=(3.0, INF), flag="short_late"),
+    Box("post-borrowed-line-forced", "after", letters=(4, INF), score=(0.90, INF), late=(1.3, 2.5), gap=(2.5, INF), flag="after_borrowed", lead=0.25),
+    Box("suffix-after-unmatched-same-segment", "inside", score=(0.90, INF), late=(0.8, 1.5), flag="suffix_of_unmatched"),
+    Box("medium-confidence-forced", "inside", score=(0.64, 0.75), late=(1.2, 1.8), gap=(4.0, INF)),
+    Box("high-confidence-small-forced", "inside", score=(0.90, INF), late=(0.25, 0.45)),
+    Box("low-confidence-same-segment-forced", "inside", score=(0.50, 0.65), late=(0.50, 1.00), gap=(3.0, INF), flag="same_segment"),
+)
+# A line that no rule moves goes a part of the way if it is late by so much (more where it shares its segment); the part by its score.
+BLENDS = (
+    Box("bounded-forced-asr-blend", "after", letters=(5, INF), score=(0.55, 0.88), late=(1.0, 3.0), gap=(2.5, INF), flag="same_segment"),
+    Box("bounded-forced-asr-blend", "heard", letters=(5, INF), score=(0.55, 0.88), late=(1.0, 2.0), gap=(2.5, INF), flag="no_shared_segment"),
 )
+BLEND_PARTS = ((0.80, 0.20), (-INF, 0.35))
+#: A short line goes back by so many seconds at most where its segment doesn't begin with it, and has to be so late.
+SHORT_BACK, SHORT_LATE = 2.80, 1.2
 
 
-def _blend(v: dict) -> float | None:
-    """A line that is late by a bounded time moves on by a part of that."""
-    fits = v["n"] >= 5 and 0.55 <= v["score"] <= 0.88 and 1.0 <= v["late"] <= (3.0 if v["same_segment"] else 2.0) and v["gap"] >= 2.5
-    floor = v["before"] + 0.10 if v["same_segment"] else v["previous_end"] + 0.05
-    if not (fits and v["forced"] >= floor and v["before"] + 0.50 < v["forced"] < v["now"]):
-        return None
-    time = v["now"] - v["late"] * (0.20 if v["score"] >= 0.80 else 0.35)
-    if v["after"] is not None:
-        time = min(time, v["after"] - 0.50)
-    return time if v["before"] + 0.10 < time < v["now"] else None
+def _measured(df: DataFrame) -> DataFrame:
+    """Columns that the boxes ask for, of lines that may be moved; ``may`` is false for all others."""
+    order = Window.partitionBy("song").orderBy("entry")
+    before = lambda c: F.lag(c).over(order)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    norm, heard = F.coalesce("norm", F.lit("")), F.coalesce("asr_norm", F.lit(""))
+    now, aim = F.col("timestamp").cast("double"), F.when(~F.isnan(F.col("forced").cast("double")), F.col("forced").cast("double"))
+    known = yes(before("segment") >= 0)
+    same = known & yes(before("segment") == F.col("segment"))
+    short = F.when((F.length(norm) <= 3) & ~heard.startswith(norm), F.greatest(aim, now - SHORT_BACK)).otherwise(aim)
+    lacks = F.lit(False)
+    for w in SPAN_WORDS:
+        lacks = lacks | (F.coalesce("text", F.lit("")).contains(w) & ~F.coalesce("asr_text", F.lit("")).contains(w))
+    score = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return df.withColumns(
+        {
+            "may": (F.row_number().over(order) > 1) & ~yes(F.col("settled")) & yes(F.col("segment") >= 0) & aim.isNotNull(),
+            "now": now, "aim": aim, "short": short, "letters": F.length(norm), "sure": score(F.col("score")), "late": now - aim, "next": F.lead(now).over(order),
+            "heard_until": F.when(known, before("segment_end").cast("double") + 0.05), "same_segment": same, "no_shared_segment": ~same, "other_segment": known & ~same, "spans_on": lacks,
+            "short_late": now - short >= SHORT_LATE, "after_borrowed": yes(before("borrowed")), "suffix_of_unmatched": same & (score(before("score")) <= 0.05) & heard.endswith(norm),
+        }
+    )
+
+
+def _option(box: Box, time: str = "aim", besides: Column | None = None) -> Column:
+    """What a box that holds a line leaves for the fold; null if it doesn't hold it, as far as columns can tell."""
+    holds = F.col("may")
+    for measure, (low, high) in (("letters", box.letters), ("sure", box.score), ("late", box.late)):
+        holds = holds & (F.col(measure) >= low if low > -INF else F.lit(True)) & (F.col(measure) <= high if high < INF else F.lit(True))
+    if box.flag:
+        holds = holds & F.col(box.flag)
+    holds = holds & (F.col(time) < F.col("now")) if box.floor == "inside" else holds
+    holds = holds & besides if besides is not None else holds
+    heard = F.col("heard_until") if box.floor == "heard" else F.lit(None).cast("double")
+    # behind the segment heard before, where it is known, or else behind the line before
+    holds = holds & (heard.isNull() | (F.col(time) >= heard))
+    behind = F.when(heard.isNotNull(), -INF).otherwise(0.05) if box.floor == "heard" else F.lit(0.10)
+    return F.when(
+        holds,
+        F.struct(
+            F.lit(box.reason).alias("reason"), F.col(time).alias("time"), F.lit(box.lead).alias("lead"), F.lit(float(box.gap[0])).alias("gap_from"), F.lit(float(box.gap[1])).alias("gap_to"),
+            behind.cast("double").alias("behind"), F.lit(box.floor == "inside").alias("strictly"),
+        ),
+    )
+
+
+def _options() -> Column:
+    """All options of a line, those that win first."""
+    out = []
+    for box in BOXES:
+        if box.flag == "spans_on":
+            # a short line that is late as well takes that rule's time and conditions, and this one's reason
+            late = next(b for b in BOXES if b.flag == "short_late")
+            both = Box(box.reason, box.floor, letters=late.letters, late=box.late, gap=late.gap, flag=box.flag)
+            out.append(F.when(F.col("short_late"), _option(both, "short").withField("behind", F.lit(0.10))))
+        out.append(_option(box, "short" if box.flag == "short_late" else "aim"))
+    return F.array_compact(F.array(*out))
 
 
 def lyric_refinement(df: DataFrame) -> DataFrame:
@@ -85,42 +136,43 @@ def lyric_refinement(df: DataFrame) -> DataFrame:
     rise by 0.10 at least and stay within the song.
     """
     kind = df.schema["song"].dataType.simpleString()
-
-    def values(rows: list[dict], i: int, times: list[float]) -> dict:
-        r, p = rows[i], rows[i - 1]
-        now, before, forced, norm, heard = times[i], times[i - 1], float(r["forced"]), r["norm"] or "", r["asr_norm"] or ""
-        known = _num(p["segment"], -1.0) >= 0
-        previous_end = _num(p["segment_end"], before) if known else before
-        short = max(forced, now - 2.80) if len(norm) <= 3 and not heard.startswith(norm) else forced
-        same = known and p["segment"] == r["segment"]
-        return {
-            "now": now, "before": before, "after": times[i + 1] if i + 1 < len(times) else None, "forced": forced, "short": short, "late": now - forced, "gap": now - before,
-            "n": len(norm), "score": _num(r["score"]), "previous_score": _num(p["score"]), "previous_end": previous_end, "same_segment": same, "other_segment": known and not same,
-            "after_borrowed": p["borrowed"] is True, "is_suffix": heard.endswith(norm),
-            "spans_on": any(w in (r["text"] or "") and w not in (r["asr_text"] or "") for w in SPAN_WORDS),
-        }
-
-    def step(rows: list[dict]) -> list[dict]:
-        times, reasons, end = [float(r["timestamp"]) for r in rows], [None] * len(rows), float(rows[0]["duration"])
-        for i, r in enumerate(rows):
-            if not i or r["settled"] or _num(r["segment"], -1.0) < 0 or r["forced"] is None or r["forced"] != r["forced"]:
-                continue
-            v, reason = values(rows, i, times), None
-            for rule in RULES:
-                if not (rule.open and reason) and rule.when(v):
-                    reason = rule.reason
-                    v["forced"] = rule.move(v) if rule.move else v["forced"]
-            if reason and v["before"] + 0.10 < v["forced"] < min(end, v["now"]):
-                times[i], reasons[i] = v["forced"], reason
-            elif (time := _blend(v)) is not None:
-                times[i], reasons[i] = time, "bounded-forced-asr-blend"
-        out, last = [], None
-        for r, t, reason in zip(rows, times, reasons, strict=True):
-            last = t if last is None else max(t, last + 0.10)
-            out.append({"song": r["song"], "entry": r["entry"], "time": max(0.0, min(end, last)), "reason": reason})
-        return out
-
-    return fold_by_song(df, step, OUT.format(kind=kind))
+    part = F.lit(BLEND_PARTS[-1][1])
+    for least, share in BLEND_PARTS[-2::-1]:
+        part = F.when(F.col("sure") >= least, share).otherwise(part)
+    rows = _measured(df)
+    blend = F.coalesce(*[_option(b) for b in BLENDS])
+    asked = rows.select("song", "entry", "now", F.col("duration").cast("double").alias("end"), _options().alias("options"), blend.alias("blend"), F.least(F.col("now") - F.col("late") * part, F.col("next") - 0.50).alias("part"))
+
+    def fits(option: dict, time: float, before: float, now: float) -> bool:
+        low = before + option["behind"]
+        return option["gap_from"] <= now - before <= option["gap_to"] and (time > low if option["strictly"] else time >= low)
+
+    def moved(before: float, now: float, end: float, options: list, blend: dict | None, part: float) -> tuple[float, str | None]:
+        held = next((o for o in options if fits(o, o["time"], before, now)), None)
+        time = None
+        if held is not None:
+            time = max(before + 0.10, held["time"] - held["lead"]) if held["lead"] else held["time"]
+            if before + 0.10 < time < min(end, now):
+                return time, held["reason"]
+        if blend is not None:
+            aim = time if held is not None and held["lead"] else blend["time"]
+            if fits(blend, aim, before, now) and before + 0.50 < aim < now and before + 0.10 < part < now:
+                return part, blend["reason"]
+        return now, None
+
+    def one(lines: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values("entry", kind="stable")
+        before, last, times, reasons = None, None, [], []
+        for now, end, options, blend, part in zip(*(lines[c] for c in ("now", "end", "options", "blend", "part")), strict=True):
+            time, reason = now, None
+            if len(options) or blend is not None:
+                time, reason = moved(before, now, end, list(options), blend, part)
+            before, last = time, time if last is None else max(time, last + 0.10)
+            times.append(max(0.0, min(end, last)))
+            reasons.append(reason)
+        return pd.DataFrame({"song": lines["song"], "entry": lines["entry"], "time": times, "reason": reasons})
+
+    return asked.groupBy("song").applyInPandas(one, OUT.format(kind=kind))
 
 
 def tail_blend(df: DataFrame) -> DataFrame:
