@@ -10,6 +10,8 @@ from linekeeper.functions import text as tx
 from linekeeper.operators import candidates, diagnostics, forced, joins, matching, metrics, planning, repairs, scoring
 from linekeeper.plans.catalogue import BASE, CANDIDATES, CONV, REPORT, _candidates, _fold_sql, _reports, conversation_lines, lines, query, table
 from linekeeper.sources import files, lrc, reports
+from linekeeper.sources.keyed import write_files
+from linekeeper.sources.shared import shared_folder
 
 # -- Names and files ------------------------------------------------------------
 
@@ -597,6 +599,38 @@ def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lrc.lrc_text(rows, heads).select(F.col("doc_id").alias("song"), F.md5("content").alias("content"))
 
 
+@query(f"""WITH {BASE}, o AS (SELECT song, entry, backend || segment AS x, CAST(floor(value * 20) AS BIGINT) AS cs FROM base), g AS (SELECT *, CASE WHEN cs = lag(cs) OVER (PARTITION BY song ORDER BY entry) THEN 0 ELSE 1 END AS n FROM o),
+r AS (SELECT *, sum(n) OVER (PARTITION BY song ORDER BY entry) AS e FROM g)
+SELECT song, CAST(e AS INTEGER) AS entry, CAST(min(cs) AS INTEGER) AS time_cs, string_agg(x || '|second', '|' ORDER BY entry) AS lines FROM r WHERE cs > 0 GROUP BY song, e""")
+def lrc_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished files, written through the sink, read from the folder and parsed as the evaluator does; entries at zero, where the title card is, are left out."""
+    t = F.floor(F.col("value") * 20) / 100.0
+    rows = lines(spark, sf_dir).select(F.concat(F.lit("S"), F.col("song").cast("string"), F.lit(".lrc")).alias("doc_id"), "entry", F.array(F.concat("backend", F.col("segment").cast("string")), F.lit("second")).alias("lines"), t.alias("t"))
+    heads = rows.select("doc_id").distinct().select("doc_id", F.lit("Some One").alias("artist"), F.lit("Title").alias("title"), F.lit(200.0).alias("duration"))
+    folder = shared_folder(spark, "lrc")
+    lrc.write_texts(lrc.lrc_text(rows, heads), folder)
+    song = F.regexp_extract("doc_id", r"S(\d+)\.lrc$", 1).cast(table(spark, sf_dir, "events").schema["user_id"].dataType)
+    back = lrc.for_evaluation(lrc.parse_for_evaluation(lrc.read_texts(spark, folder))).filter("time_cs > 0")
+    return back.select(song.alias("song"), "entry", "time_cs", F.array_join("lines", "|").alias("lines"))
+
+
+@query(f"""WITH {BASE}, b AS (SELECT song, string_agg(CAST(segment AS VARCHAR), ';' ORDER BY entry) AS x, count(*) AS n FROM base GROUP BY song)
+SELECT song, kind, CASE kind WHEN 'csv' THEN CAST(n AS BIGINT) + 1 WHEN 'json' THEN 4 ELSE n END AS n_lines, md5(CASE kind WHEN 'json' THEN x ELSE '' END) AS held FROM b CROSS JOIN (SELECT unnest(['csv', 'json']) AS kind)""")
+def report_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report and an audit of every song as JSON and CSV files, written through the sink and read from the folder."""
+    rows = lines(spark, sf_dir)
+    made = rows.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "segment"))), lambda x: x["segment"].cast("string")), ";").alias("segments"), F.count(F.lit(1)).alias("n"))
+    named = lambda end: F.concat(F.lit("S"), F.col("song").cast("string"), F.lit(end))
+    tables = reports.csv_text(rows.select("song", F.col("entry").cast("string").alias("entry"), F.col("segment").cast("string").alias("segment"), F.col("entry").alias("at")), ("entry", "segment"), F.col("at"), "song")
+    folder = shared_folder(spark, "reports")
+    write_files(reports.report_json(made, "song").select(named(".json").alias("name"), "content").unionByName(tables.select(named(".csv").alias("name"), "content")), folder)
+    back = lrc.read_texts(spark, folder)
+    song = F.regexp_extract("doc_id", r"S(\d+)\.\w+$", 1).cast(made.schema["song"].dataType)
+    text = F.when(F.col("doc_id").endswith(".json"), F.get_json_object("content", "$.segments")).otherwise("")
+    parts = F.size(F.split(F.regexp_replace("content", r"\r?\n$", ""), r"\r?\n")).cast("long")
+    return back.select(song.alias("song"), F.regexp_extract("doc_id", r"(\w+)$", 1).alias("kind"), parts.alias("n_lines"), F.md5(text).alias("held"))
+
+
 @query(f"""WITH {BASE}, r AS (SELECT song, entry, segment, CAST(floor(value * 20) AS BIGINT) AS cs FROM base), l AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY entry) AS pos FROM r WHERE segment % 5 <> 1 AND segment % 5 <> 2),
 g AS (SELECT *, CASE WHEN segment % 5 = 0 THEN entry END AS num, CASE WHEN segment % 5 <> 0 AND cs = lag(cs) OVER (PARTITION BY song ORDER BY entry) THEN 0 ELSE 1 END AS nw FROM l), h AS (SELECT *, sum(nw) OVER (PARTITION BY song ORDER BY entry) AS i FROM g)
 SELECT song, CAST(i AS INTEGER) AS hint_idx, CAST(arg_min(num, entry) AS INTEGER) AS entry_number, CAST(min(cs) AS INTEGER) AS time_cs, string_agg('a' || segment, '|' ORDER BY entry) AS lines FROM (SELECT *, coalesce(num, -1) AS z FROM h) GROUP BY song, i""")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from linekeeper.functions.text import is_marker, line_script, match_text, split_group
 from linekeeper.functions.timing import TAG, clock, tag_cs
 from linekeeper.operators.windows import islands
+from linekeeper.sources.keyed import write_files
 
 META = r"^\[[a-zA-Z]+:.*\]$"
 # Fixed value: a line with one time tag or more, and its text.
@@ -149,38 +150,12 @@ def lrc_text(entries: DataFrame, heads: DataFrame, generator: str = "timeline en
 def write_texts(docs: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """One file for each row (doc_id, content), named by the last part of doc_id; returns (doc_id, file).
 
-    An existing file is an error unless ``overwrite``.  A file is written aside and moved, so
-    a repeated task leaves it whole; rows that share a name are an error.
+    An existing file is an error unless ``overwrite``, as are rows that share a name; then,
+    and where a task fails, nothing is written.
     """
-    spark = docs.sparkSession
-    named = docs.select("doc_id", F.element_at(F.split("doc_id", r"[/\\]"), -1).alias("name"), "content")
-    twice = named.groupBy("name").count().filter("count > 1").first()
-    if twice:
-        raise ValueError(f"several files would be named {twice.name}")
-    if not overwrite:
-        there = existing_files(spark, path)
-        clash = named.join(there, named["name"] == there["file_name"], "left_semi").first()
-        if clash:
-            raise FileExistsError(f"{path}/{clash.name}")
-
-    def write(rows):
-        import uuid
-
-        from pyarrow import fs
-
-        disk, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
-        disk.create_dir(folder, recursive=True)
-        for frame in rows:
-            for name, content in zip(frame["name"], frame["content"], strict=True):
-                aside = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}"
-                with disk.open_output_stream(aside) as out:
-                    out.write((content or "").encode())
-                disk.move(aside, f"{folder}/{name}")
-            yield frame.assign(file=path.rstrip("/") + "/" + frame["name"])[["doc_id", "file"]]
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    done = named.mapInPandas(write, f"doc_id {kind}, file string").collect()
-    return spark.createDataFrame([tuple(r) for r in done], f"doc_id {kind}, file string")
+    name = F.element_at(F.split("doc_id", r"[/\\]"), -1)
+    write_files(docs.select(name.alias("name"), "content"), path, overwrite)
+    return docs.select("doc_id", F.concat(F.lit(path.rstrip("/") + "/"), name).alias("file"))
 
 
 def existing_files(spark: SparkSession, path: str) -> DataFrame:
