@@ -73,22 +73,26 @@ def _longest(flat: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: n
     return (j, i, size) if across else (i, j, size)
 
 
+def _alike(flat: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many characters from i and j on (``way`` 1) or back (-1) are equal, ``most`` of them at most."""
+    out, open_, wide = np.zeros(len(i), np.int64), np.flatnonzero(most > 0), 4
+    while len(open_):
+        far = out[open_][:, None] + np.arange(wide)
+        there = far < most[open_][:, None]
+        far = np.where(there, far, 0) * way
+        same = there & (flat[i[open_][:, None] + far] == flat[j[open_][:, None] + far])
+        run = np.where(same.all(axis=1), wide, same.argmin(axis=1))
+        out[open_] += run
+        open_, wide = open_[run == wide], min(256, 4 * wide)
+    return out
+
+
 def _extended(flat, a, b, n, m, i, j, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks with equal characters before and behind them, whatever these are, added; a block of none begins at its window's corner."""
-    i, j, k = np.where(k > 0, i, a), np.where(k > 0, j, b), k.copy()
-    open_ = np.arange(len(i))
-    while len(open_):
-        open_ = open_[(i[open_] > a[open_]) & (j[open_] > b[open_])]
-        open_ = open_[flat[i[open_] - 1] == flat[j[open_] - 1]]
-        i[open_] -= 1
-        j[open_] -= 1
-        k[open_] += 1
-    open_ = np.arange(len(i))
-    while len(open_):
-        open_ = open_[(i[open_] + k[open_] < a[open_] + n[open_]) & (j[open_] + k[open_] < b[open_] + m[open_])]
-        open_ = open_[flat[i[open_] + k[open_]] == flat[j[open_] + k[open_]]]
-        k[open_] += 1
-    return i, j, k
+    i, j = np.where(k > 0, i, a), np.where(k > 0, j, b)
+    before = _alike(flat, i - 1, j - 1, np.minimum(i - a, j - b), -1)
+    i, j, k = i - before, j - before, k + before
+    return i, j, k + _alike(flat, i + k, j + k, np.minimum(a + n - i, b + m - j) - k, 1)
 
 
 def _beside(windows: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -172,7 +176,10 @@ def matched(left: list[str], right: list[str]) -> np.ndarray:
     barred = frequent(flat, rights)
     some = np.concatenate([[0], np.cumsum(barred)])
     some = some[rights[1:]] > some[rights[:-1]]
-    _dense(flat, windows[~some], total)
+    # where every character counts, a text that the other holds is one block
+    held = np.array([not x and (b in a or a in b) for a, b, x in zip(left, right, some.tolist(), strict=True)], bool)
+    total[held] = np.minimum(windows[held, 2], windows[held, 4])
+    _dense(flat, windows[~some & ~held], total)
     rest = windows[some & (windows[:, 2] > 0)]
     # places that may meet: a character that isn't frequent stands at a hundredth of the right text's places at most
     meet = np.cumsum(rest[:, 2] * (rest[:, 4] // SHARE + 1))

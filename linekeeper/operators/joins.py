@@ -162,24 +162,28 @@ def _side_by_side(songs: list[_Song], ahead: int, spans: int, accept: float, sto
     """(song, entry, segment, span, score) of the songs' lines: the next line of every song at a time, so that many pairs of texts are compared together."""
     out = []
     while songs := [s for s in songs if s.line < len(s.lines)]:
-        wave = 1 if len(songs) >= 64 else 4 if len(songs) >= 16 else ahead
-        for first in range(0, ahead, wave):
-            asked = []
-            for s in songs:
-                line = s.lines[s.line]
-                if s.best[0] >= stop or not line:
-                    continue
-                for i in range(s.at + first, min(len(s.texts), s.at + min(ahead, first + wave))):
-                    for k in range(1, min(spans, len(s.texts) - i) + 1):
+        # the next segment first, which most often is the one; where few songs are left, more of them at a time
+        first, reach = 0, 1
+        while first < ahead and (looking := [s for s in songs if s.best[0] < stop and s.lines[s.line] and s.at + first < len(s.texts)]):
+            scores: list[dict[tuple[int, int], float]] = [{} for _ in looking]
+            for k in range(1, spans + 1):
+                asked = []
+                for s, own in zip(looking, scores, strict=True):
+                    line = s.lines[s.line]
+                    for i in range(s.at + first, min(len(s.texts) - k + 1, s.at + min(ahead, first + reach))):
                         text = "".join(s.texts[i : i + k])
                         # a ratio is twice the shorter text over both at most, a score 0.96 where the line is held
-                        if max(2 * min(len(line), len(text)) / (len(line) + len(text)), 0.96 if line in text else 0.72) > s.best[0]:
-                            asked.append((s, i, k, line, text))
-            found = blocks.scores([x[3] for x in asked], [x[4] for x in asked])
-            for (s, i, k, _, _), score in zip(asked, found.tolist(), strict=True):
-                # once a score ends the search, segments further on don't count
-                if score > s.best[0] and (s.best[0] < stop or i == s.best[1]):
-                    s.best = (score, i, k)
+                        most = max(2 * min(len(line), len(text)) / max(1, len(line) + len(text)), 0.96 if line in text else 0.72 if text in line else 0.0)
+                        if most > max([s.best[0], *(own.get((i, j), 0.0) for j in range(1, k))]):
+                            asked.append((own, i, line, text))
+                for (own, i, _, _), score in zip(asked, blocks.scores([x[2] for x in asked], [x[3] for x in asked]).tolist(), strict=True):
+                    own[i, k] = score
+            for s, own in zip(looking, scores, strict=True):
+                for (i, k), score in sorted(own.items()):
+                    # once a score ends the search, segments further on don't count
+                    if score > s.best[0] and (s.best[0] < stop or i == s.best[1]):
+                        s.best = (score, i, k)
+            first, reach = first + reach, 1 if len(looking) >= 64 else 4 if len(looking) >= 16 else ahead
         for s in songs:
             score, i, k = s.best
             hit = i >= 0 and score >= accept

@@ -24,12 +24,40 @@ def smooth(df: DataFrame, value: str, width: int, out: str, song: str = "song",
     return df.withColumn(out, F.sum(value).over(w) / width)
 
 
+#: Steps between a song's least and largest value in which its values are counted.
+STEPS = 1024
+
+
+def percentiles(df: DataFrame, value: str, shares: tuple[float, ...], song: str = "song") -> DataFrame:
+    """(song, p): array of the exact percentiles of a song's values, between two neighbours in proportion; nulls don't count.
+
+    Values are counted in steps first; those of the steps that hold the wanted ranks alone
+    are sorted then.  No task holds a song's values, and a long song is counted by many.
+    """
+    rows = df.select(song, F.col(value).cast("double").alias("__x")).filter("__x is not null and not isnan(__x)")
+    ends = rows.groupBy(song).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    width = F.col("__hi") - F.col("__lo")
+    step = F.when(width > 0, F.least(F.lit(STEPS - 1), F.floor((F.col("__x") - F.col("__lo")) / width * STEPS).cast("int"))).otherwise(0)
+    placed = rows.join(ends, song).withColumn("__s", step)
+    counts = placed.groupBy(song, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(song).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = [F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("h")) for k, p in enumerate(shares)]
+    ranks = ends.select(song, "__n", F.explode(F.array(*at)).alias("__a")).select(song, "__a.k", "__a.h", F.explode(F.array(F.floor("__a.h").cast("long"), F.least(F.floor("__a.h").cast("long") + 1, F.col("__n") - 1))).alias("__r"))
+    held = counts.withColumn("__b", before).join(ranks, song).filter((F.col("__r") >= F.col("__b")) & (F.col("__r") < F.col("__b") + F.col("__c")))
+    held = held.select(song, "__s", "k", "h", (F.col("__r") - F.col("__b") + 1).alias("__i"), "__r")
+    few = placed.join(held.select(song, "__s").distinct(), [song, "__s"], "left_semi")
+    few = few.withColumn("__i", F.row_number().over(Window.partitionBy(song, "__s").orderBy("__x")).cast("long")).select(song, "__s", "__i", "__x")
+    found = held.join(few, [song, "__s", "__i"]).groupBy(song, "k").agg(F.first("h").alias("h"), F.min("__x").alias("a"), F.max("__x").alias("b"))
+    found = found.withColumn("p", F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")))
+    return found.groupBy(song).agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("__p")).select(song, F.col("__p.p").alias("p"))
+
+
 def normalize(df: DataFrame, value: str, out: str, song: str = "song") -> DataFrame:
     """(x - p5) / (p95 - p5) of the song, from 0 to 1; 0 where these are equal."""
-    ends = df.groupBy(song).agg(F.percentile(value, 0.05).alias("__lo"), F.percentile(value, 0.95).alias("__hi"))
+    ends = percentiles(df, value, (0.05, 0.95), song).select(song, F.col("p")[0].alias("__lo"), F.col("p")[1].alias("__hi"))
     scaled = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     level = F.when(F.col("__hi") <= F.col("__lo"), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)))
-    return df.join(ends, song).withColumn(out, level).drop("__lo", "__hi")
+    return df.join(ends, song, "left").withColumn(out, level).drop("__lo", "__hi")
 
 
 def islands(df: DataFrame, breaks: Column, out: str, song: str = "song", entry: str = "entry") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +10,7 @@ from pyspark.sql.window import Window
 from linekeeper.functions import text as tx
 from linekeeper.operators import candidates, diagnostics, forced, joins, matching, metrics, planning, repairs, scoring
 from linekeeper.plans.catalogue import BASE, CANDIDATES, CONV, REPORT, _candidates, _fold_sql, _reports, conversation_lines, lines, query, table
-from linekeeper.sources import files, lrc, reports
+from linekeeper.sources import audio, files, lrc, reports
 from linekeeper.sources.keyed import write_files
 from linekeeper.sources.shared import shared_folder
 
@@ -614,6 +615,53 @@ def lrc_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(song.alias("song"), "entry", "time_cs", F.array_join("lines", "|").alias("lines"))
 
 
+def _sounds(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a WAV file for each user, written through the sink: a tenth of a second for each event, of a loudness by its values."""
+    loud = 1000 + F.pmod(F.col("segment") * 300 + F.floor(F.col("value") * 10), F.lit(30000))
+    steps = lines(spark, sf_dir).groupBy("song").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry", loud.alias("a")))), lambda x: x["a"].cast("int")).alias("steps"))
+
+    def sound(parts):
+        import io
+        import wave
+
+        for part in parts:
+            made = []
+            for heights in part["steps"]:
+                there = np.repeat(np.asarray(heights, np.int64), audio.RATE // 10)
+                wave_of = np.where(np.arange(len(there)) // 20 % 2 == 0, there, -there).astype("<i2")
+                with wave.open(held := io.BytesIO(), "wb") as f:
+                    f.setparams((1, 2, audio.RATE, 0, "NONE", ""))
+                    f.writeframes(wave_of.tobytes())
+                made.append(held.getvalue())
+            yield part.assign(name=[f"S{s}.wav" for s in part["song"]], content=made)[["name", "content"]]
+
+    folder = shared_folder(spark, "sounds")
+    write_files(steps.mapInPandas(sound, "name string, content binary"), folder)
+    return folder
+
+
+def _heard(frames: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = table(spark, sf_dir, "events").schema["user_id"].dataType
+    return frames.withColumn("song", F.regexp_extract("song", r"S(\d+)\.wav$", 1).cast(kind))
+
+
+@query(f"""WITH {BASE}, a AS (SELECT song, entry - 1 AS k, count(*) OVER (PARTITION BY song) AS n, power((1000 + (segment * 300 + CAST(floor(value * 10) AS BIGINT)) % 30000) / 32768.0::DOUBLE, 2) AS e FROM base),
+f AS (SELECT song, n, unnest(range(0, 1 + (n * 1600 - 960) // 320)) AS f FROM (SELECT DISTINCT song, n FROM a) WHERE n >= 10),
+l AS (SELECT f.song, f.f, sqrt((x.e + y.e + z.e) / 3 + 1e-12) AS level FROM f JOIN a x ON x.song = f.song AND x.k = f.f // 5 JOIN a y ON y.song = f.song AND y.k = (f.f + 1) // 5 JOIN a z ON z.song = f.song AND z.k = (f.f + 2) // 5)
+SELECT song, CAST(f AS INTEGER) AS frame_idx, round(f * 0.02::DOUBLE, 6) AS t, round(20 * log10(level + 1e-9), 6) AS rms_db FROM l""")
+def sound_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the frames of WAV files; users with under a second of sound have none."""
+    frames = audio.read_frames(spark, _sounds(spark, sf_dir), range_frames=50)
+    return _heard(frames, spark, sf_dir).select("song", "frame_idx", F.round("t", 6).alias("t"), F.round("rms_db", 6).alias("rms_db"))
+
+
+@query()
+def sound_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced stretches of the same files; spectra are not for SQL."""
+    frames = audio.onset_frames(audio.read_frames(spark, _sounds(spark, sf_dir)))
+    return _heard(audio.vocal_segments(frames), spark, sf_dir).select("song", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 @query(f"""WITH {BASE}, b AS (SELECT song, string_agg(CAST(segment AS VARCHAR), ';' ORDER BY entry) AS x, count(*) AS n FROM base GROUP BY song)
 SELECT song, kind, CASE kind WHEN 'csv' THEN CAST(n AS BIGINT) + 1 WHEN 'json' THEN 4 ELSE n END AS n_lines, md5(CASE kind WHEN 'json' THEN x ELSE '' END) AS held FROM b CROSS JOIN (SELECT unnest(['csv', 'json']) AS kind)""")
 def report_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
