@@ -477,15 +477,25 @@ def spoken_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- Planning, folds, audits -------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, t + (segment - 50) * 1000.0::DOUBLE AS p, lead(t) OVER (PARTITION BY song ORDER BY entry) AS nt FROM base),
+ACCEPTED = f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, t + (segment - 50) * 1000.0::DOUBLE AS p, lead(t) OVER (PARTITION BY song ORDER BY entry) AS nt FROM base),
 f AS (SELECT song, entry, CASE WHEN nt IS NULL OR p < nt - 60 THEN p ELSE t END AS v FROM n WHERE entry = 1
  UNION ALL SELECT n.song, n.entry, CASE WHEN n.p > f.v + 60 AND (n.nt IS NULL OR n.p < n.nt - 60) THEN n.p ELSE n.t END FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)
-SELECT song, entry, round(v, 6) AS accepted FROM f""")
+SELECT song, entry, round(v, 6) AS accepted FROM f"""
+
+
+@query(ACCEPTED)
 def bounded_accept_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folds.bounded_accept(lines(spark, sf_dir), F.col("t") + (F.col("segment") - 50) * 1000.0, 60.0)
     return out.select("song", "entry", F.round("accepted", 6).alias("accepted"))
 
 
+@query(ACCEPTED)
+def bounded_accept_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with songs cut into blocks of 40 lines, each scanned by itself."""
+    out = folds.bounded_accept(lines(spark, sf_dir), F.col("t") + (F.col("segment") - 50) * 1000.0, 60.0, block=40)
+    return out.select("song", "entry", F.round("accepted", 6).alias("accepted"))
+
+
 def _fold_sql(columns: str, accept: str, value: str, lower: str = "f.v", first: str = "0.0::DOUBLE") -> str:
     """A recursive query over a song's lines: ``accept`` sees the revised time before as ``lo`` and the original time after as ``hi``."""
     return f"""WITH RECURSIVE {BASE}, n AS (SELECT *, coalesce(lead(t) OVER w, max(t) OVER (PARTITION BY song) + 10) AS hi, lag(t) OVER w AS pt {columns} FROM base WINDOW w AS (PARTITION BY song ORDER BY entry)),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,43 @@ def test_fold_reads_the_revised_neighbour(spark):
     assert got == {1: 10.0, 2: 24.0, 3: 25.0}
 
 
+@pytest.mark.parametrize("block", [None, 1, 3, 50])
+def test_bounded_accept_as_a_fold(spark, block):
+    """Random songs with missing proposals and gaps in their numbers; blocks of any size end in the state that the next one enters with."""
+    rng = random.Random(11)
+    data = []
+    for s in range(40):
+        t, e = 0.0, 0
+        for _ in range(rng.randint(1, 60)):
+            t, e = t + rng.choice([0.2, 1.0, 3.0]), e + rng.choice([1, 1, 1, 4])
+            data.append((f"s{s}", e, t, rng.choice([None, float("nan"), *[t + rng.uniform(-3, 3) for _ in range(6)]])))
+    want, last = {}, {}
+    for k, (s, e, t, p) in enumerate(data):
+        after = data[k + 1][2] if k + 1 < len(data) and data[k + 1][0] == s else float("inf")
+        fits = p is not None and last.get(s, float("-inf")) + 0.5 < p < after - 0.5
+        last[s] = want[s, e] = p if fits else t
+    df = rows(spark, data, "song string, entry int, t double, p double").repartition(3)
+    out = folds.bounded_accept(df, F.col("p"), 0.5, block=block)
+    assert out.columns == ["song", "entry", "t", "p", "accepted"]
+    assert {(r.song, r.entry): r.accepted for r in out.collect()} == want
+
+
+def test_one_very_long_song_in_many_tasks(spark):
+    """A million lines of one song, whose every decision hangs on the one before."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("a").alias("song"), F.col("id").cast("int").alias("entry"), (F.col("id") * 1.0).alias("t"), (F.col("id") * 1.0 + F.when(F.xxhash64("id") % 3 == 0, 0.45).otherwise(-0.45)).alias("p"))
+    out = folds.bounded_accept(df, F.col("p"), 0.3, block=10_000)
+    got = out.agg(F.sum("accepted"), F.count_if(F.col("accepted") == F.col("p"))).first()
+    draws = [r.x for r in df.select((F.col("p") > F.col("t")).alias("x"), "entry").orderBy("entry").collect()]
+    last, total, took = float("-inf"), 0.0, 0
+    for k, up in enumerate(draws):
+        p = k + (0.45 if up else -0.45)
+        fits = last + 0.3 < p < (k + 1 - 0.3 if k + 1 < n else float("inf"))
+        last = p if fits else float(k)
+        total, took = total + last, took + fits
+    assert got[1] == took and got[0] == pytest.approx(total)
+
+
 def test_fusion(spark):
     schema = "song string, entry int, wx double, wx_score double, ctc double, ctc_score double, raw double, raw_score double, duration double, prefix boolean, crossline boolean, clear boolean, shared_low_segment boolean"
     df = rows(spark, [("a", 1, 20.0, 0.55, 22.5, 0.1, 22.3, 0.76, 60.0, False, False, False, False), ("b", 1, 20.0, 0.95, 20.9, 0.9, None, None, 60.0, False, False, False, False)], schema)
