@@ -225,7 +225,7 @@ def hybrid_windows(lines: DataFrame) -> DataFrame:
     return out.filter((F.col("end") - F.col("start")).between(1.0, 45.0)).withColumn("run", F.row_number().over(Window.partitionBy("song").orderBy("first_target")))
 
 
-def apply_windows(lines: DataFrame, windows: DataFrame, results: DataFrame) -> DataFrame:
+def apply_windows(lines: DataFrame, windows: DataFrame, results: DataFrame, weak: float = 0.05) -> DataFrame:
     """Adds realigned and sets timestamp, ctc_score, token_spans and peaks of the lines that a window's result moves.
 
     results: song, run, entry, start, ctc_score, token_spans (score), peaks (time, score).
@@ -234,9 +234,9 @@ def apply_windows(lines: DataFrame, windows: DataFrame, results: DataFrame) -> D
     """
     inside = windows.select("song", "run", "first_target", "last_target", F.col("start").alias("__s"), F.col("end").alias("__e"))
     rows = results.join(inside, ["song", "run"])
-    weak = F.coalesce(F.try_element_at("token_spans", F.lit(1))["score"], F.lit(1.0)) <= 0.05
+    faint = F.coalesce(F.try_element_at("token_spans", F.lit(1))["score"], F.lit(1.0)) <= weak
     early = F.exists("peaks", lambda p: (p["time"] < F.coalesce(F.col("start"), F.lit(0.0)) - 0.45) & (p["score"] >= 0.05))
-    asked = F.col("entry").between(F.col("first_target"), F.col("last_target")) | ((F.col("entry") == F.col("last_target") + 1) & (weak | F.coalesce(early, F.lit(False))))
+    asked = F.col("entry").between(F.col("first_target"), F.col("last_target")) | ((F.col("entry") == F.col("last_target") + 1) & (faint | F.coalesce(early, F.lit(False))))
     kept = rows.filter(asked & F.col("start").between(F.col("__s"), F.col("__e")))
     # a line may be the context of one window and the target of the next: the later window counts
     new = kept.groupBy("song", "entry").agg(F.max_by(F.struct("start", "ctc_score", "token_spans", "peaks"), "run").alias("n"))

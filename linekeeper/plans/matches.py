@@ -1,4 +1,4 @@
-"""Registered queries on the matching of texts, with SQL that finds the matching blocks itself.
+"""Registered queries on the matching of texts and on alignment in windows, with SQL that finds blocks and paths itself.
 
 Songs are brands, their lines and segments the brand's parts in the order of their keys; a
 text is a part's name in the form that matching compares.
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
-from linekeeper.operators import joins, matching
-from linekeeper.plans.catalogue import query, table
+from linekeeper.operators import forced, joins, matching, trellis
+from linekeeper.plans.catalogue import BASE, lines, query, table
 
 #: The longest common block of x and y: its length, and less the place where it begins in x.
 _BEST = "list_max(flatten([[{'k': k, 'i': -i} for k in range(1, length(x) - i + 2) if contains(y, substr(x, i, k))] for i in range(1, length(x) + 1)]))"
@@ -75,3 +75,67 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = names(spark, sf_dir).select("song", F.col("entry").alias("seg_idx"), F.col("entry").cast("double").alias("start"), "norm")
     runs = [joins.repeated_tail(rows, least=n, alike=0.6).withColumnRenamed("repeated", name) for n, name in ((3, "three"), (4, "four"))]
     return runs[0].join(runs[1], "song")
+
+
+# -- Alignment in windows --------------------------------------------------------------
+
+#: Windows of 24 lines of a song: each line is a frame with a probability for the blank and three tokens, none of them equal to another.
+WIDTH, SECONDS = 24, 0.02
+_WEIGHT = "((value * {k} * 0.6180339 + segment * 0.137) - floor(value * {k} * 0.6180339 + segment * 0.137)) * 0.98 + 0.01"
+_LOGS = "[" + ", ".join(f"ln({_WEIGHT.format(k=k)})" for k in (1, 2, 3, 4)) + "]"
+PATHS = f"""{BASE}, fr AS (SELECT song, CAST((entry - 1) // {WIDTH} AS INTEGER) AS run, (entry - 1) % {WIDTH} AS f, entry, {_LOGS} AS lp FROM base),
+st AS (SELECT unnest(range(0, 9)) AS s, unnest([1, 2, 1, 3, 1, 3, 1, 4, 1]) AS c, unnest([false, false, false, true, false, false, false, true, false]) AS jump),
+v AS (SELECT song, run, 0 AS f, s, lp[c] AS score, [s] AS path FROM fr JOIN st ON s < 2 WHERE f = 0 UNION ALL
+ SELECT song, run, f, s, max(score) + any_value(lp[c]), list_append(arg_max(path, score), s) FROM (SELECT v.song, v.run, fr.f, fr.lp, st.s, st.c, v.score, v.path FROM v JOIN fr ON fr.song = v.song AND fr.run = v.run AND fr.f = v.f + 1 JOIN st ON st.s = v.s OR st.s = v.s + 1 OR (st.s = v.s + 2 AND st.jump)) GROUP BY song, run, f, s),
+n AS (SELECT song, run, max(f) AS t FROM fr GROUP BY 1, 2), e AS (SELECT v.song, v.run, arg_max(path, score) AS path FROM v JOIN n ON n.song = v.song AND n.run = v.run AND n.t = v.f WHERE s >= 7 GROUP BY 1, 2),
+x AS (SELECT song, run, unnest(path) AS s, unnest(range(0, len(path))) AS f FROM e),
+k AS (SELECT x.song, x.run, x.s // 2 AS token, min(fr.entry) AS a, max(fr.entry) + 1 AS b, avg(exp(fr.lp[st.c])) AS p FROM x JOIN fr ON fr.song = x.song AND fr.run = x.run AND fr.f = x.f JOIN st ON st.s = x.s WHERE x.s % 2 = 1 GROUP BY ALL),
+res AS (SELECT song, run, CAST(run * {WIDTH} + 1 + token // 2 AS INTEGER) AS entry, min(a) * {SECONDS}::DOUBLE AS start, max(b) * {SECONDS}::DOUBLE AS "end", avg(p) AS ctc_score, arg_min(p, token) AS first_score FROM k GROUP BY song, run, token // 2)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows, lines with two tokens each at the beginning of a window, emissions)."""
+    rows = lines(spark, sf_dir)
+    part = lambda k: (F.col("value") * k * 0.6180339 + F.col("segment") * 0.137) - F.floor(F.col("value") * k * 0.6180339 + F.col("segment") * 0.137)
+    emissions = rows.select("song", F.col("entry").alias("frame"), F.array(*[F.log(part(k) * 0.98 + 0.01) for k in (1, 2, 3, 4)]).alias("logp"))
+    run = F.floor((F.col("entry") - 1) / WIDTH).cast("int")
+    first = run * WIDTH + 1
+    windows = rows.groupBy("song", run.alias("run")).agg(F.min("entry").alias("first"), F.max("entry").alias("last"))
+    windows = windows.select("song", "run", F.col("first").alias("first_entry"), F.least("last", F.col("first") + 1).alias("last_entry"), (F.col("first") * SECONDS).alias("start"), ((F.col("last") + 1) * SECONDS).alias("end"))
+    told = rows.select("song", "entry", F.when(F.col("entry") == first, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(3))).alias("tokens"))
+    return windows, told, emissions
+
+
+@query(f"WITH RECURSIVE {PATHS} SELECT song, run, entry, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(ctc_score, 6) AS ctc_score FROM res")
+def window_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines of two tokens, the middle two equal, aligned in every window; the SQL follows all states frame by frame."""
+    out = trellis.align_windows(*_windows(spark, sf_dir), SECONDS).filter("start is not null")
+    return out.select("song", "run", "entry", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("ctc_score", 6).alias("ctc_score"))
+
+
+@query(f"""WITH RECURSIVE {PATHS}, w AS (SELECT song, run, min(entry) AS first_target, min(entry) * {SECONDS}::DOUBLE AS s, (max(entry) + 1) * {SECONDS}::DOUBLE AS e FROM fr GROUP BY 1, 2),
+kept AS (SELECT res.* FROM res JOIN w ON w.song = res.song AND w.run = res.run WHERE res.start BETWEEN s AND e AND (res.entry = first_target OR (res.entry = first_target + 1 AND first_score <= 0.3)))
+SELECT base.song, base.entry, kept.song IS NOT NULL AS realigned, round(coalesce(kept.start, base.t), 6) AS timestamp, round(coalesce(kept.ctc_score, base.score), 6) AS ctc_score FROM base LEFT JOIN kept ON kept.song = base.song AND kept.entry = base.entry""")
+def windows_taken_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows found, taken over for the first line of each, and for the second where its first token is weak (0.3 here)."""
+    windows, told, emissions = _windows(spark, sf_dir)
+    results = trellis.align_windows(windows, told, emissions, SECONDS)
+    targets = windows.withColumns({"first_target": F.col("first_entry"), "last_target": F.col("first_entry")})
+    rows = lines(spark, sf_dir).select("song", "entry", F.col("t").alias("timestamp"), F.col("score").alias("ctc_score"), F.lit(None).cast(trellis.SPAN).alias("token_spans"), F.lit(None).cast(trellis.PEAK).alias("peaks"))
+    # peaks before a line would ask for it as well
+    out = forced.apply_windows(rows, targets, results.withColumn("peaks", F.expr("filter(peaks, p -> false)")), weak=0.3)
+    return out.select("song", "entry", "realigned", F.round("timestamp", 6).alias("timestamp"), F.round("ctc_score", 6).alias("ctc_score"))
+
+
+@query(f"""WITH RECURSIVE {BASE}, n AS (SELECT song, entry, t, t + segment % 9 * 0.1 + 0.5 AS te, t + (segment % 7) * 0.15 AS lt, score * 0.9 AS cs, CASE WHEN segment % 5 > 0 THEN score END AS ls, t + segment % 4 * 0.2 + 0.3 AS le, lag(t + segment % 9 * 0.1 + 0.5) OVER (PARTITION BY song ORDER BY entry) AS pe FROM (SELECT song, entry, entry * 1.0::DOUBLE AS t, segment, score FROM base)),
+f AS (SELECT song, entry, t AS time, te AS e FROM n WHERE entry = 1 UNION ALL
+ SELECT song, entry, CASE WHEN hit THEN lt ELSE t END, CASE WHEN hit THEN le ELSE te END FROM (SELECT n.*, coalesce(n.t - f.e <= 0.04 AND lt - n.t >= 0.30 AND ls >= greatest(0.05, cs * 1.05), false) AS hit FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1))
+SELECT song, entry, round(time, 6) AS time FROM f""")
+def boundaries_taken_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines a second apart that begin where the one before ends, at their local time where that is late enough and sure; an accepted line's end is the local one."""
+    k, t = F.col("segment"), F.col("entry") * 1.0
+    rows = lines(spark, sf_dir).select(
+        "song", "entry", t.alias("timestamp"), F.lit(1e6).alias("duration"), (F.col("score") * 0.9).alias("ctc_score"), (t + k % 9 * 0.1 + 0.5).alias("token_end"), (t + k % 7 * 0.15).alias("local_time"),
+        F.when(k % 5 > 0, F.col("score")).alias("local_score"), (t + k % 4 * 0.2 + 0.3).alias("local_end"),
+    )
+    return forced.apply_boundaries(rows).select("song", "entry", F.round("time", 6).alias("time"))
