@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linekeeper.functions import kana
 from linekeeper.functions import text as tx
 from linekeeper.operators import forced, joins, matching, trellis
 from linekeeper.plans.catalogue import BASE, lines, query, table
+from linekeeper.sources import variants
 
 #: The longest common block of x and y: its length, and less the place where it begins in x.
 _BEST = "list_max(flatten([[{'k': k, 'i': -i} for k in range(1, length(x) - i + 2) if contains(y, substr(x, i, k))] for i in range(1, length(x) + 1)]))"
@@ -77,6 +79,57 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs[0].join(runs[1], "song")
 
 
+# -- Reports of several versions -------------------------------------------------------
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    number = lambda c: F.format_string("%.2f", c)
+    texts = {
+        0: F.concat(F.lit('{"backend": "'), "backend", F.lit('", "trusted_percent": '), number(F.col("value")), F.lit(', "assignments": [{"entry": '), F.col("entry").cast("string"), F.lit(', "timestamp": '), F.col("segment").cast("string"), F.lit(".5}]}")),
+        1: F.concat(F.lit('{"report": {"backend": "'), "backend", F.lit('", "trusted_percent": "'), number(F.col("value")), F.lit('", "assignments": [{"index": '), F.col("entry").cast("string"), F.lit(', "time": "'), F.col("segment").cast("string"), F.lit('.25"}, {"start": 7}]}}')),
+        2: F.concat(F.lit('{"metrics": {"trusted_percent": '), number(F.col("value")), F.lit('}, "candidate_selection": {"selected_backend": "best"}, "backend": "x", "lines": [{"score": 1}, 5]}')),
+        3: F.concat(F.lit('{"trusted_percent": "none", "backend": "'), "backend"),
+        4: F.concat(F.lit("["), F.col("segment").cast("string"), F.lit("]")),
+    }
+    content = F.lit("  ")
+    for k, text in texts.items():
+        content = F.when(F.col("segment") % 6 == k, text).otherwise(content)
+    return variants.load_reports(rows.select(F.col("event_id").alias("doc_id"), content.alias("content")))
+
+
+@query(f"""WITH {BASE} SELECT event_id AS doc_id, CASE segment % 6 WHEN 3 THEN 'malformed' WHEN 4 THEN 'not an object' WHEN 5 THEN 'empty' END AS error, CASE segment % 6 WHEN 0 THEN backend WHEN 1 THEN backend WHEN 2 THEN 'best' END AS backend,
+ CASE segment % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 END::BIGINT AS lines, CASE WHEN segment % 6 < 3 THEN round(value, 2) END AS trusted_percent FROM base""")
+def mixed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of several versions, some of them cut off, as one table."""
+    return variants.summaries(_mixed(spark, sf_dir), ("trusted_percent",)).withColumn("trusted_percent", F.round("trusted_percent", 2))
+
+
+@query(f"""WITH {BASE}, x AS (SELECT event_id AS doc_id, entry AS e, segment % 6 AS v, segment FROM base)
+SELECT doc_id, e AS entry, segment + 0.5::DOUBLE AS timestamp, 0.0::DOUBLE AS score FROM x WHERE v = 0 UNION ALL SELECT doc_id, e + 1, segment + 0.25::DOUBLE, 0.0 FROM x WHERE v = 1
+UNION ALL SELECT doc_id, 2, 7.0, 0.0 FROM x WHERE v = 1 UNION ALL SELECT doc_id, 1, NULL, 1.0 FROM x WHERE v = 2 UNION ALL SELECT doc_id, 2, NULL, 0.0 FROM x WHERE v = 2""")
+def mixed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their assignments, wherever a version keeps them."""
+    return variants.timestamps(_mixed(spark, sf_dir)).select("doc_id", "entry", "timestamp", "score")
+
+
+# -- Kana ---------------------------------------------------------------------------
+
+# Syllables and their spelling, beside the table that is made by rule.
+SPELT = (
+    "あ a い i う u え e お o か ka き ki く ku け ke こ ko が ga ぎ gi ぐ gu げ ge ご go さ sa し shi す su せ se そ so ざ za じ ji ず zu ぜ ze ぞ zo た ta ち chi つ tsu て te と to だ da ぢ ji づ zu で de ど do "
+    "な na に ni ぬ nu ね ne の no は ha ひ hi ふ fu へ he ほ ho ば ba び bi ぶ bu べ be ぼ bo ぱ pa ぴ pi ぷ pu ぺ pe ぽ po ま ma み mi む mu め me も mo や ya ゆ yu よ yo ら ra り ri る ru れ re ろ ro わ wa を wo ん n "
+    "きゃ kya きゅ kyu きょ kyo ぎゃ gya ぎょ gyo しゃ sha しゅ shu しょ sho じゃ ja じゅ ju じょ jo ちゃ cha ちゅ chu ちょ cho にゃ nya ひゅ hyu びょ byo ぴゃ pya みゅ myu りょ ryo ファ fa ティ ti チェ che カー kaa っか kka っち tchi ッパ ppa"
+).split(" ")
+
+
+@query(f"""WITH {BASE}, s AS (SELECT [{', '.join(f"'{x}'" for x in SPELT[1::2])}] AS r) SELECT song, string_agg(r[1 + segment % {len(SPELT) // 2}], ' ' ORDER BY entry) AS romaji FROM base CROSS JOIN s GROUP BY song""")
+def kana_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A syllable for each event, in hiragana and katakana."""
+    each = F.element_at(F.array(*map(F.lit, SPELT[::2])), (1 + F.col("segment") % (len(SPELT) // 2)).cast("int"))
+    rows = lines(spark, sf_dir).select("song", "entry", each.alias("x")).groupBy("song").agg(F.array_sort(F.collect_list(F.struct("entry", "x"))).alias("r"))
+    return rows.select("song", kana.romaji(F.array_join("r.x", " ")).alias("romaji"))
+
+
 # -- Alignment in windows --------------------------------------------------------------
 
 #: Windows of 24 lines of a song: each line is a frame with a probability for the blank and three tokens, none of them equal to another.
