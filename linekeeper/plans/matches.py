@@ -13,8 +13,10 @@ from pyspark.sql.window import Window
 from linekeeper.functions import kana
 from linekeeper.functions import text as tx
 from linekeeper.operators import forced, joins, matching, trellis
+from linekeeper.plans import incremental
 from linekeeper.plans.catalogue import BASE, lines, query, table
 from linekeeper.sources import variants
+from linekeeper.sources.shared import shared_folder
 
 #: The longest common block of x and y: its length, and less the place where it begins in x.
 _BEST = "list_max(flatten([[{'k': k, 'i': -i} for k in range(1, length(x) - i + 2) if contains(y, substr(x, i, k))] for i in range(1, length(x) + 1)]))"
@@ -79,6 +81,20 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs[0].join(runs[1], "song")
 
 
+# -- Runs that work on changed songs ---------------------------------------------------
+
+
+@query(f"WITH {BASE} SELECT song, count(*) AS n, round(sum(value), 4) AS total, CASE WHEN song % 7 = 0 THEN 2 ELSE 1 END AS run FROM base WHERE song % 11 > 0 GROUP BY song")
+def changed_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of songs after two runs: before the second, the values of every seventh song change and every eleventh song goes."""
+    rows = lines(spark, sf_dir).select("song", "entry", "value")
+    folder = shared_folder(spark, "runs")
+    plan = lambda e: e["lines"].groupBy("song").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    incremental.run_changed(spark, folder, {"lines": rows.withColumn("value", F.when(F.col("song") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))}, plan)
+    incremental.run_changed(spark, folder, {"lines": rows.filter("song % 11 > 0")}, plan)
+    return incremental.results(spark, folder).select("song", "n", F.round("total", 4).alias("total"), "run")
+
+
 # -- Reports of several versions -------------------------------------------------------
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
