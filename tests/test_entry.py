@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from linekeeper.plans import catalogue, library, matches  # noqa: F401
+from linekeeper.plans import catalogue, evidence, library, matches  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
