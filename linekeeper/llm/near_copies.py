@@ -5,8 +5,10 @@ are ordered rare first; two sets that reach the threshold share one of their fir
 The order: shingles that tasks meet again and again are counted by hash over all
 documents, the TOP most frequent of them come last, by their counts; all others are rarer
 than these and come first, by hash.  (Any common order gives right results; this one keeps
-frequent shingles out of the prefixes at every size of the corpus, with a table of fixed
-size.)  Candidates meet on the prefix shingles:
+the most frequent shingles out of the prefixes with a table of fixed size.  Where a corpus
+has far more frequent shingles than the table takes, those beyond it are ordered by hash
+alone: prefixes hold more of them, and more pairs meet.)  Candidates meet on the prefix
+shingles:
 
 * first every class meets one pivot of each of its prefix shingles, and the links found
   join most of a group of near copies into one component;
@@ -28,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from linekeeper.llm.graph import components
 from linekeeper.llm.store import keep_candidates, materialize, row_uid, tidy
@@ -271,9 +272,12 @@ def members(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     tokens = own.select("node", "n", F.posexplode("z").alias("pos", "x")).select(
         F.col("x.prefix").alias("token"), F.col("x.pivots").alias("pivots"), F.pmod("node", "x.pivots").cast("int").alias("deal"), "node", "n", "pos"
     )
-    me = F.struct("node", "n", "pos")
-    first = F.first(me).over(Window.partitionBy("token", "deal").orderBy("pos", "node"))
-    met = tokens.select("token", "pivots", me.alias("m"), first.alias("p")).filter("pivots > 1 or m.node <> p.node")
+    # stored, and the pivots told by an aggregate: no task sorts all members of a shingle, and the join can split a hot one
+    tokens = materialize(tokens, "prefixes")
+    pivot = F.min(F.struct("pos", "node", "n")).alias("f")
+    firsts = tokens.groupBy("token", "deal").agg(pivot, F.count(F.lit(1)).alias("c"), F.max("pivots").alias("v")).filter("c > 1 or v > 1")
+    firsts = materialize(firsts.select("token", "deal", F.struct("f.node", "f.n", "f.pos").alias("p")), "pivots")
+    met = tokens.join(firsts, ["token", "deal"]).select("token", "pivots", F.struct("node", "n", "pos").alias("m"), "p").filter("pivots > 1 or m.node <> p.node")
     met = materialize(met, "met")
     # the pivots of one shingle meet the first of them in turn; stored, so that a hot shingle's partition can be split
     many = met.filter("pivots > 1")

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linekeeper.llm.secrets import in_filter, uid_filter
 from linekeeper.llm.store import binary_column, materialize, new_folder, put_file, tidy
 
 #: Uncompressed bytes after which a task starts its next file.
@@ -72,16 +73,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """Write ``pages`` as .warc.gz files; returns the folder and the list of files (file, records).
 
     Of equal payloads with ``min_bytes`` bytes or more, the one with the smallest id (any
-    type) is written whole, the others as revisits of it.
+    type) is written whole, the others as revisits of it.  Only payloads that may have an
+    equal are shuffled.  Null body: an empty payload; null url: no target URI; null ids are
+    written, and are never the response if an equal payload has one; every row is a capture
+    of its own, also one that repeats another; an empty table gives no files.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     body = F.coalesce(F.col(body_col), F.lit(""))
-    # a row's partition and place in it: the same again in a repeated task, as files are read in order
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.monotonically_increasing_id().alias("number"))
-    # pre-aggregated, so that many equal payloads cost one row a task, and stored: the join is then of
-    # two plain shuffles, in which adaptive execution splits the partition of a hot payload
-    first = materialize(rows.groupBy("sha1").agg(F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url", "number"))).alias("first")), "warc-firsts")
-    joined = rows.join(first, "sha1").select("page", "url", "number", "body", "first")
+    # stored: a row's number is the same wherever it is read
+    rows = materialize(rows.withColumn("__uid", F.xxhash64("sha1")), "warc-rows")
+    # of payloads that several rows have, pre-aggregated and stored: a hot one costs a row a task, and the join can split it
+    first = F.min(F.when(F.col("page").isNotNull(), F.struct("page", "url", "number"))).alias("first")
+    shared = materialize(rows.groupBy("sha1", "__uid").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "warc-firsts")
+    marked = rows.withColumn("__bits", uid_filter(shared))
+    columns = ("page", "url", "number", "body")
+    alone = marked.filter(~in_filter()).select(*columns, F.lit(None).cast(shared.schema["first"].dataType).alias("first"))
+    joined = alone.union(marked.filter(in_filter()).drop("__bits").join(shared.drop("__uid"), "sha1", "left").select(*columns, "first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, out, size, count = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, 0
