@@ -117,7 +117,7 @@ def llr_table(raw: DataFrame, target: DataFrame, cells: int = CELLS, spread: flo
     return packed.select(F.concat(F.transform("t", lambda x: x["v"]), F.array(cut)).alias("llr"))
 
 
-def judged(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
     """For every row of ``docs`` a row (doc, verdict): the struct of all its columns, whatever their names, and that of RESULTS."""
     plain = lambda d: d.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("__cells", ngram_cells("__text", cells))
     chosen = plain(docs).filter(trusted()) if target is None else plain(target)
@@ -132,6 +132,12 @@ def judged(docs: DataFrame, target: DataFrame | None = None, spread: float = SPR
     return scored.select(*docs.columns, results).select(F.struct(*come_back(names)).alias("doc"), F.col("__r").alias("verdict"))
 
 
+def judged(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs``, all its columns as they are, with ``__r``: the struct of RESULTS (a column of that name gives way; ``verdicts`` keeps it)."""
+    rows = verdicts(docs, target, spread, cells, text_col)
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "__r"], F.col("verdict").alias("__r"))
+
+
 def quality_rules(docs: DataFrame, target: DataFrame | None = None, spread: float = SPREAD, cells: int = CELLS, text_col: str = "text") -> DataFrame:
     """Every row with the base features, llr (mean per n-gram, 0 without any) and ``kept``.
 
@@ -141,10 +147,10 @@ def quality_rules(docs: DataFrame, target: DataFrame | None = None, spread: floa
     (base_failed); texts of any length are read whole; repeated rows are judged alike, each
     its own row; null ids are kept; with an empty corpus there are no rows; with an empty
     target the base rules alone decide; a score equal to the threshold is kept; columns of
-    the input that have names of results give way to these (``judged`` keeps both), all
+    the input that have names of results give way to these (``verdicts`` keeps both), all
     others keep their values, whatever their names.
     """
-    rows = judged(docs, target, spread, cells, text_col)
+    rows = verdicts(docs, target, spread, cells, text_col)
     return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in RESULTS], "verdict.*")
 
 
