@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from linekeeper.llm.decontaminate import leaks
 from linekeeper.llm.near_copies import surplus_rows
 from linekeeper.llm.packing import pack_documents
-from linekeeper.llm.quality_rules import judged, labelled_target
+from linekeeper.llm.quality_rules import labelled_target, verdicts
 from linekeeper.llm.secrets import in_filter, redact, uid_filter
 from linekeeper.llm.store import come_back, materialize, row_uid, stand_aside
 
@@ -27,7 +27,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated; columns of any name keep their values.
     """
     target = labelled_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(docs, target).filter("verdict.kept").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    return verdicts(docs, target).filter("verdict.kept").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def _apart(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
