@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linekeeper.functions import text as tx
-from linekeeper.operators import candidates, diagnostics
+from linekeeper.operators import candidates, diagnostics, planning
 from linekeeper.plans.catalogue import BASE, CONV, conversation_lines, lines, query
 from linekeeper.sources import files, reports
 
@@ -91,3 +91,25 @@ def anchor_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each turn begins and ends with."""
     rows = conversation_lines(spark, sf_dir).select("song", "entry", tx.anchor_profile(F.col("text")).alias("p")).select("song", "entry", "p.*")
     return rows.select("song", "entry", F.md5("entry_text").alias("entry_text"), "normalized_prefix", "normalized_suffix", "phonetic_system", "romaji_prefix", "romaji_suffix")
+
+
+@query(f"""WITH RECURSIVE {CONV}, w AS (SELECT song, entry, text, greatest(1.0::DOUBLE, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) * 1.7::DOUBLE + greatest(0, length(regexp_replace(text, '[ \\t\\n\\r\\f\\x{{0b}}]+', '', 'g')) - length(array_to_string(regexp_extract_all(text, '[A-Za-z0-9'']+'), ''))) * 0.5::DOUBLE) AS wt FROM conv),
+seg AS (SELECT song, entry * 19.0::DOUBLE + unnest(CASE song % 5 WHEN 0 THEN [1.0, 9.0] WHEN 1 THEN [1.0] WHEN 2 THEN CASE WHEN entry % 2 = 1 THEN [4.0] ELSE [] END WHEN 3 THEN CASE WHEN entry = 1 THEN [2.0] ELSE [] END ELSE [] END)::DOUBLE AS start FROM conv),
+g AS (SELECT song, count(*) AS s, list(start ORDER BY start) AS starts, min(start) AS first, max(start) + 3 AS last FROM seg GROUP BY song),
+b AS (SELECT *, coalesce(sum(wt) OVER (PARTITION BY w.song ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(wt) OVER (PARTITION BY w.song) AS total, count(*) OVER (PARTITION BY w.song) AS n, row_number() OVER (PARTITION BY w.song ORDER BY entry) AS pos FROM w),
+r AS (SELECT b.song, entry, pos, n, before, total, coalesce(s, 0) AS s, starts, CASE WHEN first IS NULL THEN 12.0 ELSE greatest(0.0, least(first, 36.0)) END AS st, CASE WHEN last IS NULL THEN 188.0 ELSE least(200.0, greatest(last, 164.0)) END AS en FROM b LEFT JOIN g ON g.song = b.song),
+q AS (SELECT *, CASE WHEN before = 0 THEN st ELSE least(en, st + greatest(1.0, en - st) * before / total) END::DOUBLE AS t FROM r),
+p AS (SELECT *, CASE WHEN NOT (s >= greatest(3, n // 3) AND s <= greatest(4, n * 2)) THEN t WHEN s >= n THEN starts[CAST(round_even((pos - 1) * (s - 1) / greatest(1, n - 1)::DOUBLE, 0) AS INTEGER) + 1]
+ ELSE CASE WHEN list_min([abs(x - t) FOR x IN starts]) <= 2.0 THEN list_min([{{'d': abs(x - t), 'x': x}} FOR x IN starts]).x ELSE t END END AS v FROM q),
+f AS (SELECT song, pos, entry, n, greatest(0.0, least(200.0, CASE WHEN n > 1 THEN least(v, 200 - 0.28 * (n - 1)) ELSE v END))::DOUBLE AS time FROM p WHERE pos = 1 UNION ALL
+ SELECT p.song, p.pos, p.entry, p.n, greatest(0.0, least(200.0, CASE WHEN p.pos < p.n THEN least(greatest(p.v, f.time + 0.28), 200 - 0.28 * (p.n - p.pos)) ELSE greatest(p.v, f.time + 0.28) END))::DOUBLE FROM f JOIN p ON p.song = f.song AND p.pos = f.pos + 1)
+SELECT song, entry, round(time, 6) AS time FROM f""")
+def guided_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heuristic times of turns: from voiced segments where there are about as many as turns, else by text weights; no onsets are near."""
+    rows = conversation_lines(spark, sf_dir).withColumnRenamed("text", "line")
+    k, none = F.col("song") % 5, F.array().cast("array<double>")
+    at = F.when(k == 0, F.array(F.lit(1.0), F.lit(9.0))).when(k == 1, F.array(F.lit(1.0))).when((k == 2) & (F.col("entry") % 2 == 1), F.array(F.lit(4.0))).when((k == 3) & (F.col("entry") == 1), F.array(F.lit(2.0))).otherwise(none)
+    segments = rows.select("song", "entry", F.explode(at).alias("x")).select("song", (F.col("entry") * 19.0 + F.col("x")).alias("start"), (F.col("entry") * 19.0 + F.col("x") + 3).alias("end"))
+    songs = rows.select("song").distinct().withColumn("duration", F.lit(200.0))
+    frames = spark.createDataFrame([], f"song {rows.schema['song'].dataType.simpleString()}, t double, onset double")
+    return planning.plan(rows.select("song", "entry", "line"), songs, segments, frames).select("song", "entry", F.round("time", 6).alias("time"))
