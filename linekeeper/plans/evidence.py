@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linekeeper.functions import text as tx
-from linekeeper.operators import candidates, diagnostics, planning
+from linekeeper.operators import candidates, diagnostics, planning, repairs
 from linekeeper.plans.catalogue import BASE, CONV, conversation_lines, lines, query
 from linekeeper.sources import files, reports
 
@@ -113,3 +114,32 @@ def guided_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = rows.select("song").distinct().withColumn("duration", F.lit(200.0))
     frames = spark.createDataFrame([], f"song {rows.schema['song'].dataType.simpleString()}, t double, onset double")
     return planning.plan(rows.select("song", "entry", "line"), songs, segments, frames).select("song", "entry", F.round("time", 6).alias("time"))
+
+
+def _boundary_sql(before: str) -> str:
+    """The time of a line where the line before is at ``before``: the first rule whose conditions hold, its span, limits and strength."""
+    rule = f"""CASE WHEN n.entry = 1 AND t <= 1.0 THEN 1 WHEN NOT sure THEN 0 WHEN kind = 0 THEN 2 WHEN kind = 1 THEN 3 WHEN kind = 2 AND t - {before} >= 2.5 AND hi - t >= 2.5 THEN 4
+ WHEN kind = 3 AND t - {before} >= 3.5 AND hi - t <= 2.2 THEN 5 WHEN kind IN (3, 4) AND hi - t <= 2.2 THEN 6 ELSE 0 END"""
+    start = f"[0.2, greatest({before} + 0.10, t - 0.85), greatest({before} + 0.10, t - 0.85), t + 0.20, greatest({before} + 0.40, t - 6.80), t + 0.10][({rule})]"
+    end = f"[greatest(0.21, t - 0.10), t - 0.12, t - 0.12, least(hi - 0.10, t + 0.70), t - 0.45, least(hi - 0.10, t + 0.85)][({rule})]"
+    limits = f"t - p >= [0.12, 0.45, 0.45, -0.60, 1.20, -0.45][({rule})] AND t - p <= [0.35, 0.65, 0.65, -0.35, 6.50, -0.25][({rule})]"
+    return f"CASE WHEN ({rule}) > 0 AND {end} > {start} AND {start} + 0.20 <= p AND p <= {end} AND strength >= CASE WHEN ({rule}) = 5 THEN 0.55 ELSE 0.65 END AND {limits} AND {before} + 0.05 < p AND p < hi - 0.05 THEN p ELSE t END"
+
+
+@query(f"""WITH RECURSIVE {BASE}, x AS (SELECT song, entry, entry * 3.0::DOUBLE + entry % 3 * 0.9 - 3.1 AS t, segment % 6 AS kind, segment % 7 > 0 AS sure, 0.5 + segment % 4 * 0.1::DOUBLE AS strength, segment FROM base),
+n AS (SELECT *, coalesce(lead(t) OVER w, max(t) OVER (PARTITION BY song) + 10)::DOUBLE AS hi, (t + CASE WHEN entry = 1 THEN -0.25 ELSE [-0.5, -0.5, 0.42, -1.5, 0.34, 0.3][kind + 1] - segment % 3 * 0.06 END)::DOUBLE AS p FROM x WINDOW w AS (PARTITION BY song ORDER BY entry)),
+f AS (SELECT song, entry, ({_boundary_sql('0.0::DOUBLE')})::DOUBLE AS v FROM n WHERE entry = 1 UNION ALL SELECT n.song, n.entry, ({_boundary_sql('f.v')})::DOUBLE FROM f JOIN n ON n.song = f.song AND n.entry = f.entry + 1)
+SELECT song, entry, round(v, 6) AS time FROM f""")
+def boundary_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines some seconds apart with an onset each, and flags by their segment: every rule moves some."""
+    k, e = F.col("segment"), F.col("entry")
+    t = e * 3.0 + e % 3 * 0.9 - 3.1
+    off = F.element_at(F.array(*map(F.lit, (-0.5, -0.5, 0.42, -1.5, 0.34, 0.3))), (k % 6 + 1).cast("int")) - k % 3 * 0.06
+    onset = t + F.when(e == 1, -0.25).otherwise(off)
+    flags = F.element_at(F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (("candidate_disagreement",), *[("close_neighbor_onset_uncertain",)] * 2, *[repairs._SPLIT] * 2, ())]), (k % 6 + 1).cast("int"))
+    rows = lines(spark, sf_dir).select(
+        "song", "entry", t.alias("timestamp"), F.when(k % 7 > 0, 0.97).otherwise(0.5).alias("score"), flags.alias("flags"), F.when(k % 6 == 1, 3).when(k % 6 == 4, 20).otherwise(9).alias("norm_len"), F.lit(False).alias("settled"),
+        F.array(F.struct(onset.alias("t"), (0.5 + k % 4 * 0.1).alias("onset"), F.array(onset).alias("times"))).alias("onsets"),
+    )
+    rows = rows.withColumn("duration", F.max("timestamp").over(Window.partitionBy("song")) + 10)
+    return repairs.acoustic_boundaries(rows).select("song", "entry", F.round("time", 6).alias("time"))
