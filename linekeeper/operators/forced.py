@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,19 +159,17 @@ def lyric_refinement(df: DataFrame) -> DataFrame:
                 return part, blend["reason"]
         return now, None
 
-    def one(lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("entry", kind="stable")
-        before, last, times, reasons = None, None, [], []
-        for now, end, options, blend, part in zip(*(lines[c] for c in ("now", "end", "options", "blend", "part")), strict=True):
-            time, reason = now, None
-            if len(options) or blend is not None:
-                time, reason = moved(before, now, end, list(options), blend, part)
+    def step(lines: list[dict]) -> list[dict]:
+        before, last, out = None, None, []
+        for r in lines:
+            time, reason = r["now"], None
+            if r["options"] or r["blend"] is not None:
+                time, reason = moved(before, r["now"], r["end"], r["options"], r["blend"], r["part"])
             before, last = time, time if last is None else max(time, last + 0.10)
-            times.append(max(0.0, min(end, last)))
-            reasons.append(reason)
-        return pd.DataFrame({"song": lines["song"], "entry": lines["entry"], "time": times, "reason": reasons})
+            out.append({"song": r["song"], "entry": r["entry"], "time": max(0.0, min(r["end"], last)), "reason": reason})
+        return out
 
-    return asked.groupBy("song").applyInPandas(one, OUT.format(kind=kind))
+    return fold_by_song(asked, step, OUT.format(kind=kind))
 
 
 def tail_blend(df: DataFrame) -> DataFrame:
