@@ -33,7 +33,8 @@ class Box:
 
     ``floor``: inside (between the line before, 0.10 s behind it, and the line itself), after
     (0.10 s behind the line before) or heard (0.05 s behind the segment of the line before).
-    ``lead``: seconds by which the time is set before the forced one.
+    ``lead``: seconds by which the time is set before the forced one.  ``short``: a short
+    line's time, and behind the line before by 0.10 s in any case.
     """
 
     reason: str
@@ -44,14 +45,16 @@ class Box:
     gap: tuple[float, float] = (-INF, INF)
     flag: str | None = None
     lead: float = 0.0
+    short: bool = False
 
 
 # The limits and reasons of the rules, those that win first.
 BOXES = (
     Box("low-confidence-late-asr-forced", "heard", letters=(8, INF), score=(-INF, math.nextafter(0.55, 0)), late=(1.2, 2.2), gap=(4.0, INF), flag="other_segment"),
     Box("close-following-line", "heard", letters=(4, INF), late=(0.55, 0.8), gap=(2.0, 2.6)),
+    Box("line-spans-next-segment", "heard", letters=(0, 3), late=(0.5, 1.5), gap=(3.0, INF), flag="spans_on_short_late", short=True),
     Box("line-spans-next-segment", "heard", late=(0.5, 1.5), flag="spans_on"),
-    Box("short-line-late-asr", "after", letters=(0, 3), gap=(3.0, INF), flag="short_late"),
+    Box("short-line-late-asr", "after", letters=(0, 3), gap=(3.0, INF), flag="short_late", short=True),
     Box("post-borrowed-line-forced", "after", letters=(4, INF), score=(0.90, INF), late=(1.3, 2.5), gap=(2.5, INF), flag="after_borrowed", lead=0.25),
     Box("suffix-after-unmatched-same-segment", "inside", score=(0.90, INF), late=(0.8, 1.5), flag="suffix_of_unmatched"),
     Box("medium-confidence-forced", "inside", score=(0.64, 0.75), late=(1.2, 1.8), gap=(4.0, INF)),
@@ -82,49 +85,40 @@ def _measured(df: DataFrame) -> DataFrame:
     for w in SPAN_WORDS:
         lacks = lacks | (F.coalesce("text", F.lit("")).contains(w) & ~F.coalesce("asr_text", F.lit("")).contains(w))
     score = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    marks = {
+        "same_segment": same, "no_shared_segment": ~same, "other_segment": known & ~same, "spans_on": lacks, "short_late": now - short >= SHORT_LATE, "spans_on_short_late": lacks & (now - short >= SHORT_LATE),
+        "after_borrowed": before("borrowed"), "suffix_of_unmatched": same & (score(before("score")) <= 0.05) & heard.endswith(norm),
+    }
     return df.withColumns(
         {
             "may": (F.row_number().over(order) > 1) & ~yes(F.col("settled")) & yes(F.col("segment") >= 0) & aim.isNotNull(),
             "now": now, "aim": aim, "short": short, "letters": F.length(norm), "sure": score(F.col("score")), "late": now - aim, "next": F.lead(now).over(order),
-            "heard_until": F.when(known, before("segment_end").cast("double") + 0.05), "same_segment": same, "no_shared_segment": ~same, "other_segment": known & ~same, "spans_on": lacks,
-            "short_late": now - short >= SHORT_LATE, "after_borrowed": yes(before("borrowed")), "suffix_of_unmatched": same & (score(before("score")) <= 0.05) & heard.endswith(norm),
+            "heard_until": F.when(known, before("segment_end").cast("double") + 0.05), "marks": F.array_compact(F.array(*[F.when(yes(held), name) for name, held in marks.items()])),
         }
     )
 
 
-def _option(box: Box, time: str = "aim", besides: Column | None = None) -> Column:
-    """What a box that holds a line leaves for the fold; null if it doesn't hold it, as far as columns can tell."""
-    holds = F.col("may")
-    for measure, (low, high) in (("letters", box.letters), ("sure", box.score), ("late", box.late)):
-        holds = holds & (F.col(measure) >= low if low > -INF else F.lit(True)) & (F.col(measure) <= high if high < INF else F.lit(True))
-    if box.flag:
-        holds = holds & F.col(box.flag)
-    holds = holds & (F.col(time) < F.col("now")) if box.floor == "inside" else holds
-    holds = holds & besides if besides is not None else holds
-    heard = F.col("heard_until") if box.floor == "heard" else F.lit(None).cast("double")
-    # behind the segment heard before, where it is known, or else behind the line before
-    holds = holds & (heard.isNull() | (F.col(time) >= heard))
-    behind = F.when(heard.isNotNull(), -INF).otherwise(0.05) if box.floor == "heard" else F.lit(0.10)
-    return F.when(
-        holds,
-        F.struct(
-            F.lit(box.reason).alias("reason"), F.col(time).alias("time"), F.lit(box.lead).alias("lead"), F.lit(float(box.gap[0])).alias("gap_from"), F.lit(float(box.gap[1])).alias("gap_to"),
-            behind.cast("double").alias("behind"), F.lit(box.floor == "inside").alias("strictly"),
-        ),
-    )
+def _options(boxes: tuple[Box, ...]) -> Column:
+    """What the boxes that hold a line leave for the fold, those that win first: the boxes are one constant array, filtered."""
+    rows = []
+    for box in boxes:
+        ranges = [F.lit(float(x)).alias(f"{name}_{end}") for name in ("letters", "score", "late", "gap") for end, x in zip(("from", "to"), getattr(box, name), strict=True)]
+        rows.append(F.struct(F.lit(box.reason).alias("reason"), F.lit(box.floor).alias("floor"), F.lit(box.flag or "").alias("flag"), F.lit(box.lead).alias("lead"), F.lit(box.short).alias("short"), *ranges))
+    time = lambda b: F.when(b["short"], F.col("short")).otherwise(F.col("aim"))
+    within = lambda b, name, value: F.col(value).between(b[f"{name}_from"], b[f"{name}_to"])
+
+    def holds(b: Column) -> Column:
+        measures = within(b, "letters", "letters") & within(b, "score", "sure") & within(b, "late", "late") & ((b["flag"] == "") | F.array_contains("marks", b["flag"]))
+        inside = (b["floor"] != "inside") | (time(b) < F.col("now"))
+        # behind the segment heard before, where it is known
+        return measures & inside & ((b["floor"] != "heard") | F.col("heard_until").isNull() | (time(b) >= F.col("heard_until")))
 
+    def left(b: Column) -> Column:
+        # or else behind the line before
+        behind = F.when(b["floor"] != "heard", 0.10).when(b["short"], 0.10).when(F.col("heard_until").isNotNull(), -INF).otherwise(0.05)
+        return F.struct(b["reason"].alias("reason"), time(b).alias("time"), b["lead"].alias("lead"), b["gap_from"].alias("gap_from"), b["gap_to"].alias("gap_to"), behind.alias("behind"), (b["floor"] == "inside").alias("strictly"))
 
-def _options() -> Column:
-    """All options of a line, those that win first."""
-    out = []
-    for box in BOXES:
-        if box.flag == "spans_on":
-            # a short line that is late as well takes that rule's time and conditions, and this one's reason
-            late = next(b for b in BOXES if b.flag == "short_late")
-            both = Box(box.reason, box.floor, letters=late.letters, late=box.late, gap=late.gap, flag=box.flag)
-            out.append(F.when(F.col("short_late"), _option(both, "short").withField("behind", F.lit(0.10))))
-        out.append(_option(box, "short" if box.flag == "short_late" else "aim"))
-    return F.array_compact(F.array(*out))
+    return F.when(F.col("may"), F.transform(F.filter(F.array(*rows), holds), left))
 
 
 def lyric_refinement(df: DataFrame) -> DataFrame:
@@ -139,8 +133,7 @@ def lyric_refinement(df: DataFrame) -> DataFrame:
     for least, share in BLEND_PARTS[-2::-1]:
         part = F.when(F.col("sure") >= least, share).otherwise(part)
     rows = _measured(df)
-    blend = F.coalesce(*[_option(b) for b in BLENDS])
-    asked = rows.select("song", "entry", "now", F.col("duration").cast("double").alias("end"), _options().alias("options"), blend.alias("blend"), F.least(F.col("now") - F.col("late") * part, F.col("next") - 0.50).alias("part"))
+    asked = rows.select("song", "entry", "now", F.col("duration").cast("double").alias("end"), _options(BOXES).alias("options"), F.try_element_at(_options(BLENDS), F.lit(1)).alias("blend"), F.least(F.col("now") - F.col("late") * part, F.col("next") - 0.50).alias("part"))
 
     def fits(option: dict, time: float, before: float, now: float) -> bool:
         low = before + option["behind"]
