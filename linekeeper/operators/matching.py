@@ -112,6 +112,7 @@ def earlier_duplicates(matches: DataFrame, segments: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["song", "entry", "segment", "score"])
 
     kind = matches.schema["song"].dataType.simpleString()
+    segments = segments.select(*[F.col(c).alias(c) for c in ("song", "seg_idx", "start", "norm")])  # both sides may stem from one table
     return matches.groupBy("song").cogroup(segments.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, score double")
 
 
@@ -218,5 +219,5 @@ def times_from_segments(lines: DataFrame, segments: DataFrame, gap: float = 0.10
         return frame.astype({"segment": "Int32"})
 
     kind = lines.schema["song"].dataType.simpleString()
-    parts = segments.select("song", "seg_idx", "start", "end", F.col("norm").alias("norm"))
+    parts = segments.select(*[F.col(c).alias(c) for c in ("song", "seg_idx", "start", "end", "norm")])  # both sides may stem from one table
     return lines.groupBy("song").cogroup(parts.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, time double, score double, borrowed boolean, how string")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from linekeeper.functions import text as tx
 from linekeeper.operators import candidates, diagnostics, planning, repairs
 from linekeeper.plans.catalogue import BASE, CONV, conversation_lines, lines, query
+from linekeeper.plans.words import word_candidate
 from linekeeper.sources import files, reports
 
 
@@ -143,3 +144,30 @@ def boundary_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("duration", F.max("timestamp").over(Window.partitionBy("song")) + 10)
     return repairs.acoustic_boundaries(rows).select("song", "entry", F.round("time", 6).alias("time"))
+
+
+def heard_turns(rows: DataFrame) -> DataFrame:
+    """What a recogniser would have heard of turns: all but every third, without their first two characters, four seconds apart; every fifth is heard twice."""
+    one = rows.filter("entry % 3 > 0").withColumn("k", F.explode(F.when(F.col("entry") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    start = F.col("entry") * 4.0 + F.col("k") * 1.5
+    order = Window.partitionBy("song").orderBy("entry", "k")
+    text = F.expr("substring(norm, 3)")
+    return one.select("song", F.row_number().over(order).alias("seg_idx"), start.alias("start"), (start + 1.4).alias("end"), text.alias("text"), text.alias("norm"), F.array().cast("array<struct<ch: string, t: double>>").alias("chars"))
+
+
+@query()
+def word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word-level candidate of songs of turns as one plan: matches, duplicates, places, times; ratios are not for SQL."""
+    rows = conversation_lines(spark, sf_dir)
+    made = rows.select("song", "entry", "text", "norm", (F.max("entry").over(Window.partitionBy("song")) * 4.0 + 10).alias("duration"))
+    out, _ = word_candidate(made, heard_turns(rows))
+    return out.select("song", "entry", "segment", F.round("time", 6).alias("time"), F.round("score", 6).alias("score"), "how")
+
+
+@query()
+def word_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its report and gate."""
+    rows = conversation_lines(spark, sf_dir)
+    made = rows.select("song", "entry", "text", "norm", (F.max("entry").over(Window.partitionBy("song")) * 4.0 + 10).alias("duration"))
+    _, report = word_candidate(made, heard_turns(rows))
+    return report.select("song", "timing_entries", "assigned_entries", "trusted_entries", "low_confidence_count", "assigned_percent", "trusted_percent", "error")

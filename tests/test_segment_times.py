@@ -101,3 +101,49 @@ def test_times_of_real_turns(spark, seed):
     for key, (time, segment, how, borrowed) in want.items():
         assert got[key][0] == pytest.approx(time) and got[key][1:] == (segment, how, borrowed), key
     assert len({x[2] for x in want.values()}) >= 5
+
+
+def test_word_candidate_of_real_turns(spark):
+    """The plan against its parts restated: matches, earlier duplicates, places, times, and the counts of its report."""
+    from tests.test_blocks import plain, plain_matches, plain_score
+
+    from linekeeper.plans import evidence
+
+    turns, heard = {}, {}
+    rows = catalogue.conversation_lines(spark, SF)
+    for r in rows.select("song", "entry", "norm").collect():
+        turns.setdefault(r.song, []).append((r.entry, r.norm))
+    for r in evidence.heard_turns(rows).collect():
+        heard.setdefault(r.song, {})[r.seg_idx] = (r.start, r.end, r.norm)
+    want, counts = {}, {}
+    for song, own in turns.items():
+        own.sort()
+        segs = heard.get(song, {})
+        duration = max(e for e, _ in own) * 4.0 + 10
+        made = []
+        for (entry, text), (_, at, _, score) in zip(own, plain_matches(own, [segs[k][2] for k in sorted(segs)]), strict=True):
+            for back, seconds, alike in ((2, 2.5, 0.70), (3, 5.0, 0.86)):
+                for k in range(at - 1, max(0, at - back - 1), -1) if at else ():
+                    if not segs[k][2] or segs[at][0] - segs[k][0] > seconds or plain(segs[k][2], segs[at][2]) < alike:
+                        continue
+                    if back == 2 and plain_score(text, segs[k][2]) >= score - 0.05:
+                        at, score = k, max(score, plain_score(text, segs[k][2]))
+                        break
+                    if back == 3 and text.startswith(segs[k][2]):
+                        at, score = k, max(score, 0.80)
+                        break
+            place = None
+            if at:
+                a, b, norm = segs[at]
+                place = a + (b - a) * min(0.95, norm.find(text) / len(norm)) if norm.find(text) > 0 and b - a > 0.05 else a
+            made.append((text, False, at, score, place))
+        for (entry, _), x, y in zip(own, restated(made, segs, duration), made, strict=True):
+            want[song, entry] = (round(x[0], 5), x[1], x[2], round(y[3], 5))
+        times = restated(made, segs, duration)
+        counts[song] = (len(own), sum(x[1] is not None for x in times), sum(x[1] is not None and y[3] >= 0.62 for x, y in zip(times, made, strict=True)))
+    got = {(r.song, r.entry): (round(r.time, 5), None if r.segment != r.segment else r.segment, r.how, round(r.score, 5)) for r in evidence.word_candidates(spark, SF).collect()}
+    assert set(got) == set(want)
+    for key, x in want.items():
+        assert got[key][1:3] == x[1:3] and (got[key][0], got[key][3]) == pytest.approx((x[0], x[3]), abs=2e-5), (key, got[key], x)
+    assert {x[2] for x in want.values()} >= {"matched", "borrowed"} and any(x[1] is not None and x[3] < 1 for x in want.values())
+    assert {r.song: (r.timing_entries, r.assigned_entries, r.trusted_entries) for r in evidence.word_reports(spark, SF).collect()} == counts
