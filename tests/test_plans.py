@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linekeeper.plans import library
 from linekeeper.plans.align import align, choose_source
 from linekeeper.plans.words import word_candidate
 from linekeeper.sources import audio
@@ -70,6 +71,17 @@ def test_sound(spark, tmp_path):
         audio.consonant_features(np.zeros(10))
 
 
+def test_sounds_are_dealt_out(spark, monkeypatch):
+    """Sound is some thousand times as large as the events that it is made of: adaptive execution must not join its tasks by the events' bytes."""
+    made, tasks = [], 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(library, "write_files", lambda files, folder: made.append(files))
+    library._sounds(spark, "/root/testdata/sf0.001")
+    assert made[0].rdd.getNumPartitions() == tasks
+    songs = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").count().collect()
+    sizes = {r.name: r.n for r in made[0].select("name", F.length("content").alias("n")).collect()}
+    assert sizes == {f"S{r.user_id}.wav": 44 + r["count"] * 3200 for r in songs}
+
+
 def test_live_metrics(spark, tmp_path):
     schema = "song string, entry int, segment int, score double, timing_repair string, timing_trusted boolean, ts timestamp"
     rows = spark.sql("select 'a' song, int(id) entry, int(id) segment, id / 10.0D score, cast(null as string) timing_repair, false timing_trusted, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(id)) ts from range(1, 11)")
