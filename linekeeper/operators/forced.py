@@ -84,15 +84,17 @@ def _measured(df: DataFrame) -> DataFrame:
     lacks = F.lit(False)
     for w in SPAN_WORDS:
         lacks = lacks | (F.coalesce("text", F.lit("")).contains(w) & ~F.coalesce("asr_text", F.lit("")).contains(w))
+    # to the microsecond: what far times leave over in a difference decides no limit
+    behind = lambda c: F.round(now - c, 6)
     score = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
     marks = {
-        "same_segment": same, "no_shared_segment": ~same, "other_segment": known & ~same, "spans_on": lacks, "short_late": now - short >= SHORT_LATE, "spans_on_short_late": lacks & (now - short >= SHORT_LATE),
+        "same_segment": same, "no_shared_segment": ~same, "other_segment": known & ~same, "spans_on": lacks, "short_late": behind(short) >= SHORT_LATE, "spans_on_short_late": lacks & (behind(short) >= SHORT_LATE),
         "after_borrowed": before("borrowed"), "suffix_of_unmatched": same & (score(before("score")) <= 0.05) & heard.endswith(norm),
     }
     return df.withColumns(
         {
             "may": (F.row_number().over(order) > 1) & ~yes(F.col("settled")) & yes(F.col("segment") >= 0) & aim.isNotNull(),
-            "now": now, "aim": aim, "short": short, "letters": F.length(norm), "sure": score(F.col("score")), "late": now - aim, "next": F.lead(now).over(order),
+            "now": now, "aim": aim, "short": short, "letters": F.length(norm), "sure": score(F.col("score")), "late": behind(aim), "next": F.lead(now).over(order),
             "heard_until": F.when(known, before("segment_end").cast("double") + 0.05), "marks": F.array_compact(F.array(*[F.when(yes(held), name) for name, held in marks.items()])),
         }
     )
@@ -133,7 +135,7 @@ def lyric_refinement(df: DataFrame) -> DataFrame:
     for least, share in BLEND_PARTS[-2::-1]:
         part = F.when(F.col("sure") >= least, share).otherwise(part)
     rows = _measured(df)
-    asked = rows.select("song", "entry", "now", F.col("duration").cast("double").alias("end"), _options(BOXES).alias("options"), F.try_element_at(_options(BLENDS), F.lit(1)).alias("blend"), F.least(F.col("now") - F.col("late") * part, F.col("next") - 0.50).alias("part"))
+    asked = rows.select("song", "entry", "now", F.col("duration").cast("double").alias("end"), _options(BOXES).alias("options"), F.try_element_at(_options(BLENDS), F.lit(1)).alias("blend"), F.least(F.col("now") - (F.col("now") - F.col("aim")) * part, F.col("next") - 0.50).alias("part"))
 
     def fits(option: dict, time: float, before: float, now: float) -> bool:
         low = before + option["behind"]
