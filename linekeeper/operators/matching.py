@@ -32,13 +32,14 @@ def suffix_time(norm: Column, start: Column, end: Column, chars: Column) -> Colu
     """Time of a text that ends its segment and is most of it (ratio 0.75), where it begins within a second of the segment; else null.
 
     The longest block that both share is the text itself, so the ratio follows from the lengths.
+    Seconds count to the microsecond: what far times leave over in a difference decides nothing.
     """
     spelled = F.array_join(F.transform(chars, lambda c: c["ch"]), "")
     n, total = F.length(norm), F.length(norm) + F.length(spelled)
     at = F.instr(spelled, norm)
     t = F.try_element_at(chars, at)["t"]
     fits = (n > 0) & spelled.endswith(norm) & (2 * n >= 0.75 * total) & (at > 1)
-    return F.when(fits & t.between(start - 0.10, end + 0.10) & (t - start <= 1.0), t)
+    return F.when(fits & t.between(start - 0.10, end + 0.10) & (F.round(t - start, 6) <= 1.0), t)
 
 
 def char_time(norm: Column, start: Column, end: Column, chars: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from linekeeper.operators import forced
+from linekeeper.operators import forced, matching
 from tests.test_forced import ROW, row
 
 
@@ -11,3 +11,10 @@ def test_far_lateness_counts_to_the_microsecond(spark):
     assert t - (t - 0.45) > 0.45  # what the difference leaves over
     got = forced.lyric_refinement(spark.createDataFrame([row(1, 10.0, None), row(2, t, t - 0.45, score=0.95)], ROW).withColumn("duration", F.lit(3e6))).filter("entry = 2").first()
     assert got.reason == "high-confidence-small-forced"
+
+
+def test_far_suffix_counts_to_the_microsecond(spark):
+    chars = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(F.substring(F.lit("abcdefghij"), i + 1, F.lit(1)).alias("ch"), (F.col("t") + i * 0.25).alias("t")))
+    t = F.col("t")
+    rows = spark.createDataFrame([(1.999964,)], "t double")
+    assert rows.select(matching.suffix_time(F.lit("efghij"), t, t + 3, chars).alias("x")).first().x == 1.999964 + 1.0
