@@ -102,6 +102,7 @@ def _line_flags() -> list[tuple[str, Column]]:
 
 HIGH_FLAGS = ("possible_midline_anchor", "forced_time_overlaps_previous_line", "possible_instrumental_intro_hallucination")
 MEDIUM_FLAGS = ("long_line_close_to_next_entry", "close_neighbor_onset_uncertain")
+FOLLOWER_FLAGS = ("follows_suspicious_long_line", "possible_bad_split_boundary")
 
 
 def alignment_diagnostics(df: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def alignment_diagnostics(df: DataFrame) -> DataFrame:
     df = _mark(_mark(df, segment_collapse(df), "__segment"), zero_collapse(df), "__zero")
     flags = F.concat(
         "own",
-        F.when(follows, F.array(F.lit("follows_suspicious_long_line"), F.lit("possible_bad_split_boundary"))).otherwise(F.array().cast("array<string>")),
+        F.when(follows, F.array(*map(F.lit, FOLLOWER_FLAGS))).otherwise(F.array().cast("array<string>")),
         F.array_compact(F.array(F.when(F.col("__segment"), "segment_collapse"), F.when(F.col("__zero"), "alignment_collapse"))),
     )
     severity = F.when(F.col("__segment") | F.col("__zero"), "high").when(follows, F.when(F.col("follows_high"), "high").otherwise("medium")).otherwise(F.col("own_level"))

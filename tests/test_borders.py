@@ -1,8 +1,15 @@
 """Values at the limits of rules, and tables on which larger copies differed from their SQL."""
 
+import datetime
+import os
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from linekeeper.operators import forced, matching
+from linekeeper.plans import catalogue, evidence  # noqa: F401  (registers its queries)
 from tests.test_forced import ROW, row
 
 
@@ -18,3 +25,25 @@ def test_far_suffix_counts_to_the_microsecond(spark):
     t = F.col("t")
     rows = spark.createDataFrame([(1.999964,)], "t double")
     assert rows.select(matching.suffix_time(F.lit("efghij"), t, t + 3, chars).alias("x")).first().x == 1.999964 + 1.0
+
+
+def events(tmp_path, rows):
+    """A folder with an events table of (user, seconds, value, k), all of one type."""
+    began = datetime.datetime(2024, 1, 1)
+    made = [{"event_id": i, "ts": began + datetime.timedelta(microseconds=round(s * 1e6)), "user_id": u, "event_type": "view", "value": float(v), "props": f'{{"k": {k}}}'} for i, (u, s, v, k) in enumerate(rows)]
+    pq.write_table(pa.Table.from_pylist(made), f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def by_both(spark, name, folder):
+    """(rows of the query, rows of its SQL), sorted."""
+    got = catalogue.QUERIES[name](spark, folder)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS FROM '{os.path.join(folder, 'events.parquet')}'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(want, key=repr)
+
+
+def test_line_flags_of_near_lines(spark, tmp_path):
+    got, want = by_both(spark, "line_flags", events(tmp_path, [(1, 0, 5, 2), (1, 20, 5, 2), (1, 21, 5, 1), (1, 60, 5, 1)]))
+    assert got == want and len(got) == 4
