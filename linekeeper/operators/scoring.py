@@ -56,6 +56,7 @@ class Line:
     after: float
     tail: float | None
     opening: bool = False
+    full: float = 1.0
     found: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -82,14 +83,14 @@ class Line:
         return self.tail is None or t > self.tail + slack
 
     def candidates(self) -> list[tuple[str, float, float]]:
-        out = [("selected_path", self.now, 0.55 + min(0.35, 0.35 * max(0.0, _num(self.row["score"], 0.0))))]
+        out = [("selected_path", self.now, 0.55 + min(0.35 * self.full, 0.35 * max(0.0, _num(self.row["score"], 0.0))))]
         return out + [c for c in (self._raw(), self._second_token(), self._forced(), self._peak(), self._repeated()) if c]
 
     def _raw(self) -> tuple[str, float, float] | None:
         """The last rule that applies sets the score."""
         if self.raw is None:
             return None
-        score = 0.35 + min(0.45, 0.45 * _num(self.row["raw_score"], 0.50))
+        score = 0.35 + min(0.45 * self.full, 0.45 * _num(self.row["raw_score"], 0.50))
         if not self.beyond_tail(self.raw, 0.03):
             score = min(score, 0.10)
         if self.local:
@@ -113,7 +114,7 @@ class Line:
         if not self.near:
             return None
         best = max(self.near, key=lambda p: _num(p["score"], 0.0))
-        return "ctc_nearby_phonetic_peak", float(best["time"]), 0.48 + min(0.30, 0.30 * _num(best["score"], 0.0))
+        return "ctc_nearby_phonetic_peak", float(best["time"]), 0.48 + min(0.30 * self.full, 0.30 * _num(best["score"], 0.0))
 
     def _repeated(self) -> tuple[str, float, float] | None:
         if (self.row["repeats"] or 0) < 2 or self.ctc > 0.18 or self.first > 0.05:
@@ -192,8 +193,8 @@ def _decide(line: Line) -> dict:
     }
 
 
-def score_lines(df: DataFrame) -> DataFrame:
-    """The decision on each line; returned times rise by 0.05 at least."""
+def score_lines(df: DataFrame, full: float = 1.0) -> DataFrame:
+    """The decision on each line; returned times rise by 0.05 at least.  A score counts up to ``full``."""
     kind = df.schema["song"].dataType.simpleString()
 
     def step(rows: list[dict]) -> list[dict]:
@@ -202,7 +203,7 @@ def score_lines(df: DataFrame) -> DataFrame:
             spans = rows[i - 1]["spans"] if i and rows[i - 1]["spans"] is not None else []
             ends = [s["end"] for s in spans if s["end"] is not None]
             after = times[i + 1] if i + 1 < len(rows) else float(r["duration"])
-            got = _decide(Line(r, times[i - 1] if i else 0.0, after, max(ends, default=None), opening=not i))
+            got = _decide(Line(r, times[i - 1] if i else 0.0, after, max(ends, default=None), opening=not i, full=full))
             times[i] = got["time"]
             out.append({"song": r["song"], "entry": r["entry"], **got})
         for a, b in zip(out, out[1:], strict=False):

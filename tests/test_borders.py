@@ -47,3 +47,9 @@ def by_both(spark, name, folder):
 def test_line_flags_of_near_lines(spark, tmp_path):
     got, want = by_both(spark, "line_flags", events(tmp_path, [(1, 0, 5, 2), (1, 20, 5, 2), (1, 21, 5, 1), (1, 60, 5, 1)]))
     assert got == want and len(got) == 4
+
+
+def test_line_scoring_beyond_one(spark, tmp_path):
+    rows = [(1, 30 * i, v, k) for i, (v, k) in enumerate([(560, 1), (555, 2), (560, 7), (5, 5), (560, 52), (590, 25), (551, 62)])]
+    got, want = by_both(spark, "line_scoring", events(tmp_path, rows))
+    assert got == want and len(got) == 7
