@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linekeeper.functions.timing import millis
 from linekeeper.operators.folds import fold_by_song
 from linekeeper.operators.metrics import needs_retry, report_quality, selection_quality
 from linekeeper.operators.windows import low_run_start
@@ -113,8 +114,8 @@ def raw_diagnostic(reports: DataFrame, segments: DataFrame, repeated: DataFrame)
     segments: song, seg_idx, start, end, text; repeated: song, repeated.
     """
     told = segments.groupBy("song").agg(
-        F.array_sort(F.collect_list(F.struct("seg_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text"))).alias("s"),
-        F.round(F.max(F.col("end") - F.col("start")), 3).alias("longest"),
+        F.array_sort(F.collect_list(F.struct("seg_idx", millis(F.col("start")).alias("start"), millis(F.col("end")).alias("end"), "text"))).alias("s"),
+        millis(F.max(F.col("end") - F.col("start"))).alias("longest"),
     )
     told = told.select("song", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("raw_asr_segments"), "longest")
     rows = reports.join(told, "song", "left").join(repeated.withColumnRenamed("repeated", "asr_repeated_tail_after_0s"), "song", "left")

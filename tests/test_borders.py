@@ -53,3 +53,10 @@ def test_line_scoring_beyond_one(spark, tmp_path):
     rows = [(1, 30 * i, v, k) for i, (v, k) in enumerate([(560, 1), (555, 2), (560, 7), (5, 5), (560, 52), (590, 25), (551, 62)])]
     got, want = by_both(spark, "line_scoring", events(tmp_path, rows))
     assert got == want and len(got) == 7
+
+
+def test_raw_diagnostics_round_as_the_sql(spark, tmp_path):
+    # 1000 times these times is less than a half by what doubles leave over
+    rows = [(1, 0, 5, 2), *[(1, k + 0.0005, 1, 2) for k in (4, 16)]]
+    got, want = by_both(spark, "raw_diagnostics", events(tmp_path, rows))
+    assert got == want and len(got) == 1
