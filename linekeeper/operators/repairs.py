@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linekeeper.operators.folds import fold_by_song
 from linekeeper.operators.joins import plateaus
@@ -165,12 +166,28 @@ def vocal_tiebreak(df: DataFrame) -> DataFrame:
     return _sweep(df, propose, 0.10)
 
 
+def _near_intro(df: DataFrame) -> DataFrame:
+    """``df`` with those onsets alone that ``intro_repair`` may ask for: of a song's first line, around the span before its anchor; the fold's shuffle carries no others."""
+    place = F.row_number().over(Window.partitionBy("song").orderBy("entry"))
+    rows = df.withColumn("__i", place)
+    score, time = F.coalesce(F.nanvl(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0)), F.col("timestamp").cast("double")
+    found = F.min(F.when((F.col("__i") > 1) & (score >= TRUSTED) & (time >= 20.0), F.struct("__i", time.alias("t")))).over(Window.partitionBy("song"))
+    rows = rows.withColumn("__a", found)
+    at = F.col("__a.t")
+    start = F.greatest(F.lit(0.0), at - F.least(F.lit(12.0), 4.0 * F.col("__a.__i")))
+    # a second more on either side: the fold itself decides
+    near = F.filter("onsets", lambda o: (o["t"] >= start - 1.0) & (o["t"] <= F.greatest(start + 0.2, at - 6.0) + 1.0) & (o["onset"] >= 0.55))
+    asked = (F.col("__i") == 1) & F.col("__a").isNotNull()
+    return rows.withColumn("onsets", F.when(asked, near)).drop("__i", "__a")
+
+
 def intro_repair(df: DataFrame) -> DataFrame:
     """(song, entry, time, reason): lines before the first trusted one from 20 s on, spread from an onset, where the first is early and poor.
 
     Rows: timestamp, duration, score, segment, borrowed, onsets.
     """
     kind = df.schema["song"].dataType.simpleString()
+    df = _near_intro(df)
 
     def step(rows: list[dict]) -> list[dict]:
         times = [float(r["timestamp"]) for r in rows]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from linekeeper.operators import forced, matching
+from linekeeper.operators import forced, matching, repairs
 from linekeeper.plans import catalogue, evidence  # noqa: F401  (registers its queries)
 from tests.test_forced import ROW, row
 
@@ -60,3 +60,13 @@ def test_raw_diagnostics_round_as_the_sql(spark, tmp_path):
     rows = [(1, 0, 5, 2), *[(1, k + 0.0005, 1, 2) for k in (4, 16)]]
     got, want = by_both(spark, "raw_diagnostics", events(tmp_path, rows))
     assert got == want and len(got) == 1
+
+
+def test_intro_keeps_near_onsets_alone(spark):
+    every = [(float(k), 0.9, [float(k)]) for k in range(2001)]
+    rows = [("a", i, 1.0 + 10 * (i - 1), 200.0, 0.1 if i < 5 else 0.9, 1, False, every if i == 1 else None) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "song string, entry int, timestamp double, duration double, score double, segment int, borrowed boolean, onsets array<struct<t: double, onset: double, times: array<double>>>")
+    assert max(len(r.onsets or ()) for r in repairs._near_intro(df).collect()) <= 15
+    got = [(r.entry, r.time) for r in repairs.intro_repair(df).orderBy("entry").collect()]
+    # the anchor is at 41 s: its span begins 12 s before, and the first onset 0.2 s on is 30
+    assert got[:5] == [(1, 30.0), (2, 32.75), (3, 35.5), (4, 38.25), (5, 41.0)]
