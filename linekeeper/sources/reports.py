@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from linekeeper.functions.text import file_stem, match_text, report_key
 from linekeeper.functions.timing import audit_clock, truthy
 from linekeeper.operators.metrics import weighted_percent
+from linekeeper.sources.shared import dealt
 
 SEGMENTS = "song STRING, source STRING, seg_idx INT, start DOUBLE, end DOUBLE, text STRING, score DOUBLE, chars ARRAY<STRUCT<ch: STRING, t: DOUBLE>>"
 SPANS = "ARRAY<STRUCT<char: STRING, start: DOUBLE, end: DOUBLE, score: DOUBLE>>"
@@ -185,6 +186,8 @@ def audit_rows(entries: DataFrame, assignments: DataFrame, risks: DataFrame, rev
     trust_reason, trust_sources, trust_times (map), token_spans, peaks.  risks: song, entry,
     ordinal, flags, severity, review_required, cand_ts (map), token_spans, peaks.
     """
+    # wide rows that compress to a few bytes: tasks sized by those would sort gigabytes
+    entries, assignments, risks = (dealt(x, "song", "entry", each=8) for x in (entries, assignments, risks))
     rows = entries.join(last_by_entry(assignments, "song").withColumnRenamed("item", "a"), ["song", "entry"], "left")
     rows = rows.join(last_by_entry(risks, "song").withColumnRenamed("item", "k"), ["song", "entry"], "left")
     risky = F.col("k").isNotNull()

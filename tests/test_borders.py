@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from linekeeper.operators import forced, matching, repairs
-from linekeeper.plans import catalogue, evidence  # noqa: F401  (registers its queries)
+from linekeeper.plans import catalogue, evidence, library  # noqa: F401  (registers its queries)
 from tests.test_forced import ROW, row
 
 
@@ -70,3 +70,8 @@ def test_intro_keeps_near_onsets_alone(spark):
     got = [(r.entry, r.time) for r in repairs.intro_repair(df).orderBy("entry").collect()]
     # the anchor is at 41 s: its span begins 12 s before, and the first onset 0.2 s on is 30
     assert got[:5] == [(1, 30.0), (2, 32.75), (3, 35.5), (4, 38.25), (5, 41.0)]
+
+
+def test_audits_are_dealt_out(spark):
+    """Wide rows that compress well: adaptive execution must not join tasks by their bytes."""
+    assert library._audit(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
