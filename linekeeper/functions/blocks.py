@@ -205,6 +205,15 @@ def ratios(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def at_least(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Whether the ratio of each pair is ``least`` (over 0, 1 at most) or more; blocks aren't looked for where texts are equal or their lengths tell."""
+    out = np.array([bool(a) and a == b for a, b in zip(left, right, strict=True)], bool)
+    most = np.array([2.0 * min(len(a), len(b)) / max(1, len(a) + len(b)) for a, b in zip(left, right, strict=True)])
+    asked = np.flatnonzero(~out & (most >= least))
+    out[asked] = ratios([left[k] for k in asked], [right[k] for k in asked]) >= least
+    return out
+
+
 def scores(entries: list[str], segments: list[str]) -> np.ndarray:
     """How well segments' texts fit entries': the ratio, 0.96 at least where a segment holds the entry, 0.72 where the entry holds a segment of 4 characters."""
     floor = np.array([0.0 if not a or not b else 0.96 if a in b else 0.72 if len(b) >= 4 and b in a else 0.0 for a, b in zip(entries, segments, strict=True)])

@@ -5,16 +5,14 @@ Range joins carry an equality (song and a time bucket), so that Spark hashes the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.functions import blocks
 from linekeeper.functions.text import segment_score
+from linekeeper.operators.folds import fold_pairs
 
 
 def nearest_onset(lines: DataFrame, frames: DataFrame, reach: float = 0.35) -> DataFrame:
@@ -144,10 +142,6 @@ def match_anchors(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     return entries.groupBy("song").cogroup(anchors.groupBy("song")).applyInPandas(one, f"song {kind}, hint_idx int, entry int, error string")
 
 
-#: Songs whose lines are matched side by side.
-SONGS = 256
-
-
 class _Song:
     """Where the matching of a song's lines with its segments stands."""
 
@@ -198,36 +192,22 @@ def fuzzy_match(lines: DataFrame, segments: DataFrame, ahead: int = 12, spans: i
     lines: song, entry, norm; segments: song, seg_idx, norm.  Of up to ``ahead`` segments and
     1 to ``spans`` of them together the best is taken, the first of equals; a score of
     ``stop`` ends the search.  Null texts count as empty and match nothing.  Songs pass through
-    a task in their order, SONGS of them side by side.
+    a task in their order, many of them side by side.
     """
-    rows = lines.select("song", F.lit(0).alias("kind"), F.col("entry").cast("int").alias("at"), "norm").unionByName(segments.select("song", F.lit(1).alias("kind"), F.col("seg_idx").cast("int").alias("at"), "norm"))
-    kind = rows.schema["song"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[_Song] = []
-        song_type = None
-
-        def out() -> pa.RecordBatch:
-            found = _side_by_side(held, ahead, spans, accept, stop)
-            held.clear()
-            types = (song_type, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in enumerate(types)], names=["song", "entry", "segment", "span", "score"])
-
-        for batch in batches:
-            song_type = batch.column("song").type
-            for song, side, at, norm in zip(*(batch.column(c).to_pylist() for c in ("song", "kind", "at", "norm")), strict=True):
-                if not held or held[-1].key != song:
-                    if len(held) >= SONGS:
-                        yield out()
-                    held.append(_Song(song))
-                own = held[-1]
-                (own.numbers if side else own.entries).append(at)
-                (own.texts if side else own.lines).append(norm or "")
-        if held:
-            yield out()
-
-    dealt = rows.repartition("song").sortWithinPartitions("song", "kind", "at")
-    return dealt.mapInArrow(run, f"song {kind}, entry int, segment int, span int, score double")
+
+    def many(held: list[tuple]) -> list[tuple]:
+        songs = []
+        for key, left, right in held:
+            own = _Song(key)
+            own.entries, own.lines = [r["entry"] for r in left], [r["norm"] or "" for r in left]
+            own.numbers, own.texts = [r["seg_idx"] for r in right], [r["norm"] or "" for r in right]
+            songs.append(own)
+        return _side_by_side(songs, ahead, spans, accept, stop)
+
+    kind = lines.schema["song"].dataType.simpleString()
+    left = lines.select("song", F.col("entry").cast("int").alias("entry"), "norm")
+    right = segments.select("song", F.col("seg_idx").cast("int").alias("seg_idx"), "norm")
+    return fold_pairs(left, right, many, f"song {kind}, entry int, segment int, span int, score double")
 
 
 def pair_scores(lines: DataFrame, segments: DataFrame, band: int = 12) -> DataFrame:

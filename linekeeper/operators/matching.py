@@ -5,12 +5,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linekeeper.functions import blocks
+from linekeeper.operators.folds import fold_pairs
 
 
 def place_in_segment(norm: Column, start: Column, end: Column, seg_norm: Column, chars: Column) -> Column:
@@ -84,46 +84,50 @@ def earlier_duplicates(matches: DataFrame, segments: DataFrame) -> DataFrame:
     to 2 back within 2.5 s where it fits about as well, then up to 3 back within 5 s where it
     opens the line.
     """
-
-    steps = ((2, 2.5, 0.70), (3, 5.0, 0.86))  # fixed values: how far back, within how many seconds, how alike
-
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts, left = right.sort_values("seg_idx"), left.sort_values("entry")
-        numbers, starts, texts = parts["seg_idx"].tolist(), parts["start"].tolist(), parts["norm"].fillna("").tolist()
-        place = {n: i for i, n in enumerate(numbers)}
-        # all comparisons that may be asked for, in two calls
-        near = [(k, i) for i in range(len(texts)) for k in range(max(0, i - 3), i) if starts[i] - starts[k] <= 5.0]
-        alike = dict(zip(near, blocks.ratios([texts[k] for k, _ in near], [texts[i] for _, i in near]).tolist(), strict=True))
-        rows = [(r.entry, None if pd.isna(r.segment) else place.get(int(r.segment)), r.score, r.norm if isinstance(r.norm, str) else "") for r in left.itertuples()]
-        pairs = [(n, k) for n, (_, at, _, _) in enumerate(rows) if at for k in range(max(0, at - 2), at)]
-        fit = dict(zip(pairs, blocks.scores([rows[n][3] for n, _ in pairs], [texts[k] for _, k in pairs]).tolist(), strict=True))
-        out = []
-        for n, (entry, at, score, text) in enumerate(rows):
-            for back, seconds, least in steps:
+    number = lambda v: float("nan") if v is None else v
+
+    def many(songs: list[tuple]) -> list[tuple]:
+        lines, parts = [], []  # of all songs: [song, entry, text, segments, place among them, score]; (number, start, text)
+        for key, left, right in songs:
+            segs = [(s["seg_idx"], number(s["start"]), s["norm"] or "") for s in right]
+            place = {s[0]: i for i, s in enumerate(segs)}
+            lines += [[key, r["entry"], r["norm"] or "", len(parts), None if r["segment"] is None else place.get(r["segment"]), number(r["score"])] for r in left]
+            parts.append(segs)
+        # fixed values: how far back, within how many seconds, how alike
+        for back, seconds, least in ((2, 2.5, 0.70), (3, 5.0, 0.86)):
+            asked = []
+            for n, (_, _, text, song, at, _) in enumerate(lines):
+                segs = parts[song]
                 for k in range(at - 1, max(-1, at - back - 1), -1) if at else ():
-                    if not texts[k] or starts[at] - starts[k] > seconds or alike[k, at] < least:
-                        continue
-                    if back == 2 and fit[n, k] >= score - 0.05:
-                        at, score = k, max(score, fit[n, k])
-                        break
-                    if back == 3 and text.startswith(texts[k]):
-                        at, score = k, max(score, 0.80)
-                        break
-            out.append((key[0], entry, None if at is None else numbers[at], score))
-        return pd.DataFrame(out, columns=["song", "entry", "segment", "score"])
+                    # what costs little is asked first; a null start is near none
+                    if segs[k][2] and segs[at][1] - segs[k][1] <= seconds and (back == 2 or text.startswith(segs[k][2])):
+                        asked.append((n, k, segs[k][2], segs[at][2]))
+            alike = blocks.at_least([x[2] for x in asked], [x[3] for x in asked], least).tolist()
+            asked = [x for x, y in zip(asked, alike, strict=True) if y]
+            fits = blocks.scores([lines[x[0]][2] for x in asked], [x[2] for x in asked]).tolist() if back == 2 else [0.80] * len(asked)
+            moved = set()
+            for (n, k, _, _), fit in zip(asked, fits, strict=True):
+                line = lines[n]
+                if n not in moved and (back == 3 or fit >= line[5] - 0.05):
+                    moved.add(n)
+                    line[4], line[5] = k, max(line[5], fit)
+        return [(key, entry, None if at is None else parts[song][at][0], score) for key, entry, _, song, at, score in lines]
 
     kind = matches.schema["song"].dataType.simpleString()
-    segments = segments.select(*[F.col(c).alias(c) for c in ("song", "seg_idx", "start", "norm")])  # both sides may stem from one table
-    return matches.groupBy("song").cogroup(segments.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, score double")
+    left = matches.select("song", F.col("entry").cast("int").alias("entry"), "norm", F.col("segment").cast("int").alias("segment"), "score")
+    right = segments.select("song", F.col("seg_idx").cast("int").alias("seg_idx"), "start", "norm")
+    return fold_pairs(left, right, many, f"song {kind}, entry int, segment int, score double")
 
 
 def _fill(rows: list[dict], segs: dict[int, dict], duration: float) -> None:
     """Lines without a time: from a shared segment, the segment after, the silence after a segment, or the neighbours."""
+    after, known = [None] * len(rows), None
+    for i in range(len(rows) - 1, -1, -1):
+        after[i], known = known, known if rows[i]["t"] is None else i
     for i, r in enumerate(rows):
         if r["t"] is not None:
             continue
-        left = next((k for k in range(i - 1, -1, -1) if rows[k]["t"] is not None), None)
-        right = next((k for k in range(i + 1, len(rows)) if rows[k]["t"] is not None), None)
+        left, right = i - 1 if i else None, after[i]  # every line before has got a time
         a, b = (rows[k] if k is not None else None for k in (left, right))
         if a and b and a["segment"] is not None and a["segment"] == b["segment"]:
             r.update(segment=a["segment"], t=segs[a["segment"]]["start"], how="shared")
@@ -200,25 +204,28 @@ def times_from_segments(lines: DataFrame, segments: DataFrame, gap: float = 0.10
     segment, null if unmatched), duration.  segments: song, seg_idx, start, end, norm.
     """
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        segs = {int(s["seg_idx"]): s for s in right.to_dict("records")}
-        rows = []
-        for r in left.sort_values("entry").to_dict("records"):
-            known = r["segment"] == r["segment"] and r["segment"] is not None and int(r["segment"]) in segs
-            rows.append({**r, "segment": int(r["segment"]) if known else None, "t": float(r["t"]) if known else None, "score": float(r["score"] or 0.0), "borrowed": False, "how": "matched"})
-        if rows:
-            duration = float(rows[0]["duration"])
-            _fill(rows, segs, duration)
-            for repair in (_split_borrowed, _late_before_gaps, _distribute):
-                repair(rows, segs)
-            for a, b in zip(rows, rows[1:], strict=False):
-                b["t"] = max(b["t"], a["t"] + gap)
+    number = lambda v: float("nan") if v is None else float(v)
+
+    def many(songs: list[tuple]) -> list[tuple]:
+        out = []
+        for _, rows, right in songs:
+            segs = {s["seg_idx"]: {**s, "start": number(s["start"]), "end": number(s["end"])} for s in right}
             for r in rows:
-                r["t"] = max(0.0, min(duration, r["t"]))
-        out = [(r["song"], r["entry"], r["segment"], r["t"], r["score"], r["borrowed"], r["how"]) for r in rows]
-        frame = pd.DataFrame(out, columns=["song", "entry", "segment", "time", "score", "borrowed", "how"])
-        return frame.astype({"segment": "Int32"})
+                known = r["segment"] is not None and r["segment"] in segs
+                r.update(segment=r["segment"] if known else None, t=number(r["t"]) if known else None, score=number(r["score"]), borrowed=False, how="matched")
+            if rows:
+                duration = number(rows[0]["duration"])
+                _fill(rows, segs, duration)
+                for repair in (_split_borrowed, _late_before_gaps, _distribute):
+                    repair(rows, segs)
+                for a, b in zip(rows, rows[1:], strict=False):
+                    b["t"] = max(b["t"], a["t"] + gap)
+                for r in rows:
+                    r["t"] = max(0.0, min(duration, r["t"]))
+            out += [(r["song"], r["entry"], r["segment"], r["t"], r["score"], r["borrowed"], r["how"]) for r in rows]
+        return out
 
     kind = lines.schema["song"].dataType.simpleString()
-    parts = segments.select(*[F.col(c).alias(c) for c in ("song", "seg_idx", "start", "end", "norm")])  # both sides may stem from one table
-    return lines.groupBy("song").cogroup(parts.groupBy("song")).applyInPandas(one, f"song {kind}, entry int, segment int, time double, score double, borrowed boolean, how string")
+    left = lines.select("song", F.col("entry").cast("int").alias("entry"), "norm", "marker", F.col("segment").cast("int").alias("segment"), "score", "t", "duration")
+    right = segments.select("song", F.col("seg_idx").cast("int").alias("seg_idx"), "start", "end", "norm")
+    return fold_pairs(left, right, many, f"song {kind}, entry int, segment int, time double, score double, borrowed boolean, how string")
