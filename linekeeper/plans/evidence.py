@@ -11,6 +11,7 @@ from linekeeper.operators import candidates, diagnostics, planning, repairs
 from linekeeper.plans.catalogue import BASE, CONV, conversation_lines, lines, query
 from linekeeper.plans.words import word_candidate
 from linekeeper.sources import files, reports
+from linekeeper.sources.shared import stored
 
 
 @query(f"""WITH {BASE} SELECT song, count(*) AS timing_entries, count_if(segment % 7 = 0) AS ctc_missing_count, count_if(score < 0.4) AS ctc_low_score_count, count_if(score < 0.1) AS ctc_very_low_score_count, count_if(segment % 5 = 0) AS review_required_count,
@@ -155,19 +156,22 @@ def heard_turns(rows: DataFrame) -> DataFrame:
     return one.select("song", F.row_number().over(order).alias("seg_idx"), start.alias("start"), (start + 1.4).alias("end"), text.alias("text"), text.alias("norm"), F.array().cast("array<struct<ch: string, t: double>>").alias("chars"))
 
 
+def _word_candidate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns are stored once their texts are in the form for matching: the plan reads them six times, and the form takes as long as a match."""
+    rows = stored(conversation_lines(spark, sf_dir), "turns")
+    made = rows.select("song", "entry", "text", "norm", (F.max("entry").over(Window.partitionBy("song")) * 4.0 + 10).alias("duration"))
+    return word_candidate(made, heard_turns(rows))
+
+
 @query()
 def word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word-level candidate of songs of turns as one plan: matches, duplicates, places, times; ratios are not for SQL."""
-    rows = conversation_lines(spark, sf_dir)
-    made = rows.select("song", "entry", "text", "norm", (F.max("entry").over(Window.partitionBy("song")) * 4.0 + 10).alias("duration"))
-    out, _ = word_candidate(made, heard_turns(rows))
+    out, _ = _word_candidate(spark, sf_dir)
     return out.select("song", "entry", "segment", F.round("time", 6).alias("time"), F.round("score", 6).alias("score"), "how")
 
 
 @query()
 def word_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its report and gate."""
-    rows = conversation_lines(spark, sf_dir)
-    made = rows.select("song", "entry", "text", "norm", (F.max("entry").over(Window.partitionBy("song")) * 4.0 + 10).alias("duration"))
-    _, report = word_candidate(made, heard_turns(rows))
+    _, report = _word_candidate(spark, sf_dir)
     return report.select("song", "timing_entries", "assigned_entries", "trusted_entries", "low_confidence_count", "assigned_percent", "trusted_percent", "error")

@@ -17,6 +17,11 @@ def test_folds_stream_through_songs(spark):
         assert "MapInArrow" in text and "InPandas" not in text
 
 
+def test_turns_are_brought_into_form_once(spark):
+    for made in (evidence.word_candidates, evidence.word_reports):
+        assert "regexp_replace" not in made(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_null_starts_are_near_none(spark):
     segs = [("a", 0, None, "sing"), ("a", 1, 2.0, "sing"), ("a", 2, 3.0, "sing"), ("a", 3, None, "sing")]
     matches = spark.createDataFrame([("a", k, "sing", k, 1.0) for k in range(4)], "song string, entry int, norm string, segment int, score double")
