@@ -43,11 +43,11 @@ def best_path(logp: np.ndarray, tokens: np.ndarray, blank: int = 0, first: np.nd
     came = np.zeros((frames, 2 * n + 1), np.int8)
     for t in range(frames):
         if t:
-            # staying, from the state before, from the one before that: the first of equals
+            # from two states before, from the one before, staying: the first of equals, which comes to its state latest
             ways = np.full((3, 2 * n + 1), -np.inf)
-            ways[0], ways[1, 1:] = score, score[:-1]
-            ways[2, 2:] = np.where(jumps[2:], score[:-2], -np.inf)
-            came[t] = ways.argmax(axis=0)
+            ways[0, 2:] = np.where(jumps[2:], score[:-2], -np.inf)
+            ways[1, 1:], ways[2] = score[:-1], score
+            came[t] = 2 - ways.argmax(axis=0)
             score = ways.max(axis=0)
         else:
             score[:2] = 0.0

@@ -55,6 +55,14 @@ def test_equal_tokens_need_a_blank_and_frames():
     assert trellis.best_path(sure, np.array([], np.int64)) is None and trellis.best_path(sure[:0], np.array([1])) is None
 
 
+def test_of_equal_paths_the_latest():
+    """A frame in which all tokens are as likely: a token that rings through it, one that begins after it, and one that follows another without a blank."""
+    at = lambda *frames: np.log(np.array([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.05, 0.05, 0.9], [1 / 3] * 3])[list(frames)])
+    assert trellis.best_path(at(1, 3, 0), np.array([1])).tolist() == [[0, 2]]
+    assert trellis.best_path(at(0, 3, 1), np.array([1])).tolist() == [[2, 3]]
+    assert trellis.best_path(at(1, 3, 2), np.array([1, 2])).tolist() == [[0, 2], [2, 3]]
+
+
 def sounds(spark, songs, frames, places, seed=0):
     """Emissions in which each (song, frame) of ``places`` has its token loud, all others the blank."""
     rng = np.random.default_rng(seed)
