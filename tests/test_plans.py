@@ -1,10 +1,12 @@
+import datetime
 import wave
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linekeeper.plans import library
+from linekeeper.plans import catalogue, library, matches
 from linekeeper.plans.align import align, choose_source
 from linekeeper.plans.words import word_candidate
 from linekeeper.sources import audio
@@ -82,6 +84,24 @@ def test_sounds_are_dealt_out(spark, monkeypatch):
     assert sizes == {f"S{r.user_id}.wav": 44 + r["count"] * 3200 for r in songs}
 
 
+#: value and segment of 24 events, one with a value of 0: all its probabilities are equal.
+TIED = [
+    (39.37, 61), (25.11, 71), (10.07, 2), (13.15, 87), (62.71, 87), (0.82, 93), (18.15, 56), (3.76, 30), (46.58, 20), (106.05, 50), (88.71, 66), (31.22, 2),
+    (45.88, 65), (0.0, 36), (36.2, 39), (109.16, 79), (27.68, 79), (65.1, 78), (22.53, 37), (0.1, 56), (67.63, 41), (33.52, 98), (40.76, 97), (112.67, 22),
+]
+
+
+@pytest.mark.parametrize("name", ["window_paths", "windows_taken_over"])
+def test_windows_with_equal_paths_as_their_sql(spark, tmp_path, name):
+    began = datetime.datetime(2024, 1, 1)
+    rows = [(k, began + datetime.timedelta(seconds=k), 1, "view", value, f'{{"k": {segment}}}') for k, (value, segment) in enumerate(TIED)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect(config={"threads": 1}) as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.execute(catalogue.ORACLES[name]).fetchall()
+    assert want and sorted(tuple(r) for r in getattr(matches, name)(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_live_metrics(spark, tmp_path):
     schema = "song string, entry int, segment int, score double, timing_repair string, timing_trusted boolean, ts timestamp"
     rows = spark.sql("select 'a' song, int(id) entry, int(id) segment, id / 10.0D score, cast(null as string) timing_repair, false timing_trusted, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, int(id)) ts from range(1, 11)")
