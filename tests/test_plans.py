@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linekeeper.plans import catalogue, library, matches
 from linekeeper.plans.align import align, choose_source
 from linekeeper.plans.words import word_candidate
-from linekeeper.sources import audio
+from linekeeper.sources import audio, shared
 from linekeeper.streaming import live
 
 SPAN = "array<struct<char: string, start: double, end: double, score: double>>"
@@ -84,6 +84,33 @@ def test_sounds_are_dealt_out(spark, monkeypatch):
     assert sizes == {f"S{r.user_id}.wav": 44 + r["count"] * 3200 for r in songs}
 
 
+@pytest.mark.parametrize("name", ["sound_segments", "sound_levels"])
+def test_sounds_in_rounds(spark, monkeypatch, name):
+    """The files of a round are gone when the next one's are written, at the end all is gone but what they told, and the rows are those of one round."""
+    from pyarrow import fs
+
+    folders, write, at = [], library.write_files, shared.shared_folder(spark, "x").rsplit("/", 1)[0]
+
+    def there(folder):
+        disk, path = shared.open_folder(folder)
+        return {f.base_name for f in disk.get_file_info(fs.FileSelector(path, allow_not_found=True))}
+
+    def watched(files, folder):
+        assert not any(there(f) for f in folders)
+        write(files, folder)
+        assert there(folder)
+        folders.append(folder)
+
+    monkeypatch.setattr(library, "write_files", watched)
+    run = lambda: sorted(tuple(r) for r in getattr(library, name)(spark, "/root/testdata/sf0.001").collect())
+    before, cleanup = there(at), spark.conf.get(shared.CLEANUP)
+    want = run()
+    assert want and len(folders) == 1
+    monkeypatch.setattr(library, "ROUND_BYTES", 1_100_000)
+    assert run() == want and 1 < len(folders) - 1 <= 3
+    assert sorted(f.split("-")[0] for f in there(at) - before) == ["told", "told"] and spark.conf.get(shared.CLEANUP) == cleanup
+
+
 #: value and segment of 24 events, one with a value of 0: all its probabilities are equal.
 TIED = [
     (39.37, 61), (25.11, 71), (10.07, 2), (13.15, 87), (62.71, 87), (0.82, 93), (18.15, 56), (3.76, 30), (46.58, 20), (106.05, 50), (88.71, 66), (31.22, 2),
